@@ -47,8 +47,8 @@ def query(name: str, rows: str = "", uses: str = "", oracle: str | None = None,
             prefix = with_clause(tuple(uses.split())) if uses else ""
             body = oracle.strip().rstrip(";")
             keyword = "WITH RECURSIVE" if recursive else "WITH"
-            if body.startswith("WITH "):
-                body = body[len("WITH "):]
+            if body.startswith("WITH"):
+                body = body[len("WITH"):]
                 sql = f"{keyword} {prefix + ', ' if prefix else ''}{body}"
             else:
                 sql = f"{keyword} {prefix}\n{body}" if prefix else body

@@ -104,7 +104,11 @@ def fit_budget(entries: DataFrame, window: str, limit: int = params.CORPUS_CHARS
     joined = F.array_join(F.transform("items", lambda x: x["text"]), "\n")
     n = F.size("items")
     # Newest first inside a tier: reverse time order, then a stable sort by tier.
-    tiers = F.concat(*[F.filter(F.reverse("items"), lambda x, t=t: x["priority"] == t) for t in (SAID, FAILED, OTHER)])
+
+    def tier(level: int):
+        return F.filter(F.reverse("items"), lambda x: x["priority"] == level)
+
+    tiers = F.concat(tier(SAID), tier(FAILED), tier(OTHER))
     kind = "array<struct<ts:bigint,ord:string,priority:int,text:string>>"
     start = F.struct(
         F.length(F.concat(F.lit("["), n.cast("string"), F.lit(" events elided]"))).alias("spent"),

@@ -190,6 +190,34 @@ VIEWS: dict[str, str] = {
                min(s.created_at) AS started_at, min(s.created_at) + INTERVAL '30' MINUTE AS ended_at
         FROM <session> s JOIN <conversations> c ON c.conv_id = s.session_id
         GROUP BY s.session_id, s.project_id, s.user_id""",
+    "pattern": f"""
+        SELECT vec_id AS id, {_project('vec_id', 24)} AS project_id,
+               'pattern ' || CAST(vec_id % 300 AS STRING) AS text,
+               'pattern ' || CAST(vec_id % 300 AS STRING) AS normalized,
+               CASE WHEN vec_id % 10 = 3 THEN 'merged' ELSE 'active' END AS status,
+               CASE WHEN vec_id % 10 = 3 THEN vec_id - CASE WHEN vec_id % 3 = 0 THEN 10 ELSE 1 END END AS merged_into,
+               vec_id % 4 = 1 AS reviewed,
+               vec_id % 7 AS learning_count,
+               embedding, label
+        FROM <embeddings>""",
+    "pattern_alias": """
+        SELECT id, project_id, 'alias ' || CAST(id % 200 AS STRING) AS label FROM <pattern> WHERE status = 'active' AND id % 3 = 0""",
+    "merge_member": """
+        SELECT CAST(floor(id / 12) AS BIGINT) AS reply_id, CAST(floor(id / 3) AS BIGINT) % 4 AS merge,
+               CASE WHEN id % 29 = 0 THEN 'X' ELSE 'P' || CAST(id AS STRING) END AS label, id
+        FROM <pattern>
+        UNION ALL
+        SELECT CAST(floor(id / 12) AS BIGINT) AS reply_id, 3 AS merge, 'P' || CAST(id AS STRING) AS label, id
+        FROM <pattern> WHERE label = 7""",
+    "merge_decision": """
+        SELECT reply_id, merge, CASE WHEN max(id) % 11 = 0 THEN 'Z' ELSE 'P' || CAST(min(id) AS STRING) END AS canonical
+        FROM <merge_member> GROUP BY reply_id, merge""",
+    "accepted_merge": """
+        SELECT m.target, p.id AS source, p.id - m.target AS pos
+        FROM (SELECT CAST(floor(id / 3) AS BIGINT) AS g, min(id) AS target FROM <pattern> WHERE label < 5 GROUP BY CAST(floor(id / 3) AS BIGINT)) m
+        JOIN <pattern> p ON CAST(floor(p.id / 3) AS BIGINT) = m.g AND p.id <> m.target AND p.label < 5""",
+    "tagged": """
+        SELECT id AS learning_id, id - id % 4 AS pattern_id, confidence, session_id FROM <learning> WHERE label <> 3""",
     "ledger": """
         SELECT project_id, 'turn' AS mode, event_id
         FROM <session_event> WHERE ts < TIMESTAMP '2024-01-10 00:00:00'""",
