@@ -21,9 +21,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        if name not in self._seen:
-            self._seen[name] = view(self.spark, self.folder, name)
-        return self._seen[name]
+        return view(self.spark, self.folder, name, self._seen)
 
 
 @dataclass(frozen=True)

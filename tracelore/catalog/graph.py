@@ -247,6 +247,6 @@ WITH every AS (SELECT a.id, 0 AS src, 0 AS part, a.label FROM pattern_alias a WH
  UNION ALL SELECT m.target, m.pos, 1, p.normalized FROM accepted_merge m JOIN pattern p ON p.id = m.source
  UNION ALL SELECT m.target, m.pos, 2, a.label FROM accepted_merge m JOIN pattern_alias a ON a.id = m.source),
  firsts AS (SELECT e.id, e.label, min((src, part)) AS at FROM every e JOIN pattern p ON p.id = e.id WHERE e.label <> p.normalized GROUP BY 1, 2)
-SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY at, label) AS position FROM firsts""")
+SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY f.at, label) AS position FROM firsts f""")
 def merged_aliases(t: Tables):
     return _applied(t)["aliases"].select("id", "label", n("position"))

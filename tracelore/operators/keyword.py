@@ -26,20 +26,23 @@ COMMON_DF = 5000
 
 def postings(docs: DataFrame, doc_id: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, keep..., term, weight): the BM25 weight of every term of every row, with
-    document frequencies and mean length over all of ``docs``."""
+    document frequencies and mean length over all of ``docs``. The index is written out once;
+    a search reads it several times."""
     words = docs.select(F.col(doc_id).alias("doc_id"), *keep, tokens(F.col(text)).alias("__words"))
     words = words.withColumn("__len", F.size("__words"))
     stats = words.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"))
-    tf = words.select("doc_id", *keep, "__len", F.explode("__words").alias("term")).groupBy(
-        "doc_id", *keep, "__len", "term"
-    ).agg(F.count("*").alias("__tf"))
+    tf = cut(
+        words.select("doc_id", *keep, "__len", F.explode("__words").alias("term")).groupBy("doc_id", *keep, "__len", "term").agg(
+            F.count("*").alias("__tf")
+        )
+    )
     df = tf.groupBy("term").agg(F.count("*").alias("__df"))
     k1, b = params.BM25_K1, params.BM25_B
     # One row of corpus totals: a cross join with it is a broadcast of two numbers.
     scored = tf.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(F.lit(1.0) + (F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5))
     weight = idf * F.col("__tf") / (F.col("__tf") + k1 * (1 - b + b * F.col("__len") / F.col("__avg")))
-    return scored.select("doc_id", *keep, "term", weight.alias("weight"))
+    return cut(scored.select("doc_id", *keep, "term", weight.alias("weight")))
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str, keep: Sequence[str] = ()) -> DataFrame:

@@ -218,6 +218,20 @@ VIEWS: dict[str, str] = {
         JOIN <pattern> p ON CAST(floor(p.id / 3) AS BIGINT) = m.g AND p.id <> m.target AND p.label < 5""",
     "tagged": """
         SELECT id AS learning_id, id - id % 4 AS pattern_id, confidence, session_id FROM <learning> WHERE label <> 3""",
+    "neighbour": """
+        SELECT c.id AS candidate_id, l.id AS existing_id, (c.id + l.id) % 4 AS w
+        FROM <learning> c JOIN <learning> l
+          ON l.project_id = c.project_id AND l.scope = c.scope AND CAST(floor(l.id / 12) AS BIGINT) = CAST(floor(c.id / 12) AS BIGINT)
+        WHERE c.status = 'candidate' AND l.status IN ('approved', 'candidate') AND l.id <> c.id""",
+    "decision": """
+        SELECT l.id, CASE l.id % 6 WHEN 0 THEN 'approve' WHEN 1 THEN 'keep_both' WHEN 2 THEN 'edit_approve' WHEN 3 THEN 'reject'
+               WHEN 4 THEN 'keep_new' ELSE 'keep_existing' END AS action,
+               'edited ' || CAST(l.id AS STRING) AS edited_text, CAST(NULL AS BIGINT) AS conflict_id
+        FROM <learning> l JOIN <labels> b ON b.doc_id = l.id WHERE b.quality = 1""",
+    "conflict": """
+        SELECT a.id AS from_id, b.id AS to_id
+        FROM <learning> a JOIN <learning> b ON CAST(floor(b.id / 3) AS BIGINT) = CAST(floor(a.id / 3) AS BIGINT) AND b.id > a.id
+        WHERE a.status <> 'rejected'""",
     "ledger": """
         SELECT project_id, 'turn' AS mode, event_id
         FROM <session_event> WHERE ts < TIMESTAMP '2024-01-10 00:00:00'""",
@@ -297,11 +311,15 @@ def with_clause(names: tuple[str, ...]) -> str:
     return ",\n".join(f"{v} AS ({_REF.sub(lambda m: m.group(1), VIEWS[v])})" for v in order)
 
 
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The view (or base table) ``name`` over the parquet tables in ``folder``."""
-    if name in TABLES:
-        return read_table(spark, folder, name)
-    text = VIEWS[name]
-    refs = dict.fromkeys(_REF.findall(text))
-    frames = {ref: view(spark, folder, ref) for ref in refs}
-    return spark.sql(_REF.sub(lambda m: "{" + m.group(1) + "}", text), **frames)
+def view(spark: SparkSession, folder: str, name: str, seen: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The view (or base table) ``name`` over the parquet tables in ``folder``. ``seen`` keeps
+    what was already built, so a table's files are listed once."""
+    seen = {} if seen is None else seen
+    if name not in seen:
+        if name in TABLES:
+            seen[name] = read_table(spark, folder, name)
+        else:
+            text = VIEWS[name]
+            frames = {ref: view(spark, folder, ref, seen) for ref in dict.fromkeys(_REF.findall(text))}
+            seen[name] = spark.sql(_REF.sub(lambda m: "{" + m.group(1) + "}", text), **frames)
+    return seen[name]
