@@ -11,7 +11,8 @@ from tracelore.functions import embedding as emb
 from tracelore.operators import transitions as tr
 from tracelore.operators import windows
 
-NOW = F.lit("2024-03-01").cast("timestamp")
+def now():
+    return F.lit("2024-03-01").cast("timestamp")
 
 
 def _replies(t: Tables, items, field: str):
@@ -170,7 +171,7 @@ def _applied(t: Tables):
     )
     hit = windows.echo_pairs(folds, _tree(t), t.injected_in)
     echoes = folds.join(hit, ["learning_id", "session_id", "at"], "left_semi").select("candidate_id", F.col("learning_id").alias("existing_id"))
-    return tr.apply_resolutions(t.learning, applied, echoes, NOW)
+    return tr.apply_resolutions(t.learning, applied, echoes, now())
 
 
 GATE_USES = "learning neighbour safety_verdict session injected_in"
@@ -252,7 +253,7 @@ def learning_update(t: Tables):
     updates = t.learning.select(
         "id", "project_id", F.when(F.col("id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("changed "), F.col("id").cast("string"))).alias("text"),
         F.lit(None).cast("string").alias("task_pattern"), F.lit(None).cast("string").alias("kind"), F.lit(0.9).alias("confidence"),
-        NOW.alias("at"), (F.col("id") % 2 == 0).alias("echo"),
+        now().alias("at"), (F.col("id") % 2 == 0).alias("echo"),
     )
     owners = t.learning.filter("label < 6").select("project_id", F.col("id").alias("learning_id"))
     ok = tr.owned(updates, t.learning, owners)
@@ -354,7 +355,7 @@ def recall_flags(t: Tables):
     rows = t.learning.withColumn("consolidated", F.when(F.col("label") % 2 == 0, F.col("consolidated"))).withColumns(
         {"compiled_at": F.lit(None).cast("timestamp"), "compiled_skill_id": F.lit(None).cast("long")}
     )
-    return tr.recall_flags(rows, t.skill, t.derived_from, NOW).select("id", "consolidated", "compiled_skill_id", micros("compiled_at"))
+    return tr.recall_flags(rows, t.skill, t.derived_from, now()).select("id", "consolidated", "compiled_skill_id", micros("compiled_at"))
 
 
 @query("key_violations", rows="S16", oracle="""
