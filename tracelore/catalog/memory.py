@@ -37,7 +37,7 @@ SELECT conv_id AS window_id, action, nullif(short, '') AS text,
  CASE WHEN action = 'update' OR turn = 2 THEN 'user' ELSE 'project' END AS scope,
  CASE WHEN role = 'assistant' THEN 'error' WHEN action = 'create' THEN 'fact' END AS kind,
  CASE WHEN turn < 2 THEN 'hook pipeline' END AS task_pattern,
- CASE WHEN role = 'user' THEN 0.6 ELSE least(1.0, turn * 0.4) END AS confidence,
+ CASE WHEN role = 'user' THEN 0.6::DOUBLE ELSE least(1.0::DOUBLE, turn * 0.4::DOUBLE) END AS confidence,
  CASE WHEN role = 'assistant' THEN 'run_query' END AS tool_key, CASE WHEN role = 'assistant' THEN turn = 1 END AS resolved, rank FROM ok""")
 def extraction_rows(t: Tables):
     turn = F.col("turn")
@@ -217,12 +217,12 @@ def _state(t: Tables):
 
 
 @query("learning_upsert", rows="T5 X3", uses="learning produced", oracle="""
-WITH creates AS (SELECT learning_id AS id, 'again ' || learning_id AS text, at, echo, 0.5 AS confidence FROM produced
+WITH creates AS (SELECT learning_id AS id, 'again ' || learning_id AS text, p.at AS wrote, echo, 0.5 AS confidence FROM produced p
    UNION ALL SELECT doc_id, 'new ' || doc_id, TIMESTAMP '2024-02-01 00:00:00', false, 0.3 FROM documents WHERE doc_id NOT IN (SELECT id FROM learning)),
- b AS (SELECT id, max_by(text, at) AS text, max(at) AS at, count(*) FILTER (WHERE NOT echo) AS s, count(*) FILTER (WHERE echo) AS e, max(confidence) FILTER (WHERE NOT echo) AS c FROM creates GROUP BY id)
+ b AS (SELECT id, max_by(text, wrote) AS text, max(wrote) AS wrote, count(*) FILTER (WHERE NOT echo) AS s, count(*) FILTER (WHERE echo) AS e, max(confidence) FILTER (WHERE NOT echo) AS c FROM creates GROUP BY id)
 SELECT coalesce(l.id, b.id) AS id, md5(coalesce(b.text, l.text)) AS text, coalesce(l.status, 'candidate') AS status, coalesce(l.kind, 'fact') AS kind,
  coalesce(l.support_count, 0) + coalesce(b.s, 0) AS support_count, coalesce(b.e, 0) AS echo_count, CAST(greatest(l.confidence, b.c) AS DOUBLE) AS confidence,
- CASE WHEN b.id IS NOT NULL THEN coalesce(l.label = 4, false) ELSE l.consolidated END AS consolidated, epoch_us(coalesce(b.at, l.updated_at)) AS updated_at
+ CASE WHEN b.id IS NOT NULL THEN coalesce(l.label = 4, false) ELSE l.consolidated END AS consolidated, epoch_us(coalesce(b.wrote, l.updated_at)) AS updated_at
 FROM learning l FULL JOIN b ON b.id = l.id""")
 def learning_upsert(t: Tables):
     def shape(df, id_col, text, at, echo, conf):

@@ -232,6 +232,23 @@ VIEWS: dict[str, str] = {
         SELECT a.id AS from_id, b.id AS to_id
         FROM <learning> a JOIN <learning> b ON CAST(floor(b.id / 3) AS BIGINT) = CAST(floor(a.id / 3) AS BIGINT) AND b.id > a.id
         WHERE a.status <> 'rejected'""",
+    "gated": """
+        SELECT l.id, l.project_id, l.scope, l.user_id, l.created_at, l.updated_at,
+               CASE WHEN v.verdict = 'block' THEN 'blocked' ELSE l.status END AS status,
+               CASE WHEN v.verdict = 'block' THEN l.updated_at END AS blocked_at,
+               CASE WHEN v.verdict = 'block' THEN v.category || ': ' || v.reason END AS blocked_reason,
+               CASE WHEN l.label = 6 THEN 'ambiguous_kept_both' ELSE 'clean' END AS consistency_status,
+               CASE WHEN l.id % 2 = 0 THEN l.created_at END AS consistency_checked_at
+        FROM <learning> l LEFT JOIN <safety_verdict> v ON v.candidate_id = l.id""",
+    "profile": """
+        SELECT user_id, count(*) AS version, 'profile of user ' || CAST(user_id AS STRING) || ' with facts' AS content,
+               false AS needs_revision, max(created_at) AS last_run
+        FROM <learning> WHERE scope = 'user' AND consolidated_at IS NOT NULL GROUP BY user_id""",
+    "proposal": """
+        SELECT skill_id AS proposal_id, skill_id, project_id, label, slug, status,
+               CASE label % 10 WHEN 0 THEN 'ignore' WHEN 1 THEN 'bogus' ELSE CASE WHEN status = 'approved' THEN 'update' ELSE 'create' END END AS action,
+               'fp' || CAST(skill_id AS STRING) AS fingerprint, created_at AS at
+        FROM <skill>""",
     "ledger": """
         SELECT project_id, 'turn' AS mode, event_id
         FROM <session_event> WHERE ts < TIMESTAMP '2024-01-10 00:00:00'""",
