@@ -133,8 +133,8 @@ VIEWS: dict[str, str] = {
                d.doc_id % 6 AS support_count,
                {_EPOCH} + d.doc_id * {_HOUR} AS created_at,
                {_EPOCH} + (d.doc_id + d.doc_id % 50) * {_HOUR} AS updated_at,
-               CASE WHEN d.doc_id % 13 = 0 THEN {_EPOCH} + (d.doc_id + 20) * {_HOUR} END AS consolidated_at,
-               CASE WHEN d.doc_id % 26 = 0 THEN {_EPOCH} + (d.doc_id + 60) * {_HOUR} END AS unfolded_at,
+               CASE WHEN d.doc_id % 4 = 3 THEN {_EPOCH} + (d.doc_id + 20) * {_HOUR} END AS consolidated_at,
+               CASE WHEN d.doc_id % 24 = 3 THEN {_EPOCH} + (d.doc_id + 60) * {_HOUR} END AS unfolded_at,
                d.text AS text, e.embedding AS embedding
         FROM <embeddings> e JOIN <documents> d ON d.doc_id = e.vec_id""",
     "request": """
@@ -297,6 +297,14 @@ VIEWS: dict[str, str] = {
         SELECT a.account_id, a.renewal_date, 12 * (1 + a.account_id % 3) AS term_months,
                a.account_id % 2 = 0 AS auto_renew
         FROM <account> a""",
+    "attach_rule": """
+        SELECT a.sku AS has_sku, min(b.sku) AS lacks_sku
+        FROM <product> a JOIN <product> b ON b.category = a.category AND b.sku > a.sku GROUP BY a.sku""",
+    "entity": """
+        SELECT domain, CASE WHEN account_id % 5 = 0 THEN 'OTHER' ELSE industry END AS industry, region
+        FROM <account> WHERE trajectory <> 'new'
+        UNION ALL
+        SELECT lower(replace(s_name, '#', '-')) || '.org' AS domain, 'SUPPLY' AS industry, CAST(NULL AS STRING) AS region FROM <supplier>""",
 }
 
 _REF = re.compile(r"<([a-z_]+)>")
