@@ -14,10 +14,10 @@ from tracelore.sources.tables import publish_snapshot, read_snapshot, refresh_pa
 
 LATEST_SQL = """
  latest AS (SELECT *, CASE WHEN contracted_seats <> 0 THEN round(mau / contracted_seats, 3) END AS utilization FROM usage u
-   WHERE month = (SELECT max(month) FROM usage x WHERE x.account_id = u.account_id AND x.sku = u.sku))
+   QUALIFY month = max(month) OVER (PARTITION BY account_id, sku))
 """
 FINAL_SQL = f"""{LATEST_SQL},
- line AS (SELECT account_id, sum(monthly_revenue) AS mrr, sum(contracted_seats) AS seats, avg(utilization) AS util FROM latest GROUP BY 1),
+ line AS (SELECT account_id, sum(monthly_revenue) AS mrr, sum(contracted_seats) AS seats, sum(round(utilization * 1000)) / count(utilization) / 1000 AS util FROM latest GROUP BY 1),
  final AS (SELECT a.account_id, a.owner, a.trajectory, round(coalesce(mrr, 0) * 12, 2) AS arr, coalesce(seats, 0) AS seats_total, round(coalesce(util, 0), 3) AS avg_utilization,
    CAST(floor(greatest(5.0, least(99.0, CASE trajectory WHEN 'expanding' THEN 84 WHEN 'steady' THEN 73 WHEN 'new' THEN 64 ELSE 38 END + (coalesce(util, 0) - 0.8) * 15 + health_jitter))) AS BIGINT) AS health_score
    FROM account a LEFT JOIN line USING (account_id))
@@ -28,9 +28,9 @@ def as_of():
     return F.lit("2001-08-01").cast("date")
 
 
-@query("latest_usage", rows="W9 Q10", uses="usage", oracle=f"WITH {LATEST_SQL} SELECT account_id, sku, month, mau, utilization, round(monthly_revenue, 2) AS revenue FROM latest")
+@query("latest_usage", rows="W9 Q10", uses="usage", oracle=f"WITH {LATEST_SQL} SELECT account_id, sku, month, mau, utilization, monthly_revenue FROM latest")
 def latest_usage(t: Tables):
-    return ac.usage_edges(t.usage).select("account_id", "sku", "month", "mau", "utilization", F.round("monthly_revenue", 2).alias("revenue"))
+    return ac.usage_edges(t.usage).select("account_id", "sku", "month", "mau", "utilization", "monthly_revenue")
 
 
 @query("finalized_accounts", rows="A17", uses="account usage", oracle=f"""WITH {FINAL_SQL}
@@ -179,6 +179,6 @@ def edge_refresh(t: Tables):
 
 
 @query("largest_lines", rows="W9", uses="usage", oracle=f"""WITH {LATEST_SQL}
-SELECT account_id, sku, row_number() OVER (PARTITION BY account_id ORDER BY round(monthly_revenue, 2) DESC, sku) AS rank FROM latest QUALIFY rank <= 3""")
+SELECT account_id, sku, row_number() OVER (PARTITION BY account_id ORDER BY monthly_revenue DESC, sku) AS rank FROM latest QUALIFY rank <= 3""")
 def largest_lines(t: Tables):
     return ac.largest_lines(t.usage).select("account_id", "sku", n("rank"))

@@ -56,7 +56,8 @@ def arr_band(arr: Column) -> Column:
 def finalize_accounts(accounts: DataFrame, usage: DataFrame) -> DataFrame:
     """Yearly revenue and band, seats, mean utilisation, health clipped to 5..99 (the jitter is a column)."""
     lines = latest_usage(usage).groupBy("account_id").agg(
-        F.sum("monthly_revenue").alias("mrr"), F.sum("contracted_seats").alias("seats_total"), F.avg("utilization").alias("avg_util")
+        F.sum("monthly_revenue").alias("mrr"), F.sum("contracted_seats").alias("seats_total"), # Utilisation has three places: summing thousandths keeps the mean exact.
+        (F.sum(F.round(F.col("utilization") * 1000)) / F.count("utilization") / 1000).alias("avg_util"),
     )
     base = F.when(F.col("trajectory") == "expanding", 84).when(F.col("trajectory") == "steady", 73).when(F.col("trajectory") == "new", 64).otherwise(38)
     util = F.coalesce("avg_util", F.lit(0.0))
@@ -188,4 +189,4 @@ def ad_hoc(tables: dict[str, DataFrame], sql: str) -> DataFrame:
 
 
 def largest_lines(usage: DataFrame, k: int = 3) -> DataFrame:
-    return top_per_key(latest_usage(usage), ["account_id"], [F.round("monthly_revenue", 2).desc(), F.col("sku").asc()], k)
+    return top_per_key(latest_usage(usage), ["account_id"], [F.col("monthly_revenue").desc(), F.col("sku").asc()], k)

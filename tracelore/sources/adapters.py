@@ -284,7 +284,7 @@ VIEWS: dict[str, str] = {
         SELECT o.o_custkey AS account_id, p.p_brand AS sku,
                CAST(date_trunc('month', o.o_orderdate) AS DATE) AS month,
                sum(l.l_quantity) AS mau,
-               sum(l.l_extendedprice * (1 - l.l_discount)) AS monthly_revenue,
+               round(sum(l.l_extendedprice * (1 - l.l_discount)), 4) AS monthly_revenue,
                CAST(10 + o.o_custkey % 40 AS DOUBLE) AS contracted_seats
         FROM <orders> o JOIN <lineitem> l ON l.l_orderkey = o.o_orderkey
         JOIN <part> p ON p.p_partkey = l.l_partkey
@@ -336,6 +336,15 @@ def with_clause(names: tuple[str, ...]) -> str:
     return ",\n".join(f"{v} AS ({_REF.sub(lambda m: m.group(1), VIEWS[v])})" for v in order)
 
 
+def stream_view(spark: SparkSession, source: DataFrame, base: str, name: str) -> DataFrame:
+    """``name`` over a streaming ``source`` that stands for the base table ``base``."""
+    if name == base:
+        return source
+    text = VIEWS[name]
+    frames = {ref: stream_view(spark, source, base, ref) for ref in dict.fromkeys(_REF.findall(text))}
+    return spark.sql(_REF.sub(lambda m: "{" + m.group(1) + "}", text), **frames)
+
+
 def view(spark: SparkSession, folder: str, name: str, seen: dict[str, DataFrame] | None = None) -> DataFrame:
     """The view (or base table) ``name`` over the parquet tables in ``folder``. ``seen`` keeps
     what was already built, so a table's files are listed once."""
