@@ -90,9 +90,10 @@ def live_memory(t: Tables):
     return t.learning.filter(recall.live()).select("id", "project_id", "scope")
 
 
-@query("seen_in_session", rows="P2", uses="request injected_in learning", oracle=f"WITH {SEEN_SQL} SELECT q_id, r_id FROM seen")
-def seen_in_session(t: Tables):
-    return recall.seen_in_session(t.request, t.learning, t.injected_in)
+@query("served_in_session", rows="P2", uses="request injected_in learning", oracle="""
+SELECT session_id, learning_id AS r_id FROM injected_in UNION SELECT session_id, id FROM learning""")
+def served_in_session(t: Tables):
+    return recall.served_in_session(t.learning, t.injected_in)
 
 
 @query("vector_top_k", rows="V2", uses="request learning", oracle=f"""WITH {PV_SQL}
@@ -109,7 +110,7 @@ def vector_top_k(t: Tables):
  f AS (SELECT h.q_id, h.r_id, (1.0::DOUBLE / (60 + rank)) * (1 + 0.1::DOUBLE * a.salience) AS score, 'vector' AS sources FROM hit h JOIN salience_state a ON a.id = h.r_id)
 SELECT f.q_id, f.r_id, round(f.score, 6) AS score, f.sources, {RANKED} AS rank FROM f JOIN learning l ON l.id = f.r_id QUALIFY rank <= 5""")
 def recall_project(t: Tables):
-    barred = recall.seen_in_session(t.request, t.learning, t.injected_in)
+    barred = recall.served_in_session(t.learning, t.injected_in)
     return out(recall.recall_project(t.request, t.learning, 5, FLOOR, barred, t.salience_state, 0.1))
 
 
@@ -119,7 +120,7 @@ def recall_project(t: Tables):
  f AS (SELECT q_id, r_id, 1.0::DOUBLE / (60 + rank) AS score, 'vector' AS sources FROM hit)
 SELECT f.q_id, f.r_id, round(f.score, 6) AS score, f.sources, {RANKED} AS rank FROM f JOIN learning l ON l.id = f.r_id QUALIFY rank <= 5""")
 def recall_user(t: Tables):
-    barred = recall.seen_in_session(t.request, t.learning, t.injected_in)
+    barred = recall.served_in_session(t.learning, t.injected_in)
     return out(recall.recall_user(t.request, t.learning, 5, FLOOR, barred))
 
 
@@ -127,11 +128,12 @@ def recall_user(t: Tables):
  {kw_sql('kw', 'w.project_id = q.project_id', f"w.scope = 'project' AND NOT w.consolidated AND w.{LIVE}", 5)}
 SELECT q_id, r_id, rank FROM kw""")
 def keyword_top_k(t: Tables):
-    barred = recall.seen_in_session(t.request, t.learning, t.injected_in)
+    barred = recall.served_in_session(t.learning, t.injected_in)
     index = recall.postings(t.learning.withColumn("__text", recall.index_text()), "id", "__text", ["project_id", "scope", "status", "consolidated"])
     index = index.filter("scope = 'project' AND NOT consolidated AND status IN ('approved', 'candidate')")
     terms = recall.query_terms(t.request, "request_id", "query", ["project_id"])
-    return recall.keyword_top(terms, index, ["project_id"], 5, barred, True).select("q_id", "r_id", n("rank"))
+    allow = lambda pairs: recall.drop_served(pairs, t.request, barred, "doc_id")
+    return recall.keyword_top(terms, index, ["project_id"], 5, allow, True).select("q_id", "r_id", n("rank"))
 
 
 HYBRID_P = f"""{SEEN_SQL}, {PV_SQL}, {QTERMS_SQL}, {L25},
@@ -149,7 +151,7 @@ HYBRID_U = f"""{UV_SQL},
 @query("hybrid_project", rows="V4 U1", uses="request learning injected_in", oracle=f"""WITH {HYBRID_P}
 SELECT f.q_id, f.r_id, round(f.score, 6) AS score, f.sources, {RANKED} AS rank FROM f JOIN learning l ON l.id = f.r_id QUALIFY rank <= 5""")
 def hybrid_project(t: Tables):
-    barred = recall.seen_in_session(t.request, t.learning, t.injected_in)
+    barred = recall.served_in_session(t.learning, t.injected_in)
     return out(recall.hybrid(t.request, t.learning, ["project_id"], 5, barred=barred))
 
 
@@ -158,7 +160,7 @@ def hybrid_project(t: Tables):
  {fuse_sql('f', [('kw', 'keyword')])}
 SELECT f.q_id, f.r_id, round(f.score, 6) AS score, f.sources, {RANKED} AS rank FROM f JOIN learning l ON l.id = f.r_id QUALIFY rank <= 5""")
 def hybrid_keyword_only(t: Tables):
-    barred = recall.seen_in_session(t.request, t.learning, t.injected_in)
+    barred = recall.served_in_session(t.learning, t.injected_in)
     return out(recall.hybrid(t.request, t.learning, ["project_id"], 5, barred=barred, branches=["keyword"]))
 
 
@@ -181,7 +183,7 @@ UNION ALL SELECT 'project', r.request_id, b.id, b.rank, 'recency' FROM request r
 UNION ALL SELECT 'user', request_id, id, rank, 'search' FROM uhit
 UNION ALL SELECT 'user', r.request_id, b.id, b.rank, 'recency' FROM request r JOIN uback b USING (user_id) WHERE r.request_id NOT IN (SELECT request_id FROM uhit)""")
 def context_on_demand(t: Tables):
-    barred = recall.seen_in_session(t.request, t.learning, t.injected_in)
+    barred = recall.served_in_session(t.learning, t.injected_in)
     parts = []
     for part, scope, key in (("project", "project", "project_id"), ("user", "user", "user_id")):
         hits = recall.hybrid(t.request, t.learning, [key], 5, scope=scope, barred=barred)

@@ -11,7 +11,7 @@ bring in their rows too.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,21 +54,19 @@ def keyword_top(
     index: DataFrame,
     keys: Sequence[str],
     k: int,
-    barred: DataFrame | None = None,
+    allow: Callable[[DataFrame], DataFrame] | None = None,
     skip_self: bool = False,
     common_df: int = COMMON_DF,
 ) -> DataFrame:
     """(q_id, r_id, score, rank): the ``k`` best rows per query within ``keys``, ordered by
-    score to six places, then id. ``index`` holds the eligible postings; ``barred`` pairs
-    (q_id, r_id) and, with ``skip_self``, equal ids never count."""
+    score to six places, then id. ``index`` holds the eligible postings; ``allow`` keeps the
+    pairs (q_id, doc_id) that may count and, with ``skip_self``, equal ids never do."""
     keys = list(keys)
 
     def eligible(pairs: DataFrame) -> DataFrame:
         if skip_self:
             pairs = pairs.filter(F.col("q_id") != F.col("doc_id"))
-        if barred is not None:
-            pairs = pairs.join(barred.select("q_id", F.col("r_id").alias("doc_id")), ["q_id", "doc_id"], "left_anti")
-        return pairs
+        return pairs if allow is None else allow(pairs)
 
     facts = index.groupBy(*keys, "term").agg(F.count("*").alias("__rows"), F.max("weight").alias("__top"))
     common = facts.filter(F.col("__rows") > common_df)

@@ -19,13 +19,19 @@ def live(statuses: Sequence[str] = params.LIVE_STATUSES, include_consolidated: b
     return alive if include_consolidated else alive & ~F.coalesce("consolidated", F.lit(False))
 
 
-def seen_in_session(requests: DataFrame, learnings: DataFrame, injected: DataFrame) -> DataFrame:
-    """(q_id, r_id): facts already injected into, or first produced in, the request's session.
-    Leave out for sessions whose context was cleared or compacted."""
-    asked = requests.select(F.col("request_id").alias("q_id"), "session_id")
-    served = injected.select(F.col("learning_id").alias("r_id"), "session_id")
-    born = learnings.select(F.col("id").alias("r_id"), "session_id")
-    return asked.join(served.unionByName(born).distinct(), "session_id").select("q_id", "r_id").distinct()
+def served_in_session(learnings: DataFrame, injected: DataFrame) -> DataFrame:
+    """(session_id, r_id): facts injected into a session or first produced in it. Requests of a
+    session whose context was cleared or compacted go without it."""
+    given = injected.select("session_id", F.col("learning_id").alias("r_id"))
+    return given.unionByName(learnings.select("session_id", F.col("id").alias("r_id"))).distinct()
+
+
+def drop_served(pairs: DataFrame, requests: DataFrame, served: DataFrame, row_id: str = "r_id") -> DataFrame:
+    """Pairs (q_id, row) whose request's session has had the row are dropped: an anti-join on
+    (session, row), never a list of all requests of a session times all it was served."""
+    asked = requests.select(F.col("request_id").alias("q_id"), F.col("session_id").alias("__session"))
+    gone = served.select(F.col("session_id").alias("__session"), F.col("r_id").alias(row_id))
+    return pairs.join(asked, "q_id").join(gone, ["__session", row_id], "left_anti").drop("__session")
 
 
 def rank_pool(limit: int, weight: float) -> int:
@@ -64,7 +70,7 @@ def vector_branch(
             hits = hits.filter(keep)
         hits = hits.select("q_id", "r_id", "cos", "rank")
     if barred is not None:
-        hits = hits.join(barred, ["q_id", "r_id"], "left_anti")
+        hits = drop_served(hits, requests, barred).select("q_id", "r_id", "cos", "rank")
     return renumber(hits, limit)
 
 
@@ -159,7 +165,8 @@ def hybrid(
         if not include_consolidated:
             index = index.filter(~F.coalesce("consolidated", F.lit(False)))
         parts["keyword"] = keyword_top(
-            query_terms(requests, "request_id", "query", keys), index.select(*keys, "doc_id", "term", "weight"), keys, pool, barred, skip_self
+            query_terms(requests, "request_id", "query", keys), index.select(*keys, "doc_id", "term", "weight"), keys, pool,
+            None if barred is None else lambda pairs: drop_served(pairs, requests, barred, "doc_id"), skip_self,
         )
     return order_hits(fuse(parts, salience, weight), rows, limit)
 

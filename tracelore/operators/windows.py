@@ -63,10 +63,12 @@ def unprocessed(
     return top_per_key(scoped, ["origin_session_id"], [F.col("ts").asc(), F.col("event_id").asc()], limit, "position")
 
 
-def stop_windows(events: DataFrame, limit: int = params.EXTRACTION_WINDOW, session: str = "session_id") -> DataFrame:
+def stop_windows(
+    events: DataFrame, limit: int = params.EXTRACTION_WINDOW, session: str = "session_id", fires: Column | None = None
+) -> DataFrame:
     """Number the windows closed by each session's Stops: at a Stop the oldest ``limit``
     unprocessed events are taken, the rest wait for the next Stop. Events no Stop has
-    reached yet get a null ``window_no``.
+    reached yet get a null ``window_no``. ``fires`` marks the closing events, Stops by default.
 
     With N_k events up to Stop k, the events taken by then are
     C_i = min over k <= i of (N_k + limit * (i - k)) and limit * i, a running minimum;
@@ -74,11 +76,11 @@ def stop_windows(events: DataFrame, limit: int = params.EXTRACTION_WINDOW, sessi
     covers at most two blocks of ``limit`` running numbers, which makes the match an
     equi-join on the block.
     """
-    stop = (F.col("event_name") == "Stop").cast("int")
+    closing = F.col("event_name") == "Stop" if fires is None else fires
     numbered = running_sums(
-        events, [session], ["ts", "event_id"], time_slice(F.col("ts"), HOUR), {"__g": F.lit(1), "__i": stop}
+        events, [session], ["ts", "event_id"], time_slice(F.col("ts"), HOUR), {"__g": F.lit(1), "__i": closing.cast("int")}
     )
-    stops = numbered.filter(F.col("event_name") == "Stop").select(
+    stops = numbered.filter(closing).select(
         session, F.col("__i").alias("window_no"), (F.col("__g") - limit * F.col("__i")).alias("__d"),
         F.floor(F.col("__i") / 1000).alias("__b"),
     )
@@ -158,14 +160,13 @@ def processing_ledger(digests: DataFrame, mode: str, counts: DataFrame, keys: li
 
 def echo_pairs(links: DataFrame, tree: DataFrame, injected: DataFrame) -> DataFrame:
     """Rows of ``links`` (learning_id, session_id, at) whose learning had been injected into
-    the session or one of its subagents by ``at``."""
-    reach = links.join(
-        tree.select(F.col("ancestor").alias("session_id"), F.col("node").alias("__node")), "session_id"
-    )
-    hit = injected.select(
-        F.col("learning_id"), F.col("session_id").alias("__node"), F.col("first_injected_at").alias("__at")
-    )
-    return reach.join(hit, ["learning_id", "__node"]).filter(F.col("__at") <= F.col("at")).select(
+    the session or one of its subagents by ``at``. An injection is carried up to the
+    ancestors of its session, as many rows as the tree is deep, and only the earliest per
+    (learning, ancestor) is kept; a root with many subagents costs nothing extra."""
+    climbed = injected.join(tree.select(F.col("node").alias("session_id"), "ancestor"), "session_id").groupBy(
+        "learning_id", F.col("ancestor").alias("session_id")
+    ).agg(F.min("first_injected_at").alias("__at"))
+    return links.join(climbed, ["learning_id", "session_id"]).filter(F.col("__at") <= F.col("at")).select(
         "learning_id", "session_id", "at"
     ).distinct()
 

@@ -31,7 +31,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir")
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tracelore-ckpt-"))
     return spark
 

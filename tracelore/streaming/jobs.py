@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tracelore import params
 from tracelore.functions.text import sha16
 from tracelore.operators import events as ev
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from tracelore.operators import windows
+from tracelore.session import cut
 
 
 def read_folder(spark: SparkSession, folder: str, pattern: str, per_trigger: int | None = None) -> DataFrame:
@@ -75,73 +72,80 @@ def ingest_stream(raw: DataFrame, client: str, path: str, checkpoint: str, delay
     return _start(rows, checkpoint, deduplicated_log(path, "event_id"))
 
 
-class _Chain(StatefulProcessor):
-    """Previous event of a session in arrival order; the state is the last id."""
+class KeyedLog:
+    """Small per-key state of a foreachBatch job: every batch appends rows for the keys it
+    touched, every ``every``-th batch writes the merged state instead, so a lookup reads a
+    bounded number of batches. Replays overwrite their own folder."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "event_id bigint")
+    def __init__(self, spark: SparkSession, path: str, key: str, every: int = 20):
+        self._spark, self._path, self._key, self._every = spark, path, key, every
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        known = self._last.get() if self._last.exists() else None
-        before = batch["event_id"].shift(1).astype("Int64")
-        if known is not None:
-            before.iloc[0] = known[0]
-        self._last.update((int(batch["event_id"].iloc[-1]),))
-        yield pd.DataFrame({"session_id": key[0], "event_id": batch["event_id"], "prev_event_id": before.astype(object).where(before.notna(), None)})
+    def before(self, batch_id: int, order: str) -> DataFrame | None:
+        """The newest row per key of earlier batches by ``order``."""
+        if batch_id == 0:
+            return None
+        base = (batch_id // self._every) * self._every - 1
+        rows = self._spark.read.parquet(self._path).filter(
+            (F.col("batch").cast("long") >= base) & (F.col("batch").cast("long") < batch_id)
+        ).drop("batch")
+        return rows.groupBy(self._key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
 
-    def close(self) -> None:
-        pass
+    def write(self, rows: DataFrame, batch_id: int, order: str) -> None:
+        old = self.before(batch_id, order)
+        if old is not None and batch_id % self._every == self._every - 1:
+            both = old.unionByName(rows)
+            rows = both.groupBy(self._key).agg(F.max_by(F.struct(*both.columns), order).alias("r")).select("r.*")
+        rows.write.mode("overwrite").parquet(f"{self._path}/batch={batch_id:012d}")
 
 
 def chain_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Link every event to the one before it in its session."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    out = events.select("session_id", "event_id", "ts").groupBy("session_id").transformWithStateInPandas(
-        _Chain(), outputStructType="session_id bigint, event_id bigint, prev_event_id bigint", outputMode="Append", timeMode="None"
-    )
-    return _start(out, checkpoint, batch_log(path))
-
+    """Link every event to the one before it in its session, in arrival order. Inside a batch
+    the chain is built over time segments, so a busy session is not one task; across batches
+    only each session's last event is remembered."""
+    last = KeyedLog(events.sparkSession, f"{path}_last", "session_id")
 
-class _Windows(StatefulProcessor):
-    """Open events of a session; a Stop takes the oldest ones up to the limit."""
-
-    def __init__(self, limit: int):
-        self._limit = limit
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch = cut(batch)
+        linked = ev.event_chain(batch).select("session_id", "event_id", "ts", "prev_event_id")
+        known = last.before(batch_id, "ts")
+        if known is not None:
+            linked = linked.join(known.select("session_id", F.col("event_id").alias("__last")), "session_id", "left").withColumn(
+                "prev_event_id", F.coalesce("prev_event_id", "__last")
+            ).drop("__last")
+        linked.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+        ends = batch.groupBy("session_id").agg(F.max(F.struct("ts", "event_id")).alias("e")).select("session_id", "e.ts", "e.event_id")
+        last.write(ends, batch_id, "ts")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._open = handle.getListState("open", "event_id bigint, ts timestamp")
-        self._count = handle.getValueState("count", "window_no bigint")
+    return _start(events.select("session_id", "event_id", "ts"), checkpoint, sink)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        waiting = list(self._open.get()) if self._open.exists() else []
-        number = self._count.get()[0] if self._count.exists() else 0
-        out = []
-        for row in batch.itertuples(index=False):
-            waiting.append((row.event_id, row.ts))
-            if row.event_name == "Stop":
-                number += 1
-                taken, waiting = waiting[: self._limit], waiting[self._limit :]
-                out.extend((key[0], number, int(event), ts) for event, ts in taken)
-        if waiting:
-            self._open.put([(int(event), pd.Timestamp(ts).to_pydatetime()) for event, ts in waiting])
-        else:
-            self._open.clear()
-        self._count.update((number,))
-        yield pd.DataFrame(out, columns=["session_id", "window_no", "event_id", "ts"])
 
-    def close(self) -> None:
-        pass
+def windows_stream(events: DataFrame, path: str, checkpoint: str, limit: int = params.EXTRACTION_WINDOW) -> StreamingQuery:
+    """Emit the events of every window a Stop closes. Events no window has taken are carried to
+    the next batch; a carried Stop has fired already and does not fire again."""
+    spark = events.sparkSession
+    done = KeyedLog(spark, f"{path}_count", "session_id")
 
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        todo = batch.withColumn("fires", F.col("event_name") == "Stop")
+        if batch_id > 0:
+            carried = spark.read.parquet(f"{path}_open/batch={batch_id - 1:012d}")
+            todo = todo.unionByName(carried.withColumn("fires", F.lit(False)))
+        todo = cut(todo)
+        placed = cut(windows.stop_windows(todo, limit, fires=F.col("fires")))
+        count = todo.groupBy("session_id").agg(F.count_if("fires").alias("windows"))
+        known = done.before(batch_id, "windows")
+        closed = placed.filter("window_no IS NOT NULL").withColumn("__before", F.lit(0))
+        if known is not None:
+            past = known.select("session_id", F.col("windows").alias("__past"))
+            count = count.join(past, "session_id", "left").select("session_id", (F.col("windows") + F.coalesce("__past", F.lit(0))).alias("windows"))
+            closed = closed.join(past, "session_id", "left").withColumn("__before", F.coalesce("__past", F.lit(0))).drop("__past")
+        closed.select("session_id", (F.col("window_no") + F.col("__before")).alias("window_no"), "event_id", "ts").write.mode("overwrite").parquet(
+            f"{path}/batch={batch_id:012d}"
+        )
+        placed.filter("window_no IS NULL").drop("window_no", "fires").write.mode("overwrite").parquet(f"{path}_open/batch={batch_id:012d}")
+        done.write(count, batch_id, "windows")
 
-def windows_stream(events: DataFrame, path: str, checkpoint: str, limit: int = params.EXTRACTION_WINDOW) -> StreamingQuery:
-    """Emit the events of every window a Stop closes; the rest wait in state."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    out = events.select("session_id", "event_id", "ts", "event_name").groupBy("session_id").transformWithStateInPandas(
-        _Windows(limit), outputStructType="session_id bigint, window_no bigint, event_id bigint, ts timestamp", outputMode="Append", timeMode="None"
-    )
-    return _start(out, checkpoint, batch_log(path))
+    return _start(events.select("session_id", "event_id", "ts", "event_name"), checkpoint, sink)
 
 
 def sessions_stream(touches: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
