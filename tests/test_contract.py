@@ -14,9 +14,7 @@ from tracelore.sources.tables import TABLES
 FOLDER = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SPREAD = [
-    "ingest_events", "event_chain", "stop_windows", "pair_tool_calls", "enriched_calls", "window_corpus", "recall_project",
-    "keyword_top_k", "hybrid_project", "gate_neighbours", "similar_learnings", "seed_weights", "label_lookup", "gate_state",
-    "learning_upsert", "pattern_groups", "review_queue", "gate_audit", "context_packs", "latest_usage", "whitespace", "stream_windows",
+    "event_chain", "stop_windows", "pair_tool_calls", "recall_project", "keyword_top_k", "label_lookup", "gate_state", "latest_usage",
 ]
 
 

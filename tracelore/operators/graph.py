@@ -133,7 +133,7 @@ def personalized_pagerank(
             "project_id", F.col("a").alias("node"), F.col("b").alias("__to"), (F.col("w") / F.col("__s")).alias("share")
         )
     )
-    for _ in range(max_iterations):
+    for done in range(1, max_iterations + 1):
         moved = (
             state.filter("active AND score > 0").join(steps, key)
             .groupBy("project_id", F.col("__to").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("__in"))
@@ -146,9 +146,10 @@ def personalized_pagerank(
             )
         )
         moving = nxt.groupBy("project_id").agg(F.sum("__change").alias("__d")).filter(F.col("__d") >= tolerance)
-        moving = cut(moving.select("project_id", F.lit(True).alias("active")))
+        moving = moving.select("project_id", F.lit(True).alias("active"))
         state = nxt.drop("__change").join(moving, "project_id", "left").withColumn("active", F.coalesce("active", F.lit(False)))
-        if moving.isEmpty():
+        # A settled project keeps its scores, so looking for the end now and then is enough.
+        if done % 4 == 0 and moving.isEmpty():
             break
     return state.select(*key, "score")
 
