@@ -55,9 +55,9 @@ def test_pagerank(spark):
     n = spark.createDataFrame([(1, x) for x in nodes] + [(2, "quiet")], "project_id long, node string")
     e = spark.createDataFrame([(1, *x) for x in edges], "project_id long, a string, b string, w double")
     s = spark.createDataFrame([(1, "seed", 3.0), (1, "island", 1.0)], "project_id long, id string, bias double")
-    scores = graph.personalized_pagerank(n, e, s, tolerance=1e-3)
+    scores = graph.personalized_pagerank(n, e, s, tolerance=1e-2)
     got = {r.node: r.score for r in scores.collect()}
-    want = reference_rank(nodes, edges, {"seed": 3.0, "island": 1.0}, tol=1e-3)
+    want = reference_rank(nodes, edges, {"seed": 3.0, "island": 1.0}, tol=1e-2)
     assert all(abs(got[k] - want[k]) < 1e-12 for k in nodes) and got["quiet"] == 0.0
     assert abs(got["island"] - 0.125) < 1e-12 and got["seed"] > got["hop1"] > got["hop2"] > 0
     norm = {r.node: r.salience for r in graph.normalize(scores).collect()}
@@ -69,9 +69,9 @@ def test_prune_and_components(spark):
     edges = spark.createDataFrame(rows, "project_id long, source string, target string, similarity double")
     kept = {(r.source, r.target) for r in graph.prune_edges(edges, 1).collect()}
     assert kept == {("a", "hub"), ("b", "hub"), ("c", "hub"), ("c", "d")}
-    chain = spark.createDataFrame([(1, f"n{i:02d}", f"n{i + 1:02d}", 1.0) for i in range(40)] + [(1, "x", "y", 1.0)], edges.schema)
+    chain = spark.createDataFrame([(1, f"n{i:02d}", f"n{i + 1:02d}", 1.0) for i in range(12)] + [(1, "x", "y", 1.0)], edges.schema)
     roots = {r.node: r.root for r in graph.connected_components(chain).collect()}
-    assert set(roots.values()) == {"n00", "x"} and roots["n40"] == "n00" and roots["y"] == "x"
+    assert set(roots.values()) == {"n00", "x"} and roots["n12"] == "n00" and roots["y"] == "x"
 
 
 def test_review_batches(spark):
