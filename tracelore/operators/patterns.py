@@ -15,7 +15,10 @@ def live_targets(patterns: DataFrame, max_rounds: int = 40) -> DataFrame:
     table or run in a circle have none. Each round doubles the step."""
     live = patterns.filter(F.coalesce("status", F.lit("active")) != "merged").select("id")
     jump = cut(patterns.filter("status = 'merged'").select("id", F.col("merged_into").alias("to")))
-    for _ in range(max_rounds):
+    # A chain has at most as many links as there are merged rows; what is open after that
+    # many doublings runs in a circle.
+    rounds = min(max_rounds, jump.count().bit_length() + 1)
+    for _ in range(rounds):
         hop = jump.select(F.col("id").alias("to"), F.col("to").alias("__next"))
         nxt = cut(jump.join(hop, "to", "left").select("id", F.coalesce("__next", "to").alias("to"), F.col("__next").isNotNull().alias("__open")))
         jump = nxt.drop("__open")
