@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelore.llm import chat, mixing, packing, quality, secrets
+from tracelore.llm import chat, mixing, packing, quality, secrets, toxicity
 from tracelore.llm.base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,14 @@ def _mixing(docs: DataFrame) -> DataFrame:
     return mixing.mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": _over("documents", packing.pack),
     "op2_chat": _over("conversations", chat.render),
+    "op3_toxicity": _toxicity,
     "op6_mixing": _over("documents", _mixing),
     "op8_secrets": _over("documents", secrets.secret_report),
     "op9_quality": _over("documents", quality.quality_verdicts),
