@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelore.llm import chat, mixing, packing, quality, secrets, toxicity
+from tracelore.llm import chat, mixing, packing, quality, secrets, simhash, toxicity
 from tracelore.llm.base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,5 +31,6 @@ QUERIES: dict[str, Query] = {
     "op6_mixing": _over("documents", _mixing),
     "op8_secrets": _over("documents", secrets.secret_report),
     "op9_quality": _over("documents", quality.quality_verdicts),
+    "op10_simhash": _over("documents", simhash.near_duplicates),
 }
 ORACLES: dict[str, str] = {}
