@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelore.llm import chat, mixing, packing, quality, secrets, simhash, toxicity
+from tracelore.llm import chat, html_text, mixing, packing, pii, quality, secrets, simhash, toxicity, vector_links
 from tracelore.llm.base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,10 @@ QUERIES: dict[str, Query] = {
     "op1_packing": _over("documents", packing.pack),
     "op2_chat": _over("conversations", chat.render),
     "op3_toxicity": _toxicity,
+    "op4_html": _over("pages", html_text.extract_pages),
+    "op5_vectors": _over("embeddings", vector_links.vector_links),
     "op6_mixing": _over("documents", _mixing),
+    "op7_pii": _over("documents", pii.personal_report),
     "op8_secrets": _over("documents", secrets.secret_report),
     "op9_quality": _over("documents", quality.quality_verdicts),
     "op10_simhash": _over("documents", simhash.near_duplicates),

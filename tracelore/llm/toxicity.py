@@ -154,10 +154,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 found.add(w + "$")
                 found.update(w[:n] for n in PREFIXES if len(w) >= n)
             (toxic if label else other).update(found)
-        names = list(toxic)  # features without a toxic row are of no use
-        yield pd.DataFrame({"stem": names, "toxic": [toxic[s] for s in names], "other": [other[s] for s in names]})
-        rest = [s for s in other if s not in toxic]
-        yield pd.DataFrame({"stem": rest, "toxic": [0] * len(rest), "other": [other[s] for s in rest]})
+        names = list(toxic | other)
+        yield pd.DataFrame({"stem": pd.Series(names, dtype="object"), "toxic": [toxic[s] for s in names], "other": [other[s] for s in names]}).astype({"toxic": "int64", "other": "int64"})
 
 
 def _places(wanted: list[str]):
@@ -173,7 +171,7 @@ def _places(wanted: list[str]):
                     for stem in [w + "$", *(w[:n] for n in PREFIXES if len(w) >= n)]:
                         if stem in known:
                             rows.add((stem, " ".join(tokens[max(0, i - 1): i + 2]), int(label)))
-            yield pd.DataFrame(list(rows), columns=["stem", "place", "toxic"])
+            yield pd.DataFrame(list(rows), columns=["stem", "place", "toxic"]).astype({"toxic": "int64"})
 
     return run
 
