@@ -13,6 +13,33 @@ from pyspark.sql import functions as F
 from tracelore.llm.base import publish
 
 
+class Groups:
+    """Union-find over the links found in one task."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        p = self.parent
+        p.setdefault(x, x)
+        while p[x] != x:
+            p[x] = p[p[x]]
+            x = p[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+    def chains(self) -> list[tuple[int, int]]:
+        """A chain of links through each group, so that no member has more than two."""
+        members: dict[int, list[int]] = {}
+        for x in sorted(self.parent):
+            members.setdefault(self.find(x), []).append(x)
+        return [pair for m in members.values() for pair in zip(m, m[1:], strict=False)]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node with an edge; root is the smallest node reachable. Edges may repeat, point either way
     or to their own start; null ends are left out."""

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelore.llm.base import fresh, join_on, publish, whole
-from tracelore.llm.components import components
+from tracelore.llm.components import Groups, components
 
 RADIUS = 3
 SHINGLE = 3
@@ -88,33 +88,6 @@ class BKTree:
         return found
 
 
-class Groups:
-    """Union-find over one shard."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        p = self.parent
-        p.setdefault(x, x)
-        while p[x] != x:
-            p[x] = p[p[x]]
-            x = p[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-
-    def chains(self) -> list[tuple[int, int]]:
-        """A chain of links through each group, so that no member has more than two."""
-        members: dict[int, list[int]] = {}
-        for x in sorted(self.parent):
-            members.setdefault(self.find(x), []).append(x)
-        return [pair for m in members.values() for pair in zip(m, m[1:], strict=False)]
-
-
 def _shard_links(radius: int):
     """Rows (shard, tree chunk, query chunk, fp, in_tree), sorted by the first three; the rows of a shard may span batches."""
 

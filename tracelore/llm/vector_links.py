@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelore.llm.base import hash_share, publish
-from tracelore.llm.components import components
+from tracelore.llm.components import Groups, components
 
 THRESHOLD = 0.93
 #: Nodes for which a centre is made, and at most in a chunk.
@@ -226,8 +226,6 @@ def _search(threshold: float, beam: int):
 
 def _chains(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Links that chain each group of linked ids, two per member at most."""
-    from tracelore.llm.simhash import Groups
-
     groups = Groups()
     for u, v in zip(a.tolist(), b.tolist(), strict=True):
         groups.join(u, v)
