@@ -269,7 +269,7 @@ SELECT {ADD_ID} AS id, max(short) AS text, CASE WHEN bool_or(kind = 'error') THE
  max(confidence) AS confidence, count(*) AS support_count FROM s WHERE short <> '' GROUP BY 1""")
 def direct_adds(t: Tables):
     state = _state(t).withColumn("id", F.concat(F.lit("learning:old:"), F.col("id").cast("string")))
-    return tr.add_learnings(state, t.learning.withColumn("at", F.col("created_at"))).select("id", "text", "kind", "status", "confidence", "support_count")
+    return tr.add_learnings(state, t.learning.withColumn("at", F.col("created_at"))).filter("id NOT LIKE 'learning:old:%'").select("id", "text", "kind", "status", "confidence", "support_count")
 
 
 @query("seed_learnings", rows="S13", uses="learning", oracle="""
@@ -277,7 +277,7 @@ WITH s AS (SELECT project_id, task_pattern AS text, confidence FROM learning)
 SELECT 'learning:' || project_id || ':' || substr(sha1(project_id || chr(10) || text), 1, 16) AS id, text, max(confidence) AS confidence FROM s GROUP BY project_id, text""")
 def seed_learnings(t: Tables):
     state = t.learning.select(F.concat(F.lit("learning:old:"), F.col("id").cast("string")).alias("id"), "confidence")
-    return tr.bootstrap_learnings(state, t.learning.select("project_id", F.col("task_pattern").alias("text"), "confidence")).select("id", "text", "confidence")
+    return tr.bootstrap_learnings(state, t.learning.select("project_id", F.col("task_pattern").alias("text"), "confidence")).filter("id NOT LIKE 'learning:old:%'").select("id", "text", "confidence")
 
 
 DEC_SQL = """

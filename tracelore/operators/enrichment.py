@@ -30,7 +30,8 @@ def touched_resources(tool_input: Column) -> Column:
     """At most five resources a call names: command paths, a query, path-like fields;
     first mention of an id wins."""
     none = F.array().cast(_RES)
-    words = F.slice(command_tokens(command_of(tool_input)), 2, 10**6)
+    tokens = command_tokens(command_of(tool_input))
+    words = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(0)))
     paths = F.slice(F.filter(words, looks_like_path), 1, 5)
     files = F.transform(paths, lambda p: _resource(F.concat(F.lit("resource:file:"), p), "file", p, 0.85, p))
     asked = F.get_json_object(tool_input, "$.query")

@@ -171,14 +171,14 @@ def skill_salience(members: DataFrame, salience: DataFrame) -> DataFrame:
 
 # --- components and communities --------------------------------------------------
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(project_id, node, root), root the smallest id reached. Every round each node takes the
     smallest grand-parent around it and tells its parent, then paths are halved, so rounds
     grow with the logarithm of the component size. A hub is only ever a groupBy-min key."""
     base = edges.select("project_id", F.col("source").alias("u"), F.col("target").alias("v"))
     both = cut(base.unionByName(base.select("project_id", F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     state = cut(both.select("project_id", F.col("u").alias("node"), F.col("u").alias("root")).distinct())
-    for _ in range(max_rounds):
+    while True:
         up = state.select("project_id", F.col("node").alias("root"), F.col("root").alias("grand"))
         seen = state.join(up, ["project_id", "root"]).select("project_id", "node", "root", "grand")
         near = both.join(seen.select("project_id", F.col("node").alias("v"), "grand"), ["project_id", "v"]).groupBy(
@@ -193,7 +193,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         state = nxt
         if not changed:
             return state
-    raise ValueError("components did not settle")
 
 
 def component_index(components: DataFrame, segment: Column | None = None) -> DataFrame:

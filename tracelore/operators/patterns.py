@@ -10,14 +10,14 @@ from tracelore.operators.segments import top_per_key
 from tracelore.session import cut
 
 
-def live_targets(patterns: DataFrame, max_rounds: int = 40) -> DataFrame:
+def live_targets(patterns: DataFrame) -> DataFrame:
     """(id, live_id) for merged patterns: the end of the merge chain. Chains that leave the
     table or run in a circle have none. Each round doubles the step."""
     live = patterns.filter(F.coalesce("status", F.lit("active")) != "merged").select("id")
     jump = cut(patterns.filter("status = 'merged'").select("id", F.col("merged_into").alias("to")))
     # A chain has at most as many links as there are merged rows; what is open after that
     # many doublings runs in a circle.
-    rounds = min(max_rounds, jump.count().bit_length() + 1)
+    rounds = jump.count().bit_length() + 1
     for _ in range(rounds):
         hop = jump.select(F.col("id").alias("to"), F.col("to").alias("__next"))
         nxt = cut(jump.join(hop, "to", "left").select("id", F.coalesce("__next", "to").alias("to"), F.col("__next").isNotNull().alias("__open")))
@@ -124,7 +124,7 @@ def apply_merges(merges: DataFrame, patterns: DataFrame, tags: DataFrame, links:
         {
             "status": F.when(F.col("__to").isNotNull(), "merged").when(F.col("__kept"), "active").otherwise(F.col("status")),
             "merged_into": F.coalesce("__to", "merged_into"),
-            "reviewed_at": F.when(F.col("__kept"), now),
+            "reviewed_at": F.when(F.col("__kept"), now).otherwise(F.col("reviewed_at") if "reviewed_at" in patterns.columns else F.lit(None).cast("timestamp")),
         }
     ).drop("__to", "__kept")
     return {"tags": moved, "links": seen, "patterns": state, "aliases": merged_aliases(merges, patterns, aliases)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelore import params
@@ -86,8 +86,8 @@ def rank_groups(groups: DataFrame, cohesions: DataFrame, stale: DataFrame) -> Da
     )
     tier = F.when(F.col("kind") != "patch", 2).when(F.coalesce("__stale", F.lit(False)), 0).otherwise(1)
     order = [F.col("tier").asc(), F.col("n").desc(), F.round("cohesion", 6).desc(), F.round("confidence", 6).desc(), F.col("pattern_id").asc()]
-    # At most 200 groups per project, as there are at most 200 eligible facts.
-    return top_per_key(rows.withColumn("tier", tier), ["project_id"], order, 200).drop("__stale")
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy(*order))
+    return rows.withColumn("tier", tier).withColumn("rank", place).drop("__stale")
 
 
 def refused_fingerprints(versions: DataFrame, audits: DataFrame) -> DataFrame:
@@ -127,7 +127,8 @@ def error_context(groups: DataFrame, members: DataFrame, links: DataFrame, learn
     own = members.select("group_id", F.col("learning_id").alias("id"), F.lit(True).alias("__own"))
     sizes = members.groupBy("group_id").agg(F.count("*").alias("__own_n"))
     order = [F.coalesce("support_count", F.lit(0)).desc(), F.col("id").asc()]
-    window = top_per_key(found, ["group_id"], order, CURATED_ERRORS + 200, "__r").join(sizes, "group_id", "left").filter(
+    # As far as the six best may lie behind the group's own members.
+    window = found.withColumn("__r", F.row_number().over(Window.partitionBy("group_id").orderBy(*order))).join(sizes, "group_id", "left").filter(
         F.col("__r") <= CURATED_ERRORS + F.coalesce("__own_n", F.lit(0))
     )
     covered = window.filter("tool_key IS NOT NULL").select("group_id", F.col("tool_key").alias("key")).distinct()
@@ -264,12 +265,16 @@ def apply_routes(routes: DataFrame, versions: DataFrame, skills: DataFrame, sour
         {
             "outcome": F.when(F.col("route") == "activate", "accepted").when(F.col("route") == "block", "blocked").otherwise(F.col("outcome")),
             "safety_status": F.when(F.col("route").isin("activate", "queue"), "passed").when(F.col("route") == "block", "blocked").otherwise(F.col("safety_status")),
-            "safety_reason": F.col("__reason"),
+            "safety_reason": F.coalesce("__reason", F.col("safety_reason") if "safety_reason" in versions.columns else F.lit(None).cast("string")),
         }
     ).drop("route", "__reason")
     at = F.struct("created_at", "version_id")
-    fate = routes.groupBy("skill_id").agg(
+    kinds = dict(versions.dtypes)
+    content = [c for c in ("version", "name", "description", "content", "embedding") if c in kinds]
+    chosen = routes.select("version_id", "skill_id", "route", "created_at").join(versions.select("version_id", *content), "version_id")
+    fate = chosen.groupBy("skill_id").agg(
         F.max_by("version", F.when(F.col("route") == "activate", at)).alias("__live"),
+        *[F.max_by(c, F.when(F.col("route") == "activate", at)).alias(f"__to_{c}") for c in content],
         F.bool_or(F.col("route") == "block").alias("__blocked"),
     )
     s = skills.join(fate, "skill_id", "left")
@@ -278,11 +283,10 @@ def apply_routes(routes: DataFrame, versions: DataFrame, skills: DataFrame, sour
     s = s.withColumns(
         {
             "status": F.when(live, "approved").when(dead, "blocked").otherwise(F.col("status")),
-            "version": F.col("__live"),
+            **{c: F.coalesce(f"__to_{c}", F.col(c) if c in skills.columns else F.lit(None).cast(kinds[c])) for c in content},
             "needs_revision": F.when(live, F.lit(False)).otherwise(F.col("needs_revision")),
-            "embedding": F.when(dead, None).otherwise(F.col("embedding")),
         }
-    ).drop("__live", "__blocked")
+    ).withColumn("embedding", F.when(dead, None).otherwise(F.col("embedding"))).drop("__live", "__blocked", *[f"__to_{c}" for c in content])
     used = sources.join(routes.filter("route = 'activate'").select("version_id", "skill_id"), "version_id").groupBy(F.col("learning_id").alias("id")).agg(
         F.max("skill_id").alias("__skill")
     )
@@ -290,7 +294,7 @@ def apply_routes(routes: DataFrame, versions: DataFrame, skills: DataFrame, sour
     done = learnings.join(used, "id", "left").withColumns(
         {
             "consolidated": F.col("consolidated") | F.col("__skill").isNotNull(),
-            "compiled_skill_id": F.col("__skill"),
+            "compiled_skill_id": F.coalesce("__skill", *[F.col(c) for c in ("compiled_skill_id",) if c in learnings.columns]),
             "compiled_at": F.coalesce(*keep, F.when(F.col("__skill").isNotNull(), now)),
         }
     ).drop("__skill")
@@ -310,10 +314,10 @@ def human_skill_decisions(decisions: DataFrame, skills: DataFrame, versions: Dat
         (F.col("action") == "reject") & (F.col("status") == "candidate"), "rejected"
     ).otherwise(F.col("status"))
     after = s.select(
-        *[c for c in skills.columns if c not in ("status", "needs_revision", "embedding")], status.alias("status"),
+        *[c for c in skills.columns if c not in ("status", "needs_revision", "embedding", "version")], status.alias("status"),
         F.when(yes, F.lit(False)).when(F.col("action") == "retire", None).otherwise(F.col("needs_revision")).alias("needs_revision"),
         F.when(status.isin("retired", "rejected") & F.col("action").isNotNull(), None).otherwise(F.col("embedding")).alias("embedding"),
-        F.when(yes, F.col("__v")).alias("version"),
+        F.coalesce(F.when(yes, F.col("__v")), *[F.col(c) for c in ("version",) if c in skills.columns]).alias("version"),
     )
     settled = ok.filter("action <> 'retire'").select("skill_id", F.col("__v").alias("version"), F.when(F.col("action") == "reject", "rejected").otherwise("accepted").alias("__o"))
     v = versions.join(settled, ["skill_id", "version"], "left").withColumn("outcome", F.coalesce("__o", "outcome")).drop("__o")

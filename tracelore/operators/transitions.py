@@ -124,6 +124,18 @@ def judge_rows(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, restated
 
 
+def overlay(df: DataFrame, columns: list[str], written: dict[str, Column]) -> DataFrame:
+    """A snapshot's columns in their order, the written ones replaced, then those it didn't have. Whatever
+    a transition does not write stays."""
+    return df.select(
+        *[written[c].alias(c) if c in written else F.col(c) for c in columns], *[v.alias(c) for c, v in written.items() if c not in columns]
+    )
+
+
+def _old(state: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name) if name in state.columns else F.lit(None).cast(kind)
+
+
 # --- the gate --------------------------------------------------------------------
 
 def resolve(candidates: DataFrame, neighbours: DataFrame, contradictions: DataFrame, restated: DataFrame) -> DataFrame:
@@ -175,57 +187,71 @@ def block(resolutions: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def applied_in_order(resolutions: DataFrame, order: Column, max_rounds: int = 64) -> DataFrame:
-    """Rows whose verdict takes effect when the batch is applied in order: a row an applied
-    earlier row supersedes is skipped, and so does not supersede anything itself.
+def applied_in_order(resolutions: DataFrame, order: Column) -> DataFrame:
+    """Rows whose verdict takes effect when the batch is applied in order: a row that an applied
+    earlier row supersedes is skipped, and so supersedes nothing itself.
 
-    The rule only looks back along the order, so it settles from the front: each round fixes
-    every row all of whose possible superseders are settled; rounds equal the longest
-    chain of rows superseding one another.
+    The rule looks back along the order only, so it settles from the front. A row with one
+    open superseder is the opposite of it; such links are followed in doubling steps, so a chain of
+    n rows takes log n rounds. The loop ends when no row is open, which the order guarantees.
     """
     rows = cut(resolutions.withColumn("__at", order))
     hits = rows.select(F.col("candidate_id").alias("by"), F.col("__at").alias("__by_at"), F.explode("superseded").alias("candidate_id"))
     links = cut(
-        hits.join(rows.select("candidate_id", "__at"), "candidate_id").filter("__by_at < __at").select("by", "candidate_id")
+        hits.join(rows.select("candidate_id", "__at"), "candidate_id").filter("__by_at < __at").select("by", "candidate_id").distinct()
     )
-    state = cut(rows.select("candidate_id", F.lit(None).cast("boolean").alias("applied")))
-    for _ in range(max_rounds):
+    same = rows.select(F.col("candidate_id").alias("to")).schema["to"].dataType
+    # applied: settled or not; else, with ``to``, equal to that row's fate (flip false) or its opposite (flip true).
+    state = cut(rows.select("candidate_id", F.lit(None).cast("boolean").alias("applied"), F.lit(None).cast(same).alias("to"), F.lit(False).alias("flip")))
+    while True:
         known = links.join(state.select(F.col("candidate_id").alias("by"), "applied"), "by").groupBy("candidate_id").agg(
-            F.bool_or(F.coalesce("applied", F.lit(False))).alias("hit"), F.bool_or(F.col("applied").isNull()).alias("open")
+            F.bool_or(F.coalesce("applied", F.lit(False))).alias("hit"),
+            F.count_if(F.col("applied").isNull()).alias("open"), F.max(F.when(F.col("applied").isNull(), F.col("by"))).alias("only"),
         )
-        state = cut(
-            state.drop("applied").join(known, "candidate_id", "left").select(
-                "candidate_id", F.when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True).alias("applied")
-            )
+        open_ = F.coalesce("open", F.lit(0))
+        settled = F.when(F.col("applied").isNotNull(), F.col("applied")).when(F.coalesce("hit", F.lit(False)), False).when(open_ == 0, True)
+        lone = settled.isNull() & (open_ == 1) & F.col("to").isNull()
+        state = state.join(known, "candidate_id", "left").select(
+            "candidate_id", settled.alias("applied"), F.when(lone, F.col("only")).otherwise(F.col("to")).alias("to"), F.when(lone, True).otherwise(F.col("flip")).alias("flip")
         )
+        state = cut(state)
+        far = state.select(F.col("candidate_id").alias("to"), F.col("applied").alias("__fate"), F.col("to").alias("__to"), F.col("flip").alias("__flip"))
+        state = cut(state.join(far, "to", "left").select(
+            "candidate_id", F.coalesce("applied", F.col("__fate") != F.col("flip")).alias("applied"), F.coalesce("__to", "to").alias("to"),
+            F.when(F.col("__to").isNotNull(), F.col("flip") != F.col("__flip")).otherwise(F.col("flip")).alias("flip"),
+        ))
         if state.filter("applied IS NULL").isEmpty():
-            break
-    return rows.join(state.filter("applied").select("candidate_id"), "candidate_id", "left_semi").drop("__at")
+            return rows.join(state.filter("applied").select("candidate_id"), "candidate_id", "left_semi").drop("__at")
 
 
 def apply_resolutions(learnings: DataFrame, applied: DataFrame, echoes: DataFrame, now: Column, order: Column | None = None) -> dict[str, DataFrame]:
     """State and edges after the applied verdicts. ``echoes``: (candidate_id, existing_id) pairs
     whose restatement only repeats an injection."""
-    mine = applied.withColumnRenamed("candidate_id", "id")
-    lost = applied.select(F.explode("superseded").alias("id"), F.col("candidate_id").alias("__by")).groupBy("id").agg(F.max("__by").alias("__by"))
+    open_ = learnings.filter("status = 'candidate'").select(F.col("id").alias("candidate_id"))
+    applied = applied.join(open_, "candidate_id", "left_semi")
+    mine = applied.select(F.col("candidate_id").alias("id"), *[F.col(c).alias(f"__{c}") for c in ("outcome", "consistency", "safety_status", "safety_reason")])
+    last = applied.withColumn("__at", F.col("candidate_id") if order is None else order)
+    lost = last.select(F.explode("superseded").alias("id"), F.col("candidate_id").alias("__by"), "__at").groupBy("id").agg(F.max_by("__by", "__at").alias("__by"))
     folds = applied.filter("restates IS NOT NULL").select("candidate_id", F.col("restates").alias("existing_id")).join(
         echoes.select("candidate_id", "existing_id", F.lit(True).alias("__echo")), ["candidate_id", "existing_id"], "left"
     ).withColumn("echo", F.coalesce("__echo", F.lit(False))).drop("__echo")
     gains = reinforce(folds, learnings)
     state = learnings.join(mine, "id", "left").join(lost, "id", "left").join(gains, "id", "left")
-    status = F.when(F.col("__by").isNotNull(), "rejected").otherwise(F.coalesce("outcome", "status"))
-    state = state.select(
-        *[c for c in learnings.columns if c not in ("status", "embedding", "support_count", "confidence")],
-        status.alias("status"),
-        F.when(status.isin(*DEAD) & (F.col("outcome").isNotNull() | F.col("__by").isNotNull()), None).otherwise(F.col("embedding")).alias("embedding"),
-        (F.coalesce("support_count", F.lit(0)) + F.coalesce("__support", F.lit(0))).alias("support_count"),
-        F.coalesce("__echoes", F.lit(0)).alias("echo_gain"),
-        F.greatest(F.col("confidence"), F.coalesce("__confidence", F.col("confidence"))).alias("confidence"),
-        F.col("consistency").alias("consistency_status"), "safety_status",
-        F.when(F.col("outcome") == "blocked", F.col("safety_reason")).alias("blocked_reason"),
-        F.when(F.col("__by").isNotNull(), F.concat(F.lit("superseded_by:"), F.col("__by").cast("string"))).alias("rejected_reason"),
-        F.when(F.col("outcome").isNotNull() & F.col("consistency").isNotNull(), now).alias("consistency_checked_at"),
-    )
+    status = F.when(F.col("__by").isNotNull(), "rejected").otherwise(F.coalesce("__outcome", "status"))
+    judged, echoed = F.col("__outcome").isNotNull(), F.coalesce("__echoes", F.lit(0))
+    state = overlay(state, learnings.columns, {
+        "status": status,
+        "embedding": F.when(status.isin(*DEAD) & (judged | F.col("__by").isNotNull()), None).otherwise(F.col("embedding")),
+        "support_count": F.coalesce("support_count", F.lit(0)) + F.coalesce("__support", F.lit(0)),
+        "echo_count": F.coalesce(_old(learnings, "echo_count", "long"), F.lit(0)) + echoed,
+        "echo_gain": echoed,
+        "confidence": F.greatest(F.col("confidence"), F.coalesce("__confidence", F.col("confidence"))),
+        "consistency_status": F.coalesce("__consistency", _old(learnings, "consistency_status")),
+        "safety_status": F.coalesce("__safety_status", _old(learnings, "safety_status")),
+        "blocked_reason": F.when(F.col("__outcome") == "blocked", F.col("__safety_reason")).otherwise(_old(learnings, "blocked_reason")),
+        "rejected_reason": F.when(F.col("__by").isNotNull(), F.concat(F.lit("superseded_by:"), F.col("__by").cast("string"))).otherwise(_old(learnings, "rejected_reason")),
+        "consistency_checked_at": F.when(judged & F.col("__consistency").isNotNull(), now).otherwise(_old(learnings, "consistency_checked_at", "timestamp")),
+    })
 
     def edge(kind: str, column: str) -> DataFrame:
         return applied.select(F.lit(kind).alias("kind"), F.col("candidate_id").alias("from_id"), F.explode(column).alias("to_id"), F.lit(False).alias("echo"))
@@ -258,13 +284,16 @@ def sweep(learnings: DataFrame, tried: DataFrame, limit: int = params.SWEEP_LIMI
 def upsert_learnings(state: DataFrame, creates: DataFrame) -> DataFrame:
     """Create or restate: ``creates`` (id, text, task_pattern, kind, tool_key, error_signature,
     resolved, confidence, project_id, scope, user_id, at, echo). Several writes of one id in a
-    batch fold into one: the last text wins, filled fields stick, non-echo writes support."""
+    batch fold into one: the last text wins, filled fields stick, non-echo writes support. All
+    other columns of the state stay; an ``embedding`` in ``creates`` replaces the old one."""
     at = F.col("at")
 
     def last_filled(name: str) -> Column:
         return F.max_by(name, F.when(F.col(name).isNotNull(), at)).alias(f"n_{name}")
 
+    fresh_vector = "embedding" in creates.columns
     batch = creates.groupBy("id").agg(
+        *[last_filled(c) for c in ("embedding",) if fresh_vector],
         F.min("at").alias("n_created_at"), F.max("at").alias("n_updated_at"),
         F.max_by("text", at).alias("n_text"), F.max_by("task_pattern", at).alias("n_task_pattern"),
         *[last_filled(c) for c in ("kind", "tool_key", "error_signature", "resolved", "project_id")],
@@ -274,20 +303,21 @@ def upsert_learnings(state: DataFrame, creates: DataFrame) -> DataFrame:
     )
     j = state.join(batch, "id", "full_outer")
     hit = F.col("n_text").isNotNull()
-    return j.select(
-        "id",
-        F.coalesce("created_at", "n_created_at").alias("created_at"), F.coalesce("n_updated_at", "updated_at").alias("updated_at"),
-        F.coalesce("n_text", "text").alias("text"), F.when(hit, F.col("n_task_pattern")).otherwise(F.col("task_pattern")).alias("task_pattern"),
-        F.coalesce("n_kind", "kind", F.lit("fact")).alias("kind"), F.coalesce("n_tool_key", "tool_key").alias("tool_key"),
-        F.coalesce("n_error_signature", "error_signature").alias("error_signature"), F.coalesce("n_resolved", "resolved").alias("resolved"),
-        F.coalesce("n_project_id", "project_id").alias("project_id"), F.coalesce("scope", "n_scope").alias("scope"),
-        F.coalesce("user_id", "n_user_id").alias("user_id"), F.coalesce("status", F.lit("candidate")).alias("status"),
-        (F.coalesce("support_count", F.lit(0)) + F.coalesce("n_support", F.lit(0))).alias("support_count"),
-        (F.coalesce("echo_count", F.lit(0)) + F.coalesce("n_echo", F.lit(0))).alias("echo_count"),
-        F.greatest("confidence", "n_confidence").alias("confidence"),
-        F.when(hit, F.col("compiled_at").isNotNull()).otherwise(F.coalesce("consolidated", F.lit(False))).alias("consolidated"),
-        "compiled_at",
-    )
+    written = {
+        "created_at": F.coalesce("created_at", "n_created_at"), "updated_at": F.coalesce("n_updated_at", "updated_at"),
+        "text": F.coalesce("n_text", "text"), "task_pattern": F.when(hit, F.col("n_task_pattern")).otherwise(F.col("task_pattern")),
+        "kind": F.coalesce("n_kind", "kind", F.lit("fact")), "tool_key": F.coalesce("n_tool_key", "tool_key"),
+        "error_signature": F.coalesce("n_error_signature", "error_signature"), "resolved": F.coalesce("n_resolved", "resolved"),
+        "project_id": F.coalesce("n_project_id", "project_id"), "scope": F.coalesce("scope", "n_scope"),
+        "user_id": F.coalesce("user_id", "n_user_id"), "status": F.coalesce("status", F.lit("candidate")),
+        "support_count": F.coalesce("support_count", F.lit(0)) + F.coalesce("n_support", F.lit(0)),
+        "echo_count": F.coalesce("echo_count", F.lit(0)) + F.coalesce("n_echo", F.lit(0)),
+        "confidence": F.greatest("confidence", "n_confidence"),
+        "consolidated": F.when(hit, F.col("compiled_at").isNotNull()).otherwise(F.coalesce("consolidated", F.lit(False))),
+    }
+    if fresh_vector:
+        written["embedding"] = F.coalesce("n_embedding", _old(state, "embedding", creates.schema["embedding"].dataType.simpleString()))
+    return overlay(j, state.columns, written)
 
 
 def owned(updates: DataFrame, learnings: DataFrame, owners: DataFrame) -> DataFrame:
@@ -298,32 +328,42 @@ def owned(updates: DataFrame, learnings: DataFrame, owners: DataFrame) -> DataFr
     return mine.filter((F.col("__scope") == "user") | F.coalesce("__own", F.lit(False))).drop("__scope", "__own")
 
 
+UPDATABLE = ("text", "task_pattern", "kind", "tool_key", "error_signature", "resolved", "summary")
+
+
 def update_learnings(state: DataFrame, updates: DataFrame) -> DataFrame:
-    """One update per id: filled fields overwrite. New text on an approved fact is an unreviewed
-    claim: back to candidate, review and consistency cleared."""
-    u = updates.select("id", *[F.col(c).alias(f"u_{c}") for c in ("text", "task_pattern", "kind", "confidence", "at", "echo")])
-    j = state.join(u, "id", "left")
+    """Updates (id, at, echo, confidence and any of ``UPDATABLE``), folded per id in the order of ``at``: the last filled
+    value of a field overwrites, non-echo updates support. New text on an approved fact is an
+    unreviewed claim: back to candidate, review and consistency cleared."""
+    fields = [c for c in UPDATABLE if c in updates.columns]
+    at, real = F.col("at"), ~F.coalesce("echo", F.lit(False))
+    told = updates.join(state.select("id", F.col("text").alias("__text")), "id")
+    batch = told.groupBy("id").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"u_{c}") for c in fields], F.max("at").alias("u_at"),
+        F.count_if(real).alias("u_real"), F.count_if(~real).alias("u_echo"), F.max(F.when(real, F.col("confidence"))).alias("u_confidence"),
+        F.coalesce(F.bool_or(F.col("text") != F.col("__text")), F.lit(False)).alias("u_changed"),
+    )
+    j = state.join(batch, "id", "left")
     hit = F.col("u_at").isNotNull()
-    demoted = F.coalesce(hit & (F.col("status") == "approved") & F.col("u_text").isNotNull() & (F.col("u_text") != F.col("text")), F.lit(False))
-    real = hit & ~F.coalesce("u_echo", F.lit(False))
+    demoted = F.coalesce(hit & (F.col("status") == "approved") & F.col("u_changed"), F.lit(False))
     gone = [c for c in ("reviewed_by", "reviewed_at", "consistency_status", "consistency_checked_at") if c in state.columns]
-    rest = [c for c in state.columns if c not in (*gone, "text", "task_pattern", "kind", "status", "support_count", "confidence", "updated_at", "consolidated")]
-    return j.select(
-        *rest,
-        F.coalesce("u_text", "text").alias("text"), F.coalesce("u_task_pattern", "task_pattern").alias("task_pattern"),
-        F.coalesce("u_kind", "kind").alias("kind"), F.when(demoted, "candidate").otherwise(F.col("status")).alias("status"),
-        (F.coalesce("support_count", F.lit(0)) + F.when(real, 1).otherwise(0)).alias("support_count"),
-        F.when(real & (F.coalesce("confidence", F.lit(0.0)) < F.col("u_confidence")), F.col("u_confidence")).otherwise(F.col("confidence")).alias("confidence"),
-        F.coalesce("u_at", "updated_at").alias("updated_at"),
-        F.when(hit, F.col("compiled_at").isNotNull() if "compiled_at" in state.columns else F.lit(False)).otherwise(F.col("consolidated")).alias("consolidated"),
-        *[F.when(~demoted, F.col(c)).alias(c) for c in gone], demoted.alias("demoted"),
-    )
+    kinds = dict(updates.dtypes)
+    return overlay(j, state.columns, {
+        **{c: F.coalesce(f"u_{c}", _old(state, c, kinds[c])) for c in fields},
+        "status": F.when(demoted, "candidate").otherwise(F.col("status")),
+        "support_count": F.coalesce("support_count", F.lit(0)) + F.coalesce("u_real", F.lit(0)),
+        "echo_count": F.coalesce(_old(state, "echo_count", "long"), F.lit(0)) + F.coalesce("u_echo", F.lit(0)),
+        "confidence": F.when(F.col("u_confidence") > F.coalesce("confidence", F.lit(0.0)), F.col("u_confidence")).otherwise(F.col("confidence")),
+        "updated_at": F.coalesce("u_at", "updated_at"),
+        "consolidated": F.when(hit, F.col("compiled_at").isNotNull() if "compiled_at" in state.columns else F.lit(False)).otherwise(F.col("consolidated")),
+        **{c: F.when(~demoted, F.col(c)) for c in gone}, "demoted": demoted,
+    })
 
 
 def add_learnings(state: DataFrame, submissions: DataFrame) -> DataFrame:
     """Direct adds (project_id, user_id, scope, text, kind, tool_key, error_signature, resolved,
     confidence, task_pattern, at): content id, candidate unless already approved, an error
-    stays an error, best confidence, support counted per write. Returns the touched rows."""
+    stays an error, best confidence, support counted per write; filled fields stick. Returns the whole snapshot."""
     scope = F.when(F.lower(F.trim("scope")) == "user", "user").otherwise("project")
     rows = submissions.withColumn("text", truncate(F.coalesce("text", F.lit("")))).filter("text <> ''").withColumn("scope", scope)
     error = F.coalesce(F.lower(F.trim("kind")) == "error", F.lit(False))
@@ -345,27 +385,33 @@ def add_learnings(state: DataFrame, submissions: DataFrame) -> DataFrame:
         *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"n_{c}") for c in ("tool_key", "error_signature", "resolved", "task_pattern")],
         F.max("confidence").alias("n_confidence"), F.count("*").alias("n_writes"),
     )
-    old = state.select("id", *[F.col(c).alias(f"o_{c}") for c in ("status", "kind", "confidence", "support_count", "user_id", "created_at")])
-    return batch.join(old, "id", "left").select(
-        "id", "text", "scope", "project_id", F.coalesce("o_user_id", "n_user_id").alias("user_id"),
-        F.when(F.col("o_status") == "approved", "approved").otherwise("candidate").alias("status"),
-        F.when(F.col("n_error"), "error").otherwise(F.coalesce("o_kind", F.lit("fact"))).alias("kind"),
-        F.col("n_tool_key").alias("tool_key"), F.col("n_error_signature").alias("error_signature"), F.col("n_resolved").alias("resolved"),
-        F.col("n_task_pattern").alias("task_pattern"), F.greatest("o_confidence", "n_confidence").alias("confidence"),
-        (F.coalesce("o_support_count", F.lit(0)) + F.col("n_writes")).alias("support_count"),
-        F.coalesce("o_created_at", "created_at").alias("created_at"), "updated_at",
-    )
+    batch = batch.select("id", *[F.col(c).alias(c if c.startswith("n_") else f"n_{c}") for c in batch.columns if c != "id"])
+    j = state.join(batch, "id", "full_outer")
+    hit = F.col("n_writes").isNotNull()
+    stick = {c: F.coalesce(f"n_{c}", _old(state, c, dict(batch.dtypes)[f"n_{c}"])) for c in ("tool_key", "error_signature", "resolved", "task_pattern", "text", "scope", "project_id", "updated_at")}
+    return overlay(j, state.columns, {
+        **stick,
+        "user_id": F.coalesce("user_id", "n_user_id"), "created_at": F.coalesce("created_at", "n_created_at"),
+        "status": F.when(hit & ~F.coalesce(F.col("status") == "approved", F.lit(False)), "candidate").otherwise(F.col("status")),
+        "kind": F.when(F.coalesce("n_error", F.lit(False)), "error").otherwise(F.coalesce("kind", F.lit("fact"))),
+        "confidence": F.greatest("confidence", "n_confidence"),
+        "support_count": F.coalesce("support_count", F.lit(0)) + F.coalesce("n_writes", F.lit(0)),
+    })
 
 
 def bootstrap_learnings(state: DataFrame, rows: DataFrame) -> DataFrame:
-    """Seed load: content id, approved, best confidence of old and new; text over 500 fails."""
+    """Seed load: content id, approved, best confidence of old and new; text over 500 fails. Returns the whole snapshot."""
     checked = rows.withColumn("text", F.when(F.length("text") <= params.LEARNING_TEXT_CAP, F.col("text")).otherwise(
         F.raise_error(F.lit("seed learning longer than 500 characters")).cast("string")
     ))
     keyed = checked.withColumn("id", learning_id(F.col("project_id").cast("string"), F.col("text")))
-    batch = keyed.groupBy("id").agg(F.first("text").alias("text"), F.first("project_id").alias("project_id"), F.max("confidence").alias("n"))
-    old = state.select("id", F.col("confidence").alias("o"))
-    return batch.join(old, "id", "left").select("id", "text", "project_id", F.lit("approved").alias("status"), F.greatest("o", "n").alias("confidence"))
+    batch = keyed.groupBy("id").agg(F.first("text").alias("n_text"), F.first("project_id").alias("n_project_id"), F.max("confidence").alias("n_confidence"))
+    j = state.join(batch, "id", "full_outer")
+    hit = F.col("n_text").isNotNull()
+    return overlay(j, state.columns, {
+        "text": F.coalesce("n_text", _old(state, "text")), "project_id": F.coalesce("n_project_id", _old(state, "project_id", dict(batch.dtypes)["n_project_id"])),
+        "status": F.when(hit, "approved").otherwise(_old(state, "status")), "confidence": F.greatest("confidence", "n_confidence"),
+    })
 
 
 def human_decisions(learnings: DataFrame, conflicts: DataFrame, decisions: DataFrame) -> dict[str, DataFrame]:
@@ -380,15 +426,15 @@ def human_decisions(learnings: DataFrame, conflicts: DataFrame, decisions: DataF
     kill = F.col("action").isin("reject", "keep_existing")
     j = learnings.join(d, "id", "left").join(losers, "id", "left")
     status = F.when(F.col("__by").isNotNull(), "rejected").when(approve, "approved").when(kill, "rejected").otherwise(F.col("status"))
-    state = j.select(
-        *[c for c in learnings.columns if c not in ("status", "text", "embedding")],
-        status.alias("status"), F.when(F.col("action") == "edit_approve", truncate(F.col("edited_text"))).otherwise(F.col("text")).alias("text"),
-        F.when(F.col("__by").isNotNull() | kill, None).otherwise(F.col("embedding")).alias("embedding"),
-        F.when(F.col("action").isNotNull(), "human").alias("reviewed_by"),
-        F.when(approve, "human_reviewed").alias("consistency_status"),
-        F.when(F.col("__by").isNotNull(), F.concat(F.lit("human_superseded_by:"), F.col("__by").cast("string")))
-        .when(F.col("action") == "reject", "human_review").when(F.col("action") == "keep_existing", "human_kept_existing").alias("rejected_reason"),
-    )
+    reason = F.when(F.col("__by").isNotNull(), F.concat(F.lit("human_superseded_by:"), F.col("__by").cast("string"))).when(
+        F.col("action") == "reject", "human_review").when(F.col("action") == "keep_existing", "human_kept_existing")
+    state = overlay(j, learnings.columns, {
+        "status": status, "text": F.when(F.col("action") == "edit_approve", truncate(F.col("edited_text"))).otherwise(F.col("text")),
+        "embedding": F.when(F.col("__by").isNotNull() | kill, None).otherwise(F.col("embedding")),
+        "reviewed_by": F.when(F.col("action").isNotNull(), "human").otherwise(_old(learnings, "reviewed_by")),
+        "consistency_status": F.when(approve, "human_reviewed").otherwise(_old(learnings, "consistency_status")),
+        "rejected_reason": F.when(status == "rejected", F.coalesce(reason, _old(learnings, "rejected_reason"))).otherwise(F.when(F.col("action").isNull(), _old(learnings, "rejected_reason"))),
+    })
     made = touched.filter("action IN ('keep_new', 'keep_existing')").select(
         F.when(F.col("action") == "keep_new", "SUPERSEDES").otherwise("CONTRADICTED_BY").alias("kind"), "from_id", "to_id"
     )

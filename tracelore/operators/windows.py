@@ -13,34 +13,32 @@ from tracelore.session import cut
 DAY = 24 * HOUR
 
 
-def closure(edges: DataFrame, parent: str = "parent", child: str = "child", max_depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
     """(ancestor, node, depth) for every node and each of its ancestors, itself at depth 0.
 
-    Each round moves the whole frontier one step up, so there are as many rounds as
-    the deepest tree has levels.
+    Each round joins what is known with itself, so the reach doubles and a tree of depth n takes
+    log n rounds. A pair keeps its smallest depth, so links in a circle end as well: each node then
+    has the circle's other nodes as ancestors.
     """
-    steps = edges.select(F.col(child).alias("__c"), F.col(parent).alias("__p")).filter(F.col("__p").isNotNull()).distinct()
+    steps = edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("node")).filter("ancestor IS NOT NULL AND ancestor <> node").distinct()
     nodes = edges.select(F.col(child).alias("node")).union(edges.select(F.col(parent))).filter(F.col("node").isNotNull()).distinct()
-    frontier = cut(nodes.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth")))
-    reached = frontier
-    for depth in range(1, max_depth + 1):
-        frontier = cut(
-            frontier.join(steps, F.col("ancestor") == F.col("__c")).select(
-                F.col("__p").alias("ancestor"), "node", F.lit(depth).alias("depth")
-            ).filter(F.col("ancestor") != F.col("node"))
-        )
-        if frontier.isEmpty():
+    reached = cut(nodes.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth")).unionByName(steps.withColumn("depth", F.lit(1))))
+    while True:
+        up = reached.filter("depth > 0").select("ancestor", F.col("node").alias("__mid"), F.col("depth").alias("__far"))
+        far = reached.filter("depth > 0").withColumnRenamed("ancestor", "__mid").join(up, "__mid").select("ancestor", "node", (F.col("depth") + F.col("__far")).alias("depth"))
+        nxt = cut(reached.unionByName(far).groupBy("ancestor", "node").agg(F.min("depth").alias("depth")))
+        if nxt.join(reached, ["ancestor", "node", "depth"], "left_anti").isEmpty():
             return reached
-        reached = reached.unionByName(frontier)
-    raise ValueError(f"session tree deeper than {max_depth} levels, or cyclic")
+        reached = nxt
 
 
-def roots(edges: DataFrame, parent: str = "parent", child: str = "child", max_rounds: int = 32) -> DataFrame:
-    """(node, root): each round doubles the reach, so rounds grow with the log of the depth."""
+def roots(edges: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
+    """(node, root): each round doubles the reach. A node that is open after as many doublings as its
+    table could need lies below a circle, which is an error."""
     jump = cut(
         edges.select(F.col(child).alias("node"), F.coalesce(F.col(parent), F.col(child)).alias("root")).distinct()
     )
-    for _ in range(max_rounds):
+    for _ in range(jump.count().bit_length() + 1):
         up = jump.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
         moved = cut(
             jump.join(up, F.col("root") == F.col("__n"), "left").select(

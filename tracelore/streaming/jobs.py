@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tracelore import params
@@ -39,37 +40,45 @@ def _start(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None
     )
 
 
-def batch_log(path: str) -> Callable[[DataFrame, int], None]:
-    """Append-only table of micro-batches. A batch replayed after a failure overwrites its own
-    folder, so nothing is written twice."""
+BUCKETS = 64
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
 
-    return sink
+def bucketed(batch: DataFrame, key: str) -> DataFrame:
+    return batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+
+
+def earlier(spark: SparkSession, path: str, batch_id: int, touched: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows that earlier batches wrote to a bucketed log, of the buckets that ``touched`` has: at most ``BUCKETS`` numbers
+    reach the driver, and the other buckets' files are not opened."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
+    known = T.StructType([f for f in schema.fields if f.name != "bucket"] + [T.StructField("batch", T.StringType()), T.StructField("bucket", T.IntegerType())])
+    rows = spark.read.schema(known).parquet(path)
+    return rows.filter((F.col("batch").cast("long") < batch_id) & F.col("bucket").isin(buckets)).select(*[f.name for f in schema.fields])
+
+
+def write_bucketed(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Append a batch; a replayed batch overwrites its own folder."""
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id:012d}")
 
 
 def deduplicated_log(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """Batch log that also drops keys of earlier batches: identity has no time limit, while
-    the stream's own state keeps only the watermark's worth."""
+    """A log with one row per key for good: identity has no time limit, so no watermark decides what is kept. A batch
+    is compared with the keys of the buckets that it touches."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            seen = spark.read.parquet(path).filter(F.col("batch").cast("long") < batch_id).select(key)
-            batch = batch.join(seen, key, "left_anti")
-        except Exception as exc:  # noqa: BLE001 - only an absent table is fine
-            if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-                raise
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+        rows = cut(bucketed(batch.dropDuplicates([key]), key))
+        keys = T.StructType([rows.schema[key], T.StructField("bucket", T.IntegerType())])
+        seen = earlier(batch.sparkSession, path, batch_id, rows, keys).select(key)
+        write_bucketed(rows.join(seen, key, "left_anti"), path, batch_id)
 
     return sink
 
 
-def ingest_stream(raw: DataFrame, client: str, path: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
-    """Payloads to typed rows, one per event id."""
-    rows = ev.ingest(raw, client).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-    return _start(rows, checkpoint, deduplicated_log(path, "event_id"))
+def ingest_stream(raw: DataFrame, client: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Payloads to typed rows, one per event id, however late a payload comes."""
+    return _start(ev.ingest(raw, client), checkpoint, deduplicated_log(path, "event_id"))
 
 
 class KeyedLog:
@@ -169,18 +178,36 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def link_stream(injections: DataFrame, events: DataFrame, path: str, checkpoint: str, seconds: int = params.INJECTION_WINDOW_SECONDS) -> StreamingQuery:
-    """Injections with hook events within the interval, whichever side comes first."""
-    delay = f"{2 * seconds} seconds"
-    inj = injections.withWatermark("injected_at", delay).alias("i")
+    """Injections with hook events within the interval, whichever side comes first and however late: both sides are kept in
+    logs bucketed by session, and a batch joins its new rows with the other side's rows of the sessions' buckets."""
+    common = ["session_id", "name", "at", "prompt", "injection_id", "learning_id", "event_id"]
+    kinds = dict(events.dtypes) | dict(injections.dtypes)
+
+    def missing(name: str) -> Column:
+        return F.lit(None).cast(kinds[name]).alias(name)
+
+    inj = injections.select("session_id", F.col("hook_event").alias("name"), F.col("injected_at").alias("at"), "prompt", "injection_id", "learning_id", missing("event_id"))
     hook = events.filter(F.col("event_name").isin(*ev.INJECTION_EVENTS)).select(
-        "session_id", "event_name", "event_id", "ts", F.col("prompt").alias("event_prompt")
-    ).withWatermark("ts", delay).alias("e")
-    near = (
-        (F.col("i.session_id") == F.col("e.session_id")) & (F.col("i.hook_event") == F.col("e.event_name"))
-        & (F.col("e.ts") >= F.col("i.injected_at") - F.expr(f"INTERVAL {seconds} SECONDS")) & (F.col("e.ts") <= F.col("i.injected_at"))
+        "session_id", F.col("event_name").alias("name"), F.col("ts").alias("at"), "prompt", missing("injection_id"), missing("learning_id"), "event_id"
     )
-    pairs = inj.join(hook, near, "inner").filter("prompt IS NULL OR prompt = event_prompt").select("injection_id", "learning_id", "event_id", F.col("e.ts").alias("event_ts"))
-    return _start(pairs, checkpoint, batch_log(path))
+
+    def pairs(i: DataFrame, e: DataFrame) -> DataFrame:
+        i, e = i.alias("i"), e.alias("e")
+        near = (
+            (F.col("i.session_id") == F.col("e.session_id")) & (F.col("i.name") == F.col("e.name")) & (F.col("i.prompt").isNull() | (F.col("i.prompt") == F.col("e.prompt")))
+            & (F.col("e.at") >= F.col("i.at") - F.expr(f"INTERVAL {seconds} SECONDS")) & (F.col("e.at") <= F.col("i.at"))
+        )
+        return i.join(e, near).select("i.injection_id", "i.learning_id", "e.event_id", F.col("e.at").alias("event_ts"))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        new = cut(bucketed(batch, "session_id"))
+        old = earlier(batch.sparkSession, f"{path}_sides", batch_id, new, new.schema)
+        is_injection = F.col("injection_id").isNotNull()
+        found = pairs(new.filter(is_injection), old.unionByName(new).filter(~is_injection)).unionByName(pairs(old.filter(is_injection), new.filter(~is_injection)))
+        found.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+        write_bucketed(new, f"{path}_sides", batch_id)
+
+    return _start(inj.select(*common).unionByName(hook.select(*common)), checkpoint, sink)
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
@@ -188,11 +215,9 @@ def read_links(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("injection_id", "learning_id").agg(F.max_by("event_id", F.struct("event_ts", "event_id")).alias("event_id"))
 
 
-def inject_once_stream(injections: DataFrame, path: str, checkpoint: str, keep: str = "7 days") -> StreamingQuery:
-    """First injection of a content per session and target; ``keep`` is how long state remembers,
-    the log decides beyond it."""
+def inject_once_stream(injections: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """One injection of a content per session and target, for good."""
     rows = injections.withColumn("content_sha", sha16(F.col("content"))).withColumn(
         "injection_key", F.concat_ws("|", F.col("session_id").cast("string"), "prompt_name", "content_sha", "target")
     )
-    once = rows.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["injection_key"])
-    return _start(once, checkpoint, deduplicated_log(path, "injection_key"))
+    return _start(rows, checkpoint, deduplicated_log(path, "injection_key"))
