@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracelore.llm import chat, html_text, mixing, packing, pii, quality, secrets, simhash, toxicity, vector_links
 from tracelore.llm.base import read_table
+from tracelore.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,4 +39,3 @@ QUERIES: dict[str, Query] = {
     "op9_quality": _over("documents", quality.quality_verdicts),
     "op10_simhash": _over("documents", simhash.near_duplicates),
 }
-ORACLES: dict[str, str] = {}

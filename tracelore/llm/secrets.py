@@ -21,8 +21,10 @@ ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE]
 #: Digits and letters run on to where they end, so a lower bound on the run is the same as dropping short runs.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-LOGIN = r"""(?<![A-Za-z0-9_])(?i:client[_-]?id|access[_-]?key[_-]?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
-BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[a-z0-9+/_-]{0,63}[A-Z])(?=[A-Z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{32,64}={0,2}(?![A-Za-z0-9+/_=-])"
+LOGIN = r"""(?i:client[_-]?id|access[_-]?key[_-]?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
+#: Kept only with a digit, a capital and a small letter, and at most BARE_MOST characters.
+BARE = r"[A-Za-z0-9+/_=-]{32,}"
+BARE_MOST = 66
 ENDPOINT = r"""[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._~:@/?#%&=+-]{3,}"""
 #: Kinds in report order, and the part each is.
 KINDS = ("assign", "access", "hex", "login", "bare", "endpoint")
@@ -59,6 +61,14 @@ def _has(text: Column, *parts: str) -> Column:
     return F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(text, p))
 
 
+def _random_looking(text: Column):
+    def test(span: Column) -> Column:
+        value = F.substring(text, span["start"] + 1, span["end"] - span["start"])
+        return (F.length(value) <= BARE_MOST) & value.rlike("[0-9]") & value.rlike("[A-Z]") & value.rlike("[a-z]")
+
+    return test
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, strong, weak): spans of the base patterns and of the weak parts."""
     t = F.col("text")
@@ -71,7 +81,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
     weak = F.concat(
         F.when(_has(low, "client", "access", "user", "login"), _spans(t, "login", LOGIN)).otherwise(none),
-        F.when(t.rlike(r"[A-Za-z0-9+/_-]{32}"), _spans(t, "bare", BARE)).otherwise(none),
+        F.when(t.rlike(BARE), F.filter(_spans(t, "bare", BARE), _random_looking(t))).otherwise(none),
         F.when(F.contains(t, F.lit("://")), _spans(t, "endpoint", ENDPOINT)).otherwise(none),
     )
     return docs.select("doc_id", whole("text").alias("text")).select("doc_id", F.xxhash64("text").alias("digest"), F.sort_array(strong).alias("strong"), weak.alias("weak"))
