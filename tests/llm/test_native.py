@@ -43,6 +43,13 @@ def test_quality_order_keeps_the_verdict(spark):
     assert sorted(a, key=key) == sorted(b, key=key)
 
 
+def test_quality_replaces_clashing_columns(spark):
+    df = odd(spark, extra=True).selectExpr("*", "'x' as n_words", "'y' as N_Lines")
+    out = quality.text_statistics(df)
+    assert len({c.lower() for c in out.columns}) == len(out.columns) and dict(out.dtypes)["n_words"] == "bigint"
+    assert quality.quality_verdicts(df).count() == df.count() and quality.quality_verdicts(df.limit(0)).count() == 0
+
+
 def test_quality_matches_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

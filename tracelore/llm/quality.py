@@ -24,6 +24,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows on which costs and selectivities are measured.
 SAMPLE_ROWS = 500
 WINDOW = 8
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -59,15 +60,17 @@ def lines(text: Column) -> Column:
 
 
 def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the counts of the base rules: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long)."""
+    """Add the counts of the base rules: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long); columns of
+    these names are replaced."""
     t = whole(text)
+    kept = [c for c in df.columns if c.lower() not in COUNTS]
     word_stats = let(words(text), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("repeat")))
     line_stats = let(lines(t), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
     return df.select(
-        "*", word_stats.alias("__words"), line_stats.alias("__lines"),
+        *kept, word_stats.alias("__words"), line_stats.alias("__lines"),
         _without(t, " \t\n\x0b\x0c\r").cast("long").alias("word_chars"), (F.length(t) - _without(t, SYMBOLS)).cast("long").alias("n_symbols"),
     ).select(
-        *[F.col(c) for c in df.columns], F.col("__words.n").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        *kept, F.col("__words.n").cast("long").alias("n_words"), "word_chars", "n_symbols",
         F.col("__lines.n").cast("long").alias("n_lines"), F.col("__lines.dup").cast("long").alias("n_dup_lines"), F.col("__words.repeat").cast("long").alias("n_repeat_words"),
     )
 
