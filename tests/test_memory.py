@@ -44,7 +44,8 @@ def test_nested_ids(spark):
     rows = [
         ('{"content": [{"type": "text", "text": "{\\"id\\": \\"learning:p:1\\", \\"x\\": {\\"id\\": \\"learning:p:2\\"}}"}]}', ["learning:p:1", "learning:p:2"]),
         ('[{"id": "learning:a"}, {"id": "other"}, {"id": "learning:a"}]', ["learning:a"]),
-        ("plain text", []),
+        ('{"text": "he quoted \\"id\\": \\"learning:z\\" in prose", "id": "learning:q"}', ["learning:q"]),
+        ("learning: plain text", []),
     ]
     df = spark.createDataFrame(rows, "r string, want array<string>")
     assert all(r.got == r.want for r in df.withColumn("got", tr.nested_learning_ids(F.col("r"))).collect())
@@ -92,6 +93,12 @@ def test_ingest_routes_subagents_and_lists_background_work(spark):
     assert links.started_at is not None and links.ended_at is None
 
 
+def test_unreadable_payloads_keep_their_own_ids(spark):
+    raw = spark.createDataFrame([(p, datetime(2024, 1, 1)) for p in ("not json", "{broken", "[1]", '{"session_id": "s", "hook_event_name": "Stop"}')], "payload string, received_at timestamp")
+    assert events.ingest(raw, "cli").select("event_id").distinct().count() == 4
+    assert {r.payload for r in events.unreadable(raw).collect()} == {"not json", "{broken", "[1]"}
+
+
 def test_embedder_failures_leave_nulls(spark):
     def provider(texts):
         if any("bad" in t for t in texts):

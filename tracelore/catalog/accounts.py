@@ -173,7 +173,7 @@ def edge_refresh(t: Tables):
     crm = t.account.select("account_id", (F.col("account_id") * 10 + 9).alias("contact_id"), F.lit("crm").alias("source"))
     stale = t.contact.select("account_id", (F.col("contact_id") + 5).alias("contact_id"), F.lit("seed").alias("source"))
     refresh_partition(crm.unionByName(stale), path, "source")
-    fresh = ac.refresh_edges(crm.limit(0), t.contact.unionByName(t.contact).select("account_id", "contact_id"), ["account_id", "contact_id"])
+    fresh = ac.refresh_edges(crm.unionByName(stale), t.contact.unionByName(t.contact).select("account_id", "contact_id"), ["account_id", "contact_id"])
     refresh_partition(fresh, path, "source")
     return t.spark.read.parquet(path).select("account_id", "contact_id", "source")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracelore import params
 from tracelore.catalog.base import Tables, query
 from tracelore.catalog.events import TREE_SQL
 from tracelore.catalog.recall import COS, EDGES_SQL, FLOOR, n, r6
@@ -16,6 +17,7 @@ SEEDS_SQL = """
  starts AS (SELECT project_id, created_at FROM session WHERE parent_session_id IS NULL),
  edits AS (SELECT p.learning_id AS id, p.at, CASE WHEN kind = 'PRODUCED_LEARNING' THEN 2.0 ELSE 1.0 END AS w, kind FROM produced p WHERE NOT echo),
  touch AS (SELECT f.project_id, f.id, e.at, e.w FROM edits e JOIN facts f USING (id)
+   UNION ALL SELECT f.project_id, f.id, f.created_at + INTERVAL 2 DAY, 1.0 FROM facts f JOIN labels b ON b.doc_id = f.id WHERE quality = 1 AND toxic = 0
    UNION ALL SELECT project_id, id, created_at, 2.0 FROM facts WHERE id NOT IN (SELECT id FROM edits WHERE kind = 'PRODUCED_LEARNING')),
  seed AS (SELECT project_id, id, sum(w * pow(0.9, (SELECT count(*) FROM starts s WHERE s.project_id = t.project_id AND s.created_at > t.at))) AS bias FROM touch t GROUP BY 1, 2)
 """
@@ -32,7 +34,7 @@ GRAPH_SQL = f"""
  se AS (SELECT DISTINCT project_id, least(source, target) AS a, greatest(source, target) AS b, 0.5::DOUBLE AS w FROM knn),
  gedge AS (SELECT project_id, a, b, sum(w) AS w FROM (SELECT * FROM ge UNION ALL SELECT * FROM se) x GROUP BY 1, 2, 3)
 """
-ROUNDS = 12
+ROUNDS, SETTLED = params.MAX_ITERATIONS, params.TOLERANCE
 PPR_SQL = f"""
  restart AS (SELECT f.project_id, f.id AS node, coalesce(s.bias / sum(s.bias) OVER (PARTITION BY f.project_id), 0) AS r FROM facts f LEFT JOIN seed s ON s.id = f.id),
  dir AS (SELECT project_id, a, b, w FROM gedge UNION ALL SELECT project_id, b, a, w FROM gedge),
@@ -41,27 +43,31 @@ PPR_SQL = f"""
    UNION ALL SELECT node, max(it) + 1, sum(add) FROM (
      SELECT r.node, p.it, 0.5::DOUBLE * r.r AS add FROM restart r JOIN ppr p ON p.node = r.node
      UNION ALL SELECT s.b, p.it, 0.5::DOUBLE * p.score * s.p FROM ppr p JOIN step s ON s.a = p.node) u WHERE it < {ROUNDS} GROUP BY node),
- rank AS (SELECT f.project_id, p.node, p.score FROM ppr p JOIN facts f ON f.id = p.node WHERE p.it = {ROUNDS}),
+ moved AS (SELECT f.project_id, p.it, sum(abs(p.score - q.score)) AS d FROM ppr p JOIN ppr q ON q.node = p.node AND q.it = p.it - 1 JOIN facts f ON f.id = p.node GROUP BY 1, 2),
+ ends AS (SELECT project_id, coalesce(min(it) FILTER (WHERE d < {SETTLED}), {ROUNDS}) AS it FROM moved GROUP BY 1),
+ rank AS (SELECT f.project_id, p.node, p.score FROM ppr p JOIN facts f ON f.id = p.node JOIN ends e ON e.project_id = f.project_id AND e.it = p.it),
  sal AS (SELECT project_id, node, round(score / max(score) OVER (PARTITION BY project_id), 6) AS salience FROM rank)
 """
 USES = "session learning produced skill derived_from"
 ALL_SQL = f"{TREE_SQL}, {FACTS_SQL}, {SEEDS_SQL}, {GRAPH_SQL}"
 
 
-def _none(t: Tables):
-    """No restatements are recorded in the tables."""
-    return t.produced.select("learning_id", "at", "echo").limit(0)
+def _restated(t: Tables):
+    """Labelled facts of good quality were said again two days on; the toxic ones as an echo."""
+    return t.labels.filter("quality = 1").join(t.learning.select(F.col("id").alias("doc_id"), "created_at"), "doc_id").select(
+        F.col("doc_id").alias("learning_id"), (F.col("created_at") + F.expr("INTERVAL 2 DAYS")).alias("at"), (F.col("toxic") == 1).alias("echo")
+    )
 
 
 def _pass(t: Tables, rounds: int = ROUNDS):
-    return salience_pass(t.learning, t.session, t.produced, _none(t), t.skill, t.derived_from, floor=FLOOR, max_iterations=rounds, tolerance=0.0)
+    return salience_pass(t.learning, t.session, t.produced, _restated(t), t.skill, t.derived_from, floor=FLOOR, max_iterations=rounds)
 
 
 @query("seed_weights", rows="A1", uses=USES, oracle=f"WITH {FACTS_SQL}, {SEEDS_SQL} SELECT project_id, id, round(bias, 6) AS bias FROM seed")
 def seed_weights(t: Tables):
     facts = t.learning.filter("status = 'approved' AND scope = 'project'")
     starts = t.session.filter("parent_session_id IS NULL").select("project_id", "created_at")
-    return graph.seed_weights(facts, t.produced, _none(t), starts).select("project_id", "id", r6("bias"))
+    return graph.seed_weights(facts, t.produced, _restated(t), starts).select("project_id", "id", r6("bias"))
 
 
 @query("relatedness_graph", rows="G1 G2 G3 U3", uses=USES, recursive=True, oracle=f"WITH {ALL_SQL} SELECT project_id, a, b, round(w, 6) AS w FROM gedge")
@@ -69,16 +75,16 @@ def relatedness_graph(t: Tables):
     return _pass(t, 0)["edges"].select("project_id", "a", "b", r6("w"))
 
 
-@query("learning_salience", rows="G4 G5 G8", uses=USES, recursive=True, oracle=f"WITH {ALL_SQL}, {PPR_SQL} SELECT project_id, node, round(salience, 4) AS salience FROM sal")
+@query("learning_salience", rows="G4 G5 G8", uses=USES, recursive=True, oracle=f"WITH {ALL_SQL}, {PPR_SQL} SELECT project_id, node, salience FROM sal")
 def learning_salience(t: Tables):
-    return _pass(t)["learning"].select("project_id", "node", F.round("salience", 4).alias("salience"))
+    return _pass(t)["learning"].select("project_id", "node", "salience")
 
 
 @query("skill_salience", rows="A13 G8", uses=USES, recursive=True, oracle=f"""WITH {ALL_SQL}, {PPR_SQL},
  tot AS (SELECT m.project_id, m.skill_id, sum(s.salience) AS score FROM members m JOIN sal s ON s.node = m.id GROUP BY 1, 2)
-SELECT project_id, skill_id, round(CASE WHEN max(score) OVER w > 0 THEN score / max(score) OVER w ELSE 0 END, 4) AS salience FROM tot WINDOW w AS (PARTITION BY project_id)""")
+SELECT project_id, skill_id, round(CASE WHEN max(score) OVER w > 0 THEN score / max(score) OVER w ELSE 0 END, 6) AS salience FROM tot WINDOW w AS (PARTITION BY project_id)""")
 def skill_salience(t: Tables):
-    return _pass(t)["skill"].select("project_id", "skill_id", F.round("salience", 4).alias("salience"))
+    return _pass(t)["skill"].select("project_id", "skill_id", "salience")
 
 
 PRUNED_SQL = f"""{EDGES_SQL},

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelore.operators.segments import top_per_key
@@ -40,9 +40,10 @@ def refresh_edges(existing: DataFrame, fresh: DataFrame, keys: list[str], owner:
 
 def latest_usage(usage: DataFrame) -> DataFrame:
     """Rows of the newest month of each (account, sku); utilisation to three places, null at zero seats."""
-    newest = usage.groupBy("account_id", "sku").agg(F.max("month").alias("month"))
+    newest = Window.partitionBy("account_id", "sku").orderBy(F.col("month").desc())
     seats = F.col("contracted_seats")
-    return usage.join(newest, ["account_id", "sku", "month"], "left_semi").withColumn(
+    # The rank limit is applied before the shuffle as well, and usage is scanned once.
+    return usage.filter("month IS NOT NULL").withColumn("__at", F.rank().over(newest)).filter("__at = 1").drop("__at").withColumn(
         "utilization", F.when(F.coalesce(seats, F.lit(0.0)) != 0, F.round(F.col("mau") / seats, 3))
     )
 

@@ -169,7 +169,7 @@ def ingest(raw: DataFrame, client: str, payload: str = "payload", received: str
     flat = classify_actor(normalize_failures(flat))
     stop = F.col("event_name") == "Stop"
     digest = F.substring(
-        F.sha1(F.concat_ws("\n", canonical_payload(F.col("__raw")), F.col("harness_pid")).cast("binary")), 1, 16
+        F.sha1(F.concat_ws("\n", F.coalesce(canonical_payload(F.col("__raw")), F.col("__raw")), F.col("harness_pid")).cast("binary")), 1, 16
     )
     spawned = F.when(
         (F.col("event_name") == "PostToolUse") & F.col("tool_name").endswith(SPAWN_TOOL),
@@ -198,6 +198,12 @@ def ingest(raw: DataFrame, client: str, payload: str = "payload", received: str
     return route(rows.drop(*drop))
 
 
+def unreadable(raw: DataFrame, payload: str = "payload") -> DataFrame:
+    """Rows whose payload is no JSON object, for a reject table; ``ingest`` keeps them as unknown events that are
+    told apart by their text."""
+    return raw.filter(F.coalesce(F.schema_of_variant(F.try_parse_json(payload)), F.lit("")).substr(1, 6) != "OBJECT")
+
+
 def append_new(events: DataFrame, log: DataFrame, key: str = "event_id") -> DataFrame:
     """Rows of ``events`` not in ``log`` yet, one per key (the first to arrive)."""
     first = events.groupBy(key).agg(F.min_by(F.struct(*[c for c in events.columns if c != key]), "ts").alias("__row"))

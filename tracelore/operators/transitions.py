@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelore import params
-from tracelore.functions.replies import confidence, flag, reply_object
+from tracelore.functions.replies import confidence, flag, ids_in_json, reply_object
 from tracelore.functions.text import collapse, learning_id, learning_namespace, truncate
 from tracelore.functions.tools import tool_key
 from tracelore.operators.segments import top_per_key
@@ -36,10 +36,10 @@ def _filled(col: Column) -> Column:
 
 
 def nested_learning_ids(response: Column, prefix: str = "learning:") -> Column:
-    """Distinct ids with ``prefix`` held by an ``id`` key anywhere in a response, first seen
-    first. JSON inside JSON strings is reached by removing the escapes."""
-    flat = F.regexp_replace(F.coalesce(response, F.lit("")), r"\\+", "")
-    return F.array_distinct(F.regexp_extract_all(flat, F.lit(rf'"id"\s*:\s*"({prefix}[^"]*)"'), F.lit(1)))
+    """Distinct ids with ``prefix`` held by an ``id`` key anywhere in a response, first seen first, JSON
+    inside JSON strings included. What prose quotes is no id."""
+    held = F.coalesce(response, F.lit(""))
+    return F.when(held.contains(prefix), ids_in_json(held, F.lit(prefix))).otherwise(F.array().cast("array<string>"))
 
 
 # --- replies to rows -------------------------------------------------------------
