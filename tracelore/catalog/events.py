@@ -203,6 +203,32 @@ def stop_windows(t: Tables):
     return windows.stop_windows(t.session_event).select("event_id", "window_no")
 
 
+TREE_SQL = """
+ tree AS (SELECT session_id AS ancestor, session_id AS node, 0 AS depth FROM session
+   UNION ALL SELECT s.parent_session_id, t.node, t.depth + 1 FROM tree t JOIN session s ON s.session_id = t.ancestor WHERE s.parent_session_id IS NOT NULL)
+"""
+
+
+def _tops(t: Tables):
+    return windows.roots(t.session.select(F.col("parent_session_id").alias("parent"), F.col("session_id").alias("child")))
+
+
+ROOTED_SQL = """
+ top AS (SELECT node, max_by(ancestor, depth) AS root FROM tree GROUP BY node),
+ rooted AS (SELECT e.event_id, e.ts, e.event_name, e.session_id, coalesce(t.root, e.session_id) AS root FROM session_event e LEFT JOIN top t ON t.node = e.session_id),
+ tnum AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY ts, event_id) AS g,
+   sum(CASE WHEN event_name = 'Stop' AND session_id = root THEN 1 ELSE 0 END) OVER (PARTITION BY root ORDER BY ts, event_id) AS i FROM rooted),
+ tstop AS (SELECT root, i, LEAST(min(g - 200 * i) OVER (PARTITION BY root ORDER BY i), 0) + 200 * i AS hi FROM tnum WHERE event_name = 'Stop' AND session_id = root),
+ tspan AS (SELECT root, i AS window_no, hi, coalesce(lag(hi) OVER (PARTITION BY root ORDER BY i), 0) AS lo FROM tstop),
+ twin AS (SELECT n.root, n.session_id, n.event_id, CAST(s.window_no AS BIGINT) AS window_no FROM tnum n JOIN tspan s ON s.root = n.root AND n.g > s.lo AND n.g <= s.hi)
+"""
+
+
+@query("tree_stop_windows", rows="S6 R3", uses="session session_event", recursive=True, oracle=f"WITH {TREE_SQL}, {ROOTED_SQL} SELECT root AS root_session_id, session_id, window_no, event_id FROM twin")
+def tree_stop_windows(t: Tables):
+    return windows.tree_windows(t.session_event, _tops(t)).filter("window_no IS NOT NULL").select("root_session_id", "session_id", "window_no", "event_id")
+
+
 @query("window_ledger", rows="S8 S9 P3", uses="session_event", oracle=f"""WITH {WINDOWS_SQL},
  d AS (SELECT window_id, session_id, project_id, count(*) AS event_count, epoch_us(min(ts)) AS started_at, epoch_us(max(ts)) AS ended_at,
    substr(sha1(string_agg(CAST(event_id AS VARCHAR), chr(10) ORDER BY ts, event_id)), 1, 16) AS digest FROM win GROUP BY window_id, session_id, project_id)
@@ -230,12 +256,6 @@ def _tree(t: Tables):
     return windows.closure(t.session.select(F.col("parent_session_id").alias("parent"), F.col("session_id").alias("child")))
 
 
-TREE_SQL = """
- tree AS (SELECT session_id AS ancestor, session_id AS node, 0 AS depth FROM session
-   UNION ALL SELECT s.parent_session_id, t.node, t.depth + 1 FROM tree t JOIN session s ON s.session_id = t.ancestor WHERE s.parent_session_id IS NOT NULL)
-"""
-
-
 @query("session_closure", rows="J3", uses="session", recursive=True, oracle=f"WITH {TREE_SQL} SELECT ancestor, node, depth FROM tree")
 def session_closure(t: Tables):
     return _tree(t).select("ancestor", "node", "depth")
@@ -317,6 +337,17 @@ def pair_tool_calls_by_id(t: Tables):
 ERR = "CASE WHEN k % 6 = 0 THEN 'connection refused by host ' || k WHEN k % 6 = 1 THEN 'Request timed out' ELSE 'syntax error near token ' || k % 13 END"
 
 
+@query("pair_tool_calls_mixed", rows="J1", uses="session_event", oracle=f"""WITH {PAIRS_SQL},
+ n AS (SELECT *, row_number() OVER (PARTITION BY window_id, k, event_name ORDER BY ts, event_id) AS r FROM win WHERE event_name IN ('PreToolUse', 'PostToolUse') AND k % 5 < 2)
+SELECT a.window_id, a.event_id AS pre_event_id, b.event_id AS post_event_id FROM n a LEFT JOIN n b
+ ON b.event_name = 'PostToolUse' AND a.window_id = b.window_id AND a.k = b.k AND a.r = b.r WHERE a.event_name = 'PreToolUse'
+UNION ALL SELECT p.window_id, pre_event_id, post_event_id FROM pairs p JOIN win w ON w.event_id = p.pre_event_id WHERE w.k % 5 >= 2""")
+def pair_tool_calls_mixed(t: Tables):
+    # Calls of two of the five tools carry ids, so most windows mix both sorts.
+    use = F.when(F.col("k") % 5 < 2, F.concat(F.lit("u"), F.col("k").cast("string")))
+    return pairing.pair_tool_calls(windowed(t).withColumn("tool_use_id", use), "window_id").select("window_id", "pre_event_id", "post_event_id")
+
+
 @query("durable_failures", rows="P7 P8 X4 X5", uses="session_event", oracle=f"""
 SELECT event_id, CASE WHEN tool_name LIKE 'mcp__memory__%' THEN substr(tool_name, 14) ELSE tool_name END AS tool_key, {ERR} AS error_text
 FROM session_event WHERE tool_error AND NOT is_interrupt AND k % 6 > 1""")

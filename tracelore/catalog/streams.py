@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelore.catalog.base import Tables, query
-from tracelore.catalog.events import CANON, WINDOWS_SQL, micros
+from tracelore.catalog.events import CANON, ROOTED_SQL, TREE_SQL, WINDOWS_SQL, micros
 from tracelore.catalog.recall import n
-from tracelore.operators import pairing
+from tracelore.operators import pairing, windows
 from tracelore.session import work_dir
 from tracelore.sources.adapters import stream_view
 from tracelore.streaming import jobs
@@ -45,6 +45,14 @@ def stream_windows(t: Tables):
     return t.spark.read.parquet(out).select("session_id", "window_no", "event_id")
 
 
+@query("stream_tree_windows", rows="R3", uses="session session_event", recursive=True, oracle=f"WITH {TREE_SQL}, {ROOTED_SQL} SELECT root AS session_id, window_no, event_id FROM twin")
+def stream_tree_windows(t: Tables):
+    out, state = places(t, "tree-windows")
+    tops = windows.roots(t.session.select(F.col("parent_session_id").alias("parent"), F.col("session_id").alias("child")))
+    jobs.run_to_end(jobs.windows_stream(source(t, "session_event"), out, state, tops=tops))
+    return t.spark.read.parquet(out).select("session_id", "window_no", "event_id")
+
+
 @query("stream_fixes", rows="R7 J2", uses="session_event", oracle=f"""WITH {WINDOWS_SQL},
  fails AS (SELECT * FROM win WHERE tool_error AND NOT is_interrupt AND k % 6 > 1),
  good AS (SELECT * FROM win WHERE event_name = 'PostToolUse' AND NOT (tool_error AND NOT is_interrupt))

@@ -109,6 +109,21 @@ def stop_windows(
     return placed.join(spans, hit, "left").select(*[placed[c] for c in events.columns], spans["window_no"])
 
 
+def in_trees(events: DataFrame, tops: DataFrame) -> DataFrame:
+    """Add ``root_session_id`` and ``closes``: a session's subagents, at any depth, belong to its root's work, and a Stop
+    of the root closes a window over all of it. ``tops``: (node, root); a session without a row is its own root."""
+    known = events.join(tops.select(F.col("node").alias("session_id"), F.col("root").alias("__root")), "session_id", "left")
+    root = F.coalesce("__root", "session_id")
+    return known.withColumn("root_session_id", root).withColumn("closes", (F.col("event_name") == "Stop") & (F.col("session_id") == root)).select(
+        *events.columns, "root_session_id", "closes"
+    )
+
+
+def tree_windows(events: DataFrame, tops: DataFrame, limit: int = params.EXTRACTION_WINDOW) -> DataFrame:
+    """``stop_windows`` over session trees: the events of a root session and of all its subagents are taken together."""
+    return stop_windows(in_trees(events, tops), limit, session="root_session_id", fires=F.col("closes"))
+
+
 def window_digest(windows: DataFrame, keys: list[str]) -> DataFrame:
     """Per window: digest of the ordered event ids, bounds, counts. A window holds at
     most its limit, so the id list is short."""

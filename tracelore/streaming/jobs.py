@@ -128,14 +128,18 @@ def chain_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return _start(events.select("session_id", "event_id", "ts"), checkpoint, sink)
 
 
-def windows_stream(events: DataFrame, path: str, checkpoint: str, limit: int = params.EXTRACTION_WINDOW) -> StreamingQuery:
+def windows_stream(
+    events: DataFrame, path: str, checkpoint: str, limit: int = params.EXTRACTION_WINDOW, tops: DataFrame | None = None
+) -> StreamingQuery:
     """Emit the events of every window a Stop closes. Events no window has taken are carried to
-    the next batch; a carried Stop has fired already and does not fire again."""
+    the next batch; a carried Stop has fired already and does not fire again. With ``tops`` (node, root) a window
+    takes the events of a whole session tree, and ``session_id`` of the output is the root's."""
     spark = events.sparkSession
+    placed_in = windows.in_trees(events, tops) if tops is not None else events.withColumn("root_session_id", F.col("session_id")).withColumn("closes", F.col("event_name") == "Stop")
     done = KeyedLog(spark, f"{path}_count", "session_id")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        todo = batch.withColumn("fires", F.col("event_name") == "Stop")
+        todo = batch.withColumnRenamed("closes", "fires")
         if batch_id > 0:
             carried = spark.read.parquet(f"{path}_open/batch={batch_id - 1:012d}")
             todo = todo.unionByName(carried.withColumn("fires", F.lit(False)))
@@ -154,7 +158,7 @@ def windows_stream(events: DataFrame, path: str, checkpoint: str, limit: int = p
         placed.filter("window_no IS NULL").drop("window_no", "fires").write.mode("overwrite").parquet(f"{path}_open/batch={batch_id:012d}")
         done.write(count, batch_id, "windows")
 
-    return _start(events.select("session_id", "event_id", "ts", "event_name"), checkpoint, sink)
+    return _start(placed_in.select(F.col("root_session_id").alias("session_id"), "event_id", "ts", "event_name", "closes"), checkpoint, sink)
 
 
 def sessions_stream(touches: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
