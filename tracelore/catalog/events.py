@@ -297,6 +297,17 @@ def echo_links(t: Tables):
     )
 
 
+@query("shortlist_flags", rows="J5", uses="session learning injected_in neighbour", recursive=True, oracle=f"""WITH {TREE_SQL}
+SELECT n.candidate_id, n.existing_id, EXISTS (SELECT 1 FROM tree t JOIN injected_in i ON i.session_id = t.node
+  WHERE t.ancestor = c.session_id AND i.learning_id = n.existing_id AND i.first_injected_at <= c.created_at) AS injected_this_session
+FROM neighbour n JOIN learning c ON c.id = n.candidate_id""")
+def shortlist_flags(t: Tables):
+    rows = t.neighbour.join(t.learning.select(F.col("id").alias("candidate_id"), "session_id", F.col("created_at").alias("at")), "candidate_id").select(
+        "candidate_id", "existing_id", F.col("existing_id").alias("learning_id"), "session_id", "at"
+    )
+    return windows.flag_injected(rows, _tree(t), t.injected_in).select("candidate_id", "existing_id", "injected_this_session")
+
+
 @query("injection_links", rows="J8", uses="session_event injection", oracle="""
 SELECT i.injection_id, i.learning_id, max_by(e.event_id, e.ts) AS event_id FROM injection i JOIN session_event e
  ON e.session_id = i.session_id AND e.event_name = i.hook_event AND e.ts BETWEEN i.injected_at - INTERVAL 120 SECOND AND i.injected_at

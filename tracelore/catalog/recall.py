@@ -270,3 +270,30 @@ def recent_observations(t: Tables):
     top = top_per_key(t.observation, ["project_id"], [F.col("ended_at").desc(), F.col("id").desc()], 3)
     totals = t.observation.groupBy("project_id").agg(F.count("*").alias("total"))
     return top.join(totals, "project_id").select("project_id", "id", n("rank"), "total")
+
+
+def _silent(t: Tables):
+    """Every other request asks nothing."""
+    return t.request.withColumn("query", F.when(F.col("request_id") % 2 == 1, F.col("query")))
+
+
+def _listing_sql(rows: str, row_id: str, key: str, latest: str, k: int) -> str:
+    return f"""WITH top AS (SELECT {key}, {row_id} AS r_id, row_number() OVER (PARTITION BY {key} ORDER BY {latest} DESC, {row_id}) AS rank FROM {rows} QUALIFY rank <= {k})
+SELECT r.request_id AS q_id, t.r_id, t.rank FROM request r JOIN top t USING ({key}) WHERE r.request_id % 2 = 0"""
+
+
+@query("user_listing", rows="V6", uses="request learning", oracle=_listing_sql(
+    f"(SELECT * FROM learning WHERE scope = 'user' AND NOT consolidated AND {LIVE})", "id", "user_id", "updated_at", 5))
+def user_listing(t: Tables):
+    rows = t.learning.filter(f"scope = 'user' AND NOT consolidated AND {LIVE}")
+    return recall.recent_listing(_silent(t), rows, "id", "user_id", F.col("updated_at"), 5).select("q_id", "r_id", n("rank"))
+
+
+@query("skill_listing", rows="V9", uses="request skill", oracle=_listing_sql("(SELECT * FROM skill WHERE status = 'approved')", "skill_id", "project_id", "updated_at", 5))
+def skill_listing(t: Tables):
+    return recall.recent_listing(_silent(t), t.skill.filter("status = 'approved'"), "skill_id", "project_id", F.col("updated_at"), 5).select("q_id", "r_id", n("rank"))
+
+
+@query("episode_listing", rows="V10 V7", uses="request observation", oracle=_listing_sql("observation", "id", "project_id", "ended_at", 5))
+def episode_listing(t: Tables):
+    return recall.recent_listing(_silent(t), t.observation, "id", "project_id", F.col("ended_at"), 5).select("q_id", "r_id", n("rank"))

@@ -190,6 +190,14 @@ def context_hits(requests: DataFrame, hits: DataFrame, fallback: DataFrame, key:
     return found.unionByName(filler)
 
 
+def recent_listing(requests: DataFrame, rows: DataFrame, row_id: str, key: str, latest: Column, limit: int) -> DataFrame:
+    """(q_id, r_id, rank): requests without words to search for list the newest rows of their key instead. The
+    newest rows are taken per key first, so a busy key costs ``limit`` rows per request."""
+    silent = requests.filter(F.trim(F.coalesce("query", F.lit(""))) == "").select(F.col("request_id").alias("q_id"), key)
+    newest = top_per_key(rows, [key], [latest.desc(), F.col(row_id).asc()], limit).select(key, F.col(row_id).alias("r_id"), "rank")
+    return silent.join(newest, key).select("q_id", "r_id", "rank")
+
+
 def suggest_skills(
     requests: DataFrame, skills: DataFrame, limit: int = 5, floor: float = params.SKILL_FLOOR, weight: float = 0.0,
 ) -> DataFrame:

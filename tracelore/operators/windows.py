@@ -184,6 +184,15 @@ def echo_pairs(links: DataFrame, tree: DataFrame, injected: DataFrame) -> DataFr
     ).distinct()
 
 
+def flag_injected(shortlist: DataFrame, tree: DataFrame, injected: DataFrame) -> DataFrame:
+    """Add ``injected_this_session`` to shortlist rows (learning_id, session_id, at): true where the fact had been
+    injected into the session or one of its subagents by ``at``, the end of the window."""
+    known = echo_pairs(shortlist, tree, injected).withColumn("injected_this_session", F.lit(True))
+    return shortlist.join(known, ["learning_id", "session_id", "at"], "left").select(
+        *shortlist.columns, F.coalesce("injected_this_session", F.lit(False)).alias("injected_this_session")
+    )
+
+
 def link_injections(injections: DataFrame, events: DataFrame, seconds: int = params.INJECTION_WINDOW_SECONDS) -> DataFrame:
     """Each injection with the newest matching hook event at most ``seconds`` before it.
 
