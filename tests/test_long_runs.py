@@ -161,3 +161,26 @@ def test_links_of_either_order_and_any_delay(spark):
     jobs.run_to_end(jobs.link_stream(read("i"), read("e"), f"{root}/out", f"{root}/state"))
     got = {(r.injection_id, r.event_id) for r in jobs.read_links(spark, f"{root}/out").collect()}
     assert got == {(1, 10), (2, 12), (3, 10)}
+
+
+def test_a_human_approval_brings_content_and_compiles(spark):
+    accepted = spark.createDataFrame(
+        [("p1", 1, "create", None, "deploy", "f1", T0, "Deploy", "how", "steps", ["x", "y", "x"], ["e"]), ("p2", 1, "ignore", None, None, "f2", T0, None, None, None, ["z"], [])],
+        "proposal_id string, project_id long, action string, skill_id string, slug string, fingerprint string, at timestamp, name string, description string, content string, derived_from array<string>, informed_by array<string>",
+    )
+    versions = spark.createDataFrame([], "skill_id string")
+    out = skills.write_proposals(accepted, versions, versions)
+    made = out["versions"].first()
+    assert (made.version_id, made.name, made.content, made.outcome) == ("skill:1:deploy:v1", "Deploy", "steps", "pending")
+    assert {(r.learning_id, r.kind) for r in out["provenance"].collect()} == {("x", "DERIVED_FROM"), ("y", "DERIVED_FROM"), ("e", "INFORMED_BY")}
+
+    skill = spark.createDataFrame([("skill:1:deploy", "candidate", None, True, None), ("other", "candidate", "old", True, [1.0])], "skill_id string, status string, content string, needs_revision boolean, embedding array<double>")
+    pending = out["versions"].withColumn("embedding", F.array(F.lit(2.0)))
+    learn = spark.createDataFrame([("x", False), ("q", False)], "id string, consolidated boolean")
+    acts = spark.createDataFrame([("skill:1:deploy", "edit_approve", "better steps"), ("other", "approve", None)], "skill_id string, action string, edited_content string")
+    derived = spark.createDataFrame([], "skill_id string, learning_id string")
+    got = skills.human_skill_decisions(acts, skill, pending, derived, out["provenance"].filter("kind = 'DERIVED_FROM'").select("version_id", "learning_id"), learn, F.lit(T0))
+    rows = {r.skill_id: r for r in got["skills"].collect()}
+    assert (rows["skill:1:deploy"].status, rows["skill:1:deploy"].content, rows["skill:1:deploy"].name, rows["skill:1:deploy"].embedding) == ("approved", "better steps", "Deploy", [2.0])
+    assert (rows["other"].status, rows["other"].content, rows["other"].embedding) == ("candidate", "old", [1.0])  # nothing is pending there
+    assert {r.id: r.compiled_skill_id for r in got["learning"].collect()} == {"x": "skill:1:deploy", "q": None}

@@ -224,10 +224,17 @@ def review_queue(skills: DataFrame, versions: DataFrame, sources: DataFrame, lea
     )
 
 
+CONTENT = ("name", "description", "content", "embedding")
+SOURCES = {"derived_from": "DERIVED_FROM", "informed_by": "INFORMED_BY"}
+
+
 def write_proposals(accepted: DataFrame, versions: DataFrame, skills: DataFrame) -> dict[str, DataFrame]:
     """Sound proposals to rows: creates upsert a candidate skill, both add a pending version
     numbered after the existing ones, ignores become audit rows. ``accepted``: (proposal_id,
-    project_id, action, skill_id (updates), slug, fingerprint, at)."""
+    project_id, action, skill_id (updates), slug, fingerprint, at, and where given name, description, content,
+    embedding, which the version carries, and derived_from, informed_by, lists of learning ids that become
+    provenance rows (version_id, skill_id, learning_id, kind))."""
+    carried = [c for c in CONTENT if c in accepted.columns]
     skill_id = F.when(F.col("action") == "create", F.concat_ws(":", F.lit("skill"), F.col("project_id").cast("string"), "slug")).otherwise(F.col("skill_id").cast("string"))
     rows = accepted.withColumn("skill_id", skill_id)
     count = versions.groupBy(F.col("skill_id").cast("string").alias("skill_id")).agg(F.count("*").alias("__n"))
@@ -236,13 +243,24 @@ def write_proposals(accepted: DataFrame, versions: DataFrame, skills: DataFrame)
     nth = F.expr("row_number() OVER (PARTITION BY skill_id ORDER BY at, proposal_id)")
     made = todo.withColumn("version", F.coalesce("__n", F.lit(0)) + nth).select(
         F.concat(F.col("skill_id"), F.lit(":v"), F.col("version").cast("string")).alias("version_id"), "skill_id", "project_id", "version",
-        F.col("action").alias("proposal_action"), "fingerprint", F.lit("pending").alias("outcome"), "proposal_id",
+        F.col("action").alias("proposal_action"), "fingerprint", F.lit("pending").alias("outcome"), "proposal_id", *carried,
+        *[c for c in SOURCES if c in accepted.columns],
     )
+    # A proposal's lists hold members of one group, which is bounded.
+    none = made.select("version_id", "skill_id", F.lit(None).cast("string").alias("learning_id"), F.lit("").alias("kind")).limit(0)
+    origin = [
+        made.select("version_id", "skill_id", F.explode(F.array_distinct(c).cast("array<string>")).alias("learning_id"), F.lit(kind).alias("kind"))
+        for c, kind in SOURCES.items() if c in accepted.columns
+    ]
+    made = made.drop(*SOURCES)
     new = rows.filter("action = 'create'").groupBy("skill_id", "project_id", "slug").agg(F.min("at").alias("created_at")).withColumn("status", F.lit("candidate"))
     audit = rows.filter("action = 'ignore'").groupBy(
         F.concat_ws(":", F.lit("skillaudit"), F.col("project_id").cast("string"), "fingerprint").alias("audit_id"), "project_id", "fingerprint"
     ).agg(F.max("at").alias("updated_at"))
-    return {"versions": made, "skills": new, "audits": audit}
+    provenance = none
+    for part in origin:
+        provenance = part if provenance is none else provenance.unionByName(part)
+    return {"versions": made, "skills": new, "audits": audit, "provenance": provenance}
 
 
 def route_proposals(versions: DataFrame, skills: DataFrame, verdicts: DataFrame, mode: str = "auto") -> DataFrame:
@@ -256,6 +274,20 @@ def route_proposals(versions: DataFrame, skills: DataFrame, verdicts: DataFrame,
     return rows.select("version_id", "skill_id", "project_id", "version", "skill_status", "created_at", route.alias("route"), reason.alias("reason"))
 
 
+def compiled(learnings: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
+    """Learnings that a live version draws on are marked as compiled into its skill; the rest stay. ``sources``: (learning_id, skill_id)."""
+    used = sources.groupBy(F.col("learning_id").alias("id")).agg(F.max("skill_id").alias("__skill"))
+    had = [F.col(c) for c in ("compiled_skill_id",) if c in learnings.columns]
+    since = [F.col(c) for c in ("compiled_at",) if c in learnings.columns]
+    return learnings.join(used, "id", "left").withColumns(
+        {
+            "consolidated": F.col("consolidated") | F.col("__skill").isNotNull(),
+            "compiled_skill_id": F.coalesce("__skill", *had),
+            "compiled_at": F.coalesce(*since, F.when(F.col("__skill").isNotNull(), now)),
+        }
+    ).drop("__skill")
+
+
 def apply_routes(routes: DataFrame, versions: DataFrame, skills: DataFrame, sources: DataFrame, learnings: DataFrame, now: Column) -> dict[str, DataFrame]:
     """Effects of routing: activated versions become the skill's content and compile their
     sources, passed ones stay pending, blocked creates become tombstones. Several activations
@@ -287,36 +319,40 @@ def apply_routes(routes: DataFrame, versions: DataFrame, skills: DataFrame, sour
             "needs_revision": F.when(live, F.lit(False)).otherwise(F.col("needs_revision")),
         }
     ).withColumn("embedding", F.when(dead, None).otherwise(F.col("embedding"))).drop("__live", "__blocked", *[f"__to_{c}" for c in content])
-    used = sources.join(routes.filter("route = 'activate'").select("version_id", "skill_id"), "version_id").groupBy(F.col("learning_id").alias("id")).agg(
-        F.max("skill_id").alias("__skill")
-    )
-    keep = [c for c in ("compiled_at",) if c in learnings.columns]
-    done = learnings.join(used, "id", "left").withColumns(
-        {
-            "consolidated": F.col("consolidated") | F.col("__skill").isNotNull(),
-            "compiled_skill_id": F.coalesce("__skill", *[F.col(c) for c in ("compiled_skill_id",) if c in learnings.columns]),
-            "compiled_at": F.coalesce(*keep, F.when(F.col("__skill").isNotNull(), now)),
-        }
-    ).drop("__skill")
+    done = compiled(learnings, sources.join(routes.filter("route = 'activate'").select("version_id", "skill_id"), "version_id"), now)
     return {"versions": v, "skills": s, "learning": done}
 
 
-def human_skill_decisions(decisions: DataFrame, skills: DataFrame, versions: DataFrame, derived: DataFrame) -> dict[str, DataFrame]:
-    """approve, edit_approve, reject (newest pending version), retire. Returns skills, versions,
-    freed (skill_id of rejected candidates, whose source links go) and recalled (learning_id no
-    other live skill serves any more). ``decisions``: (skill_id, action)."""
+def human_skill_decisions(
+    decisions: DataFrame, skills: DataFrame, versions: DataFrame, derived: DataFrame,
+    sources: DataFrame | None = None, learnings: DataFrame | None = None, now: Column | None = None,
+) -> dict[str, DataFrame]:
+    """approve, edit_approve, reject (newest pending version), retire. An approved version's name, description, content and
+    embedding become the skill's, an edit (``edited_content``) before the version's own; with ``sources``
+    (version_id, learning_id) and ``learnings`` the version's sources are compiled. Returns skills, versions,
+    freed (skill_id of rejected candidates, whose source links go), recalled (learning_id no
+    other live skill serves any more) and learning. ``decisions``: (skill_id, action)."""
     newest = versions.filter("outcome = 'pending'").groupBy("skill_id").agg(F.max("version").alias("__v"))
     d = decisions.join(skills.select("skill_id", "status"), "skill_id").join(newest, "skill_id", "left")
     ok = d.filter(F.when(F.col("action") == "retire", F.col("status") == "approved").otherwise(F.col("__v").isNotNull()))
     yes = F.col("action").isin("approve", "edit_approve")
-    s = skills.join(ok.select("skill_id", "action", "__v"), "skill_id", "left")
+    carried = [c for c in CONTENT if c in versions.columns]
+    taken = versions.select("skill_id", F.col("version").alias("__v"), *[F.col(c).alias(f"__to_{c}") for c in carried])
+    edited = ["edited_content"] if "edited_content" in decisions.columns else []
+    s = skills.join(ok.select("skill_id", "action", "__v", *edited).join(taken, ["skill_id", "__v"], "left"), "skill_id", "left")
+    brought = {c: F.when(yes, F.col(f"__to_{c}")) for c in carried}
+    if edited:
+        brought["content"] = F.when(yes, F.coalesce(F.when(F.col("action") == "edit_approve", F.col("edited_content")), brought.get("content")))
     status = F.when(yes, "approved").when(F.col("action") == "retire", "retired").when(
         (F.col("action") == "reject") & (F.col("status") == "candidate"), "rejected"
     ).otherwise(F.col("status"))
     after = s.select(
-        *[c for c in skills.columns if c not in ("status", "needs_revision", "embedding", "version")], status.alias("status"),
+        *[c for c in skills.columns if c not in ("status", "needs_revision", "embedding", "version", *brought)], status.alias("status"),
+        *[F.coalesce(v, *[F.col(c) for c in (c,) if c in skills.columns]).alias(c) for c, v in brought.items() if c != "embedding"],
         F.when(yes, F.lit(False)).when(F.col("action") == "retire", None).otherwise(F.col("needs_revision")).alias("needs_revision"),
-        F.when(status.isin("retired", "rejected") & F.col("action").isNotNull(), None).otherwise(F.col("embedding")).alias("embedding"),
+        F.when(status.isin("retired", "rejected") & F.col("action").isNotNull(), None).otherwise(
+            F.coalesce(brought["embedding"], "embedding") if "embedding" in brought else F.col("embedding")
+        ).alias("embedding"),
         F.coalesce(F.when(yes, F.col("__v")), *[F.col(c) for c in ("version",) if c in skills.columns]).alias("version"),
     )
     settled = ok.filter("action <> 'retire'").select("skill_id", F.col("__v").alias("version"), F.when(F.col("action") == "reject", "rejected").otherwise("accepted").alias("__o"))
@@ -324,7 +360,11 @@ def human_skill_decisions(decisions: DataFrame, skills: DataFrame, versions: Dat
     freed = ok.filter("action = 'reject' AND status = 'candidate'").select("skill_id")
     still = derived.join(after.filter("status = 'approved'").select("skill_id"), "skill_id", "left_semi").select("learning_id")
     back = derived.join(ok.filter("action = 'retire'").select("skill_id"), "skill_id", "left_semi").select("learning_id").distinct().join(still, "learning_id", "left_anti")
-    return {"skills": after, "versions": v, "freed": freed, "recalled": back}
+    out = {"skills": after, "versions": v, "freed": freed, "recalled": back}
+    if sources is not None and learnings is not None:
+        live = ok.filter(yes).select("skill_id", F.col("__v").alias("version")).join(versions.select("skill_id", "version", "version_id"), ["skill_id", "version"])
+        out["learning"] = compiled(learnings, sources.join(live, "version_id"), now)
+    return out
 
 
 def live_catalogue(skills: DataFrame, limit: int = 20) -> DataFrame:
