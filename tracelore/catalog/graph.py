@@ -232,7 +232,14 @@ def _applied(t: Tables):
     tags = t.tagged.select("learning_id", "pattern_id")
     links = t.tagged.select("pattern_id", "session_id").distinct()
     aliases = t.pattern_alias.select("id", "label")
-    return patterns.apply_merges(t.accepted_merge, t.pattern, tags, links, aliases, F.lit("2024-03-01").cast("timestamp"))
+    return patterns.apply_merges(t.accepted_merge, t.pattern, tags, links, aliases, F.lit("2024-03-01").cast("timestamp"), t.learning)
+
+
+@query("merged_labels", rows="G10", uses="learning pattern accepted_merge tagged", oracle="""
+WITH moved AS (SELECT t.learning_id, min_by(p.text, m.target) AS label FROM tagged t JOIN accepted_merge m ON m.source = t.pattern_id JOIN pattern p ON p.id = m.target GROUP BY 1)
+SELECT l.id, coalesce(m.label, l.task_pattern) AS task_pattern FROM learning l LEFT JOIN moved m ON m.learning_id = l.id""")
+def merged_labels(t: Tables):
+    return _applied(t)["learning"].select("id", "task_pattern")
 
 
 @query("merged_tags", rows="G10", uses="accepted_merge tagged", oracle="""

@@ -393,11 +393,16 @@ def observation_chain(t: Tables):
 
 
 @query("episode_detail", rows="J17", uses="observation produced learning", oracle="""
-SELECT id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id, (SELECT string_agg(DISTINCT CAST(p.learning_id AS VARCHAR), ',') FROM produced p WHERE p.session_id = o.session_id AND kind = 'NONE') AS none_,
- (SELECT count(DISTINCT learning_id) FROM produced p WHERE p.session_id = o.session_id) AS n_produced FROM observation o WINDOW w AS (PARTITION BY project_id ORDER BY ended_at, id)""")
+WITH o AS (SELECT id, session_id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM observation WINDOW w AS (PARTITION BY project_id ORDER BY ended_at, id)),
+ f AS (SELECT DISTINCT p.session_id, l.id AS learning_id, md5(substr(l.text, 1, 200)) AS text, l.status, l.scope FROM produced p JOIN learning l ON l.id = p.learning_id)
+SELECT o.id, prev_id, next_id, f.learning_id, f.text, f.status, f.scope FROM o LEFT JOIN f USING (session_id)""")
 def episode_detail(t: Tables):
-    rows = audit.episode_detail(audit.observation_chain(t.observation), t.produced, t.learning)
-    return rows.select("id", "prev_id", "next_id", F.lit(None).cast("string").alias("none_"), F.greatest(F.coalesce(F.size("produced"), F.lit(0)), F.lit(0)).cast("long").alias("n_produced"))
+    # One processing run per session here.
+    runs = t.observation.select(F.col("session_id").alias("processing_id"), F.col("id").alias("observation_id"))
+    facts = audit.episode_facts(runs, t.produced.withColumnRenamed("session_id", "processing_id"), t.learning)
+    return audit.episode_detail(audit.observation_chain(t.observation), facts).select(
+        "id", "prev_id", "next_id", "learning_id", F.md5("text").alias("text"), "status", "scope"
+    )
 
 
 @query("timeline_page", rows="W11 J17", uses="observation", oracle="""

@@ -137,13 +137,19 @@ def observation_chain(observations: DataFrame) -> DataFrame:
     return neighbours(rows, ["project_id"], ["ts", "id"], time_slice(F.col("ts"), 24 * HOUR), "id").withColumn("is_latest", F.col("next_id").isNull())
 
 
-def episode_detail(chain: DataFrame, produced: DataFrame, learnings: DataFrame) -> DataFrame:
-    """Every episode with its neighbours and the facts its session's run produced (a run
-    yields three at most)."""
-    made = produced.join(learnings.select(F.col("id").alias("learning_id"), "status"), "learning_id").groupBy("session_id").agg(
-        F.array_sort(F.collect_set("learning_id")).alias("produced")
-    )
-    return chain.join(made, "session_id", "left")
+def episode_facts(runs: DataFrame, produced: DataFrame, learnings: DataFrame) -> DataFrame:
+    """(id, learning_id, text, status, scope): what the processing runs that wrote an episode produced or updated, text
+    cut to 200 characters. ``runs``: (processing_id, observation_id); ``produced``: (processing_id, learning_id)."""
+    facts = learnings.select(F.col("id").alias("learning_id"), F.substring("text", 1, 200).alias("text"), "status", "scope")
+    return runs.select("processing_id", F.col("observation_id").alias("id")).join(produced.select("processing_id", "learning_id"), "processing_id").select(
+        "id", "learning_id"
+    ).distinct().join(facts, "learning_id").select("id", "learning_id", "text", "status", "scope")
+
+
+def episode_detail(chain: DataFrame, facts: DataFrame) -> DataFrame:
+    """Every episode with its neighbours and one row per fact of its runs (``episode_facts``); null facts where
+    there are none."""
+    return chain.join(facts, "id", "left")
 
 
 # The lines of a context pack.

@@ -112,9 +112,10 @@ def guard_skills(merge_members: DataFrame, feeds: DataFrame) -> DataFrame:
     return spans.withColumn("refused", F.col("skills") > 1)
 
 
-def apply_merges(merges: DataFrame, patterns: DataFrame, tags: DataFrame, links: DataFrame, aliases: DataFrame, now) -> dict[str, DataFrame]:
+def apply_merges(merges: DataFrame, patterns: DataFrame, tags: DataFrame, links: DataFrame, aliases: DataFrame, now, learnings: DataFrame | None = None) -> dict[str, DataFrame]:
     """State after merges (target, source, pos): tags and links move to the survivor, sources
-    become tombstones, the survivor takes over their labels as aliases."""
+    become tombstones, the survivor takes over their labels as aliases. With ``learnings`` the label text
+    of the facts that moved becomes the survivor's; a fact with several takes the smallest target."""
     target = merges.select(F.col("source").alias("pattern_id"), "target")
     moved = tags.join(target, "pattern_id", "left").select("learning_id", F.coalesce("target", "pattern_id").alias("pattern_id")).distinct()
     seen = links.join(target, "pattern_id", "left").select(F.coalesce("target", "pattern_id").alias("pattern_id"), "session_id").distinct()
@@ -127,7 +128,13 @@ def apply_merges(merges: DataFrame, patterns: DataFrame, tags: DataFrame, links:
             "reviewed_at": F.when(F.col("__kept"), now).otherwise(F.col("reviewed_at") if "reviewed_at" in patterns.columns else F.lit(None).cast("timestamp")),
         }
     ).drop("__to", "__kept")
-    return {"tags": moved, "links": seen, "patterns": state, "aliases": merged_aliases(merges, patterns, aliases)}
+    out = {"tags": moved, "links": seen, "patterns": state, "aliases": merged_aliases(merges, patterns, aliases)}
+    if learnings is not None:
+        label = tags.join(target, "pattern_id").join(patterns.select(F.col("id").alias("target"), F.col("text").alias("__label")), "target").groupBy(
+            F.col("learning_id").alias("id")
+        ).agg(F.min_by("__label", "target").alias("__label"))
+        out["learning"] = learnings.join(label, "id", "left").withColumn("task_pattern", F.coalesce("__label", "task_pattern")).drop("__label")
+    return out
 
 
 def merged_aliases(merges: DataFrame, patterns: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -203,16 +203,16 @@ def suggest_skills(
 ) -> DataFrame:
     """Live skills of the request's project above the floor, by cosine times salience, then slug."""
     rows = skills.filter((F.col("status") == "approved") & F.col("slug").isNotNull())
-    # The floor is the only cut before ranking, so ask for every row above it: k is the
-    # size of the catalogue, which the floor thins inside each block.
-    hits = nearest_above(requests, rows, ["project_id"], floor)
+    hits = nearest_above(requests, rows, ["project_id"], floor, limit, weight)
     hits = hits.join(rows.select(F.col("skill_id").alias("r_id"), "slug", "salience"), "r_id").withColumn(
         "ranked", F.col("cos") * (1.0 + weight * F.coalesce("salience", F.lit(0.0)))
     )
     return top_per_key(hits, ["q_id"], [F.round("ranked", 6).desc(), F.col("slug").asc()], limit)
 
 
-def nearest_above(requests: DataFrame, rows: DataFrame, keys: Sequence[str], floor: float, row_id: str = "skill_id") -> DataFrame:
+def nearest_above(requests: DataFrame, rows: DataFrame, keys: Sequence[str], floor: float, limit: int, weight: float, row_id: str = "skill_id") -> DataFrame:
+    """Pairs above the floor that may be among the ``limit`` best by cosine times (1 + weight x salience), salience from 0 to 1: in a
+    block, a row cannot be if even with full salience it stays below the block's limit-th cosine."""
     import numpy as np
 
     from tracelore.operators.similarity import BLOCK_ROWS, _search
@@ -220,7 +220,11 @@ def nearest_above(requests: DataFrame, rows: DataFrame, keys: Sequence[str], flo
     bar = (1.0 + floor) / 2.0
 
     def pick(cos, q_ids, r_ids):
-        return np.nonzero(np.round((1.0 + cos) / 2.0, 7) >= bar)
+        near = np.round((1.0 + cos) / 2.0, 7) >= bar
+        if cos.shape[1] > limit:
+            last = np.partition(cos, -limit, axis=1)[:, -limit][:, None]
+            near &= (cos * (1.0 + weight) >= last - 2e-6) | (last <= 0)
+        return np.nonzero(near)
 
     return _search(requests, rows, keys, "request_id", row_id, "vector", "embedding", BLOCK_ROWS, pick)
 
