@@ -184,3 +184,27 @@ def test_a_human_approval_brings_content_and_compiles(spark):
     assert (rows["skill:1:deploy"].status, rows["skill:1:deploy"].content, rows["skill:1:deploy"].name, rows["skill:1:deploy"].embedding) == ("approved", "better steps", "Deploy", [2.0])
     assert (rows["other"].status, rows["other"].content, rows["other"].embedding) == ("candidate", "old", [1.0])  # nothing is pending there
     assert {r.id: r.compiled_skill_id for r in got["learning"].collect()} == {"x": "skill:1:deploy", "q": None}
+
+
+def test_tree_windows_in_many_batches_equal_one(spark):
+    parents = {3: 0, 4: 0, 5: 4, 6: 1}
+    edges = spark.createDataFrame([(c, parents.get(c)) for c in range(7)], "child long, parent long")
+    tops = windows.roots(edges)
+    rows = [(i % 7, i, T0 + timedelta(minutes=i), "Stop" if i % 11 == 0 else "PostToolUse") for i in range(300)]
+    schema = "session_id long, event_id long, ts timestamp, event_name string"
+    batch = {(r.event_id, r.window_no) for r in windows.tree_windows(spark.createDataFrame(rows, schema), tops, 9).filter("window_no is not null").collect()}
+    top = {0: 0, 3: 0, 4: 0, 5: 0, 1: 1, 6: 1, 2: 2}
+    waiting, number, want = {}, {}, set()
+    for session, event, _, name in rows:
+        root = top[session]
+        waiting.setdefault(root, []).append(event)
+        if name == "Stop" and session == root:
+            number[root] = number.get(root, 0) + 1
+            want |= {(e, number[root]) for e in waiting[root][:9]}
+            waiting[root] = waiting[root][9:]
+    assert batch == want
+    folder = work_dir(spark, "tree").removeprefix("file:")
+    files(spark, f"{folder}/in", [rows[i: i + 60] for i in range(0, 300, 60)], schema)
+    stream = jobs.read_folder(spark, f"{folder}/in", "*.parquet", per_trigger=1)
+    jobs.run_to_end(jobs.windows_stream(stream, f"{folder}/out", f"{folder}/state", 9, tops))
+    assert {(r.event_id, r.window_no) for r in spark.read.parquet(f"{folder}/out").collect()} == want
