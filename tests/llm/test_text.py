@@ -57,7 +57,8 @@ PAGES = [
     ("<article><p title='a>b'>x</p><p hidden>no</p><div id=\"cookie-banner\">no</div><p style='display:none'>no</p></article>", "x"),
     ("<body><div><a href=1>Home</a> <a href=2>About us and more of the things that we do</a></div><div>" + "The cat sat on the mat and it was happy with the sun in the garden. " * 4 + "</div><p>Short end.</p><div class=sidebar>" + "the of and " * 40 + "</div></body>",
      ("The cat sat on the mat and it was happy with the sun in the garden. " * 4).strip() + " Short end."),
-    ("<article><ul><li>a<li>b</ul><table><tr><td>1<td>2</table></article>", "a b 1 2"), ("<main><p>in main</main><article><p>second root</article>", "in main second root"), ("<" * 50, ""), ("<article>a < b <3</article>", "a < b <3"),
+    ("<body><div class='site-header'>S</div><div class='content with-sidebar'><article class='post has-comments'><div class='article-header'><h2>Head</h2></div><p>Text.</p><article class='comment'><p>Nice</p></article></article></div></body>", "Head Text."),
+    ("<body><div class='overlay'><article><p>all of it</p></article></div></body>", "all of it"), ("<article><p>a<div class=adBanner>x</div><p>b<p class=additional>c</article>", "a b c"), ("<article><ul><li>a<li>b</ul><table><tr><td>1<td>2</table></article>", "a b 1 2"), ("<main><p>in main</main><article><p>second root</article>", "in main second root"), ("<" * 50, ""), ("<article>a < b <3</article>", "a < b <3"),
 ]
 
 

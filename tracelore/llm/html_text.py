@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelore.llm.base import in_text_batches
+
 # Elements and words.
 SKIPPED = frozenset("nav footer aside form script style noscript template svg math button select textarea iframe object canvas audio video head title dialog menu".split())
 RAW = frozenset("script style noscript template svg textarea iframe title math".split())
@@ -32,8 +34,11 @@ CLOSES_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thea
 ROOTS = frozenset(("article", "main"))
 BOILERPLATE = frozenset(
     "ad ads advert advertisement adverts adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu menubar modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related "
+    "alert copyright disclaimer login masthead outbrain overlay popular recommended recommendations search signup taboola trending "
     "share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets toc respond responses replies".split()
 )
+#: Of a layout that has such a part (``with-sidebar``), not of the part itself.
+LAYOUT = frozenset("with without has no is".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form toolbar".split())
 STOP_WORDS = frozenset(
     "the of and a to in is that for it on as with was by at from this are be or an not have has but they he she his her their we you "
@@ -61,7 +66,7 @@ class Block:
     label: bool | None = None
 
 
-def _boilerplate(name: str, attributes: str, rooted: bool) -> bool:
+def _boilerplate(name: str, attributes: str, rooted: bool, by_class: bool) -> bool:
     if name in SKIPPED or (name == "header" and not rooted):
         return True
     for m in ATTRIBUTE.finditer(attributes):
@@ -72,13 +77,16 @@ def _boilerplate(name: str, attributes: str, rooted: bool) -> bool:
             return True
         if key == "role" and value.lower() in ROLES:
             return True
-        if key in ("class", "id") and name not in ("html", "body", "main") and not BOILERPLATE.isdisjoint(re.split(r"[^a-z0-9]+", CAMEL.sub("-", value).lower())):
-            return True
+        if by_class and key in ("class", "id") and name not in ("html", "body", "main"):
+            for label in value.split():
+                words = set(re.split(r"[^a-z0-9]+", CAMEL.sub("-", label).lower()))
+                if LAYOUT.isdisjoint(words) and (not BOILERPLATE.isdisjoint(words) or ("header" in words and not rooted)):
+                    return True
     return False
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks outside boilerplate elements, in page order, with their text."""
+def blocks_of(page: str, by_class: bool = True) -> list[Block]:
+    """Blocks outside boilerplate elements, in page order, with their text. Without ``by_class`` classes and ids tell nothing."""
     out, block = [], Block()
     stack: list[tuple[str, bool, bool]] = []  # open element, whether it is left out, whether it is or lies in a root
     at, links = 0, 0
@@ -154,7 +162,7 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
         above = stack[-1] if stack else ("", False, False)
-        skipped = above[1] or _boilerplate(name, attributes, above[2])
+        skipped = above[1] or _boilerplate(name, attributes, above[2], by_class)
         if name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>]|$)", re.IGNORECASE).search(page, at)
             if not stop:
@@ -206,7 +214,8 @@ def second_pass(labels: list[bool | None], default: list[bool]) -> list[bool]:
 
 
 def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
+    # A class on a wrapper of everything would leave nothing.
+    blocks = blocks_of(page or "") or blocks_of(page or "", False)
     if any(b.rooted for b in blocks):
         blocks = [b for b in blocks if b.rooted]
     labels = second_pass([first_pass(b) for b in blocks], [b.rooted for b in blocks])
@@ -220,4 +229,4 @@ def main_texts(pages: pd.Series) -> pd.Series:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of (page_id, url, html)."""
-    return pages.select("page_id", "url", main_texts("html").alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return in_text_batches(pages).select("page_id", "url", main_texts("html").alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
