@@ -50,6 +50,21 @@ def publish(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows, and bytes, of whole texts that go to a Python worker at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def in_text_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session's batches for Python workers no larger than texts allow: a worker holds a batch a few times over."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = conf.get(key, None)
+        if now is None or not str(now).isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def hash_share(*keys: str | Column, seed: int = 0) -> Column:
     """A number in (0, 1) that depends on the keys and the seed alone: the first 52 bits of an MD5."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys])

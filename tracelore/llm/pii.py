@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelore.llm.base import join_on, publish, whole
+from tracelore.llm.base import in_text_batches, join_on, publish, whole
 
 KINDS = ("email", "ip", "card", "phone", "found")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -154,7 +154,7 @@ def trusted_instances(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def personal_spans(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the text, base and all spans (k, start, end) of every row of (doc_id, text)."""
-    scanned = docs.select("doc_id", F.xxhash64(whole("text")).alias("digest"), scan("text").alias("s"))
+    scanned = in_text_batches(docs).select("doc_id", F.xxhash64(whole("text")).alias("digest"), scan("text").alias("s"))
     found = publish(scanned.select("doc_id", "digest", "s.base", "s.labelled"), "pii")
     labelled = found.filter(F.size("labelled") > 0).select("doc_id", "digest", F.inline("labelled"))
     hits = labelled.filter(~F.col("seed")).join(trusted_instances(labelled.select("pattern", "instance", "seed")), ["pattern", "instance"])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelore.llm.base import fresh, join_on, publish, whole
+from tracelore.llm.base import fresh, in_text_batches, join_on, publish, whole
 from tracelore.llm.components import Groups, components
 
 RADIUS = 3
@@ -160,7 +160,7 @@ def fingerprint_groups(printed: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id of every row."""
-    printed = publish(docs.select("doc_id", fingerprints("text").alias("fp")), "printed")
+    printed = publish(in_text_batches(docs).select("doc_id", fingerprints("text").alias("fp")), "printed")
     return printed.join(fingerprint_groups(printed), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -168,7 +168,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group, columns unchanged: the row with the smallest doc_id (null last), and of equal ids the smallest
     hash of the text; of rows equal in both, any one."""
     digest, copies = fresh(docs, "__digest"), fresh(docs, "__copies")
-    printed = publish(docs.select("doc_id", F.xxhash64(whole("text")).alias("digest"), fingerprints("text").alias("fp")).groupBy("doc_id", "digest", "fp").agg(F.count("*").alias("n")), "printed")
+    printed = publish(in_text_batches(docs).select("doc_id", F.xxhash64(whole("text")).alias("digest"), fingerprints("text").alias("fp")).groupBy("doc_id", "digest", "fp").agg(F.count("*").alias("n")), "printed")
     named = printed.join(fingerprint_roots(printed), "fp")
     kept = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n")).alias("k"))
     kept = publish(kept.select(F.col("k.doc_id").alias("doc_id"), F.col("k.digest").alias(digest), F.col("k.n").alias(copies)), "kept-rows")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelore.llm.base import fresh, hash_share, publish
+from tracelore.llm.base import fresh, hash_share, in_text_batches, publish
 
 #: Labelled rows that the model is fitted on, at most about so many: the fit costs the same at every size.
 FIT_ROWS = 20_000
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, fit_rows / max(1, marked.count()))
     chosen = marked.filter(hash_share("doc_id", seed=11) < share)
-    sample = publish(docs.select("doc_id", "text").join(publish(chosen, "toxic-ids"), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "toxic-sample")
+    sample = publish(in_text_batches(docs).select("doc_id", "text").join(publish(chosen, "toxic-ids"), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "toxic-sample")
     classes = {r["toxic"] for r in sample.select("toxic").distinct().collect()}  # 0 and 1
     if not {0, 1} <= classes:
         return DEFAULT
@@ -245,7 +245,7 @@ def with_scores(docs: DataFrame, grammar: Grammar, name: str = "score") -> DataF
             x = np.array([clause_evidence(t or "", automaton) for t in texts]).reshape(-1, len(OUTPUTS))
             yield pd.Series(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))))
 
-    return docs.withColumn(name, score("text"))
+    return in_text_batches(docs).withColumn(name, score("text"))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
