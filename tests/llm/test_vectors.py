@@ -92,3 +92,35 @@ def test_robust_pruning():
     near = v.robust_pruned(x, degree=3, alpha=1.2)
     assert near[0, 1] and not near[0, 0] and near.sum(axis=1).max() <= 3
     assert not near[3, 0]  # the nearer ones stand for it
+
+
+def test_floor_holds_at_every_width(spark, monkeypatch):
+    """An index that loses all small pairs: neither its width nor a large group of near copies with many links lets it pass."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=32)
+    rows = [(i, 0, (base + rng.normal(scale=0.01, size=32)).tolist()) for i in range(200)]
+    for i in range(200, 500, 2):
+        x = rng.normal(size=32)
+        rows += [(i, 0, x.tolist()), (i + 1, 0, (x + rng.normal(scale=0.01, size=32)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    whole, widths = v.index_links, []
+
+    def lossy(distinct, threshold, overlap, beam):
+        widths.append(overlap)
+        return whole(distinct, threshold, overlap, beam).filter("n >= 100 or a <> b")
+
+    monkeypatch.setattr(v, "index_links", lossy)
+    monkeypatch.setattr(v, "BLOCK", 150)
+    assert got(df) == brute(rows)
+    assert widths == [3, 6, 12, 24]
+
+
+def test_audit_without_enough_links_is_exact(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, 0, rng.normal(size=24).tolist()) for i in range(600)]
+    rows += [(600 + i, 0, [x + 0.001 for x in rows[i][2]]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    monkeypatch.setattr(v, "AUDIT", 8)
+    monkeypatch.setattr(v, "DRAWN", 64, raising=False)
+    monkeypatch.setattr(v, "index_links", lambda distinct, *_: distinct.selectExpr("cid as a", "cid as b", "m as n").limit(0))
+    assert got(df) == brute(rows)

@@ -6,8 +6,9 @@ robust-pruned graph; a node's adjacency lists from its overlapping cells are uni
 queries: a beam search walks greedily from the chunk's medoids (and from the query's own node where it is in the chunk), then expands
 every node in range to its neighbours until nothing new is in range. Chunk pairs of a cell are searched once, and a pair found in
 several cells counts in the first they share. Similarities are double-precision cosines of the stored vectors, so what is
-reported is exact; what may be missed is measured: ``recall`` compares a bounded sample of queries with brute force,
-and the index is rebuilt with a wider overlap and beam while that is below ``FLOOR``.
+reported is exact; what may be missed is measured: ``audit`` draws queries until ``AUDIT`` of them have links by brute force, and
+the index is rebuilt with a wider overlap and beam while ``recall`` over those is below ``FLOOR``. Where the widest is still below,
+or so few nodes have links that the audit can't judge, all products of a label's vectors are made.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link with
 nothing; vectors of unlike length never link; repeated rows count as other vectors; a null vec_id is no smallest id unless its
@@ -33,8 +34,10 @@ OVERLAP = 3
 #: Vectors that centres are fitted on, and centres in all: about so many reach the driver and the tasks.
 SAMPLE, MAX_CENTRES = 20_000, 4096
 DEGREE, ALPHA, BEAM, MEDOIDS = 24, 1.2, 32, 8
-#: Queries of the recall audit, and the recall below which the index is widened.
+#: Queries with links in the recall audit, and the recall below which the index is widened.
 AUDIT, FLOOR = 64, 0.97
+#: Queries that the audit draws at most, and nodes for which a block of exact products is made.
+DRAWN, BLOCK = 4096, 2048
 
 
 def nodes(vectors: DataFrame) -> DataFrame:
@@ -250,16 +253,26 @@ def index_links(distinct: DataFrame, threshold: float, overlap: int, beam: int)
     return publish(tree.unionByName(asks).groupBy(*key, "i", "j").applyInPandas(_search(threshold, beam), "a long, b long, n long"), "vector-links")
 
 
-def recall(distinct: DataFrame, found: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Found links over all links of about ``queries`` nodes, chosen by hash; every node is compared with them."""
+def audit(distinct: DataFrame, threshold: float, queries: int = AUDIT) -> DataFrame | None:
+    """(cid, want): nodes drawn by hash that have links, with all their links by brute force. More are drawn until ``queries`` of
+    them have links or the table is drawn whole; None where ``DRAWN`` nodes hold fewer."""
     total = distinct.count()
-    if not total:
-        return 1.0
-    asked = distinct.filter(hash_share("cid", seed=5) < min(1.0, queries / total)).select(F.col("label").cast("string").alias("label"), "dim", "cid", "m", "embedding").limit(4 * queries).collect()
+    drawn = queries
+    while True:
+        asked = distinct.filter(hash_share("cid", seed=5) < min(1.0, drawn / max(1, total))).select(F.col("label").cast("string").alias("label"), "dim", "cid", "embedding").collect()
+        want = publish(_links_of(distinct, asked, threshold), "audit")
+        if drawn >= total or want.count() >= queries:
+            return want
+        if drawn >= DRAWN:
+            return None
+        drawn = min(DRAWN, 8 * drawn)
+
+
+def _links_of(distinct: DataFrame, asked: list, threshold: float) -> DataFrame:
     by: dict[tuple[str, int], list] = {}
     for r in asked:
         by.setdefault((r["label"], r["dim"]), []).append(r)
-    ready = {k: (_unit([r["embedding"] for r in v]), [r["cid"] for r in v]) for k, v in by.items()}
+    ready = {k: (_unit([r["embedding"] for r in v]), np.array([r["cid"] for r in v])) for k, v in by.items()}
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -267,16 +280,91 @@ def recall(distinct: DataFrame, found: DataFrame, threshold: float, queries: int
             for key, at in pdf.groupby([pdf["label"].astype(str), "dim"]).indices.items():
                 if (key[0], int(key[1])) in ready:
                     q, names = ready[key[0], int(key[1])]
-                    part = pdf.iloc[at]
-                    hit = (q @ _unit(part["embedding"]).T >= threshold) & (np.array(names)[:, None] != part["cid"].to_numpy()[None, :])
-                    ids += names
-                    n += (hit @ part["m"].to_numpy()).tolist()
+                    for i in range(0, len(at), CHUNK):
+                        part = pdf.iloc[at[i: i + CHUNK]]
+                        hit = (q @ _unit(part["embedding"]).T >= threshold) & (names[:, None] != part["cid"].to_numpy()[None, :])
+                        links = hit @ part["m"].to_numpy()
+                        ids += names[links > 0].tolist()
+                        n += links[links > 0].tolist()
             yield pd.DataFrame({"cid": pd.Series(ids, dtype="int64"), "want": pd.Series(n, dtype="int64")})
 
-    want = distinct.mapInPandas(compare, "cid long, want long").groupBy("cid").agg(F.sum("want").alias("want"))
+    return distinct.mapInPandas(compare, "cid long, want long").groupBy("cid").agg(F.sum("want").alias("want"))
+
+
+def recall(distinct: DataFrame, found: DataFrame, threshold: float, queries: int = AUDIT, want: DataFrame | None = None) -> float:
+    """Mean share of its links that an audited node (``want``, by default drawn here) has in ``found``. Nodes are taken by the power
+    of two of their links and the lowest mean counts, so a large group of near copies doesn't hide the loss of small pairs."""
+    if want is None and (want := audit(distinct, threshold, queries)) is None:
+        return 0.0
     have = found.filter("a = b").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("have"))
-    row = want.join(have, "cid", "left").agg(F.sum("want").alias("want"), F.sum(F.least("want", F.coalesce("have", F.lit(0)))).alias("have")).first()
-    return 1.0 if not row["want"] else float(row["have"]) / float(row["want"])
+    share = F.least("want", F.coalesce("have", F.lit(0))) / F.col("want")
+    row = want.join(have, "cid", "left").groupBy(F.floor(F.log2("want"))).agg(F.avg(share).alias("mean")).agg(F.min("mean").alias("least")).first()
+    return 1.0 if row["least"] is None else float(row["least"])
+
+
+def _components(hit: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> np.ndarray:
+    """Chains through the linked ids of a block of products."""
+    out = []
+    seen = np.zeros(len(a_ids), dtype=bool)
+    open_cols = np.ones(len(b_ids), dtype=bool)
+    for r in np.nonzero(hit.any(axis=1))[0]:
+        if seen[r]:
+            continue
+        rows, ids = np.array([r]), []
+        while len(rows):
+            seen[rows] = True
+            cols = np.nonzero(hit[rows].any(axis=0) & open_cols)[0]
+            open_cols[cols] = False
+            ids += [a_ids[rows], b_ids[cols]]
+            rows = np.nonzero(hit[:, cols].any(axis=1) & ~seen)[0]
+        chain = np.unique(np.concatenate(ids))
+        out.append(np.column_stack([chain[:-1], chain[1:]]))
+    return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
+
+
+def _products(threshold: float):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = key[2:]
+        x = pdf[pdf["part"] == i]
+        y = x if i == j else pdf[pdf["part"] == j]
+        a_ids, b_ids = x["cid"].to_numpy(), y["cid"].to_numpy()
+        if len(x) and len(y):
+            hit = _unit(x["embedding"]) @ _unit(y["embedding"]).T >= threshold
+        else:
+            hit = np.zeros((len(x), len(y)), dtype=bool)
+        if i == j:
+            hit |= hit.T
+            np.fill_diagonal(hit, False)
+        links = [(a_ids, hit @ y["m"].to_numpy())]
+        if i != j:
+            links.append((b_ids, hit.T @ x["m"].to_numpy()))
+        chain = _components(hit, a_ids, b_ids)
+        ids, n = np.concatenate([k for k, _ in links]), np.concatenate([k for _, k in links])
+        res = pd.DataFrame({"a": np.concatenate([ids, chain[:, 0]]), "b": np.concatenate([ids, chain[:, 1]]), "n": np.concatenate([n, np.zeros(len(chain), dtype=np.int64)])})
+        return res[(res["n"] > 0) | (res["a"] != res["b"])]
+
+    return run
+
+
+def exact_links(distinct: DataFrame, threshold: float) -> DataFrame:
+    """As ``index_links``, by the products of all pairs of a label's blocks: nothing is missed, work grows with the square of a label."""
+    sizes = publish(distinct.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")), "label-sizes")
+    placed = distinct.join(sizes, ["label", "dim"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("label", "dim", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cid", "m", "embedding")
+    return publish(dealt.groupBy("label", "dim", "i", "j").applyInPandas(_products(threshold), "a long, b long, n long"), "vector-links")
+
+
+def all_links(distinct: DataFrame, threshold: float) -> DataFrame:
+    """Links of the narrowest index that passes the audit, or exact ones where none does or the audit finds too few links to judge."""
+    want = audit(distinct, threshold)
+    overlap, beam = OVERLAP, BEAM
+    while want is not None and overlap <= 8 * OVERLAP:
+        found = index_links(distinct, threshold, overlap, beam)
+        if recall(distinct, found, threshold, want=want) >= FLOOR:
+            return found
+        overlap, beam = 2 * overlap, 2 * beam
+    return exact_links(distinct, threshold)
 
 
 def vector_links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -285,12 +373,7 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     grouped = rows.filter("cid is not null").groupBy("cid").agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.count("*").alias("m"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("low"))
     stored = publish(grouped, "vectors")
     distinct = stored.drop("low")
-    overlap, beam = OVERLAP, BEAM
-    while True:
-        found = index_links(distinct, threshold, overlap, beam)
-        if overlap >= 8 * OVERLAP or recall(distinct, found, threshold) >= FLOOR:
-            break
-        overlap, beam = 2 * overlap, 2 * beam
+    found = all_links(distinct, threshold)
     counts = found.filter("a = b").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
     roots = components(found.filter("a <> b")).withColumnRenamed("node", "cid")
     named = stored.select("cid", "m", "low").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
