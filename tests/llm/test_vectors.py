@@ -124,3 +124,19 @@ def test_audit_without_enough_links_is_exact(spark, monkeypatch):
     monkeypatch.setattr(v, "DRAWN", 64, raising=False)
     monkeypatch.setattr(v, "index_links", lambda distinct, *_: distinct.selectExpr("cid as a", "cid as b", "m as n").limit(0))
     assert got(df) == brute(rows)
+
+
+def test_centres_sample_large_labels_only(spark, monkeypatch):
+    rows = [(i, 0 if i < 400 else 1 + i // 10, 2, 1, [1.0, i / 5000]) for i in range(3000)]
+    distinct = spark.createDataFrame(rows, "cid long, label int, dim int, m long, embedding array<double>")
+    frame, collected = type(distinct), []
+    collect = frame.collect
+
+    def spy(df):
+        out = collect(df)
+        collected.append(len(out))
+        return out
+
+    monkeypatch.setattr(frame, "collect", spy)
+    assert list(v.fit_centres(distinct)) == [("0", 2)]
+    assert max(collected) == 400

@@ -78,7 +78,9 @@ def fit_centres(distinct: DataFrame) -> dict[tuple[str, int], np.ndarray]:
         return {}
     total = sum(r["count"] for r in large)
     share = min(1.0, SAMPLE / total)
-    rows = distinct.filter(hash_share("cid", seed=3) < share).select(F.col("label").cast("string").alias("label"), "dim", "cid", "embedding").orderBy("cid").collect()
+    # Only vectors of the pairs that get centres come to the driver.
+    kept = distinct.sparkSession.createDataFrame([(r["label"], r["dim"]) for r in large], distinct.select("label", "dim").schema)
+    rows = distinct.join(kept, ["label", "dim"], "left_semi").filter(hash_share("cid", seed=3) < share).select(F.col("label").cast("string").alias("label"), "dim", "cid", "embedding").orderBy("cid").collect()
     picked: dict[tuple[str, int], list] = {}
     for r in rows:
         picked.setdefault((r["label"], r["dim"]), []).append(r["embedding"])
