@@ -90,6 +90,22 @@ def test_neighbours_decide_open_blocks():
     assert html_text.second_pass([None, None], [True, False]) == [True, False] and html_text.second_pass([], []) == []
 
 
+def test_pages_without_known_words():
+    """Short paragraphs only, other languages and scripts, tables and code, beside a menu of links."""
+    text = html_text.main_text
+    menu = "<div><a href=1>Start</a> <a href=2>Kontakt i inne strony tego serwisu dla czytelników</a></div>"
+    short = ["The cat sat on the mat.", "It was a sunny day in the garden and the birds sang.", "Then it rained."]
+    assert text("<body>" + "".join(f"<div>{x}</div>" for x in short)) == " ".join(short)
+    assert text("<body>" + menu + "".join(f"<div>{x}</div>" for x in short)) == " ".join(short)
+    polish = "Wczoraj wieczorem wiatr przewrócił stare drzewo przy drodze, więc strażacy przyjechali bardzo szybko i usunęli gałęzie z jezdni. " * 2
+    chinese = "昨天晚上大风吹倒了路边的一棵老树消防员很快赶到现场清理了道路上的树枝交通随后恢复正常" * 4
+    for said in (polish.strip(), chinese):
+        assert text(f"<body>{menu}<div>{said}</div><div>{said}</div></body>") == f"{said} {said}"
+    prose = ("The cat sat on the mat and it was happy with the sun in the garden. " * 3).strip()
+    code = "for row in range(10): print(row, total[row], limit[row], share[row])"
+    assert text(f"<body>{menu}<div>{prose}</div><pre>{code}</pre><div>Short end.</div></body>") == f"{prose} {code} Short end."
+
+
 def test_transducers():
     s = lambda x: "".join(toxicity.compose(list(x)))
     assert s("oNoIo") == "oNoio" and s("NooooI") == "NooooI" and s("ToI") == "ToJ" and s("IooT") == "JooT"

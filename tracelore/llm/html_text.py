@@ -2,8 +2,9 @@
 
 The page is cut into blocks at block-level tags. Menus, forms, scripts, adverts, notices, comments and the like are left out by
 their element, role or class. In the first pass stop-word density, length and link density decide blocks as content or
-boilerplate; short ones stay open. In the second pass an open block inherits the label of the nearest decided neighbour
-(content where both are as near). Where a page has an ``article`` or ``main`` element only blocks in it compete, and the thresholds
+boilerplate; short ones and those of few stop words stay open. In the second pass an open block inherits the label of the nearest
+decided neighbour (content where both are as near). Where no block is content by its words, long open blocks are, and where none is
+long all open ones are; only a text without any tag needs the words. Where a page has an ``article`` or ``main`` element only blocks in it compete, and the thresholds
 are mild; elsewhere they are strict.
 
 Null and empty pages give an empty text; broken, unclosed or cut-off markup is read as far as it goes; repeated rows are
@@ -187,9 +188,8 @@ def first_pass(block: Block) -> bool | None:
         return None
     words = [w.lower() for w in WORD.findall(block.text)]
     density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if n >= LONG[k] and density >= FEW_STOP_WORDS[k]:
-        return True
-    return None if density >= FEW_STOP_WORDS[k] else False
+    # Few stop words may also be a table, code or another language: left open.
+    return True if n >= LONG[k] and density >= FEW_STOP_WORDS[k] else None
 
 
 def second_pass(labels: list[bool | None], default: list[bool]) -> list[bool]:
@@ -218,7 +218,12 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "") or blocks_of(page or "", False)
     if any(b.rooted for b in blocks):
         blocks = [b for b in blocks if b.rooted]
-    labels = second_pass([first_pass(b) for b in blocks], [b.rooted for b in blocks])
+    labels = [first_pass(b) for b in blocks]
+    if True not in labels and any(m[3] for m in TAG.finditer(page or "")):
+        # Without known words length tells, and where nothing is long all that is open is content.
+        known = [len(b.text) >= LONG[not b.rooted] or None if label is None and not b.heading else label for b, label in zip(blocks, labels, strict=True)]
+        labels = known if True in known else [label is None for label in labels]
+    labels = second_pass(labels, [b.rooted for b in blocks])
     return " ".join(b.text for b, keep in zip(blocks, labels, strict=True) if keep)
 
 
