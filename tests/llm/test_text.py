@@ -50,6 +50,20 @@ def test_patterns_discover(spark):
     assert all(found[i].startswith("phone:") and "found" not in found[i] for i in range(8))
 
 
+def test_trust_settles(spark):
+    """A label with fewer than 80% seeds is not personal, one with 80% is; a chain of patterns is followed to its end."""
+    rows = [(f"mixed{share}", f"{share}v{i}", i < share) for share in (42, 79, 80) for i in range(100)]
+    rows += [("hop0", f"s{i}", True) for i in range(16)] + [("hop0", f"v1.{i}", False) for i in range(4)]
+    for hop in range(1, 8):
+        rows += [(f"hop{hop}", f"v{hop}.{i}", False) for i in range(4)] + [(f"hop{hop}", f"v{hop + 1}.0", False)]
+        rows += [(f"side{hop}", f"s{i}", True) for i in range(16)] + [(f"side{hop}", f"v{hop}.{i}", False) for i in range(1, 4)]
+    found = spark.createDataFrame(rows, "pattern string, instance string, seed boolean")
+    got = {(r["pattern"], r["instance"]) for r in pii.trusted_instances(found).collect()}
+    assert not any(p in ("mixed42", "mixed79") for p, _ in got)
+    assert {i for p, i in got if p == "mixed80"} == {f"80v{i}" for i in range(80, 100)}
+    assert ("hop7", "v8.0") in got
+
+
 PAGES = [
     (None, ""), ("", ""), ("plain &lt;text&gt; only", ""), ("<article><p>A&amp;B  <b>bold</b>\n x<br>y<p>second &eacute;</article>", "A&B bold x y second é"),
     ("<html><head><title>T</title></head><body><header>Site</header><nav><a href=x>m</a></nav><article><header><h1>Title here</h1></header><p>Body of text.</p><div class='comments'><p>First!</p></div><form>q</form></article><aside>s</aside><footer>f</footer>", "Title here Body of text."),

@@ -2,8 +2,9 @@
 
 Base kinds are found by their patterns. The label-like words before a find (``phone:``, ``contact number is``) are lexical
 patterns, and every identifier-like token after such words is an instance. Patterns and instances form a graph that
-Spark scores in rounds: a pattern is as reliable as the share of trusted instances that follow it, an instance as the most
-reliable of its patterns. Instances above ``TRUST`` that no base kind covers are reported as kind ``found``.
+Spark scores until nothing changes: a pattern is as reliable as the share of seeds and trusted instances among those that follow
+it, an instance as the most reliable of its patterns, and what reaches ``TRUST`` is trusted. Trusted instances that no base kind
+covers are reported as kind ``found``.
 
 Null texts are empty; empty texts have no spans; rows that repeat a (doc_id, text) get the same spans; texts are scanned whole, in
 linear time for runs of any length; an empty table gives an empty result; other columns are ignored.
@@ -31,7 +32,6 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Words that tie a label to the value after it, beside ``:``, ``=`` and ``#``.
 TIES = frozenset("is no no. nr nr. number num ist lautet est es número".split())
 TOKEN = re.compile(r"[^\s\"'<>(),;]{5,64}")
-ROUNDS = 3
 #: A pattern needs so many different trusted instances, and that score makes a pattern or an instance trusted.
 SUPPORT, TRUST = 3, 0.8
 
@@ -138,18 +138,21 @@ def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         })
 
 
-def trusted_instances(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def trusted_instances(found: DataFrame) -> DataFrame:
     """(pattern, instance) pairs to report, from rows (pattern, instance, seed). Both sides are counted once per pair, so a
-    pattern that copies repeat weighs no more; joins are on patterns and instances, sums are combined before they are dealt."""
+    pattern that copies repeat weighs no more; joins are on patterns and instances, sums are combined before they are dealt.
+    Trust only grows, so as many reliable patterns as in the round before are the same ones."""
     edges = publish(found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pattern-instances")
-    score = F.when(F.col("seed"), 1.0).otherwise(0.0)
-    state = edges.select("pattern", "instance", "seed", score.alias("trust"))
-    for _ in range(rounds):
-        patterns = state.groupBy("pattern").agg(F.avg("trust").alias("mean"), F.count(F.when(F.col("trust") >= TRUST, 1)).alias("support"))
-        reliable = publish(patterns.filter(F.col("support") >= SUPPORT).select("pattern", (F.col("mean") * F.col("support") / (F.col("support") + 0.25)).alias("reliable")), "patterns")
-        best = edges.join(reliable, "pattern").groupBy("instance").agg(F.max("reliable").alias("best"))
-        state = publish(edges.join(best, "instance", "left").select("pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("trust")), "instances")
-    return state.filter(~F.col("seed") & (F.col("trust") >= TRUST)).select("pattern", "instance")
+    state, known = edges.withColumn("trusted", F.col("seed")), 0
+    while True:
+        patterns = state.groupBy("pattern").agg(F.avg(F.col("trusted").cast("int")).alias("share"), F.count(F.when(F.col("trusted"), 1)).alias("support"))
+        reliable = publish(patterns.filter((F.col("support") >= SUPPORT) & (F.col("share") >= TRUST)).select("pattern"), "patterns")
+        count = reliable.count()
+        if count == known:
+            return state.filter(F.col("trusted") & ~F.col("seed")).select("pattern", "instance")
+        known = count
+        good = edges.join(reliable, "pattern", "left_semi").select("instance").distinct().withColumn("good", F.lit(True))
+        state = publish(edges.join(good, "instance", "left").select("pattern", "instance", "seed", (F.col("seed") | F.coalesce("good", F.lit(False))).alias("trusted")), "instances")
 
 
 def personal_spans(docs: DataFrame) -> DataFrame:
