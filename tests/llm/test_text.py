@@ -64,6 +64,13 @@ def test_trust_settles(spark):
     assert ("hop7", "v8.0") in got
 
 
+def test_ties_in_any_case_and_space():
+    """Found with and without a colon elsewhere in the text."""
+    for said in ("Account Number 12345678", "account number\n12345678", "account\tnumber\t12345678", "account number (12345678"):
+        at = said.index("1")
+        assert pii.instances(said, []) == [("account number", "12345678", at, at + 8, False)] == pii.instances(said + " so: yes", [])
+
+
 PAGES = [
     (None, ""), ("", ""), ("plain &lt;text&gt; only", ""), ("<article><p>A&amp;B  <b>bold</b>\n x<br>y<p>second &eacute;</article>", "A&B bold x y second é"),
     ("<html><head><title>T</title></head><body><header>Site</header><nav><a href=x>m</a></nav><article><header><h1>Title here</h1></header><p>Body of text.</p><div class='comments'><p>First!</p></div><form>q</form></article><aside>s</aside><footer>f</footer>", "Title here Body of text."),

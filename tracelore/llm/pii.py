@@ -100,8 +100,6 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, st
         label = label_before(text, a)
         if label:
             out.append((label, text[a:b].lower(), a, b, True))
-    if not any(c in text for c in ":=#") and not any(f" {t} " in text for t in TIES):
-        return out
     taken = sorted((a, b) for _, a, b in base)
     for m in TOKEN.finditer(text):
         token = m[0]
