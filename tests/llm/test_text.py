@@ -71,6 +71,13 @@ def test_ties_in_any_case_and_space():
         assert pii.instances(said, []) == [("account number", "12345678", at, at + 8, False)] == pii.instances(said + " so: yes", [])
 
 
+def test_long_tokens_are_whole():
+    value = "9f" * 100
+    assert pii.instances(f"key: {value} end", []) == [("key:", value, 5, 205, False)]
+    url = "https://example.com/" + "a" * 41 + "?id=" + value
+    assert [(label, a, b) for label, _, a, b, _ in pii.instances(f"see: {url}", [])] == [("https://example.com/" + "a" * 41 + "?id=", 70, 270)]
+
+
 PAGES = [
     (None, ""), ("", ""), ("plain &lt;text&gt; only", ""), ("<article><p>A&amp;B  <b>bold</b>\n x<br>y<p>second &eacute;</article>", "A&B bold x y second é"),
     ("<html><head><title>T</title></head><body><header>Site</header><nav><a href=x>m</a></nav><article><header><h1>Title here</h1></header><p>Body of text.</p><div class='comments'><p>First!</p></div><form>q</form></article><aside>s</aside><footer>f</footer>", "Title here Body of text."),

@@ -31,7 +31,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Words that tie a label to the value after it, beside ``:``, ``=`` and ``#``.
 TIES = frozenset("is no no. nr nr. number num ist lautet est es número".split())
-TOKEN = re.compile(r"[^\s\"'<>(),;]{5,64}")
+TOKEN = re.compile(r"[^\s\"'<>(),;]{5,}+")
 #: A pattern needs so many different trusted instances, and that score makes a pattern or an instance trusted.
 SUPPORT, TRUST = 3, 0.8
 
