@@ -200,6 +200,35 @@ def test_secret_links(spark):
     assert name(8) == {"assign"}
 
 
+def weak_secrets(text):
+    """Weak parts with at most 256 characters between them and a complementary one, by all pairs."""
+    spans = lambda k, pattern: [(m.start(), k, m.end()) for m in re.finditer(pattern, text, re.ASCII)]
+    looks = lambda s: all(re.search(c, text[s[0]:s[2]]) for c in ("[0-9]", "[A-Z]", "[a-z]"))
+    weak = spans(3, secrets.LOGIN) + [s for s in spans(4, secrets.BARE) if looks(s)] + spans(5, secrets.ENDPOINT)
+    role = lambda s: secrets.PART[secrets.KINDS[s[1]]]
+    near = lambda s, p: role(p) in secrets.NEEDS[secrets.KINDS[s[1]]] and max(p[0] - s[2], s[0] - p[2]) <= secrets.SCOPE
+    parts = base_secrets(text) + weak
+    return sorted(s for s in weak if any(near(s, p) for p in parts))
+
+
+LONG_KEY = "kT9xQ2mVb7LpR4sWz8YcN1dHf6GjK3aE" * 3
+LONG_SECRETS = [
+    f"AccountKey {LONG_KEY[:86]}== https://store.example.com/", f"CLIENT_SIGNING_KEY_OF_PRODUCTION_X={LONG_KEY[:32]} https://api.example.com/v1",
+    "https://api.example.com/" + "a.b" * 100 + " password=hunter22", "password=" + "h" * 700 + " user=alice", "user=alice " + "." * 244 + " password=hunter22", "user=alice " + "." * 256 + " password=hunter22",
+    LONG_KEY * 40 + " https://api.example.com/v1", LONG_KEY + " alone", *[f"user=al{' ' * n}secret=abcdefgh" for n in range(253, 260)],
+]
+
+
+def test_long_keys_and_gaps(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(LONG_SECRETS + SECRETS)], SCHEMA)
+    got = {r["doc_id"]: [tuple(s[k] for k in ("start", "k", "end")) for s in r["spans"]] for r in secrets.secret_spans(docs).collect()}
+    for i, t in enumerate(LONG_SECRETS + SECRETS):
+        assert got[i] == sorted(base_secrets(t or "") + weak_secrets(t or "")), (i, t)
+    assert [len(got[i]) for i in range(8)] == [2, 2, 2, 2, 2, 1, 2, 0]
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert masked[0] == "AccountKey [SECRET] [SECRET]" and LONG_KEY[:32] not in masked[1]
+
+
 def test_redaction(spark):
     docs = secret_docs(spark).selectExpr("*", "1 as digest", "2 as spans")
     out = secrets.redact(docs)

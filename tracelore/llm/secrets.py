@@ -2,7 +2,7 @@
 
 Strong candidates (the base patterns) are always reported. Weak ones, an account name, a bare random key, a service
 address, mean little alone. Access identifiers, secrets and endpoints are therefore joined as intervals: a weak candidate
-is reported when a complementary part starts within ``SCOPE`` code points of it in the same document. The join is
+is reported when at most ``SCOPE`` code points lie between it and a complementary part in the same document. The join is
 a semi-join by cells of ``SCOPE`` characters, so no pair of parts is ever emitted.
 
 Null and empty texts have no spans; rows that repeat a (doc_id, text) get the same spans; long texts are scanned whole;
@@ -22,8 +22,9 @@ ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE]
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 LOGIN = r"""(?i:client[_-]?id|access[_-]?key[_-]?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
-#: Kept only with a digit, a capital and a small letter, and at most BARE_MOST characters.
+#: Kept only with a digit, a capital and a small letter, at any length, with the name that is written against it.
 BARE = r"[A-Za-z0-9+/_=-]{32,}"
+#: A length that the SQL check stops at, the operator does not.
 BARE_MOST = 66
 ENDPOINT = r"""[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._~:@/?#%&=+-]{3,}"""
 #: Kinds in report order, and the part each is.
@@ -64,7 +65,7 @@ def _has(text: Column, *parts: str) -> Column:
 def _random_looking(text: Column):
     def test(span: Column) -> Column:
         value = F.substring(text, span["start"] + 1, span["end"] - span["start"])
-        return (F.length(value) <= BARE_MOST) & value.rlike("[0-9]") & value.rlike("[A-Z]") & value.rlike("[a-z]")
+        return value.rlike("[0-9]") & value.rlike("[A-Z]") & value.rlike("[a-z]")
 
     return test
 
@@ -92,17 +93,19 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     part = F.create_map(*[F.lit(x) for k in KINDS for x in (KINDS.index(k), PART[k])])
     serves = F.create_map(*[x for p in ("secret", "identifier", "endpoint") for x in (F.lit(p), F.array(*[F.lit(KINDS.index(k)) for k, need in NEEDS.items() if p in need]))])
     some = found.filter(F.size("weak") > 0)
-    weak = some.select("doc_id", "digest", F.explode("weak").alias("s")).distinct().withColumn("cell", F.floor(F.col("s.start") / scope))
+    # Two spans no more than the scope apart share a cell when one of them is widened by the scope.
+    cells = lambda by: F.explode(F.sequence(F.floor((F.col("s.start") - by) / scope), F.floor((F.col("s.end") + by) / scope))).alias("cell")
+    weak = some.select("doc_id", "digest", F.explode("weak").alias("s")).distinct().select("doc_id", "digest", "s", cells(0))
     parts = some.select("doc_id", "digest", F.explode(F.concat("strong", "weak")).alias("s")).distinct()
-    partners = parts.select("doc_id", "digest", F.col("s.start").alias("start"), F.explode(serves[part[F.col("s.k")]]).alias("k"), F.floor(F.col("s.start") / scope).alias("c")).select(
-        "doc_id", "digest", "start", "k", F.explode(F.sequence(F.col("c") - 1, F.col("c") + 1)).alias("cell")
+    partners = parts.select("doc_id", "digest", "s", F.explode(serves[part[F.col("s.k")]]).alias("k")).select(
+        "doc_id", "digest", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "k", cells(scope)
     )
     w, p = weak.alias("w"), partners.alias("p")
     near = (
         F.col("w.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("w.digest") == F.col("p.digest")) & (F.col("w.cell") == F.col("p.cell"))
-        & (F.col("w.s.k") == F.col("p.k")) & (F.abs(F.col("w.s.start") - F.col("p.start")) <= scope)
+        & (F.col("w.s.k") == F.col("p.k")) & (F.col("p.start") - F.col("w.s.end") <= scope) & (F.col("w.s.start") - F.col("p.end") <= scope)
     )
-    return w.join(p, near, "left_semi").groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list("s")).alias("extra"))
+    return w.join(p, near, "left_semi").groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("s")).alias("extra"))
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
