@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelore.llm import chat, mixing, packing, secrets
+from tracelore.llm import chat, mixing, packing, phrases, secrets
 
 WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 
@@ -119,4 +119,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   OR length(translate(t, '{UPPER}', '')) < length(translate(t, '{UPPER.lower()}', '')) OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words
   OR 10 * stutter > 3 * n_words OR 2 * len(list_filter(words, lambda x: NOT regexp_matches(x, '\p{{L}}'))) > n_words) AS kept FROM f"""
 
-ORACLES = {"op1_packing": PACKING, "op2_chat": CHAT, "op5_vectors": VECTORS, "op6_mixing": MIXING, "op8_secrets": SECRETS, "op9_quality": QUALITY}
+PHRASES = rf"""
+WITH d AS (SELECT coalesce(lang, '{phrases.UNKNOWN}') AS lang, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents),
+ p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+ g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS m))),
+ f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
+ totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+ cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND a >= {phrases.MIN_COUNT}),
+ held AS (SELECT lang, phrase, max(a) AS longer FROM (
+   SELECT lang, a, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, a, k, unnest(range(1, m - k + 2)) AS i FROM cand JOIN (SELECT unnest([2, 3]) AS k) ON k < m)) GROUP BY ALL),
+ kept AS (SELECT c.* FROM cand c LEFT JOIN held h USING (lang, phrase) WHERE h.longer IS NULL OR 100 * CAST(h.longer AS HUGEINT) < {phrases.COVERED} * CAST(c.a AS HUGEINT)),
+ cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+ each_ AS (SELECT c.lang, c.phrase, c.a, c.k, l.a AS l, r.a AS r, CAST({phrases.SCALE} * CAST(c.a AS HUGEINT) // (CAST(l.a AS HUGEINT) + r.a) AS BIGINT) AS score
+   FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.head JOIN f r ON r.lang = c.lang AND r.phrase = c.tail),
+ low AS (SELECT * FROM each_ QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM low JOIN totals USING (lang) QUALIFY rank <= {phrases.TOP}"""
+
+ORACLES = {
+    "op1_packing": PACKING, "op2_chat": CHAT, "op5_vectors": VECTORS, "op6_mixing": MIXING, "op8_secrets": SECRETS, "op9_quality": QUALITY,
+    "op12_phrases": PHRASES,
+}
