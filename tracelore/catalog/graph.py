@@ -100,13 +100,13 @@ COMP_SQL = """
 
 @query("pruned_edges", rows="W4", uses="pattern", oracle=f"WITH {PRUNED_SQL.format(k=2)} SELECT project_id, source, target FROM pruned")
 def pruned_edges(t: Tables):
-    return graph.prune_edges(recall.pattern_edges(t.pattern, FLOOR), 2).select("project_id", "source", "target")
+    return graph.prune_edges(recall.pattern_edges(t.pattern, FLOOR, per_end=2), 2).select("project_id", "source", "target")
 
 
 @query("pattern_components", rows="G6 G7", uses="pattern", recursive=True, oracle=f"""WITH {PRUNED_SQL.format(k=1)}, {COMP_SQL}
 SELECT p.project_id, c.node, c.root, dense_rank() OVER (PARTITION BY p.project_id ORDER BY c.root) - 1 AS community FROM comp c JOIN pattern p ON p.id = c.node""")
 def pattern_components(t: Tables):
-    edges = graph.prune_edges(recall.pattern_edges(t.pattern, FLOOR), 1)
+    edges = graph.prune_edges(recall.pattern_edges(t.pattern, FLOOR, per_end=1), 1)
     return graph.component_index(graph.connected_components(edges)).select("project_id", "node", "root", n("community"))
 
 

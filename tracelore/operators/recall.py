@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelore import params
 from tracelore.operators.keyword import keyword_top, postings, query_terms
-from tracelore.operators.similarity import nearest, pairs_above
+from tracelore.operators.similarity import nearest, nearest_boosted, pairs_above
 from tracelore.operators.segments import top_per_key
 
 
@@ -127,9 +127,9 @@ def recall_user(
     barred: DataFrame | None = None,
 ) -> DataFrame:
     """The same over user facts of all projects; the owner filter comes after the limit."""
-    rows = learnings.filter((F.col("scope") == "user") & ~F.col("consolidated")).withColumn("everyone", F.lit(0))
+    rows = learnings.filter((F.col("scope") == "user") & ~F.col("consolidated"))
     hits = vector_branch(
-        requests.withColumn("everyone", F.lit(0)), rows, ["everyone"], limit,
+        requests, rows, [], limit,
         keep=F.col("status").isin(*params.LIVE_STATUSES), floor=floor, barred=barred,
         pair_filter=F.col("user_id") == F.col("q_user_id"), attrs=("status", "user_id"),
     )
@@ -154,7 +154,7 @@ def hybrid(
     if "vector" in branches:
         if scope == "user":
             parts["vector"] = vector_branch(
-                requests.withColumn("everyone", F.lit(0)), rows.withColumn("everyone", F.lit(0)), ["everyone"], pool, keep=alive,
+                requests, rows, [], pool, keep=alive,
                 barred=barred, pair_filter=F.col("user_id") == F.col("q_user_id"), attrs=("status", "user_id"), skip_self=skip_self,
             )
         else:
@@ -203,32 +203,13 @@ def suggest_skills(
 ) -> DataFrame:
     """Live skills of the request's project above the floor, by cosine times salience, then slug."""
     rows = skills.filter((F.col("status") == "approved") & F.col("slug").isNotNull())
-    hits = nearest_above(requests, rows, ["project_id"], floor, limit, weight)
+    hits = nearest_boosted(requests, rows, ["project_id"], limit, floor, weight, row_id="skill_id")
     hits = hits.join(rows.select(F.col("skill_id").alias("r_id"), "slug", "salience"), "r_id").withColumn(
         "ranked", F.col("cos") * (1.0 + weight * F.coalesce("salience", F.lit(0.0)))
     )
     return top_per_key(hits, ["q_id"], [F.round("ranked", 6).desc(), F.col("slug").asc()], limit)
 
 
-def nearest_above(requests: DataFrame, rows: DataFrame, keys: Sequence[str], floor: float, limit: int, weight: float, row_id: str = "skill_id") -> DataFrame:
-    """Pairs above the floor that may be among the ``limit`` best by cosine times (1 + weight x salience), salience from 0 to 1: in a
-    block, a row cannot be if even with full salience it stays below the block's limit-th cosine."""
-    import numpy as np
-
-    from tracelore.operators.similarity import BLOCK_ROWS, _search
-
-    bar = (1.0 + floor) / 2.0
-
-    def pick(cos, q_ids, r_ids):
-        near = np.round((1.0 + cos) / 2.0, 7) >= bar
-        if cos.shape[1] > limit:
-            last = np.partition(cos, -limit, axis=1)[:, -limit][:, None]
-            near &= (cos * (1.0 + weight) >= last - 2e-6) | (last <= 0)
-        return np.nonzero(near)
-
-    return _search(requests, rows, keys, "request_id", row_id, "vector", "embedding", BLOCK_ROWS, pick)
-
-
 def search(
     requests: DataFrame, rows: DataFrame, row_id: str, text: Column, keys: Sequence[str], limit: int, *,
     keep: Column | None = None, salience: bool = False, weight: float = 0.0, has_vectors: bool = True,
@@ -298,10 +279,11 @@ def similar_pairs(
     )
 
 
-def pattern_edges(patterns: DataFrame, floor: float = params.PATTERN_EDGE_FLOOR) -> DataFrame:
-    """(project_id, source, target, similarity) between live patterns of a project."""
+def pattern_edges(patterns: DataFrame, floor: float = params.PATTERN_EDGE_FLOOR, per_end: int | None = None) -> DataFrame:
+    """(project_id, source, target, similarity) between live patterns of a project; with ``per_end`` at least those among
+    so many strongest of either end, which is all that pruning keeps."""
     rows = patterns.filter(F.coalesce("status", F.lit("active")) == "active")
-    return pairs_above(rows, ["project_id"], floor).join(
+    return pairs_above(rows, ["project_id"], floor, per_end=per_end).join(
         rows.select(F.col("id").alias("source"), "project_id"), "source"
     ).select("project_id", "source", "target", "similarity")
 

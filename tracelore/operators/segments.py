@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelore.session import stored
+
 SEG = "__segment"
 HOUR = 3600
 
@@ -84,6 +86,38 @@ def neighbours(
     )
 
 
+def dense_segments(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "segments", segment: str = SEG, parts: int | None = None
+) -> DataFrame:
+    """``df`` in stored form with a column ``segment`` that cuts every key where its rows are dense: rows are dealt by ranges of
+    (keys, order), whose bounds Spark takes from a sample, so a key of many rows is cut into many segments however close together they
+    lie, and small keys share a range without being cut. Segments never decrease along ``order``. ``order`` should tell
+    rows apart; only rows equal in all of it must share a segment. The cuts are read back from files, so a repeated task
+    sees the same ones. Without ``parts`` the session's number of shuffle partitions holds, small ones merged."""
+    by = [F.col(k).asc_nulls_first() for k in keys] + list(order)
+    dealt = df.repartitionByRange(*by) if parts is None else df.repartitionByRange(parts, *by)
+    return stored(dealt.withColumn(segment, F.spark_partition_id().cast("long")), name)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "place", keep: Sequence[Column | str] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with the rank of each row within ``keys`` by ``order``, from 0. Ranks are counted inside the ranges
+    that rows are dealt into; one line per key and range carries the count before it. ``keep`` needs the keys and drops columns that only
+    the order uses before the rows are written."""
+    keys, by = list(keys), [F.col(k).asc_nulls_first() for k in keys] + list(order)
+    laid = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    laid = stored(laid.select(*(keep if keep is not None else df.columns), "__at"), f"numbered-{name}")
+    laid = laid.withColumn(SEG, F.shiftright("__at", 33))
+    before = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    starts = laid.groupBy(*keys, SEG).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    shift = F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")
+    starts = starts.select(*[F.col(c).alias(f"__of_{c}") for c in [*keys, SEG]], shift.alias("__shift"))
+    same = F.lit(True)
+    for key in [*keys, SEG]:
+        same = same & F.col(key).eqNullSafe(F.col(f"__of_{key}"))
+    rest = [c for c in laid.columns if c not in ("__at", SEG)]
+    return laid.join(starts, same).select(*rest, (F.col("__at") + F.col("__shift")).cast("long").alias(name))
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of every key. The rank filter lets each map task keep
     only ``k`` rows per key before the shuffle, so a hot key costs k rows per task."""

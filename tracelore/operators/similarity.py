@@ -1,82 +1,50 @@
 """Exact vector search: nearest rows per query and all pairs above a floor.
 
-Queries and rows meet inside a group (project, scope, ...). A group may hold a third
-of all rows, so it is cut into blocks of bounded size and every (query block, row
-block) pair of a group is one task: a matrix product in numpy that emits only what
-qualifies - the block's top k per query, or the pairs above the floor. No pair that
-fails is ever emitted, no row is left out, and no task grows with its group.
+Queries and rows meet inside a group (project, scope, ...; no key is one group). The rows of a small group are one block, and a
+group's product is one task that emits only what qualifies. A group beyond a block, which may hold a third of all rows, is cut
+into blocks of rows that lie close together (``blocks.BlockIndex``), of which a query visits only those that can still matter. No
+pair that fails is ever emitted, no row is left out, and no task grows with its group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelore.operators.blocks import SLACK, BlockIndex, best_in_rows, multiplier
 from tracelore.operators.segments import top_per_key
+from tracelore.session import stored
 
 BLOCK_ROWS = 4096
-_KEYS = "__group"
-
-
-def unit_rows(vectors: pd.Series) -> np.ndarray:
-    """Rows scaled to length one; a zero row stays zero."""
-    matrix = np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
-
-
-def _with_blocks(rows: DataFrame, keys: Sequence[str], id_col: str, block_rows: int) -> DataFrame:
-    """Add the row's block and leave small groups in block 0. Only groups larger than a
-    block need an entry, so the size table has at most rows / block_rows lines."""
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(block_rows)).alias("__blocks")).filter("__blocks > 1")
-    return rows.join(sizes, list(keys), "left").withColumns(
-        {
-            "__blocks": F.coalesce("__blocks", F.lit(1)),
-        }
-    ).withColumn("__block", F.pmod(F.xxhash64(id_col), F.col("__blocks")))
-
-
-def _meet(queries, rows, keys, query_id, row_id, query_vec, row_vec, block_rows):
-    """Queries and rows placed on the grid of block pairs, equal dimensions only."""
-    q = queries.filter(F.size(query_vec) > 0).select(
-        *keys, F.col(query_id).alias("q_id"), F.col(query_vec).alias("q_vec"), F.size(query_vec).alias("__dim")
-    )
-    r = rows.filter(F.size(row_vec) > 0).select(
-        *keys, F.col(row_id).alias("r_id"), F.col(row_vec).alias("r_vec"), F.size(row_vec).alias("__dim")
-    )
+
+
+def _sides(rows: DataFrame, keys: Sequence[str], row_vec: str, block_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of the groups of one block, rows of larger groups or None). The larger groups, at most rows / block_rows of them, are a
+    small table that is written first, so that the split costs no shuffle of vectors."""
+    shaped = rows.filter(F.size(row_vec) > 0).withColumn("__dim", F.size(row_vec))
     group = [*keys, "__dim"]
-    q = _with_blocks(q, group, "q_id", block_rows).withColumnsRenamed({"__block": "__qb", "__blocks": "__nq"})
-    r = _with_blocks(r, group, "r_id", block_rows).withColumnsRenamed({"__block": "__rb", "__blocks": "__nr"})
-    q_sizes = q.filter("__nq > 1").select(*group, "__nq").distinct()
-    r_sizes = r.filter("__nr > 1").select(*group, "__nr").distinct()
-    q = q.join(r_sizes, group, "left").withColumn("__rb", F.explode(F.sequence(F.lit(0), F.coalesce("__nr", F.lit(1)) - 1)))
-    r = r.join(q_sizes, group, "left").withColumn("__qb", F.explode(F.sequence(F.lit(0), F.coalesce("__nq", F.lit(1)) - 1)))
-    # Fresh names per side: both may come from the same table.
-    grid = [*group, "__qb", "__rb"]
-    left, right = [f"q_{i}" for i in range(len(grid))], [f"r_{i}" for i in range(len(grid))]
-    q = q.select(*[F.col(c).alias(a) for c, a in zip(grid, left)], F.col("q_id").alias("q_id"), F.col("q_vec").alias("q_vec"))
-    r = r.select(*[F.col(c).alias(a) for c, a in zip(grid, right)], F.col("r_id").alias("r_id"), F.col("r_vec").alias("r_vec"))
-    return q, r, left, right
-
-
-def _search(queries, rows, keys, query_id, row_id, query_vec, row_vec, block_rows, pick):
-    q, r, left_keys, right_keys = _meet(queries, rows, keys, query_id, row_id, query_vec, row_vec, block_rows)
-    types = {**dict(q.dtypes), **dict(r.dtypes)}
-    schema = f"q_id {types['q_id']}, r_id {types['r_id']}, cos double"
+    sizes = shaped.groupBy(*group).agg(F.count("*").alias("__n")).filter(F.col("__n") > block_rows)
+    large = stored(sizes.select(*group), "large-groups")
+    if large.isEmpty():
+        return shaped, None
+    return shaped.join(large, group, "left_anti"), shaped.join(large, group, "left_semi").drop("__dim")
 
-    def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q_id": left["q_id"][:0], "r_id": right["r_id"][:0], "cos": np.array([], dtype=float)})
-        if left.empty or right.empty:
-            return empty
-        cos = unit_rows(left["q_vec"]) @ unit_rows(right["r_vec"]).T
-        qi, ri = pick(cos, left["q_id"].to_numpy(), right["r_id"].to_numpy())
-        return pd.DataFrame({"q_id": left["q_id"].to_numpy()[qi], "r_id": right["r_id"].to_numpy()[ri], "cos": cos[qi, ri]})
 
-    return q.groupBy(*left_keys).cogroup(r.groupBy(*right_keys)).applyInPandas(multiply, schema)
+def _product(queries: DataFrame, rows: DataFrame, keys: Sequence[str], query_id: str, row_id: str, query_vec: str, row_vec: str, block_rows: int, pick: Callable) -> DataFrame:
+    """What ``pick`` takes from the products of small groups; a group's queries are dealt over chunks of at most ``block_rows``."""
+    group = [*keys, "__dim"]
+    q = queries.filter(F.size(query_vec) > 0).withColumn("__dim", F.size(query_vec))
+    sizes = q.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(block_rows)).alias("__chunks")).filter("__chunks > 1")
+    left, right = [f"q_{i}" for i in range(len(group) + 1)], [f"r_{i}" for i in range(len(group) + 1)]
+    q = q.join(sizes, group, "left").withColumn("__chunk", F.pmod(F.xxhash64(query_id), F.coalesce("__chunks", F.lit(1))))
+    r = rows.join(sizes, group, "left").withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__chunks", F.lit(1)) - 1)))
+    q = q.select(*[F.col(c).alias(a) for c, a in zip([*group, "__chunk"], left)], F.col(query_id).alias("q_id"), F.col(query_vec).alias("q_vec"))
+    r = r.select(*[F.col(c).alias(a) for c, a in zip([*group, "__chunk"], right)], F.col(row_id).alias("r_id"), F.col(row_vec).alias("r_vec"))
+    types = {**dict(q.dtypes), **dict(r.dtypes)}
+    return q.groupBy(*left).cogroup(r.groupBy(*right)).applyInPandas(multiplier(pick), f"q_id {types['q_id']}, r_id {types['r_id']}, cos double")
 
 
 def nearest(
@@ -96,23 +64,45 @@ def nearest(
     ordered by cosine to six places, then id. ``floor`` drops what lies below it first."""
 
     def pick(cos, q_ids, r_ids):
-        score = np.round(cos, 6)
-        allowed = np.ones_like(score, dtype=bool) if floor is None else cos >= floor
+        allowed = np.ones(cos.shape, dtype=bool) if floor is None else cos >= floor
         if skip_self:
             allowed &= q_ids[:, None] != r_ids[None, :]
-        by_id = np.argsort(r_ids, kind="stable")
-        ranked = np.where(allowed, score, -np.inf)[:, by_id]
-        # Stable sort on the negated score keeps the smaller id first among equals.
-        order = np.argsort(-ranked, axis=1, kind="stable")[:, :k]
-        qi = np.repeat(np.arange(len(q_ids)), order.shape[1])
-        ri = by_id[order.ravel()]
-        good = allowed[qi, ri]
-        return qi[good], ri[good]
-
-    hits = _search(queries, rows, keys, query_id, row_id, query_vec, row_vec, block_rows, pick)
+        return best_in_rows(np.round(cos, 6), allowed, r_ids, k)
+
+    small, large = _sides(rows, keys, row_vec, block_rows)
+    hits = _product(queries, small, keys, query_id, row_id, query_vec, row_vec, block_rows, pick)
+    if large is not None:
+        index = BlockIndex(large, keys, row_id, row_vec, block_rows)
+        hits = hits.unionByName(index.nearest(queries, keys, k, query_id, query_vec, floor, skip_self).drop("rank"))
     return top_per_key(hits, ["q_id"], [F.round("cos", 6).desc(), F.col("r_id").asc()], k)
 
 
+def nearest_boosted(
+    queries: DataFrame, rows: DataFrame, keys: Sequence[str], k: int, floor: float, weight: float,
+    query_id: str = "request_id", row_id: str = "id", query_vec: str = "vector", row_vec: str = "embedding", block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(q_id, r_id, cos): all rows above the floor that may be among the ``k`` best by cosine times (1 + weight x boost), boosts from 0 to
+    1. One that stays below the k-th plain cosine even with a full boost cannot be."""
+    bar = (1.0 + floor) / 2.0
+
+    def pick(cos, q_ids, r_ids):
+        near = np.round((1.0 + cos) / 2.0, 7) >= bar
+        if cos.shape[1] > k:
+            last = np.partition(cos, -k, axis=1)[:, -k][:, None]
+            near &= (cos * (1.0 + weight) >= last - SLACK) | (last <= 0)
+        return np.nonzero(near)
+
+    small, large = _sides(rows, keys, row_vec, block_rows)
+    hits = _product(queries, small, keys, query_id, row_id, query_vec, row_vec, block_rows, pick)
+    if large is not None:
+        index = BlockIndex(large, keys, row_id, row_vec, block_rows)
+        best = index.nearest(queries, keys, k, query_id, query_vec)
+        last = best.filter((F.col("rank") == k) & (F.col("cos") > 0)).select("q_id", ((F.col("cos") - SLACK) / (1.0 + weight)).alias("last"))
+        bars = queries.select(F.col(query_id).alias("q_id")).join(last, "q_id", "left").select("q_id", F.greatest(F.lit(floor - SLACK), F.coalesce("last", F.lit(-2.0))).alias("bar"))
+        hits = hits.unionByName(index.reaching(queries, keys, query_id, query_vec, bars, pick))
+    return hits
+
+
 def pairs_above(
     rows: DataFrame,
     keys: Sequence[str],
@@ -120,14 +110,21 @@ def pairs_above(
     row_id: str = "id",
     row_vec: str = "embedding",
     block_rows: int = BLOCK_ROWS,
+    per_end: int | None = None,
 ) -> DataFrame:
     """(source, target, similarity) for every pair source < target of a group whose
-    (1 + cosine) / 2, rounded to seven places, clears the floor."""
+    (1 + cosine) / 2, rounded to seven places, clears the floor. With ``per_end`` only pairs that may be among
+    so many best of either end are told: a product keeps the best of each of its rows, so a dense group costs rows times ``per_end``."""
     bar = (1.0 + floor) / 2.0
 
     def pick(cos, q_ids, r_ids):
-        good = (np.round((1.0 + cos) / 2.0, 7) >= bar) & (q_ids[:, None] < r_ids[None, :])
-        return np.nonzero(good)
-
-    hits = _search(rows, rows, keys, row_id, row_id, row_vec, row_vec, block_rows, pick)
-    return hits.select(F.col("q_id").alias("source"), F.col("r_id").alias("target"), F.col("cos").alias("similarity"))
+        good = (np.round((1.0 + cos) / 2.0, 7) >= bar) & (q_ids[:, None] != r_ids[None, :])
+        return np.nonzero(good) if per_end is None else best_in_rows(np.round(cos, 6), good, r_ids, per_end)
+
+    small, large = _sides(rows, keys, row_vec, block_rows)
+    hits = _product(rows, small, keys, row_id, row_id, row_vec, row_vec, block_rows, pick)
+    if large is not None:
+        hits = hits.unionByName(BlockIndex(large, keys, row_id, row_vec, block_rows).pairs(floor, pick))
+    if per_end is not None:
+        hits = hits.select(F.least("q_id", "r_id").alias("q_id"), F.greatest("q_id", "r_id").alias("r_id"), "cos").dropDuplicates(["q_id", "r_id"])
+    return hits.filter("q_id < r_id").select(F.col("q_id").alias("source"), F.col("r_id").alias("target"), F.col("cos").alias("similarity"))

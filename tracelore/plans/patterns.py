@@ -12,7 +12,7 @@ from tracelore.session import cut
 
 def review_pass(patterns: DataFrame, floor: float = params.PATTERN_EDGE_FLOOR, budget: int = params.REVIEW_BUDGET) -> dict[str, DataFrame]:
     """Edges, communities, review batches and the ids to mark reviewed afterwards."""
-    edges = cut(graph.prune_edges(recall.pattern_edges(patterns, floor)))
+    edges = cut(graph.prune_edges(recall.pattern_edges(patterns, floor, per_end=params.EDGE_TOP_K)))
     groups = graph.component_index(graph.connected_components(edges))
     members = groups.join(patterns.select(F.col("id").alias("node"), "reviewed", "learning_count"), "node")
     batches = cut(graph.review_batches(members, edges, budget))

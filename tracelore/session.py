@@ -54,3 +54,12 @@ def work_dir(spark: SparkSession, name: str) -> str:
     base = spark.sparkContext.getCheckpointDir()
     token = os.urandom(6).hex()
     return f"{base}/{name}-{token}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back. Unlike a checkpoint the rows are columnar and compressed, later jobs read
+    only the columns they use, and the planner knows the size."""
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
