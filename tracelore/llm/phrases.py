@@ -159,10 +159,14 @@ def _grams(lang: pa.Array, chunk: pa.Array, n: np.ndarray, length: int, below: n
         for first in (0, 1):
             slots = _slots(lang_hash[of_lang[at]], [word_hash[at + first + i] for i in range(length - 1)])
             at = at[(below[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)]
-    key, total = of_lang[at], len(names)
+    key, total, most = of_lang[at], len(names), len(langs.dictionary)
     weights = np.repeat(n, sizes)[at]
     for i in range(length):
-        first, key, sums = _summed(key * total + ids[at + i], weights)
+        if most * total >= 1 << 62:
+            first, key, _ = _summed(key, weights)
+            most = len(first)
+        key, most = key * total + ids[at + i], most * total
+    first, _, sums = _summed(key, weights)
     starts = at[first]
     parts = [names.take(pa.array(ids[starts + i])) for i in range(length)]
     phrase = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
