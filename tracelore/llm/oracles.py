@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelore.llm import chat, mixing, packing, phrases, secrets
+from tracelore.llm import chat, mixing, packing, phrases, prefix_trie, secrets
 
 WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 
@@ -135,7 +135,29 @@ WITH d AS (SELECT coalesce(lang, '{phrases.UNKNOWN}') AS lang, translate(coalesc
  low AS (SELECT * FROM each_ QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM low JOIN totals USING (lang) QUALIFY rank <= {phrases.TOP}"""
 
+#: CRC-32 of a short ASCII text, bit by bit.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)),
+   lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+TRIE = f"""
+WITH own AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place
+   FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+ ids AS (SELECT conv_id, count(*) AS turns, conv_id - conv_id % {prefix_trie.FAMILY} AS base, {CRC.format("CAST(conv_id AS VARCHAR)")} % {prefix_trie.PREFIX} AS h FROM own GROUP BY conv_id),
+ c AS (SELECT i.conv_id, i.base, i.h, least(i.h, coalesce(b.turns, 0)) AS given FROM ids i LEFT JOIN ids b ON b.conv_id = i.base),
+ re AS (SELECT c.conv_id, o.place, o.role, o.text FROM c JOIN own o ON o.conv_id = c.base WHERE o.place < c.h
+   UNION ALL SELECT o.conv_id, o.place - c.h + c.given, o.role, o.text FROM own o JOIN c USING (conv_id) WHERE o.place >= c.h),
+ path AS (SELECT conv_id, list({{'r': role, 't': text}}) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p, octet_length(encode(text)) AS size FROM re
+   UNION ALL SELECT conv_id, list_filter([{{'r': '', 't': ''}}], lambda x: false), 0 FROM c),
+ node AS (SELECT p, len(p) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved FROM path GROUP BY p),
+ kid AS (SELECT p[1:depth - 1] AS p, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL),
+ tree AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM node n LEFT JOIN kid k ON k.p = n.p),
+ under AS (SELECT p[1:d] AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM tree) GROUP BY ALL),
+ last AS (SELECT conv_id, max_by(p, len(p)) AS p FROM path GROUP BY conv_id),
+ done AS (SELECT p, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM last GROUP BY p)
+SELECT t.conv_id, t.depth, u.conv_id AS parent_conv_id, t.n_convs, t.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, coalesce(d.ends_sha256, sha256('')) AS ends_sha256
+FROM tree t JOIN under s ON s.p = t.p LEFT JOIN node u ON t.depth > 0 AND u.p = t.p[1:t.depth - 1] LEFT JOIN done d ON d.p = t.p"""
+
 ORACLES = {
     "op1_packing": PACKING, "op2_chat": CHAT, "op5_vectors": VECTORS, "op6_mixing": MIXING, "op8_secrets": SECRETS, "op9_quality": QUALITY,
     "op12_phrases": PHRASES,
+    "op13_prefix_trie": TRIE,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelore.llm import chat, html_text, mixing, packing, phrases, pii, quality, secrets, simhash, toxicity, vector_links
+from tracelore.llm import chat, html_text, langid, mixing, packing, phrases, pii, prefix_trie, quality, secrets, simhash, toxicity, vector_links
 from tracelore.llm.base import read_table
 from tracelore.llm.oracles import ORACLES
 
@@ -38,5 +38,7 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": _over("documents", secrets.secret_report),
     "op9_quality": _over("documents", quality.quality_verdicts),
     "op10_simhash": _over("documents", simhash.near_duplicates),
+    "op11_langid": _over("documents", langid.languages),
     "op12_phrases": _over("documents", phrases.collocations),
+    "op13_prefix_trie": _over("conversations", prefix_trie.trie),
 }
