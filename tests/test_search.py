@@ -53,12 +53,15 @@ def test_keyword_bound_loses_nothing(spark):
     asks = [(1000 + i, i % 2, " ".join(rng.choices(words, k=4))) for i in range(20)]
     d = spark.createDataFrame(docs, "id long, g long, text string")
     q = spark.createDataFrame(asks, "request_id long, g long, query string")
-    index = keyword.postings(d, "id", "text", ["g"])
     terms = keyword.query_terms(q, "request_id", "query", ["g"])
-    plain = keyword.keyword_top(terms, index, ["g"], 5, common_df=10**9).collect()
-    bound = keyword.keyword_top(terms, index, ["g"], 5, common_df=4).collect()
     key = lambda rows: sorted((r.q_id, r["rank"], r.r_id, round(r.score, 6)) for r in rows)
-    assert key(plain) == key(bound)
+    whole = keyword.KeywordIndex(d, "id", "text", ["g"])
+    plain = whole.top(terms, 5).collect()
+    assert whole.work["read"] == whole.work["all"]
+    for block in (1, 3):
+        index = keyword.KeywordIndex(d, "id", "text", ["g"], block=block)
+        assert key(index.top(terms, 5).collect()) == key(plain)
+        assert index.work["read"] < index.work["all"]
     # Against the formula.
     toks = {i: (g, t.split()) for i, g, t in docs}
     avg = sum(len(t) for _, t in toks.values()) / len(toks)
@@ -76,6 +79,22 @@ def test_keyword_bound_loses_nothing(spark):
         assert [r.r_id for r in sorted(plain, key=lambda r: r["rank"]) if r.q_id == rid] == [i for _, i in want]
 
 
+def test_common_terms_are_hardly_read(spark):
+    """A word that all rows share pairs with a few blocks of them, and the filters count in the bound."""
+    rng = random.Random(8)
+    docs = [(i, 0, "common " * rng.randint(1, 3) + f"rare{i % 40} filler{i % 7}", "live" if i % 2 else "dead") for i in range(2000)]
+    d = spark.createDataFrame(docs, "id long, g long, text string, state string")
+    q = spark.createDataFrame([(i, 0, f"common rare{i} filler{i % 7}") for i in range(30)], "request_id long, g long, query string")
+    terms = keyword.query_terms(q, "request_id", "query", ["g"])
+    few, whole = (keyword.KeywordIndex(d, "id", "text", ["g"], ["state"], block=b) for b in (16, 4096))
+    key = lambda rows: sorted((r.q_id, r["rank"], r.r_id, round(r.score, 6)) for r in rows)
+    keep = F.col("state") == "live"
+    allow = lambda pairs: pairs.filter((F.col("q_id") + F.col("doc_id")) % 3 != 0)
+    for args in ((3, keep, None, True), (5, keep, allow, False)):
+        assert key(few.top(terms, *args).collect()) == key(whole.top(terms, *args).collect())
+    assert few.work["read"] < 0.25 * few.work["all"]
+
+
 def test_terms(spark):
     row = spark.range(1).select(keyword_terms(F.lit("The cat, the CAT and ab a-dog42!")).alias("k"), tokens(F.lit("x yz abc")).alias("t")).first()
     assert row.k == ["the", "cat", "and", "dog42"] and row.t == ["abc"]

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelore.sources.adapters import view, with_clause
 
+T = TypeVar("T")
+_SHARED: dict[tuple, object] = {}
+
 
 class Tables:
     """Lazy access to the base tables and model views of one data folder."""
@@ -23,6 +27,13 @@ class Tables:
             raise AttributeError(name)
         return view(self.spark, self.folder, name, self._seen)
 
+    def shared(self, name: str, build: Callable[[], T]) -> T:
+        """What ``build`` makes, once per application and folder, whose files must not change meanwhile: an index that several queries read."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _SHARED:
+            _SHARED[key] = build()
+        return _SHARED[key]
+
 
 @dataclass(frozen=True)
 class Query:

@@ -47,9 +47,9 @@ def sql_trunc(expr: str, limit: int) -> str:
 
 
 def windowed(t: Tables):
-    """Window membership is a table of its own: written once, read by every window job."""
-    win = windows.stop_windows(t.session_event).filter("window_no IS NOT NULL")
-    return cut(win.withColumn("window_id", F.concat_ws(":", F.col("session_id").cast("string"), F.col("window_no").cast("string"))))
+    """Window membership is a narrow table, written once and read by every window job; each job takes the event columns it needs."""
+    members = t.shared("windows", lambda: windows.membership(t.session_event))
+    return windows.in_windows(t.session_event, members)
 
 
 # --- ingest ----------------------------------------------------------------------
@@ -150,7 +150,7 @@ SELECT event_id, session_id, lag(event_id) OVER w AS prev_event_id, lead(event_i
  row_number() OVER w = 1 AS is_first, lead(event_id) OVER w IS NULL AS is_latest
 FROM session_event WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)""")
 def event_chain(t: Tables):
-    return events.event_chain(t.session_event).select(
+    return events.event_chain(t.session_event.select("event_id", "session_id", "ts")).select(
         "event_id", "session_id", "prev_event_id", "next_event_id", "is_first", "is_latest"
     )
 
@@ -391,6 +391,24 @@ def _enriched(t: Tables):
     return enrichment.enrich(windowed(t), "window_id")
 
 
+#: Who acts, for the check of actor fields: one event in nine is a subagent's; a prompt names its agent, transcript and parent.
+ACTOR_SQL = """
+ who AS (SELECT event_id, CASE WHEN k % 9 = 0 THEN 'sub' || k WHEN event_name = 'UserPromptSubmit' THEN 'agent' || k % 5 END AS agent_id,
+   CASE WHEN event_name = 'UserPromptSubmit' AND k % 2 = 0 THEN 'rollout' || k END AS agent_transcript_id, CASE WHEN k % 9 = 0 THEN 's' || session_id END AS parent_session_id,
+   CASE WHEN k % 9 = 0 THEN 'subagent' ELSE 'main' END AS agent_kind, k % 9 = 0 AS is_subagent FROM session_event)
+"""
+
+
+def _with_actors(t: Tables):
+    sub, asks, k = F.col("k") % 9 == 0, F.col("event_name") == "UserPromptSubmit", F.col("k").cast("string")
+    return windowed(t).withColumns({
+        "agent_id": F.when(sub, F.concat(F.lit("sub"), k)).when(asks, F.concat(F.lit("agent"), (F.col("k") % 5).cast("string"))),
+        "agent_transcript_id": F.when(asks & (F.col("k") % 2 == 0), F.concat(F.lit("rollout"), k)),
+        "parent_session_id": F.when(sub, F.concat(F.lit("s"), F.col("session_id").cast("string"))),
+        "agent_kind": F.when(sub, "subagent").otherwise("main"), "is_subagent": sub,
+    })
+
+
 CALLS_SQL = PAIRS_SQL + f""",
  turnp AS (SELECT window_id, coalesce(turn_id, '') AS tk, max_by(prompt, (ts, event_id)) AS prompt, max_by(event_id, (ts, event_id)) AS pid, max(ts) AS pts FROM win WHERE event_name = 'UserPromptSubmit' GROUP BY 1, 2),
  lastp AS (SELECT window_id, max_by(prompt, (ts, event_id)) AS prompt, max_by(event_id, (ts, event_id)) AS pid, max(ts) AS pts FROM win WHERE event_name = 'UserPromptSubmit' GROUP BY 1),
@@ -427,6 +445,21 @@ def enriched_turns(t: Tables):
     return _enriched(t)["turn"].select("window_id", "turn_node_id", "prompt", "prompt_event_id", micros("first_seen_at"), "call_count")
 
 
+@query("enriched_actors", rows="G12", uses="session_event", oracle=f"""WITH {CALLS_SQL}, {ACTOR_SQL}
+SELECT c.call_id, coalesce(w.agent_id, p.agent_id) AS agent_id, coalesce(w.agent_transcript_id, p.agent_transcript_id) AS agent_transcript_id,
+ coalesce(w.parent_session_id, p.parent_session_id) AS parent_session_id, w.agent_kind, w.is_subagent FROM call c JOIN who w ON w.event_id = c.pre_event_id LEFT JOIN who p ON p.event_id = c.prompt_event_id""")
+def enriched_actors(t: Tables):
+    return enrichment.enrich(_with_actors(t), "window_id")["tool_call"].select("call_id", *enrichment.ACTOR)
+
+
+@query("enriched_turn_actors", rows="G12", uses="session_event", oracle=f"""WITH {CALLS_SQL}, {ACTOR_SQL},
+ acts AS (SELECT c.window_id, c.turn_node_id, c.ord, coalesce(w.agent_id, p.agent_id) AS agent_id, coalesce(w.parent_session_id, p.parent_session_id) AS parent_session_id, w.agent_kind
+   FROM call c JOIN who w ON w.event_id = c.pre_event_id LEFT JOIN who p ON p.event_id = c.prompt_event_id)
+SELECT window_id, turn_node_id, agent_id, parent_session_id, agent_kind FROM acts QUALIFY row_number() OVER (PARTITION BY window_id, turn_node_id ORDER BY ord) = 1""")
+def enriched_turn_actors(t: Tables):
+    return enrichment.enrich(_with_actors(t), "window_id")["turn"].select("window_id", "turn_node_id", "agent_id", "parent_session_id", "agent_kind")
+
+
 @query("enriched_results", rows="G12 P9 X6", uses="session_event", oracle=f"""WITH {CALLS_SQL}
 SELECT 'tool-result:' || call_id AS result_id, post_event_id, {sql_trunc('tool_response', 500)} AS summary,
  CAST(length(tool_response) AS BIGINT) AS response_chars, NOT tool_error AS succeeded FROM call WHERE post_event_id IS NOT NULL""")

@@ -20,6 +20,11 @@ def r6(name: str):
     return F.round(name, 6).alias(name)
 
 
+def learning_words(t: Tables):
+    """The text index over facts, built once and read by every search."""
+    return t.shared("learning-words", lambda: recall.learning_index(t.learning))
+
+
 COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 SEEN_SQL = """
  seen AS (SELECT r.request_id AS q_id, i.learning_id AS r_id FROM request r JOIN injected_in i ON i.session_id = r.session_id
@@ -129,11 +134,10 @@ def recall_user(t: Tables):
 SELECT q_id, r_id, rank FROM kw""")
 def keyword_top_k(t: Tables):
     barred = recall.served_in_session(t.learning, t.injected_in)
-    index = recall.postings(t.learning.withColumn("__text", recall.index_text()), "id", "__text", ["project_id", "scope", "status", "consolidated"])
-    index = index.filter("scope = 'project' AND NOT consolidated AND status IN ('approved', 'candidate')")
-    terms = recall.query_terms(t.request, "request_id", "query", ["project_id"])
+    terms = recall.query_terms(t.request.withColumn("scope", F.lit("project")).withColumn("owner", F.col("project_id").cast("string")), "request_id", "query", ["scope", "owner"])
     allow = lambda pairs: recall.drop_served(pairs, t.request, barred, "doc_id")
-    return recall.keyword_top(terms, index, ["project_id"], 5, allow, True).select("q_id", "r_id", n("rank"))
+    keep = F.col("status").isin("approved", "candidate") & ~F.col("consolidated")
+    return learning_words(t).top(terms, 5, keep, allow, True).select("q_id", "r_id", n("rank"))
 
 
 HYBRID_P = f"""{SEEN_SQL}, {PV_SQL}, {QTERMS_SQL}, {L25},
@@ -152,7 +156,7 @@ HYBRID_U = f"""{UV_SQL},
 SELECT f.q_id, f.r_id, round(f.score, 6) AS score, f.sources, {RANKED} AS rank FROM f JOIN learning l ON l.id = f.r_id QUALIFY rank <= 5""")
 def hybrid_project(t: Tables):
     barred = recall.served_in_session(t.learning, t.injected_in)
-    return out(recall.hybrid(t.request, t.learning, ["project_id"], 5, barred=barred))
+    return out(recall.hybrid(t.request, t.learning, ["project_id"], 5, barred=barred, index=learning_words(t)))
 
 
 @query("hybrid_keyword_only", rows="V4", uses="request learning injected_in", oracle=f"""WITH {SEEN_SQL}, {QTERMS_SQL}, {L25},
@@ -161,7 +165,7 @@ def hybrid_project(t: Tables):
 SELECT f.q_id, f.r_id, round(f.score, 6) AS score, f.sources, {RANKED} AS rank FROM f JOIN learning l ON l.id = f.r_id QUALIFY rank <= 5""")
 def hybrid_keyword_only(t: Tables):
     barred = recall.served_in_session(t.learning, t.injected_in)
-    return out(recall.hybrid(t.request, t.learning, ["project_id"], 5, barred=barred, branches=["keyword"]))
+    return out(recall.hybrid(t.request, t.learning, ["project_id"], 5, barred=barred, branches=["keyword"], index=learning_words(t)))
 
 
 FALLBACK = f"""row_number() OVER (PARTITION BY {{key}} ORDER BY CASE WHEN status = 'approved' THEN 0 ELSE 1 END, updated_at DESC, id) AS rank"""
@@ -183,15 +187,41 @@ UNION ALL SELECT 'project', r.request_id, b.id, b.rank, 'recency' FROM request r
 UNION ALL SELECT 'user', request_id, id, rank, 'search' FROM uhit
 UNION ALL SELECT 'user', r.request_id, b.id, b.rank, 'recency' FROM request r JOIN uback b USING (user_id) WHERE r.request_id NOT IN (SELECT request_id FROM uhit)""")
 def context_on_demand(t: Tables):
+    return _on_demand(t)
+
+
+def _on_demand(t: Tables):
     barred = recall.served_in_session(t.learning, t.injected_in)
     parts = []
     for part, scope, key in (("project", "project", "project_id"), ("user", "user", "user_id")):
-        hits = recall.hybrid(t.request, t.learning, [key], 5, scope=scope, barred=barred)
+        hits = recall.hybrid(t.request, t.learning, [key], 5, scope=scope, barred=barred, index=learning_words(t))
         back = recall.recency_fallback(t.learning.filter(F.col("scope") == scope), [key], 5)
         parts.append(recall.context_hits(t.request, hits, back, key).withColumn("part", F.lit(part)))
     return parts[0].unionByName(parts[1]).select("part", "request_id", "id", n("rank"), "via")
 
 
+MARK_AT = "2024-06-01 00:00:00"
+
+
+@query("context_usage_marks", rows="V7 A11", uses="request learning injected_in", oracle=f"""WITH {HYBRID_P}, {HYBRID_U},
+ phit AS (SELECT f.q_id AS request_id, f.r_id AS id, {RANKED} AS rank FROM f JOIN learning l ON l.id = f.r_id QUALIFY rank <= 5),
+ uhit AS (SELECT f.q_id AS request_id, f.r_id AS id, {RANKED} AS rank FROM uf f JOIN learning l ON l.id = f.r_id QUALIFY rank <= 5),
+ pback AS (SELECT project_id, id, {FALLBACK.format(key='project_id')} FROM learning WHERE {LIVE} AND NOT consolidated AND scope = 'project' QUALIFY rank <= 5),
+ uback AS (SELECT user_id, id, {FALLBACK.format(key='user_id')} FROM learning WHERE {LIVE} AND NOT consolidated AND scope = 'user' QUALIFY rank <= 5),
+ given AS (SELECT request_id, id FROM phit UNION SELECT r.request_id, b.id FROM request r JOIN pback b USING (project_id) WHERE r.request_id NOT IN (SELECT request_id FROM phit)
+   UNION SELECT request_id, id FROM uhit UNION SELECT r.request_id, b.id FROM request r JOIN uback b USING (user_id) WHERE r.request_id NOT IN (SELECT request_id FROM uhit)),
+ n AS (SELECT id, count(*) AS n FROM given GROUP BY id)
+SELECT l.id, l.support_count + coalesce(n.n, 0) AS use_count, coalesce(n.n, 0) AS retrieval_count,
+  CASE WHEN n.n IS NOT NULL THEN epoch_us(TIMESTAMP '{MARK_AT}') END AS last_retrieved_at, CASE WHEN n.n IS NOT NULL THEN epoch_us(TIMESTAMP '{MARK_AT}') END AS last_used_at
+FROM learning l LEFT JOIN n USING (id)""")
+def context_usage_marks(t: Tables):
+    """What the on-demand pull leaves on the facts: each fact given to a request counts once for it."""
+    rows = t.learning.withColumn("use_count", F.col("support_count")).withColumn("last_used_at", F.lit(None).cast("timestamp"))
+    marked = recall.mark_retrieved(rows, _on_demand(t), F.lit(MARK_AT).cast("timestamp"))
+    micros = lambda c: F.unix_micros(c).alias(c)
+    return marked.select("id", n("use_count"), n("retrieval_count"), micros("last_retrieved_at"), micros("last_used_at"))
+
+
 @query("suggest_skills", rows="V8", uses="request skill", oracle=f"""
 WITH c AS (SELECT r.request_id AS q_id, s.slug, s.salience, {COS.format(a='r.vector', b='s.embedding')} AS cos FROM request r JOIN skill s ON s.project_id = r.project_id WHERE s.status = 'approved')
 SELECT q_id, slug, row_number() OVER (PARTITION BY q_id ORDER BY round(cos * (1 + 0.1::DOUBLE * salience), 6) DESC, slug) AS rank FROM c
@@ -212,23 +242,51 @@ SELECT f.q_id, f.r_id, round(f.score * (1 + 0.1::DOUBLE * s.salience), 6) AS sco
  row_number() OVER (PARTITION BY f.q_id ORDER BY round(f.score * (1 + 0.1::DOUBLE * s.salience), 9) DESC, f.r_id) AS rank FROM f JOIN skill s ON s.skill_id = f.r_id QUALIFY rank <= 5""")
 def skill_search(t: Tables):
     text = F.concat_ws(" ", "name", "description", "content")
+    words = t.shared("skill-words", lambda: recall.text_index(t.skill, "skill_id", text, ["project_id"], ["status"]))
     return out(recall.search(
-        t.request, t.skill, "skill_id", text, ["project_id"], 5, keep=F.col("status") == "approved", salience=True, weight=0.1
+        t.request, t.skill, "skill_id", text, ["project_id"], 5, keep=F.col("status") == "approved", salience=True, weight=0.1, index=words
     ))
 
 
 @query("episode_search", rows="V10", uses="request observation", oracle=f"""WITH {QTERMS_SQL}, {bm25('observation', 'id', "coalesce(title || ' ', '') || coalesce(narrative, '')", 'project_id')},
- kw AS (SELECT q_id, r_id, score, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 6) DESC, r_id) AS rank FROM (
-   SELECT q.q_id, w.r_id, sum(w.w) AS score FROM qterm q JOIN wgt w ON w.term = q.term AND w.project_id = q.project_id GROUP BY 1, 2) y QUALIFY rank <= 5)
-SELECT k.q_id, k.r_id, round(1.0::DOUBLE / (60 + k.rank), 6) AS score, 'keyword' AS sources, k.rank, substr(coalesce(o.narrative, ''), 1, 160) AS snippet FROM kw k JOIN observation o ON o.id = k.r_id""")
+ vec AS (SELECT q_id, r_id, row_number() OVER (PARTITION BY q_id ORDER BY round(cos, 6) DESC, r_id) AS rank FROM (
+   SELECT r.request_id AS q_id, o.id AS r_id, {COS.format(a='r.vector', b='o.embedding')} AS cos FROM request r JOIN observation o ON o.project_id = r.project_id WHERE o.embedding IS NOT NULL) x QUALIFY rank <= 5),
+ kw AS (SELECT q_id, r_id, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 6) DESC, r_id) AS rank FROM (
+   SELECT q.q_id, w.r_id, sum(w.w) AS score FROM qterm q JOIN wgt w ON w.term = q.term AND w.project_id = q.project_id GROUP BY 1, 2) y QUALIFY rank <= 5),
+ {fuse_sql('f', [('vec', 'vector'), ('kw', 'keyword')])}
+SELECT f.q_id, f.r_id, round(f.score, 6) AS score, f.sources, row_number() OVER (PARTITION BY f.q_id ORDER BY round(f.score, 9) DESC, f.r_id) AS rank, substr(coalesce(o.narrative, ''), 1, 160) AS snippet
+FROM f JOIN observation o ON o.id = f.r_id QUALIFY rank <= 5""")
 def episode_search(t: Tables):
-    # Episodes carry no vectors here, so only the keyword side can search.
-    hits = recall.search(t.request, t.observation, "id", F.concat_ws(" ", "title", "narrative"), ["project_id"], 5, has_vectors=False)
+    text = F.concat_ws(" ", "title", "narrative")
+    words = t.shared("episode-words", lambda: recall.text_index(t.observation, "id", text, ["project_id"]))
+    hits = recall.search(t.request, t.observation, "id", text, ["project_id"], 5, index=words)
     return out(hits).join(
         t.observation.select(F.col("id").alias("r_id"), F.substring(F.coalesce("narrative", F.lit("")), 1, 160).alias("snippet")), "r_id"
     )
 
 
+@query("hybrid_outcomes", rows="V4 V7", uses="request learning injected_in", oracle=f"""WITH {SEEN_SQL}, asked AS (
+   SELECT *, CASE WHEN request_id % 4 <> 0 THEN vector END AS v, CASE WHEN request_id % 6 <> 0 THEN query END AS words FROM request),
+ apairs AS (SELECT r.request_id AS q_id, l.id AS r_id, l.status, {COS.format(a='r.v', b='l.embedding')} AS cos
+   FROM asked r JOIN learning l ON l.project_id = r.project_id WHERE r.v IS NOT NULL AND l.scope = 'project' AND NOT l.consolidated AND l.id <> r.request_id),
+ araw AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(cos, 6) DESC, r_id) AS rk FROM apairs),
+ {QTERMS_SQL.strip().replace('FROM request)', 'FROM (SELECT request_id, words AS query FROM asked) asked_)')}, {L25},
+ vec AS (SELECT q_id, r_id, row_number() OVER (PARTITION BY q_id ORDER BY round(cos, 6) DESC, r_id) AS rank FROM araw p WHERE rk <= 5 AND {LIVE}
+   AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.q_id = p.q_id AND s.r_id = p.r_id)),
+ {kw_sql('kw', 'w.project_id = q.project_id', f"w.scope = 'project' AND NOT w.consolidated AND w.{LIVE}", 5)},
+ {fuse_sql('f', [('vec', 'vector'), ('kw', 'keyword')])},
+ best AS (SELECT f.q_id, f.r_id, {RANKED} AS rank FROM f JOIN learning l ON l.id = f.r_id QUALIFY rank <= 5),
+ hits AS (SELECT q_id, count(*) AS n FROM best GROUP BY q_id)
+SELECT a.request_id AS q_id, CASE WHEN a.v IS NOT NULL OR len(regexp_extract_all(lower(coalesce(a.words, '')), '[a-z0-9]{{3,}}')) > 0 THEN coalesce(h.n, 0) END AS n_hits
+FROM asked a LEFT JOIN hits h ON h.q_id = a.request_id""")
+def hybrid_outcomes(t: Tables):
+    """Hits per request, null where nothing could be searched: some requests have no vector, some no words, some neither."""
+    asked = t.request.withColumn("vector", F.when(F.col("request_id") % 4 != 0, F.col("vector"))).withColumn("query", F.when(F.col("request_id") % 6 != 0, F.col("query")))
+    barred = recall.served_in_session(t.learning, t.injected_in)
+    hits = recall.hybrid(asked, t.learning, ["project_id"], 5, barred=barred, index=learning_words(t)).groupBy("q_id").agg(F.count("*").alias("n"))
+    return recall.searched(asked).join(hits, "q_id", "left").select("q_id", F.when(F.col("searched"), F.coalesce("n", F.lit(0))).alias("n_hits"))
+
+
 @query("gate_neighbours", rows="V11", uses="request learning", oracle=f"""WITH {QTERMS_SQL}, {L25},
  cand AS (SELECT * FROM learning WHERE status = 'candidate'),
  cp AS (SELECT c.id AS q_id, l.id AS r_id, l.status, l.scope = 'project' OR l.user_id = c.user_id AS mine, {COS.format(a='c.embedding', b='l.embedding')} AS cos
@@ -241,7 +299,7 @@ def episode_search(t: Tables):
  {fuse_sql('f', [('vec', 'vector'), ('kw', 'keyword')])}
 SELECT q_id, r_id, round(score, 6) AS score, sources, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, r_id) AS rank FROM f QUALIFY rank <= 15""")
 def gate_neighbours(t: Tables):
-    return out(recall.gate_neighbours(t.learning.filter("status = 'candidate'"), t.learning))
+    return out(recall.gate_neighbours(t.learning.filter("status = 'candidate'"), t.learning, index=learning_words(t)))
 
 
 @query("similar_learnings", rows="V12", uses="learning", oracle=f"""

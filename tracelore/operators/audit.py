@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelore import params
 from tracelore.functions.text import age_label, truncate
-from tracelore.operators.segments import HOUR, neighbours, time_slice, top_per_key
+from tracelore.operators.segments import HOUR, SEG, SLICE_ROWS, laid_out, neighbours, running_sums, top_per_key
 
 
 def pending_profile_facts(learnings: DataFrame) -> DataFrame:
@@ -93,18 +93,17 @@ def fold_profiles(profiles: DataFrame, versions: DataFrame, sections: DataFrame,
     return {"profiles": state, "versions": history, "folded": folded, "unfolded": unfolded}
 
 
-def prompt_versions(writes: DataFrame, width: int = 24 * HOUR) -> DataFrame:
+def prompt_versions(writes: DataFrame, width: int = 24 * HOUR, most: int = SLICE_ROWS) -> DataFrame:
     """Version history of prompts from their writes (name, ts, write_id, content): a version
     starts when the content differs from the write before; numbered from 1."""
-    from tracelore.operators.segments import running_sums
-
-    rows = neighbours(writes.withColumn("__c", F.sha1(F.col("content").cast("binary"))), ["name"], ["ts", "write_id"], time_slice(F.col("ts"), width), "__c")
+    hashed = writes.withColumn("__c", F.sha1(F.col("content").cast("binary")))
+    rows = neighbours(laid_out(hashed, ["name"], ["ts", "write_id"], width=width, most=most), ["name"], ["ts", "write_id"], F.col(SEG), "__c")
     changed = (~F.col("__c").eqNullSafe(F.col("prev___c"))).cast("int")
     action = F.when(F.col("prev___c").isNull(), "created").when(F.col("__c") == F.col("prev___c"), "unchanged").otherwise("updated")
     return running_sums(
         rows.withColumn("action", action).withColumn("__changed", changed).drop("prev___c", "next___c", "__c"),
-        ["name"], ["ts", "write_id"], time_slice(F.col("ts"), width), {"version": F.col("__changed")},
-    ).drop("__changed")
+        ["name"], ["ts", "write_id"], F.col(SEG), {"version": F.col("__changed")},
+    ).drop("__changed", SEG)
 
 
 def gate_audit(learnings: DataFrame, conflicts: DataFrame, skills: DataFrame, versions: DataFrame, derived: DataFrame, limit: int = 20) -> DataFrame:
@@ -131,10 +130,11 @@ def gate_audit(learnings: DataFrame, conflicts: DataFrame, skills: DataFrame, ve
     return rows.select("project_id", "section", "rank", "key", "detail", "at").unionByName(count)
 
 
-def observation_chain(observations: DataFrame) -> DataFrame:
+def observation_chain(observations: DataFrame, most: int = SLICE_ROWS) -> DataFrame:
     """Previous and next entry per project by (end, id), and whether it is the latest."""
     rows = observations.withColumn("ts", F.coalesce("ended_at", "created_at") if "created_at" in observations.columns else F.col("ended_at"))
-    return neighbours(rows, ["project_id"], ["ts", "id"], time_slice(F.col("ts"), 24 * HOUR), "id").withColumn("is_latest", F.col("next_id").isNull())
+    rows = laid_out(rows, ["project_id"], ["ts", "id"], width=24 * HOUR, most=most)
+    return neighbours(rows, ["project_id"], ["ts", "id"], F.col(SEG), "id").drop(SEG).withColumn("is_latest", F.col("next_id").isNull())
 
 
 def episode_facts(runs: DataFrame, produced: DataFrame, learnings: DataFrame) -> DataFrame:

@@ -18,6 +18,10 @@ _RES = "array<struct<id:string,type:string,name:string,value:string,confidence:d
 # Input keys read as resources, in this order.
 RESOURCE_KEYS = ("path", "file", "uri", "url", "ref_id")
 
+#: Who acted, as ``classify_actor`` resolves it. A call takes the first three from its prompt where its own event has none.
+ACTOR = ("agent_id", "agent_transcript_id", "parent_session_id", "agent_kind", "is_subagent")
+FROM_PROMPT = ACTOR[:3]
+
 
 def _resource(id_: Column, kind: str, value: Column, confidence: float, name: Column | None = None) -> Column:
     return F.struct(
@@ -58,8 +62,11 @@ def touched_resources(tool_input: Column) -> Column:
 
 def enrich(events: DataFrame, window: str) -> dict[str, DataFrame]:
     """Six tables from the events of bounded windows (``window`` plus session_id, project_id):
-    turn, tool_call, tool_result, rationale, resource, and the edges follows / depends_on."""
-    pre_cols = ["tool_name", "tool_input", "tool_use_id", "turn_id", "session_id", "project_id"]
+    turn, tool_call, tool_result, rationale, resource, and the edges follows / depends_on. Actor columns that the events
+    have are carried to turns (of the first call), calls, results and rationales."""
+    actor = [c for c in ACTOR if c in events.columns]
+    asked_by = [c for c in FROM_PROMPT if c in events.columns]
+    pre_cols = ["tool_name", "tool_input", "tool_use_id", "turn_id", "session_id", "project_id", *actor]
     pairs = pair_tool_calls(events, window)
     pre = events.select(F.col("event_id").alias("pre_event_id"), *pre_cols)
     post = events.select(
@@ -70,12 +77,13 @@ def enrich(events: DataFrame, window: str) -> dict[str, DataFrame]:
 
     prompts = events.filter((F.col("event_name") == "UserPromptSubmit") & (F.coalesce("prompt", F.lit("")) != ""))
     at = F.struct("ts", "event_id")
-    ref = F.struct("prompt", F.col("event_id").alias("prompt_event_id"), F.col("ts").alias("prompt_ts"))
+    ref = F.struct("prompt", F.col("event_id").alias("prompt_event_id"), F.col("ts").alias("prompt_ts"), *[F.col(c).alias(f"prompt_{c}") for c in asked_by])
     by_turn = prompts.groupBy(window, F.coalesce("turn_id", F.lit("")).alias("__turn")).agg(F.max_by(ref, at).alias("__own"))
     last = prompts.groupBy(window).agg(F.max_by(ref, at).alias("__last"))
     calls = calls.withColumn("__turn", F.coalesce("turn_id", F.lit(""))).join(by_turn, [window, "__turn"], "left").join(last, window, "left")
     calls = calls.withColumn("__ref", F.coalesce("__own", "__last")).select(
-        *[c for c in calls.columns if c not in ("__own", "__last", "__turn")],
+        *[c for c in calls.columns if c not in ("__own", "__last", "__turn", *asked_by)],
+        *[F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"__ref.prompt_{c}")).alias(c) for c in asked_by],
         F.col("__ref.prompt").alias("prompt"), "__ref.prompt_event_id", "__ref.prompt_ts",
     )
 
@@ -126,6 +134,7 @@ def enrich(events: DataFrame, window: str) -> dict[str, DataFrame]:
         F.min_by("prompt_event_id", first).alias("prompt_event_id"),
         F.min_by(F.coalesce("prompt_ts", "pre_ts"), first).alias("first_seen_at"),
         F.count("*").alias("call_count"),
+        *[F.min_by(c, first).alias(c) for c in actor],
     )
     answered = calls.filter(F.col("post_event_id").isNotNull())
     result = answered.select(
@@ -133,11 +142,11 @@ def enrich(events: DataFrame, window: str) -> dict[str, DataFrame]:
         result_summary(F.col("tool_response")).alias("summary"),
         F.length(F.coalesce("tool_response", F.lit(""))).alias("response_chars"),
         result_success(F.col("tool_response"), F.col("tool_error")).alias("succeeded"),
-        F.col("post_ts").alias("created_at"),
+        F.col("post_ts").alias("created_at"), *actor,
     )
     rationale = calls.select(
         window, F.concat(F.lit("tool-rationale:"), "call_id").alias("rationale_id"), "call_id", "intent",
-        "expected_output", "observable_rationale", "confidence",
+        "expected_output", "observable_rationale", "confidence", *actor,
     )
     evidence = answered.filter(F.coalesce("tool_response", F.lit("")) != "").select(
         window, "turn_node_id", "order", "call_id", F.concat(F.lit("evidence:"), "call_id").alias("resource_id"),

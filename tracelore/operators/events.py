@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelore import params
 from tracelore.functions.text import collapse, hard_cap, prompt_origin, sha16
-from tracelore.operators.segments import HOUR, neighbours, time_slice
+from tracelore.operators.segments import HOUR, SEG, SLICE_ROWS, laid_out, neighbours
 
 # Event families.
 FAILURE_EVENT = "PostToolUseFailure"
@@ -210,9 +210,10 @@ def append_new(events: DataFrame, log: DataFrame, key: str = "event_id") -> Data
     return first.join(log.select(key), key, "left_anti").select(key, "__row.*").select(*events.columns)
 
 
-def event_chain(events: DataFrame, session: str = "session_id", width: int = HOUR) -> DataFrame:
+def event_chain(events: DataFrame, session: str = "session_id", width: int = HOUR, most: int = SLICE_ROWS) -> DataFrame:
     """FIRST, NEXT and LATEST along each session, by time and id."""
-    linked = neighbours(events, [session], ["ts", "event_id"], time_slice(F.col("ts"), width), "event_id")
+    rows = laid_out(events, [session], ["ts", "event_id"], width=width, most=most)
+    linked = neighbours(rows, [session], ["ts", "event_id"], F.col(SEG), "event_id").drop(SEG)
     return linked.withColumns(
         {"is_first": F.col("prev_event_id").isNull(), "is_latest": F.col("next_event_id").isNull()}
     )

@@ -1,96 +1,135 @@
-"""Keyword search: exact top-k by BM25 without scoring every match of a common word.
-
-Terms that many rows share would pair most queries with most rows. They are handled in
-two steps that lose nothing. First a query is scored on its rarer terms; its k-th best
-such score is a bound no row in the final top k can fall below. A row that matches only
-common terms can reach at most the sum of their largest weights; where that sum stays
-below the bound, common terms need not bring in rows of their own - they only add to the
-rows already found. Where it does not, the common terms that can still reach the bound
-bring in their rows too.
+"""Keyword search: exact top-k by BM25 over a stored index that skips what cannot matter.
+
+The index is written once and read by every search. A term's postings inside a key (project, owner, ...) lie in blocks of
+``BLOCK`` in order of falling weight, one row per block with its largest weight, bucketed by (key, term, block): a term that a third
+of all rows hold is many small blocks in many buckets, and a search joins the few it needs without shuffling the index. A
+second table keeps each row's words with their weights, bucketed by row.
+
+A search first reads the first block of each of a query's terms. The k-th best sum of what it found is a bound that no row of the
+final top k falls below. A row in none of the blocks read has of each term at most the next block's largest weight, so only blocks above
+a level are read on, chosen such that what stays unread adds up to less than the bound. Rows that were seen and can
+still reach it get their whole score from the row's own words. Common terms have small weights everywhere, so beyond their
+first block they are hardly ever read. Where the bound is unknown (fewer than k rows so far) more blocks are read, in the end all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelore import params
 from tracelore.functions.text import keyword_terms, tokens
-from tracelore.operators.segments import top_per_key
-from tracelore.session import cut
+from tracelore.operators.segments import numbered, top_per_key
+from tracelore.session import bucketed, stored
 
-COMMON_DF = 5000
+BLOCK = 128
+#: Blocks that are read before the level is fixed: of each term, then of the terms of queries that still have no bound.
+FIRST_BLOCKS, MORE_BLOCKS = 1, 16
+#: Scores are compared to six places, so a sum this much lower may still tie.
+SLACK = 2e-6
 
 
-def postings(docs: DataFrame, doc_id: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, keep..., term, weight): the BM25 weight of every term of every row, with
-    document frequencies and mean length over all of ``docs``. The index is written out once;
-    a search reads it several times."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), *keep, tokens(F.col(text)).alias("__words"))
-    words = words.withColumn("__len", F.size("__words"))
-    stats = words.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"))
-    tf = cut(
-        words.select("doc_id", *keep, "__len", F.explode("__words").alias("term")).groupBy("doc_id", *keep, "__len", "term").agg(
-            F.count("*").alias("__tf")
-        )
+def term_weights(docs: DataFrame, doc_id: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, keep..., term, weight): the BM25 weight of every term of every row, with document frequencies and mean
+    length over all of ``docs``."""
+    words = docs.select(F.col(doc_id).alias("doc_id"), *keep, tokens(F.col(text)).alias("__words")).withColumn("__len", F.size("__words"))
+    tf = stored(
+        words.select("doc_id", *keep, "__len", F.explode("__words").alias("term")).groupBy("doc_id", *keep, "__len", "term").agg(F.count("*").alias("__tf")),
+        "term-counts",
     )
+    stats = words.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"))
     df = tf.groupBy("term").agg(F.count("*").alias("__df"))
     k1, b = params.BM25_K1, params.BM25_B
     # One row of corpus totals: a cross join with it is a broadcast of two numbers.
     scored = tf.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(F.lit(1.0) + (F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5))
     weight = idf * F.col("__tf") / (F.col("__tf") + k1 * (1 - b + b * F.col("__len") / F.col("__avg")))
-    return cut(scored.select("doc_id", *keep, "term", weight.alias("weight")))
+    return scored.select("doc_id", *keep, "term", weight.alias("weight"))
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
     return queries.select(F.col(query_id).alias("q_id"), *keep, F.explode(keyword_terms(F.col(text))).alias("term"))
 
 
-def keyword_top(
-    terms: DataFrame,
-    index: DataFrame,
-    keys: Sequence[str],
-    k: int,
-    allow: Callable[[DataFrame], DataFrame] | None = None,
-    skip_self: bool = False,
-    common_df: int = COMMON_DF,
-) -> DataFrame:
-    """(q_id, r_id, score, rank): the ``k`` best rows per query within ``keys``, ordered by
-    score to six places, then id. ``index`` holds the eligible postings; ``allow`` keeps the
-    pairs (q_id, doc_id) that may count and, with ``skip_self``, equal ids never do."""
-    keys = list(keys)
-
-    def eligible(pairs: DataFrame) -> DataFrame:
+class KeywordIndex:
+    """``postings`` (keys..., term, block, top, postings) and ``rows`` (doc_id, words). ``attrs`` are columns of the rows that a search may filter by;
+    rows with a null key can't be found. ``work`` counts the blocks read and those of the queries' terms."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, keys: Sequence[str], attrs: Sequence[str] = (), block: int = BLOCK):
+        self.keys = list(keys)
+        self.work = {"read": 0, "all": 0}
+        weights = stored(term_weights(docs, doc_id, text, [*keys, *attrs]).dropna(subset=self.keys), "weights")
+        ranked = numbered(weights, [*keys, "term"], [F.col("weight").desc(), F.col("doc_id").asc()], "__place")
+        posting = F.struct((-F.col("weight")).alias("minus"), "doc_id", *attrs)
+        blocks = ranked.groupBy(*keys, "term", F.floor(F.col("__place") / block).alias("block")).agg(
+            F.max("weight").alias("top"), F.sort_array(F.collect_list(posting)).alias("postings")
+        )
+        self.postings = bucketed(blocks, [*keys, "term", "block"], "postings")
+        self.rows = bucketed(weights.groupBy("doc_id").agg(F.collect_list(F.struct("term", "weight")).alias("words")), ["doc_id"], "words")
+
+    def _read(self, wanted: DataFrame, keep: Column | None) -> DataFrame:
+        """(q_id, term, doc_id, weight) of the postings of the blocks ``wanted`` (q_id, keys..., term, block, q_...)."""
+        own = [c for c in wanted.columns if c.startswith("q_")]
+        found = wanted.join(self.postings.drop("top"), [*self.keys, "term", "block"]).select(*own, "term", F.explode("postings").alias("p")).select(*own, "term", "p.*")
+        if keep is not None:
+            found = found.filter(keep)
+        return found.select("q_id", "term", "doc_id", (-F.col("minus")).alias("weight"))
+
+    def top(self, terms: DataFrame, k: int, keep: Column | None = None, allow: Callable[[DataFrame], DataFrame] | None = None, skip_self: bool = False) -> DataFrame:
+        """(q_id, r_id, score, rank): the ``k`` best rows per query (q_id, keys..., term), ordered by score to six places, then id. ``keep``
+        filters by the attributes and by columns q_... of ``terms``, ``allow`` the pairs (q_id, doc_id); with ``skip_self`` equal ids never count."""
+
+        def sums(read: DataFrame) -> DataFrame:
+            pairs = read.groupBy("q_id", "doc_id").agg(F.sum("weight").alias("score"))
+            if skip_self:
+                pairs = pairs.filter(F.col("q_id") != F.col("doc_id"))
+            return pairs if allow is None else allow(pairs)
+
+        def best(pairs: DataFrame) -> DataFrame:
+            return top_per_key(pairs, ["q_id"], [F.round("score", 6).desc(), F.col("doc_id").asc()], k)
+
+        def bounds(pairs: DataFrame) -> DataFrame:
+            return best(pairs).filter(F.col("rank") == k).select("q_id", (F.col("score") - SLACK).alias("bound"))
+
+        wanted = terms.join(self.postings.select(*self.keys, "term", "block", "top"), [*self.keys, "term"])
+        wanted = stored(wanted, "blocks-of-terms")
+        self.work["all"] += wanted.count()
+        first = wanted.filter(F.col("block") < FIRST_BLOCKS)
+        read = stored(self._read(first.drop("top"), keep), "read")
+        found = stored(sums(read), "found")
+        rest = wanted.filter(F.col("block") >= FIRST_BLOCKS)
+        self.work["read"] += first.count()
+        if rest.isEmpty():
+            return best(found).select("q_id", F.col("doc_id").alias("r_id"), "score", "rank")
+
+        short = rest.join(bounds(found), "q_id", "left_anti")
+        more = stored(short.filter(F.col("block") < MORE_BLOCKS), "more-blocks")
+        self.work["read"] += more.count()
+        read = stored(read.unionByName(self._read(more.drop("top"), keep)), "read")
+        found = stored(sums(read), "found")
+        rest = stored(rest.join(more.select("q_id", *self.keys, "term", "block"), ["q_id", *self.keys, "term", "block"], "left_anti"), "unread")
+        ahead = rest.groupBy("q_id", "term").agg(F.max("top").alias("ahead"))
+        level = ahead.groupBy("q_id").agg(F.sort_array(F.collect_list("ahead")).alias("tops")).join(bounds(found), "q_id", "left").select("q_id", "bound", F.expr(
+            "case when bound is null then -1D else aggregate(tops, named_struct('used', 0D, 'open', size(tops), 'level', cast(null as double)), (a, x) -> "
+            "case when a.level is not null then a when x >= (bound - a.used) / a.open then named_struct('used', a.used, 'open', a.open, 'level', (bound - a.used) / a.open) "
+            "else named_struct('used', a.used + x, 'open', a.open - 1, 'level', cast(null as double)) end, a -> coalesce(a.level, double('inf'))) end").alias("level"))
+        level = stored(level, "levels")
+        last = stored(rest.join(level.select("q_id", "level"), "q_id").filter("top >= level").drop("level"), "last-blocks")
+        self.work["read"] += last.count()
+        read = stored(read.unionByName(self._read(last.drop("top"), keep)), "read")
+
+        # What a row that was seen for some terms may still have of the others.
+        ahead = rest.join(last.select("q_id", *self.keys, "term", "block"), ["q_id", *self.keys, "term", "block"], "left_anti").groupBy("q_id", "term").agg(F.max("top").alias("ahead"))
+        in_all = ahead.groupBy("q_id").agg(F.sum("ahead").alias("in_all"))
+        hope = read.join(ahead, ["q_id", "term"], "left").groupBy("q_id", "doc_id").agg(F.sum(F.col("weight") - F.coalesce("ahead", F.lit(0.0))).alias("score"))
+        hope = hope.join(in_all, "q_id", "left").join(level.select("q_id", "bound"), "q_id", "left").filter(
+            F.col("bound").isNull() | (F.col("score") + F.coalesce("in_all", F.lit(0.0)) >= F.col("bound"))
+        ).select("q_id", "doc_id")
+        asked = terms.groupBy("q_id").agg(F.collect_set("term").alias("terms"))
+        whole = hope.join(self.rows, "doc_id").join(asked, "q_id").select("q_id", "doc_id", F.expr(
+            "aggregate(filter(words, w -> array_contains(terms, w.term)), 0D, (a, w) -> a + w.weight)").alias("score"))
         if skip_self:
-            pairs = pairs.filter(F.col("q_id") != F.col("doc_id"))
-        return pairs if allow is None else allow(pairs)
-
-    facts = index.groupBy(*keys, "term").agg(F.count("*").alias("__rows"), F.max("weight").alias("__top"))
-    common = facts.filter(F.col("__rows") > common_df)
-    tagged = terms.join(common.select(*keys, "term", "__top"), [*keys, "term"], "left")
-    rare = tagged.filter("__top IS NULL").drop("__top")
-    shared = tagged.filter("__top IS NOT NULL")
-    found = eligible(rare.join(index, [*keys, "term"]).groupBy("q_id", *keys, "doc_id").agg(F.sum("weight").alias("score")))
-    if common.isEmpty():
-        ranked = top_per_key(found, ["q_id"], [F.round("score", 6).desc(), F.col("doc_id").asc()], k)
-        return ranked.select("q_id", F.col("doc_id").alias("r_id"), "score", "rank")
-
-    found = cut(found)
-    bound = top_per_key(found, ["q_id"], [F.col("score").desc(), F.col("doc_id").asc()], k).filter(
-        F.col("rank") == k
-    ).select("q_id", F.col("score").alias("__bound"))
-    # A query has at most 16 terms, so this running sum is over a handful of rows.
-    rising = Window.partitionBy("q_id").orderBy("__top", "term").rowsBetween(Window.unboundedPreceding, 0)
-    shared = shared.withColumn("__reach", F.sum("__top").over(rising)).join(bound, "q_id", "left")
-    leading = shared.filter(F.col("__bound").isNull() | (F.col("__reach") >= F.col("__bound") - 1e-6)).drop("__reach", "__bound", "__top")
-    more = eligible(
-        leading.join(index, [*keys, "term"]).select("q_id", *keys, "doc_id").distinct()
-    )
-    candidates = found.select("q_id", *keys, "doc_id").unionByName(more).distinct()
-    wanted = candidates.join(terms.select("q_id", *keys, "term"), ["q_id", *keys])
-    scored = wanted.join(index, [*keys, "doc_id", "term"]).groupBy("q_id", "doc_id").agg(F.sum("weight").alias("score"))
-    ranked = top_per_key(scored, ["q_id"], [F.round("score", 6).desc(), F.col("doc_id").asc()], k)
-    return ranked.select("q_id", F.col("doc_id").alias("r_id"), "score", "rank")
+            whole = whole.filter(F.col("q_id") != F.col("doc_id"))
+        return best(whole if allow is None else allow(whole)).select("q_id", F.col("doc_id").alias("r_id"), "score", "rank")

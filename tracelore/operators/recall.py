@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelore import params
-from tracelore.operators.keyword import keyword_top, postings, query_terms
+from tracelore.functions.text import keyword_terms
+from tracelore.operators.keyword import KeywordIndex, query_terms
 from tracelore.operators.similarity import nearest, nearest_boosted, pairs_above
 from tracelore.operators.segments import top_per_key
 
@@ -109,6 +110,27 @@ def index_text() -> Column:
     return F.concat_ws(" ", "text", "task_pattern")
 
 
+def owner_of(scope: Column, user_id: Column, project_id: Column) -> Column:
+    """Whose facts are searched together: a user's for user scope, a project's otherwise."""
+    return F.when(scope == "user", user_id.cast("string")).otherwise(project_id.cast("string"))
+
+
+def learning_index(learnings: DataFrame) -> KeywordIndex:
+    """The one text index over facts that all searches share: keyed by scope and owner, filtered by project, status and flag."""
+    rows = learnings.withColumn("__text", index_text()).withColumn("owner", owner_of(F.col("scope"), F.col("user_id"), F.col("project_id")))
+    rows = rows.withColumn("consolidated", F.coalesce("consolidated", F.lit(False)))
+    return KeywordIndex(rows, "id", "__text", ["scope", "owner"], ["project_id", "status", "consolidated"])
+
+
+def searched(requests: DataFrame, gated: bool = False) -> DataFrame:
+    """(q_id, searched): whether a search could run at all. Without a vector and without words, and under a floor without a vector, there
+    is no signal, which a caller tells apart from a search that found nothing."""
+    signal = F.size(F.coalesce("vector", F.array().cast("array<float>"))) > 0
+    if not gated:
+        signal = signal | (F.size(keyword_terms(F.col("query"))) > 0)
+    return requests.select(F.col("request_id").alias("q_id"), signal.alias("searched"))
+
+
 def recall_project(
     requests: DataFrame, learnings: DataFrame, limit: int = 5, floor: float = params.RECALL_FLOOR,
     barred: DataFrame | None = None, salience: DataFrame | None = None, weight: float = 0.0,
@@ -140,11 +162,11 @@ def hybrid(
     requests: DataFrame, learnings: DataFrame, keys: Sequence[str], limit: int, *,
     scope: str = "project", barred: DataFrame | None = None, include_consolidated: bool = False,
     salience: DataFrame | None = None, weight: float = 0.0, branches: Sequence[str] = ("vector", "keyword"),
-    skip_self: bool = True,
+    skip_self: bool = True, index: KeywordIndex | None = None,
 ) -> DataFrame:
     """Vector and keyword search over learnings fused by rank. For user scope give
     ``keys=["user_id"]``: the keyword branch filters the owner before its limit, the vector
-    branch after."""
+    branch after. ``index`` is the stored ``learning_index``; without one it is built."""
     rows = learnings.filter(F.col("scope") == scope)
     if not include_consolidated:
         rows = rows.filter(~F.coalesce("consolidated", F.lit(False)))
@@ -160,14 +182,12 @@ def hybrid(
         else:
             parts["vector"] = vector_branch(requests, rows, keys, pool, keep=alive, barred=barred, skip_self=skip_self)
     if "keyword" in branches:
-        index = postings(learnings.withColumn("__text", index_text()), "id", "__text", [*keys, "scope", "status", "consolidated"])
-        index = index.filter((F.col("scope") == scope) & alive)
-        if not include_consolidated:
-            index = index.filter(~F.coalesce("consolidated", F.lit(False)))
-        parts["keyword"] = keyword_top(
-            query_terms(requests, "request_id", "query", keys), index.select(*keys, "doc_id", "term", "weight"), keys, pool,
-            None if barred is None else lambda pairs: drop_served(pairs, requests, barred, "doc_id"), skip_self,
-        )
+        words = index or learning_index(learnings)
+        keep = alive if include_consolidated else alive & ~F.col("consolidated")
+        owner = owner_of(F.lit(scope), F.col("user_id"), F.col("project_id"))
+        terms = query_terms(requests.withColumn("scope", F.lit(scope)).withColumn("owner", owner), "request_id", "query", ["scope", "owner"])
+        allow = None if barred is None else lambda pairs: drop_served(pairs, requests, barred, "doc_id")
+        parts["keyword"] = words.top(terms, pool, keep, allow, skip_self)
     return order_hits(fuse(parts, salience, weight), rows, limit)
 
 
@@ -190,6 +210,21 @@ def context_hits(requests: DataFrame, hits: DataFrame, fallback: DataFrame, key:
     return found.unionByName(filler)
 
 
+def mark_retrieved(learnings: DataFrame, given: DataFrame, at: Column) -> DataFrame:
+    """The facts after an on-demand pull that gave (request_id, id): use and retrieval counts go up by the number of requests that got the
+    fact, both times move to ``at``; counters a fact lacks start at 0, facts not given stay as they are."""
+    counts = given.select("request_id", "id").distinct().groupBy("id").agg(F.count("*").alias("__given"))
+    marked = learnings.join(counts, "id", "left")
+    served = F.col("__given").isNotNull()
+    for name in ("use_count", "retrieval_count"):
+        before = F.coalesce(name, F.lit(0)) if name in learnings.columns else F.lit(0)
+        marked = marked.withColumn(name, before + F.coalesce("__given", F.lit(0)))
+    for name in ("last_used_at", "last_retrieved_at"):
+        before = F.col(name) if name in learnings.columns else F.lit(None).cast("timestamp")
+        marked = marked.withColumn(name, F.when(served, at).otherwise(before))
+    return marked.drop("__given")
+
+
 def recent_listing(requests: DataFrame, rows: DataFrame, row_id: str, key: str, latest: Column, limit: int) -> DataFrame:
     """(q_id, r_id, rank): requests without words to search for list the newest rows of their key instead. The
     newest rows are taken per key first, so a busy key costs ``limit`` rows per request."""
@@ -210,31 +245,32 @@ def suggest_skills(
     return top_per_key(hits, ["q_id"], [F.round("ranked", 6).desc(), F.col("slug").asc()], limit)
 
 
+def text_index(rows: DataFrame, row_id: str, text: Column, keys: Sequence[str], attrs: Sequence[str] = ()) -> KeywordIndex:
+    """A stored text index over skills or episodes."""
+    return KeywordIndex(rows.withColumn("id", F.col(row_id)).withColumn("__text", text), "id", "__text", keys, attrs)
+
+
 def search(
     requests: DataFrame, rows: DataFrame, row_id: str, text: Column, keys: Sequence[str], limit: int, *,
-    keep: Column | None = None, salience: bool = False, weight: float = 0.0, has_vectors: bool = True,
+    keep: Column | None = None, salience: bool = False, weight: float = 0.0, has_vectors: bool = True, index: KeywordIndex | None = None,
 ) -> DataFrame:
     """Hybrid search over skills or episodes: status after the limit on the vector side and
-    before it on the keyword side; score order only."""
+    before it on the keyword side; score order only. ``index`` is the stored ``text_index`` of the rows."""
     base = rows.withColumn("id", F.col(row_id)).withColumn("__text", text)
     pool = rank_pool(limit, weight)
     parts: dict[str, DataFrame] = {}
     if has_vectors:
         attrs = ("status",) if keep is not None else ()
         parts["vector"] = vector_branch(requests, base, keys, pool, keep=keep, attrs=attrs, skip_self=False)
-    extra = ["status"] if keep is not None else []
-    index = postings(base, "id", "__text", [*keys, *extra])
-    if keep is not None:
-        index = index.filter(keep)
-    parts["keyword"] = keyword_top(
-        query_terms(requests, "request_id", "query", keys), index.select(*keys, "doc_id", "term", "weight"), keys, pool
-    )
+    words = index or text_index(rows, row_id, text, keys, ["status"] if keep is not None else [])
+    parts["keyword"] = words.top(query_terms(requests, "request_id", "query", keys), pool, keep)
     boost = base.select("id", "salience") if salience else None
     return order_hits(fuse(parts, boost, weight), base.select("id"), limit, approved_first=False)
 
 
 def gate_neighbours(
     candidates: DataFrame, learnings: DataFrame, k: int = params.GATE_TOP_K, branches: Sequence[str] = ("vector", "keyword"),
+    index: KeywordIndex | None = None,
 ) -> DataFrame:
     """What a candidate is judged against: live rows of its project and scope (and user).
     The vector limit is k + 1 because the candidate finds itself."""
@@ -253,15 +289,10 @@ def gate_neighbours(
             raw.join(attrs, "r_id").join(who, "q_id").filter(alive & same_person).select("q_id", "r_id", "cos", "rank"), k + 1
         )
     if "keyword" in branches:
-        # The owner belongs to the key for user facts only.
-        owner = F.when(F.col("scope") == "user", F.col("user_id")).otherwise(F.lit(-1))
-        index = postings(
-            learnings.withColumn("__text", index_text()).withColumn("owner", owner), "id", "__text", [*keys, "owner", "status"]
-        ).filter(alive)
-        terms = query_terms(asked.withColumn("owner", owner), "request_id", "query", [*keys, "owner"])
-        parts["keyword"] = keyword_top(
-            terms, index.select(*keys, "owner", "doc_id", "term", "weight"), [*keys, "owner"], k, skip_self=True
-        )
+        owner = owner_of(F.col("scope"), F.col("user_id"), F.col("project_id"))
+        terms = query_terms(asked.withColumn("owner", owner).withColumn("q_project_id", F.col("project_id")), "request_id", "query", ["scope", "owner", "q_project_id"])
+        words = index or learning_index(learnings)
+        parts["keyword"] = words.top(terms, k, alive & (F.col("project_id") == F.col("q_project_id")), skip_self=True)
     fused = fuse(parts)
     return top_per_key(fused, ["q_id"], [F.round("score", 9).desc(), F.col("r_id").asc()], k)
 

@@ -1,8 +1,8 @@
 """Ordered computations over keys of any size.
 
 A plain window over a key puts the whole key on one task. Here a key is cut into
-segments (usually time slices: a pure function of the row, so recomputing a lost
-task gives the same cut). The heavy window runs per (key, segment); one summary
+segments: time slices, a pure function of the row, or, where some slice of a key holds too many rows, ranges
+that follow density (``laid_out``). The heavy window runs per (key, segment); one summary
 row per segment carries the running state across. The join back uses the same
 (key, segment) partitioning, so the detail rows are shuffled once.
 """
@@ -18,6 +18,8 @@ from tracelore.session import stored
 
 SEG = "__segment"
 HOUR = 3600
+#: Rows of one key in one time slice beyond which cuts follow density.
+SLICE_ROWS = 1_000_000
 
 
 def time_slice(ts: Column, seconds: int = HOUR) -> Column:
@@ -99,6 +101,18 @@ def dense_segments(
     return stored(dealt.withColumn(segment, F.spark_partition_id().cast("long")), name)
 
 
+def laid_out(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str = "ts", width: int = HOUR, most: int = SLICE_ROWS, name: str = "segments",
+    parts: int | None = None,
+) -> DataFrame:
+    """``df`` with a segment that never decreases along ``order`` and holds a bounded part of a key: slices of ``width`` seconds where they suffice,
+    else ranges that follow density, in which a key may hold all its rows in one second."""
+    sliced = df.withColumn(SEG, time_slice(F.col(ts), width))
+    if sliced.groupBy(*keys, SEG).agg(F.count("*").alias("__n")).filter(F.col("__n") > most).isEmpty():
+        return sliced
+    return dense_segments(df, keys, [F.col(c).asc_nulls_first() for c in order], name, parts=parts)
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "place", keep: Sequence[Column | str] | None = None) -> DataFrame:
     """``df``, or its columns ``keep``, with the rank of each row within ``keys`` by ``order``, from 0. Ranks are counted inside the ranges
     that rows are dealt into; one line per key and range carries the count before it. ``keep`` needs the keys and drops columns that only

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tracelore import params
 from tracelore.operators.events import NEUTRAL_EVENTS
-from tracelore.operators.segments import HOUR, running_sums, time_slice, top_per_key
-from tracelore.session import cut
+from tracelore.operators.segments import HOUR, SEG, SLICE_ROWS, laid_out, running_sums, time_slice, top_per_key
+from tracelore.session import bucketed, cut
 
 DAY = 24 * HOUR
 
@@ -62,11 +62,13 @@ def unprocessed(
 
 
 def stop_windows(
-    events: DataFrame, limit: int = params.EXTRACTION_WINDOW, session: str = "session_id", fires: Column | None = None
+    events: DataFrame, limit: int = params.EXTRACTION_WINDOW, session: str = "session_id", fires: Column | None = None, most: int = SLICE_ROWS,
+    ordered: bool = False,
 ) -> DataFrame:
     """Number the windows closed by each session's Stops: at a Stop the oldest ``limit``
     unprocessed events are taken, the rest wait for the next Stop. Events no Stop has
-    reached yet get a null ``window_no``. ``fires`` marks the closing events, Stops by default.
+    reached yet get a null ``window_no``. ``fires`` marks the closing events, Stops by default; ``ordered`` adds ``window_order``, the running number
+    of the event in its session.
 
     With N_k events up to Stop k, the events taken by then are
     C_i = min over k <= i of (N_k + limit * (i - k)) and limit * i, a running minimum;
@@ -75,9 +77,8 @@ def stop_windows(
     equi-join on the block.
     """
     closing = F.col("event_name") == "Stop" if fires is None else fires
-    numbered = running_sums(
-        events, [session], ["ts", "event_id"], time_slice(F.col("ts"), HOUR), {"__g": F.lit(1), "__i": closing.cast("int")}
-    )
+    rows = laid_out(events, [session], ["ts", "event_id"], most=most)
+    numbered = running_sums(rows, [session], ["ts", "event_id"], F.col(SEG), {"__g": F.lit(1), "__i": closing.cast("int")})
     stops = numbered.filter(closing).select(
         session, F.col("__i").alias("window_no"), (F.col("__g") - limit * F.col("__i")).alias("__d"),
         F.floor(F.col("__i") / 1000).alias("__b"),
@@ -106,7 +107,22 @@ def stop_windows(
         & (placed["__g"] > spans["__lo"])
         & (placed["__g"] <= spans["__hi"])
     )
-    return placed.join(spans, hit, "left").select(*[placed[c] for c in events.columns], spans["window_no"])
+    return placed.join(spans, hit, "left").select(*[placed[c] for c in events.columns], spans["window_no"], *([placed["__g"].alias("window_order")] if ordered else []))
+
+
+def membership(events: DataFrame, limit: int = params.EXTRACTION_WINDOW, session: str = "session_id", fires: Column | None = None) -> DataFrame:
+    """(event_id, session, window_no, window_order, window_id): the windows that Stops have closed, as a narrow table in buckets of event_id. Only the columns
+    that decide membership are read and written; a job joins it to the event columns it needs, and the table is not shuffled for that."""
+    closing = F.col("event_name") == "Stop" if fires is None else fires
+    narrow = events.select("event_id", session, "ts", closing.alias("__fires"))
+    placed = stop_windows(narrow, limit, session, F.col("__fires"), ordered=True).filter("window_no IS NOT NULL")
+    name = F.concat_ws(":", F.col(session).cast("string"), F.col("window_no").cast("string"))
+    return bucketed(placed.select("event_id", session, "window_no", "window_order", name.alias("window_id")), ["event_id"], "windows")
+
+
+def in_windows(events: DataFrame, members: DataFrame) -> DataFrame:
+    """``events`` of closed windows with window_no, window_order and window_id. What a later step doesn't use of them is never read."""
+    return events.join(members.select("event_id", "window_no", "window_order", "window_id"), "event_id")
 
 
 def in_trees(events: DataFrame, tops: DataFrame) -> DataFrame:

@@ -63,3 +63,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = work_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: list[str], name: str, buckets: int | None = None) -> DataFrame:
+    """Like ``stored``, but in buckets of ``keys`` (the session's number of shuffle partitions by default), so that joins on the keys don't shuffle it."""
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(count, *keys).write.bucketBy(count, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return spark.table(table)

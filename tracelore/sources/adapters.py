@@ -187,8 +187,9 @@ VIEWS: dict[str, str] = {
                CASE s.session_id % 4 WHEN 0 THEN 'bugfix' WHEN 1 THEN 'feature' ELSE 'change' END AS type,
                min_by(c.text, c.turn) FILTER (WHERE c.role = 'user') AS title,
                max_by(c.text, c.turn) FILTER (WHERE c.role = 'assistant') AS narrative,
-               min(s.created_at) AS started_at, min(s.created_at) + INTERVAL '30' MINUTE AS ended_at
-        FROM <session> s JOIN <conversations> c ON c.conv_id = s.session_id
+               min(s.created_at) AS started_at, min(s.created_at) + INTERVAL '30' MINUTE AS ended_at,
+               CASE WHEN s.session_id % 5 <> 4 THEN min_by(e.embedding, e.vec_id) END AS embedding
+        FROM <session> s JOIN <conversations> c ON c.conv_id = s.session_id LEFT JOIN <embeddings> e ON e.vec_id = s.session_id
         GROUP BY s.session_id, s.project_id, s.user_id""",
     "pattern": f"""
         SELECT vec_id AS id, {_project('vec_id', 24)} AS project_id,
