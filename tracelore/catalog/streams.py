@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracelore.catalog.base import Tables, query
 from tracelore.catalog.events import CANON, ROOTED_SQL, TREE_SQL, WINDOWS_SQL, micros
 from tracelore.catalog.recall import n
-from tracelore.operators import pairing, windows
+from tracelore.operators import windows
 from tracelore.session import work_dir
 from tracelore.sources.adapters import stream_view
 from tracelore.streaming import jobs
@@ -60,17 +60,43 @@ SELECT f.event_id AS failed_id, min_by(g.event_id, g.ts) AS fix_id FROM fails f
  ON g.window_id = f.window_id AND g.tool_name = f.tool_name AND (g.ts, g.event_id) > (f.ts, f.event_id) GROUP BY f.event_id""")
 def stream_fixes(t: Tables):
     out, state = places(t, "fixes")
-    jobs.run_to_end(jobs.windows_stream(source(t, "session_event"), out, state))
-    closed = t.spark.read.parquet(out).select("event_id", F.concat_ws(":", F.col("session_id").cast("string"), F.col("window_no").cast("string")).alias("window_id"))
-    return pairing.fix_for_failure(t.session_event.join(closed, "event_id"), "window_id").select("failed_id", "fix_id")
+    jobs.run_to_end(jobs.fixes_stream(source(t, "session_event"), out, state))
+    return t.spark.read.parquet(f"{out}_fixes").select("failed_id", "fix_id")
 
 
-@query("stream_sessions", rows="R4", uses="session_event", oracle="""
-SELECT session_id, epoch_us(min(ts)) AS created_at, epoch_us(max(ts)) AS last_activity_at, min_by(user_id, event_id) AS user_id FROM session_event GROUP BY 1""")
-def stream_sessions(t: Tables):
+def _touched(t: Tables, kind: str):
+    """Activity with its source: odd numbers come from one client, others from another, some say nothing."""
     out, state = places(t, "sessions")
-    jobs.run_to_end(jobs.sessions_stream(source(t, "session_event"), out, state))
-    return jobs.read_sessions(t.spark, out).select("session_id", micros("created_at"), micros("last_activity_at"), "user_id")
+    k = F.col("k")
+    rows = source(t, "session_event").withColumn("source", F.when(k % 3 == 0, F.lit(None)).when(k % 2 == 1, "cli").otherwise("web"))
+    jobs.run_to_end(jobs.sessions_stream(rows, out, state))
+    return jobs.read_touched(t.spark, out, kind)
+
+
+TOUCH_SQL = """ touch AS (SELECT *, CASE WHEN k % 3 = 0 THEN NULL WHEN k % 2 = 1 THEN 'cli' ELSE 'web' END AS source FROM session_event)"""
+
+
+@query("stream_sessions", rows="R4", uses="session_event", oracle=f"""WITH {TOUCH_SQL}
+SELECT session_id, epoch_us(min(ts)) AS created_at, epoch_us(max(ts)) AS last_activity_at, min_by(user_id, (ts, event_id)) AS user_id, min_by(project_id, (ts, event_id)) AS project_id FROM touch GROUP BY 1""")
+def stream_sessions(t: Tables):
+    return _touched(t, "session").select(
+        F.col("id").cast("long").alias("session_id"), micros("created_at"), micros("last_activity_at"), F.col("user_id").cast("long").alias("user_id"), F.col("project_id").cast("long").alias("project_id"))
+
+
+def _touched_sql(kind: str) -> str:
+    return f"""WITH {TOUCH_SQL}
+SELECT {kind}_id, epoch_us(min(ts)) AS created_at, epoch_us(max(ts)) AS last_activity_at, min_by(source, (ts, event_id)) FILTER (WHERE source IS NOT NULL) AS source,
+ max_by(source, (ts, event_id)) FILTER (WHERE source IS NOT NULL) AS last_source FROM touch GROUP BY 1"""
+
+
+@query("stream_projects", rows="R4 T18", uses="session_event", oracle=_touched_sql("project"))
+def stream_projects(t: Tables):
+    return _touched(t, "project").select(F.col("id").cast("long").alias("project_id"), micros("created_at"), micros("last_activity_at"), "source", "last_source")
+
+
+@query("stream_users", rows="R4 T18", uses="session_event", oracle=_touched_sql("user"))
+def stream_users(t: Tables):
+    return _touched(t, "user").select(F.col("id").cast("long").alias("user_id"), micros("created_at"), micros("last_activity_at"), "source", "last_source")
 
 
 @query("stream_links", rows="R5", uses="session_event injection", oracle="""

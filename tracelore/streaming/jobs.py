@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tracelore import params
 from tracelore.functions.text import sha16
 from tracelore.operators import events as ev
-from tracelore.operators import windows
+from tracelore.operators import pairing, windows
 from tracelore.session import cut
+from tracelore.streaming.runs import RunLog, newest, still_open
 
 
 def read_folder(spark: SparkSession, folder: str, pattern: str, per_trigger: int | None = None) -> DataFrame:
@@ -40,150 +40,156 @@ def _start(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None
     )
 
 
-BUCKETS = 64
-
-
-def bucketed(batch: DataFrame, key: str) -> DataFrame:
-    return batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-
-
-def earlier(spark: SparkSession, path: str, batch_id: int, touched: DataFrame, schema: T.StructType) -> DataFrame:
-    """Rows that earlier batches wrote to a bucketed log, of the buckets that ``touched`` has: at most ``BUCKETS`` numbers
-    reach the driver, and the other buckets' files are not opened."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
-    known = T.StructType([f for f in schema.fields if f.name != "bucket"] + [T.StructField("batch", T.StringType()), T.StructField("bucket", T.IntegerType())])
-    rows = spark.read.schema(known).parquet(path)
-    return rows.filter((F.col("batch").cast("long") < batch_id) & F.col("bucket").isin(buckets)).select(*[f.name for f in schema.fields])
-
-
-def write_bucketed(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Append a batch; a replayed batch overwrites its own folder."""
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id:012d}")
-
-
-def deduplicated_log(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A log with one row per key for good: identity has no time limit, so no watermark decides what is kept. A batch
-    is compared with the keys of the buckets that it touches."""
+def deduplicated_log(spark: SparkSession, path: str, key: str) -> Callable[[DataFrame, int], None]:
+    """A log with one row per key for good: identity has no time limit, so no watermark decides what is kept. The keys are
+    kept apart (``RunLog``); a batch reads those of the ranges that its own fall into."""
+    known = RunLog(spark, f"{path}_keys", key, merge=lambda rows: rows.distinct())
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = cut(bucketed(batch.dropDuplicates([key]), key))
-        keys = T.StructType([rows.schema[key], T.StructField("bucket", T.IntegerType())])
-        seen = earlier(batch.sparkSession, path, batch_id, rows, keys).select(key)
-        write_bucketed(rows.join(seen, key, "left_anti"), path, batch_id)
+        rows = cut(batch.dropDuplicates([key]))
+        seen = known.before(batch_id, rows)
+        new = rows if seen is None else cut(rows.join(seen, key, "left_anti"))
+        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+        known.write(new.select(key), batch_id)
 
     return sink
 
 
 def ingest_stream(raw: DataFrame, client: str, path: str, checkpoint: str) -> StreamingQuery:
     """Payloads to typed rows, one per event id, however late a payload comes."""
-    return _start(ev.ingest(raw, client), checkpoint, deduplicated_log(path, "event_id"))
-
-
-class KeyedLog:
-    """Small per-key state of a foreachBatch job: every batch appends rows for the keys it
-    touched, every ``every``-th batch writes the merged state instead, so a lookup reads a
-    bounded number of batches. Replays overwrite their own folder."""
-
-    def __init__(self, spark: SparkSession, path: str, key: str, every: int = 20):
-        self._spark, self._path, self._key, self._every = spark, path, key, every
-
-    def before(self, batch_id: int, order: str) -> DataFrame | None:
-        """The newest row per key of earlier batches by ``order``."""
-        if batch_id == 0:
-            return None
-        base = (batch_id // self._every) * self._every - 1
-        rows = self._spark.read.parquet(self._path).filter(
-            (F.col("batch").cast("long") >= base) & (F.col("batch").cast("long") < batch_id)
-        ).drop("batch")
-        return rows.groupBy(self._key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-
-    def write(self, rows: DataFrame, batch_id: int, order: str) -> None:
-        old = self.before(batch_id, order)
-        if old is not None and batch_id % self._every == self._every - 1:
-            both = old.unionByName(rows)
-            rows = both.groupBy(self._key).agg(F.max_by(F.struct(*both.columns), order).alias("r")).select("r.*")
-        rows.write.mode("overwrite").parquet(f"{self._path}/batch={batch_id:012d}")
+    return _start(ev.ingest(raw, client), checkpoint, deduplicated_log(raw.sparkSession, path, "event_id"))
 
 
 def chain_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Link every event to the one before it in its session, in arrival order. Inside a batch
     the chain is built over time segments, so a busy session is not one task; across batches
     only each session's last event is remembered."""
-    last = KeyedLog(events.sparkSession, f"{path}_last", "session_id")
+    last = RunLog(events.sparkSession, f"{path}_last", "session_id", merge=newest("session_id", "ts"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch = cut(batch)
         linked = ev.event_chain(batch).select("session_id", "event_id", "ts", "prev_event_id")
-        known = last.before(batch_id, "ts")
+        known = last.before(batch_id, batch)
         if known is not None:
             linked = linked.join(known.select("session_id", F.col("event_id").alias("__last")), "session_id", "left").withColumn(
                 "prev_event_id", F.coalesce("prev_event_id", "__last")
             ).drop("__last")
         linked.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
         ends = batch.groupBy("session_id").agg(F.max(F.struct("ts", "event_id")).alias("e")).select("session_id", "e.ts", "e.event_id")
-        last.write(ends, batch_id, "ts")
+        last.write(ends, batch_id)
 
     return _start(events.select("session_id", "event_id", "ts"), checkpoint, sink)
 
 
 def windows_stream(
-    events: DataFrame, path: str, checkpoint: str, limit: int = params.EXTRACTION_WINDOW, tops: DataFrame | None = None
+    events: DataFrame, path: str, checkpoint: str, limit: int = params.EXTRACTION_WINDOW, tops: DataFrame | None = None,
+    carry: Sequence[str] = (), on_closed: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
-    """Emit the events of every window a Stop closes. Events no window has taken are carried to
-    the next batch; a carried Stop has fired already and does not fire again. With ``tops`` (node, root) a window
-    takes the events of a whole session tree, and ``session_id`` of the output is the root's."""
+    """Emit the events of every window a Stop closes. Events no window has taken stay open in a log of their own; a batch reads the open
+    events of the sessions it touches and writes what it adds to and takes from them. An open Stop has fired already and
+    does not fire again. With ``tops`` (node, root) a window takes the events of a whole session tree, and ``session_id`` of the
+    output is the root's. ``on_closed`` gets the events of the windows that a batch closes, with window_no, window_id and the columns
+    ``carry``."""
     spark = events.sparkSession
     placed_in = windows.in_trees(events, tops) if tops is not None else events.withColumn("root_session_id", F.col("session_id")).withColumn("closes", F.col("event_name") == "Stop")
-    done = KeyedLog(spark, f"{path}_count", "session_id")
+    done = RunLog(spark, f"{path}_count", "session_id", merge=newest("session_id", "windows"))
+    key = ["session_id", "event_id"]
+    waiting = RunLog(spark, f"{path}_open", "session_id", merge=lambda rows: still_open(rows, key))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        todo = batch.withColumnRenamed("closes", "fires")
-        if batch_id > 0:
-            carried = spark.read.parquet(f"{path}_open/batch={batch_id - 1:012d}")
-            todo = todo.unionByName(carried.withColumn("fires", F.lit(False)))
-        todo = cut(todo)
+        new = cut(batch.withColumnRenamed("closes", "fires"))
+        touched = new.select("session_id").distinct()
+        open_ = waiting.before(batch_id, touched)
+        todo = new
+        if open_ is not None:
+            known = open_.filter(~F.col("gone")).drop("gone").join(touched, "session_id", "left_semi")
+            todo = cut(new.withColumn("new", F.lit(True)).unionByName(known.withColumn("fires", F.lit(False)).withColumn("new", F.lit(False))))
+        else:
+            todo = cut(new.withColumn("new", F.lit(True)))
         placed = cut(windows.stop_windows(todo, limit, fires=F.col("fires")))
         count = todo.groupBy("session_id").agg(F.count_if("fires").alias("windows"))
-        known = done.before(batch_id, "windows")
-        closed = placed.filter("window_no IS NOT NULL").withColumn("__before", F.lit(0))
-        if known is not None:
-            past = known.select("session_id", F.col("windows").alias("__past"))
+        past = done.before(batch_id, touched)
+        closed = placed.filter("window_no IS NOT NULL").withColumn("__before", F.lit(0).cast("long"))
+        if past is not None:
+            past = past.select("session_id", F.col("windows").alias("__past"))
             count = count.join(past, "session_id", "left").select("session_id", (F.col("windows") + F.coalesce("__past", F.lit(0))).alias("windows"))
             closed = closed.join(past, "session_id", "left").withColumn("__before", F.coalesce("__past", F.lit(0))).drop("__past")
-        closed.select("session_id", (F.col("window_no") + F.col("__before")).alias("window_no"), "event_id", "ts").write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id:012d}"
-        )
-        placed.filter("window_no IS NULL").drop("window_no", "fires").write.mode("overwrite").parquet(f"{path}_open/batch={batch_id:012d}")
-        done.write(count, batch_id, "windows")
+        closed = closed.withColumn("window_no", F.col("window_no") + F.col("__before"))
+        closed.select("session_id", "window_no", "event_id", "ts").write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+        if on_closed is not None:
+            on_closed(closed.drop("new", "fires", "__before").withColumn("window_id", F.concat_ws(":", F.col("session_id").cast("string"), F.col("window_no").cast("string"))), batch_id)
+        opened = placed.filter("window_no IS NULL AND new").drop("window_no", "fires", "new").withColumn("gone", F.lit(False))
+        taken = placed.filter("window_no IS NOT NULL AND NOT new").select(*[F.col(c) if c in key else F.lit(None).cast(t).alias(c) for c, t in opened.dtypes if c != "gone"], F.lit(True).alias("gone"))
+        waiting.write(opened.unionByName(taken), batch_id)
+        done.write(count, batch_id)
+
+    return _start(placed_in.select(F.col("root_session_id").alias("session_id"), "event_id", "ts", "event_name", "closes", *carry), checkpoint, sink)
+
 
-    return _start(placed_in.select(F.col("root_session_id").alias("session_id"), "event_id", "ts", "event_name", "closes"), checkpoint, sink)
+#: What a fix is found by.
+CALL = ("tool_name", "tool_input", "tool_response", "tool_error", "is_interrupt")
+
+
+def fixes_stream(events: DataFrame, path: str, checkpoint: str, limit: int = params.EXTRACTION_WINDOW) -> StreamingQuery:
+    """Failures with their fixes, told when the window that holds both closes; nothing outside the stream is read."""
+
+    def told(closed: DataFrame, batch_id: int) -> None:
+        pairing.fix_for_failure(closed, "window_id").write.mode("overwrite").parquet(f"{path}_fixes/batch={batch_id:012d}")
+
+    return windows_stream(events, path, checkpoint, limit, carry=CALL, on_closed=told)
+
+
+#: The kinds of rows that activity touches, and the column of their id.
+TOUCHED = {"session": "session_id", "project": "project_id", "user": "user_id"}
+
+
+def _joined_touches(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("kind", "id").agg(
+        F.min("created_at").alias("created_at"), F.max("last_activity_at").alias("last_activity_at"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.min("owner").alias("owner"), F.min("home").alias("home"),
+    )
+
+
+def touches_log(spark: SparkSession, path: str) -> RunLog:
+    return RunLog(spark, path, ["kind", "id"], merge=_joined_touches)
 
 
 def sessions_stream(touches: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Per batch one partial row per session; merged on read, so a batch costs what it touches."""
+    """Sessions, projects and users in one snapshot: a batch writes one partial row per id it touches, with first and last activity, the first and
+    last source, and a session's first owner and project; rows are merged as runs are. Columns ``source`` and ``project_id`` may be missing."""
+    log = touches_log(touches.sparkSession, path)
+    have = dict(touches.dtypes)
+    rows = touches.select("ts", "event_id", *[F.col(c).cast("string").alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in ("session_id", "project_id", "user_id", "source")])
 
     def partial(batch: DataFrame, batch_id: int) -> None:
         at = F.struct("ts", "event_id")
-        rows = batch.groupBy("session_id").agg(
-            F.min("ts").alias("created_at"), F.max("ts").alias("last_activity_at"),
-            F.min(F.when(F.col("user_id").isNotNull(), F.struct(at.alias("at"), "user_id"))).alias("owner"),
-        )
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
 
-    return _start(touches, checkpoint, partial)
+        def said(name: str) -> Column:
+            return F.when(F.col(name).isNotNull(), F.struct(at.alias("at"), F.col(name).alias("value")))
 
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("id")) for k, c in TOUCHED.items()]))
+        found = batch.select("*", each.alias("of")).select("*", "of.kind", "of.id").filter("id IS NOT NULL")
+        log.write(found.groupBy("kind", "id").agg(
+            F.min("ts").alias("created_at"), F.max("ts").alias("last_activity_at"), F.min(said("source")).alias("first"), F.max(said("source")).alias("last"),
+            F.min(said("user_id")).alias("owner"), F.min(said("project_id")).alias("home"),
+        ), batch_id)
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy("session_id").agg(
-        F.min("created_at").alias("created_at"), F.max("last_activity_at").alias("last_activity_at"), F.min("owner").alias("o")
-    ).select("session_id", "created_at", "last_activity_at", F.col("o.user_id").alias("user_id"))
+    return _start(rows, checkpoint, partial)
+
+
+def read_touched(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The rows of a kind after the last batch: id, created_at, last_activity_at, first and last source; for sessions also user_id and project_id."""
+    last = spark.read.parquet(path).agg(F.max(F.col("run_last").cast("long")).alias("n")).first()["n"]
+    rows = touches_log(spark, path).after(last + 1).filter(F.col("kind") == kind)
+    return rows.select(
+        F.col("id"), "created_at", "last_activity_at", F.col("first.value").alias("source"), F.col("last.value").alias("last_source"),
+        *([F.col("owner.value").alias("user_id"), F.col("home.value").alias("project_id")] if kind == "session" else []),
+    )
 
 
 def link_stream(injections: DataFrame, events: DataFrame, path: str, checkpoint: str, seconds: int = params.INJECTION_WINDOW_SECONDS) -> StreamingQuery:
     """Injections with hook events within the interval, whichever side comes first and however late: both sides are kept in
-    logs bucketed by session, and a batch joins its new rows with the other side's rows of the sessions' buckets."""
+    a log by session, and a batch joins its new rows with the other side's rows of its sessions' ranges."""
     common = ["session_id", "name", "at", "prompt", "injection_id", "learning_id", "event_id"]
     kinds = dict(events.dtypes) | dict(injections.dtypes)
 
@@ -203,13 +209,16 @@ def link_stream(injections: DataFrame, events: DataFrame, path: str, checkpoint:
         )
         return i.join(e, near).select("i.injection_id", "i.learning_id", "e.event_id", F.col("e.at").alias("event_ts"))
 
+    sides = RunLog(events.sparkSession, f"{path}_sides", "session_id")
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        new = cut(bucketed(batch, "session_id"))
-        old = earlier(batch.sparkSession, f"{path}_sides", batch_id, new, new.schema)
+        new = cut(batch)
+        old = sides.before(batch_id, new.select("session_id"))
+        old = new.limit(0) if old is None else old
         is_injection = F.col("injection_id").isNotNull()
         found = pairs(new.filter(is_injection), old.unionByName(new).filter(~is_injection)).unionByName(pairs(old.filter(is_injection), new.filter(~is_injection)))
         found.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
-        write_bucketed(new, f"{path}_sides", batch_id)
+        sides.write(new, batch_id)
 
     return _start(inj.select(*common).unionByName(hook.select(*common)), checkpoint, sink)
 
@@ -224,4 +233,4 @@ def inject_once_stream(injections: DataFrame, path: str, checkpoint: str) -> Str
     rows = injections.withColumn("content_sha", sha16(F.col("content"))).withColumn(
         "injection_key", F.concat_ws("|", F.col("session_id").cast("string"), "prompt_name", "content_sha", "target")
     )
-    return _start(rows, checkpoint, deduplicated_log(path, "injection_key"))
+    return _start(rows, checkpoint, deduplicated_log(injections.sparkSession, path, "injection_key"))
