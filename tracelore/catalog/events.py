@@ -181,6 +181,25 @@ def session_upsert(t: Tables):
     return shape("project", "project_id", "source").unionByName(shape("session", "session_id", "user_id")).unionByName(shape("user", "user_id", "source"))
 
 
+@query("session_upsert_again", rows="T18", uses="session_event", oracle="""
+WITH early AS (SELECT * FROM session_event WHERE event_id % 2 = 0), late AS (SELECT * FROM session_event WHERE event_id % 2 = 1),
+ k AS (SELECT 'project' AS kind, CAST(project_id AS VARCHAR) AS key, ts, event_id, event_name AS source, event_id % 2 AS part FROM session_event
+   UNION ALL SELECT 'user', CAST(user_id AS VARCHAR), ts, event_id, event_name, event_id % 2 FROM session_event)
+SELECT kind, key, epoch_us(min(ts)) AS created_at, epoch_us(max(ts)) AS last_activity_at, min_by(source, (part, ts, event_id)) AS source, max_by(source, (part, ts, event_id)) AS last_source FROM k GROUP BY 1, 2
+UNION ALL SELECT 'session', CAST(session_id AS VARCHAR), epoch_us(min(ts)), epoch_us(max(ts)), CAST(min_by(user_id, (event_id % 2, ts, event_id)) AS VARCHAR), NULL FROM session_event GROUP BY session_id""")
+def session_upsert_again(t: Tables):
+    """A second batch over the snapshots of a first: even event ids came before odd ones."""
+    touches = t.session_event.select("project_id", "session_id", "user_id", F.col("event_name").alias("source"), "ts", "event_id")
+    before = events.merge_sessions(None, touches.filter("event_id % 2 = 0"))
+    out = events.merge_sessions(before, touches.filter("event_id % 2 = 1"))
+    parts = [
+        out[kind].select(F.lit(kind).alias("kind"), F.col(f"{kind}_id").cast("string").alias("key"), micros("created_at"), micros("last_activity_at"), F.col(first).cast("string").alias("source"),
+                         (F.col("last_source") if kind != "session" else F.lit(None).cast("string")).alias("last_source"))
+        for kind, first in (("project", "source"), ("user", "source"), ("session", "user_id"))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("prompt_injection_log", rows="T19", uses="session_event", oracle="""
 SELECT session_id, substr(sha1(prompt), 1, 16) AS content_sha, count(*) AS injection_count, epoch_us(min(ts)) AS first_at,
  epoch_us(max(ts)) AS last_at, min_by(event_id, ts) AS injected_by, max(length(prompt)) AS char_count

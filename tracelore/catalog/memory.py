@@ -266,18 +266,20 @@ ADD_ID = "'learning:' || ns || ':' || substr(sha1(ns || chr(10) || short), 1, 16
 @query("direct_adds", rows="T7", uses="learning", oracle=f"""
 WITH s AS (SELECT *, {sql_trunc('text', 500)} AS short, CASE WHEN scope = 'user' THEN 'user:' || user_id ELSE CAST(project_id AS VARCHAR) END AS ns FROM learning)
 SELECT {ADD_ID} AS id, max(short) AS text, CASE WHEN bool_or(kind = 'error') THEN 'error' ELSE 'fact' END AS kind, 'candidate' AS status,
- max(confidence) AS confidence, count(*) AS support_count FROM s WHERE short <> '' GROUP BY 1""")
+ max(confidence) AS confidence, count(*) AS support_count FROM s WHERE short <> '' GROUP BY 1
+UNION ALL SELECT 'learning:old:' || id, text, kind, status, confidence, support_count FROM learning""")
 def direct_adds(t: Tables):
     state = _state(t).withColumn("id", F.concat(F.lit("learning:old:"), F.col("id").cast("string")))
-    return tr.add_learnings(state, t.learning.withColumn("at", F.col("created_at"))).filter("id NOT LIKE 'learning:old:%'").select("id", "text", "kind", "status", "confidence", "support_count")
+    return tr.add_learnings(state, t.learning.withColumn("at", F.col("created_at"))).select("id", "text", "kind", "status", "confidence", "support_count")
 
 
 @query("seed_learnings", rows="S13", uses="learning", oracle="""
 WITH s AS (SELECT project_id, task_pattern AS text, confidence FROM learning)
-SELECT 'learning:' || project_id || ':' || substr(sha1(project_id || chr(10) || text), 1, 16) AS id, text, max(confidence) AS confidence FROM s GROUP BY project_id, text""")
+SELECT 'learning:' || project_id || ':' || substr(sha1(project_id || chr(10) || text), 1, 16) AS id, text, max(confidence) AS confidence FROM s GROUP BY project_id, text
+UNION ALL SELECT 'learning:old:' || id, NULL, confidence FROM learning""")
 def seed_learnings(t: Tables):
     state = t.learning.select(F.concat(F.lit("learning:old:"), F.col("id").cast("string")).alias("id"), "confidence")
-    return tr.bootstrap_learnings(state, t.learning.select("project_id", F.col("task_pattern").alias("text"), "confidence")).filter("id NOT LIKE 'learning:old:%'").select("id", "text", "confidence")
+    return tr.bootstrap_learnings(state, t.learning.select("project_id", F.col("task_pattern").alias("text"), "confidence")).select("id", "text", "confidence")
 
 
 DEC_SQL = """
@@ -369,6 +371,32 @@ def key_violations(t: Tables):
     })
 
 
+#: Model keys and the columns that hold them here.
+KEY_COLUMNS = {
+    "Session.session_id": ("session", "session_id"), "SessionEvent.event_id": ("session_event", "event_id"), "Learning.id": ("learning", "id"),
+    "SystemPromptInjection.injection_id": ("injection", "injection_id"), "Observation.id": ("observation", "id"), "UserProfile.user_id": ("profile", "user_id"),
+    "Skill.id": ("skill", "skill_id"), "SkillVersion.id": ("skill_version", "version_id"), "TaskPattern.id": ("pattern", "id"),
+    "SkillProposalAudit.id": ("proposal", "proposal_id"), "Account.id": ("account", "account_id"), "Account.slug": ("account", "domain"),
+    "Product.sku": ("product", "sku"), "Contact.contact_id": ("contact", "contact_id"),
+    # Rows that repeat a key by design, as their tables would before a merge.
+    "Project.id": ("session", "project_id"), "User.id": ("session", "user_id"), "CSM.name": ("account", "owner"), "Skill.slug": ("skill", "slug"),
+}
+_STACK = " UNION ALL ".join(f"SELECT '{name}' AS constraint_, CAST({column} AS VARCHAR) AS key FROM {view}" for name, (view, column) in KEY_COLUMNS.items())
+
+
+@query("constraint_report", rows="S16", uses=" ".join(dict.fromkeys(view for view, _ in KEY_COLUMNS.values())), oracle=f"""
+WITH stack AS ({_STACK}), planted AS (SELECT * FROM stack UNION ALL SELECT constraint_, key FROM (SELECT DISTINCT * FROM stack) WHERE right(key, 2) = '41'),
+ bad AS (SELECT constraint_, key, count(*) AS n FROM planted GROUP BY 1, 2 HAVING count(*) > 1 OR key IS NULL)
+SELECT constraint_ AS "constraint", count(key) AS n_keys, CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(max(n) FILTER (WHERE key IS NULL), 0) AS BIGINT) AS missing, min(key) AS first_key FROM bad GROUP BY 1""")
+def constraint_report(t: Tables):
+    """Every key that ends in 41 is planted once more."""
+    keys = {}
+    for name, (view, column) in KEY_COLUMNS.items():
+        key = getattr(t, view).select(F.col(column).cast("string").alias("key"))
+        keys[name] = key.unionByName(key.distinct().filter(F.substring("key", -2, 2) == "41"))
+    return tr.constraint_report(keys)
+
+
 def _toy_vectors(texts):
     """A stand-in for a provider: lengths and digit counts; no vector for very long texts."""
     return [None if len(x) > 4000 else [float(len(x)), float(sum(c.isdigit() for c in x)), 1.0] for x in texts]

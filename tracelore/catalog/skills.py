@@ -375,6 +375,53 @@ def prompt_versions(t: Tables):
     return audit.prompt_versions(writes).select(F.col("write_id").alias("event_id"), "action", n("version"))
 
 
+PROMPT_SQL = """
+ p AS (SELECT 'prompt ' || project_id AS name, project_id, min(text) AS content, CAST(1 + project_id % 3 AS BIGINT) AS version, min(created_at) AS made FROM learning GROUP BY project_id),
+ u AS (SELECT name, 'refined ' || project_id AS content, version FROM p WHERE project_id % 2 = 0 UNION ALL SELECT 'new prompt', 'first text', NULL),
+ fold AS (SELECT 'prompt ' || project_id AS name, id AS learning_id FROM learning WHERE scope = 'project' AND status = 'approved' AND id % 3 = 0),
+ listed AS (SELECT name, count(*) AS n FROM fold GROUP BY name)
+"""
+
+
+def _prompts(t: Tables):
+    name = F.concat(F.lit("prompt "), F.col("project_id").cast("string"))
+    prompts = t.learning.groupBy("project_id").agg(F.min("text").alias("content"), F.min("created_at").alias("created_at")).select(
+        name.alias("name"), "content", (1 + F.col("project_id") % 3).cast("long").alias("version"), F.lit(None).cast("string").alias("last_source"), "created_at", F.lit(None).cast("timestamp").alias("updated_at"), "project_id")
+    history = prompts.filter("project_id % 3 = 1").select(
+        F.concat("name", F.lit(":v"), F.col("version").cast("string")).alias("id"), "name", "version", "content", F.lit("human").alias("source"), "created_at", F.lit(True).alias("is_current"),
+        F.lit(None).cast("timestamp").alias("archived_at"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("session_id"), F.lit(0).cast("long").alias("folded_count"), F.lit(None).cast("long").alias("supersedes"))
+    updates = prompts.filter("project_id % 2 = 0").select("name", F.concat(F.lit("refined "), F.col("project_id").cast("string")).alias("content")).unionByName(
+        t.spark.createDataFrame([("new prompt", "first text")], "name string, content string")).select("*", F.lit("m").alias("model"), F.lit("s").alias("session_id"))
+    folds = t.learning.filter("scope = 'project' AND status = 'approved' AND id % 3 = 0").select(name.alias("name"), F.col("id").alias("learning_id"))
+    return audit.snapshot_prompts(prompts.drop("project_id"), history, updates, folds, t.learning.select("id", "status", "consolidated", "consolidated_at"), now())
+
+
+@query("prompt_snapshots", rows="T12", uses="learning", oracle=f"""WITH {PROMPT_SQL}
+SELECT u.name || ':v' || (coalesce(u.version, 0) + 1) AS id, u.name, coalesce(u.version, 0) + 1 AS version, md5(u.content) AS content, 'consolidation' AS source, true AS is_current, false AS archived,
+  CAST(coalesce(l.n, 0) AS BIGINT) AS folded_count, coalesce(u.version, 0) AS supersedes FROM u LEFT JOIN listed l ON l.name = u.name
+UNION ALL SELECT p.name || ':v' || p.version, p.name, p.version, md5(p.content), CASE WHEN project_id % 3 = 1 THEN 'human' ELSE 'seed' END, project_id % 2 <> 0, project_id % 2 = 0,
+  CASE WHEN project_id % 3 = 1 THEN 0 END, NULL FROM p WHERE project_id % 3 = 1 OR project_id % 2 = 0""")
+def prompt_snapshots(t: Tables):
+    return _prompts(t)["versions"].select(
+        "id", "name", "version", F.md5("content").alias("content"), "source", "is_current", F.col("archived_at").isNotNull().alias("archived"), n("folded_count"), "supersedes")
+
+
+@query("prompt_state", rows="T12", uses="learning", oracle=f"""WITH {PROMPT_SQL}
+SELECT coalesce(p.name, u.name) AS name, md5(coalesce(u.content, p.content)) AS content, CASE WHEN u.name IS NOT NULL THEN coalesce(p.version, 0) + 1 ELSE p.version END AS version,
+  CASE WHEN u.name IS NOT NULL THEN 'consolidation' END AS last_source FROM p FULL OUTER JOIN u ON u.name = p.name""")
+def prompt_state(t: Tables):
+    return _prompts(t)["prompts"].select("name", F.md5("content").alias("content"), "version", "last_source")
+
+
+@query("prompt_folds", rows="T12", uses="learning", oracle=f"""WITH {PROMPT_SQL}, hit AS (SELECT f.learning_id AS id, u.version + 1 AS version FROM fold f JOIN u ON u.name = f.name)
+SELECT l.id, l.status, CASE WHEN h.id IS NOT NULL THEN true ELSE l.consolidated END AS consolidated, h.version AS consolidated_prompt_version, CASE WHEN h.id IS NOT NULL THEN 'm' END AS last_consolidated_model,
+  h.id IS NULL AND l.consolidated_at IS NOT NULL AS kept_time FROM learning l LEFT JOIN hit h ON h.id = l.id""")
+def prompt_folds(t: Tables):
+    facts = _prompts(t)["learnings"]
+    return facts.select("id", "status", "consolidated", n("consolidated_prompt_version"), "last_consolidated_model",
+                        (F.col("consolidated_prompt_version").isNull() & F.col("consolidated_at").isNotNull()).alias("kept_time"))
+
+
 @query("gate_audit", rows="A16", uses="gated conflict skill skill_version derived_from learning", oracle="""
 WITH x AS (SELECT project_id, 'blocked_learnings' AS section, CAST(id AS VARCHAR) AS key, blocked_reason AS detail, blocked_at AS w FROM gated WHERE status = 'blocked'
  UNION ALL SELECT project_id, 'blocked_skills', CAST(version_id AS VARCHAR), (SELECT slug FROM skill s WHERE s.skill_id = v.skill_id), decided_at FROM skill_version v WHERE outcome = 'blocked'

@@ -93,6 +93,53 @@ def fold_profiles(profiles: DataFrame, versions: DataFrame, sections: DataFrame,
     return {"profiles": state, "versions": history, "folded": folded, "unfolded": unfolded}
 
 
+PROMPT_HISTORY = ("id", "name", "version", "content", "source", "created_at", "is_current", "archived_at", "model", "session_id", "folded_count", "supersedes")
+
+
+def snapshot_prompts(prompts: DataFrame, versions: DataFrame, updates: DataFrame, folds: DataFrame, learnings: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """Consolidated prompts in one transition. ``prompts``: (name, content, version, last_source, created_at, updated_at); ``versions``: ``PROMPT_HISTORY``;
+    ``updates``: (name, content, model, session_id), one per name; ``folds``: (name, learning_id).
+
+    The outgoing content is archived under its version (kept as it is where the history has it, no row where there was none), version n + 1 becomes
+    current, and the folded facts get the version, model and time and leave recall; their status stays. Facts folded into a prompt that has no
+    update, and ids without a fact, change nothing. Returns the whole prompts, versions and learnings, and the edges (version_id, learning_id)."""
+    j = updates.select("name", F.col("content").alias("n_content"), F.col("model").alias("n_model"), F.col("session_id").alias("n_session")).dropDuplicates(["name"])
+    taken = folds.join(j.select("name"), "name", "left_semi").join(learnings.select(F.col("id").alias("learning_id")), "learning_id", "left_semi").distinct()
+    listed = folds.join(j.select("name"), "name", "left_semi").groupBy("name").agg(F.count("*").alias("folded_count"))
+    new = j.join(prompts, "name", "left").join(listed, "name", "left").withColumn("old", F.coalesce("version", F.lit(0)))
+    mark = lambda v: F.concat(F.col("name"), F.lit(":v"), v.cast("string"))
+    fresh = new.select(
+        mark(F.col("old") + 1).alias("id"), "name", (F.col("old") + 1).alias("version"), F.col("n_content").alias("content"), F.lit("consolidation").alias("source"), now.alias("created_at"),
+        F.lit(True).alias("is_current"), F.lit(None).cast("timestamp").alias("archived_at"), F.col("n_model").alias("model"), F.col("n_session").alias("session_id"),
+        F.coalesce("folded_count", F.lit(0)).alias("folded_count"), F.col("old").alias("supersedes"),
+    )
+    gone = new.filter("content IS NOT NULL").select(
+        mark(F.col("old")).alias("id"), "name", F.col("old").alias("version"), "content", F.coalesce("last_source", F.lit("seed")).alias("source"),
+        F.coalesce("updated_at", "created_at", now).alias("created_at"),
+    )
+    kept = versions.select(*PROMPT_HISTORY).join(fresh.select("id"), "id", "left_anti")
+    outgoing = kept.join(gone.select("id", F.lit(True).alias("__out")), "id", "left").withColumn("is_current", F.when(F.col("__out"), F.lit(False)).otherwise(F.col("is_current"))).withColumn(
+        "archived_at", F.when(F.col("__out"), now).otherwise(F.col("archived_at"))
+    ).select(*PROMPT_HISTORY)
+    archived = gone.join(versions.select("id"), "id", "left_anti").withColumn("is_current", F.lit(False)).withColumn("archived_at", now)
+    history = outgoing.unionByName(archived, allowMissingColumns=True).unionByName(fresh)
+
+    state = prompts.join(j, "name", "full_outer")
+    hit = F.col("n_content").isNotNull()
+    state = state.select(
+        "name", F.coalesce("n_content", "content").alias("content"), F.when(hit, F.coalesce("version", F.lit(0)) + 1).otherwise(F.col("version")).alias("version"),
+        F.when(hit, "consolidation").otherwise(F.col("last_source")).alias("last_source"), F.coalesce("created_at", now).alias("created_at"), F.when(hit, now).otherwise(F.col("updated_at")).alias("updated_at"),
+    )
+    edges = taken.join(fresh.select("name", F.col("id").alias("version_id"), "version", "model"), "name").select("version_id", "learning_id", "version", "model")
+    stamp = edges.groupBy(F.col("learning_id").alias("id")).agg(F.max(F.struct("version_id", "version", "model")).alias("f"))
+    facts = learnings.join(stamp, "id", "left")
+    folded = F.col("f").isNotNull()
+    stamped = {"consolidated": F.lit(True), "consolidated_at": now, "consolidated_prompt_version": F.col("f.version"), "last_consolidated_model": F.col("f.model")}
+    for name, value in stamped.items():
+        facts = facts.withColumn(name, F.when(folded, value).otherwise(F.col(name) if name in learnings.columns else F.lit(None)))
+    return {"prompts": state, "versions": history, "learnings": facts.drop("f"), "edges": edges.select("version_id", "learning_id")}
+
+
 def prompt_versions(writes: DataFrame, width: int = 24 * HOUR, most: int = SLICE_ROWS) -> DataFrame:
     """Version history of prompts from their writes (name, ts, write_id, content): a version
     starts when the content differs from the write before; numbered from 1."""

@@ -244,9 +244,10 @@ def subagent_sessions(events: DataFrame) -> DataFrame:
     )
 
 
-def merge_sessions(state: DataFrame | None, touches: DataFrame) -> dict[str, DataFrame]:
+def merge_sessions(state: DataFrame | dict[str, DataFrame] | None, touches: DataFrame) -> dict[str, DataFrame]:
     """Project, session and user rows after ``touches`` (project_id, session_id,
-    user_id, source, ts): first source and first owner stay, activity moves forward."""
+    user_id, source, ts): first source and first owner stay, activity moves forward. ``state`` holds the earlier snapshots by kind, or
+    the sessions' alone; its rows are all kept, touched or not."""
 
     def fold(key: str, keep: dict[str, str], old: DataFrame | None = None) -> DataFrame:
         rows = touches.filter(F.col(key).isNotNull())
@@ -264,15 +265,18 @@ def merge_sessions(state: DataFrame | None, touches: DataFrame) -> dict[str, Dat
     }
     if state is None:
         return out
-    # Fold an earlier session snapshot in: its owner and project came first.
-    old, new = state.alias("old"), out["session"].alias("new")
-    out["session"] = old.join(new, "session_id", "full_outer").select(
-        "session_id",
-        F.least("old.created_at", "new.created_at").alias("created_at"),
-        F.greatest("old.last_activity_at", "new.last_activity_at").alias("last_activity_at"),
-        F.coalesce("old.user_id", "new.user_id").alias("user_id"),
-        F.coalesce("old.project_id", "new.project_id").alias("project_id"),
-    )
+    # What an earlier snapshot says first stays: its owner, project and first source. The last source is the touches'.
+    for kind, before in (state if isinstance(state, dict) else {"session": state}).items():
+        key = f"{kind}_id"
+        old, new = before.alias("old"), out[kind].alias("new")
+        first = ("user_id", "project_id") if kind == "session" else ("source",)
+        out[kind] = old.join(new, key, "full_outer").select(
+            key,
+            F.least("old.created_at", "new.created_at").alias("created_at"),
+            F.greatest("old.last_activity_at", "new.last_activity_at").alias("last_activity_at"),
+            *[F.coalesce(f"old.{c}", f"new.{c}").alias(c) for c in first],
+            *([F.coalesce("new.last_source", "old.last_source").alias("last_source")] if kind != "session" else []),
+        )
     return out
 
 

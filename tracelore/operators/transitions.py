@@ -504,6 +504,22 @@ def recall_flags(learnings: DataFrame, skills: DataFrame, derived: DataFrame, no
     ).drop("__skill", "__since")
 
 
+def constraint_report(keys: dict[str, DataFrame]) -> DataFrame:
+    """(constraint, n_keys, n_rows, missing, first_key): one row per violated constraint, from one aggregate over all tables together. ``keys`` maps a
+    constraint's name to its table's key column, the only column given. Keys meet by their hash with the constraint, so a wide key is never sorted;
+    the keys of hashes that occur twice are told apart in a second step over those alone."""
+    stack = None
+    for name, df in keys.items():
+        part = df.select(F.lit(name).alias("constraint"), df[df.columns[0]].cast("string").alias("key"))
+        stack = part if stack is None else stack.unionByName(part)
+    stack = stack.withColumn("hash", F.xxhash64("key"))
+    twice = stack.groupBy("constraint", "hash").agg(F.count("*").alias("n"), F.bool_or(F.col("key").isNull()).alias("null_")).filter("n > 1 OR null_")
+    rows = stack.join(twice.select("constraint", "hash"), ["constraint", "hash"]).groupBy("constraint", "key").agg(F.count("*").alias("n")).filter("n > 1 OR key IS NULL")
+    return rows.groupBy("constraint").agg(
+        F.count_if(F.col("key").isNotNull()).alias("n_keys"), F.sum("n").alias("n_rows"), F.coalesce(F.max(F.when(F.col("key").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.min("key").alias("first_key")
+    )
+
+
 def key_violations(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """(table, key, n) for every duplicated or missing key."""
     parts = [
