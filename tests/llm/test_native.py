@@ -4,11 +4,14 @@ import hashlib
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from edges import ODD, SCHEMA, odd, repeat_words, words
 from tracelore.llm import chat, mixing, packing, quality, secrets
+from tracelore.llm.oracles import ORACLES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -43,6 +46,20 @@ def test_quality_order_keeps_the_verdict(spark):
     assert sorted(a, key=key) == sorted(b, key=key)
 
 
+def test_quality_beside_columns_of_its_own_names(spark):
+    docs = documents(spark).selectExpr("*", "1 as __words", "2 as __lines")
+    assert quality.text_statistics(docs).select("__words", "__lines").distinct().collect()[0] == (1, 2)
+
+
+def test_a_slow_rule_costs_more(spark):
+    """Of two rules that reject alike the cheap one comes first; scheduling and compiling don't count."""
+    sample = quality.text_statistics(spark.range(300).selectExpr("repeat(concat('word ', id, ' '), 30) as text")).cache()
+    sample.count()
+    slow = F.size(F.filter(F.sequence(F.lit(1), F.lit(20000)), lambda i: F.pmod(F.xxhash64(i, F.col("n_words")), F.lit(7)) == 0)) > 0
+    order = quality.measured_order(sample, [quality.Rule("slow", slow), quality.Rule("cheap", F.col("n_words") > 0)])
+    assert [r.name for r, _, _ in order] == ["cheap", "slow"] and order[1][2] > order[0][2]
+
+
 def test_quality_replaces_clashing_columns(spark):
     df = odd(spark, extra=True).selectExpr("*", "'x' as n_words", "'y' as N_Lines")
     out = quality.text_statistics(df)
@@ -229,8 +246,23 @@ def test_long_keys_and_gaps(spark):
     assert masked[0] == "AccountKey [SECRET] [SECRET]" and LONG_KEY[:32] not in masked[1]
 
 
+def test_planted_parts_match_the_sql(spark):
+    """Whole tables with planted multipart credentials: account, key and address near each other, too far apart, and alone."""
+    parts = ["user=alice and then " + LONG_KEY, "https://h.example.com/x " + "gap " * 40 + LONG_KEY, "login: bob " + "word " * 60 + "token=abcdef123", LONG_KEY * 3 + " client_id=c-77",
+             "https://lonely.example.com/x", LONG_KEY]
+    docs = documents(spark).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n"), F.element_at(F.array(*[F.lit(p) for p in parts]), (F.floor(F.col("doc_id") / 3) % len(parts) + 1).cast("int")))).otherwise(F.col("text")))
+    got = secrets.secret_report(docs)
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = con.sql(ORACLES["op8_secrets"])
+    columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, want.select(*columns).fetchall()))
+    found = [r["spans"] for r in got.collect()]
+    assert {k for k in ("login", "bare", "endpoint") if any(k + ":" in s for s in found)} == {"login", "bare", "endpoint"}
+
+
 def test_redaction(spark):
-    docs = secret_docs(spark).selectExpr("*", "1 as digest", "2 as spans")
+    docs = secret_docs(spark).selectExpr("*", "1 as digest", "2 as spans", "3 as __id", "4 as __of", "5 as __digest")
     out = secrets.redact(docs)
     assert out.columns == docs.columns
     rows = {r["doc_id"]: r for r in out.collect()}

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 from edges import SCHEMA, odd
 from tracelore.llm import html_text, pii, toxicity
@@ -140,6 +141,22 @@ def test_transducers():
     assert s("RoI") == "Ror" and s("NTI") == "NTj" and s("VooT") == "KooT" and s("NVT") == "NvT" and s("") == ""
 
 
+def test_negated_and_reported_insults_say_nothing(spark):
+    said = ["You are an idiot", "You are not an idiot", "He said you are an idiot", "She said: \"you idiot\". You are stupid!", "I will kill you", "I will never kill you"]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.with_scores(docs, toxicity.DEFAULT).collect()}
+    assert [scores[i] >= 0.5 for i in range(len(said))] == [True, False, False, True, True, False]
+
+
+def test_long_texts_are_scored_in_one_pass(spark):
+    automaton = toxicity._automaton(toxicity.DEFAULT.stems)
+    clause = "he saw the stupid dog and went on without a stop , "
+    assert toxicity.clause_evidence(clause * 20000 + ". you idiot.", automaton)[toxicity.OUTPUTS.index("J")] == 1.0
+    start = time.perf_counter()
+    toxicity.clause_evidence("you are stupid. " * 60000, automaton)
+    assert time.perf_counter() - start < 20
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     scored = toxicity.toxicity_scores(docs, labels)

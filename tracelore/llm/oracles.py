@@ -92,13 +92,13 @@ def _spans(kind: str, pattern: str, keep: str = "true") -> str:
 
 
 _SIX = "length(v) >= 6"
-_RANDOM = f"length(v) <= {secrets.BARE_MOST} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')"
+_RANDOM = "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')"
 SECRETS = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
  base AS ({_spans("assign", secrets.ASSIGN, _SIX)} UNION ALL {_spans("access", secrets.ACCESS)} UNION ALL {_spans("hex", secrets.HEX)}),
  weak AS ({_spans("login", secrets.LOGIN)} UNION ALL {_spans("bare", secrets.BARE, _RANDOM)} UNION ALL {_spans("endpoint", secrets.ENDPOINT)}),
  part AS (SELECT *, CASE WHEN k IN (0, 2, 4) THEN 'secret' WHEN k IN (1, 3) THEN 'identifier' ELSE 'endpoint' END AS role FROM (SELECT * FROM base UNION ALL SELECT * FROM weak)),
- extra AS (SELECT * FROM weak w WHERE EXISTS (SELECT 1 FROM part p WHERE p.r = w.r AND abs(p.start_ - w.start_) <= {secrets.SCOPE} AND CASE WHEN w.k = 4 THEN p.role IN ('identifier', 'endpoint') ELSE p.role = 'secret' END)),
+ extra AS (SELECT * FROM weak w WHERE EXISTS (SELECT 1 FROM part p WHERE p.r = w.r AND p.start_ - w.end_ <= {secrets.SCOPE} AND w.start_ - p.end_ <= {secrets.SCOPE} AND CASE WHEN w.k = 4 THEN p.role IN ('identifier', 'endpoint') ELSE p.role = 'secret' END)),
  said AS (SELECT r, k, start_, end_, k < 3 AS strong, CASE k {" ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(secrets.KINDS))} END || ':' || CAST(start_ AS BIGINT) || ':' || CAST(end_ AS BIGINT) AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM extra)),
  per AS (SELECT r, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2,
    string_agg(s, ',' ORDER BY start_, k) FILTER (WHERE strong) AS base_, string_agg(s, ',' ORDER BY start_, k) AS all_ FROM said GROUP BY r)

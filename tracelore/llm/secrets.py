@@ -24,8 +24,6 @@ HEX = r"[0-9a-f]{24,}"
 LOGIN = r"""(?i:client[_-]?id|access[_-]?key[_-]?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
 #: Kept only with a digit, a capital and a small letter, at any length, with the name that is written against it.
 BARE = r"[A-Za-z0-9+/_=-]{32,}"
-#: A length that the SQL check stops at, the operator does not.
-BARE_MOST = 66
 ENDPOINT = r"""[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._~:@/?#%&=+-]{3,}"""
 #: Kinds in report order, and the part each is.
 KINDS = ("assign", "access", "hex", "login", "bare", "endpoint")
@@ -142,10 +140,10 @@ def mask(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """All rows with the secrets in ``text`` masked and ``n_chars`` (where there is one) renewed; rows without secrets are
     unchanged, null texts stay null."""
-    digest, spans = fresh(docs, "__digest"), fresh(docs, "__spans")
+    digest, spans, own, of = (fresh(docs, c) for c in ("__digest", "__spans", "__id", "__of"))
     hits = secret_spans(docs).filter(F.size("spans") > 0).select("doc_id", "digest", "spans").distinct()
-    hits = publish(hits.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"), F.col("spans").alias(spans)), "secret-spans")
-    marked = docs.withColumn(digest, F.xxhash64(whole("text"))).alias("d").join(hits, F.col("d.doc_id").eqNullSafe(F.col("__id")) & (F.col(f"d.{digest}") == F.col("__of")), "left")
+    hits = publish(hits.select(F.col("doc_id").alias(own), F.col("digest").alias(of), F.col("spans").alias(spans)), "secret-spans")
+    marked = docs.withColumn(digest, F.xxhash64(whole("text"))).alias("d").join(hits, F.col("d.doc_id").eqNullSafe(F.col(own)) & (F.col(f"d.{digest}") == F.col(of)), "left")
     clean = F.when(F.col(spans).isNotNull(), mask(F.col("d.text"), F.col(spans))).otherwise(F.col("d.text"))
     out = {"text": clean}
     if "n_chars" in docs.columns:

@@ -7,7 +7,7 @@ symbols, and composed transducers rewrite them: negation (``not ... insult``), r
 matched clauses carry by output symbol; the weights are fitted on the same sample.
 
 Null texts are empty; empty texts and texts without a hit get the score of no match (below 0.5 unless most labelled texts without a match are
-toxic); repeated rows are scored alike; without labelled rows of both classes the fixed list and fixed weights
+toxic); very long texts are read whole, clause by clause, once; repeated rows are scored alike; without labelled rows of both classes the fixed list and fixed weights
 serve; an empty table gives an empty result; other columns are kept by ``with_scores``.
 """
 
@@ -86,7 +86,9 @@ class Grammar:
     weights: tuple[float, ...]
 
 
-DEFAULT = Grammar({w: 1.0 for w in INSULTS}, (-3.0, *[5.0] * len(OUTPUTS)))
+#: What a symbol weighs before learning: open insults and threats speak for toxicity, negated and reported ones say nothing by themselves.
+PRIOR = {"I": 5.0, "J": 5.0, "V": 5.0, "K": 5.0, "i": 0.0, "j": 0.0, "v": 0.0, "r": 0.0}
+DEFAULT = Grammar({w: 1.0 for w in INSULTS}, (-3.0, *[PRIOR[s] for s in OUTPUTS]))
 
 
 def _automaton(stems: dict[str, float]):
@@ -123,7 +125,8 @@ def clause_evidence(text: str, automaton) -> np.ndarray:
     for start in sorted(hits):
         if start < at:
             continue
-        left = max(low.rfind(c, 0, start) for c in ".!?;:\n") + 1
+        # The last clause ended at ``at``, so what lies before is not searched again.
+        left = max(low.rfind(c, at, start) for c in ".!?;:\n") + 1
         stop = BREAK.search(low, start)
         at = stop.start() if stop else len(low)
         symbols, weights = [], []
@@ -205,7 +208,7 @@ def _evidence(stems: dict[str, float]):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Newton steps; a ridge towards a weight of 5 per unit of evidence, the bias free."""
+    """Newton steps; a ridge towards the weights of ``PRIOR``, the bias free."""
     x1 = np.hstack([np.ones((len(x), 1)), x])
     w = np.array(DEFAULT.weights)
     prior, strength = w.copy(), np.array([1e-6, *[ridge] * x.shape[1]])
