@@ -151,7 +151,7 @@ def test_negated_and_reported_insults_say_nothing(spark):
 def test_long_texts_are_scored_in_one_pass(spark):
     automaton = toxicity._automaton(toxicity.DEFAULT.stems)
     clause = "he saw the stupid dog and went on without a stop , "
-    assert toxicity.clause_evidence(clause * 20000 + ". you idiot.", automaton)[toxicity.OUTPUTS.index("J")] == 1.0
+    assert toxicity.clause_evidence(clause * 20000 + ". you idiot.", automaton)[toxicity.OUTPUTS.index("J")] == 2.0
     start = time.perf_counter()
     toxicity.clause_evidence("you are stupid. " * 60000, automaton)
     assert time.perf_counter() - start < 20
