@@ -20,6 +20,25 @@ def test_a_chain_of_200_supersessions_settles(spark):
     assert got == set(range(0, 200, 2)) | {1000, 1001, 1003}
 
 
+def test_rows_with_two_open_superseders_settle_in_few_rounds(spark, monkeypatch):
+    from tracelore.operators import graph
+
+    rows = [(i, [i + 1, i + 2]) for i in range(200)]
+    res = spark.createDataFrame(rows, "candidate_id long, superseded array<long>")
+    want, applied = set(), {}
+    for i in range(200):
+        applied[i] = not any(applied.get(j, False) for j in (i - 1, i - 2))
+        want |= {i} if applied[i] else set()
+    cuts = []
+    for module in (graph, tr):
+        plain = module.cut
+        monkeypatch.setattr(module, "cut", lambda df, plain=plain: cuts.append(1) or plain(df))
+    assert {r.candidate_id for r in tr.applied_in_order(res, F.col("candidate_id")).collect()} == want
+    assert len(cuts) < 30  # a round of the groups is one, so 200 rows take far fewer than 200
+    short = res.filter("candidate_id < 14")
+    assert {r.candidate_id for r in tr.applied_in_order(short, F.col("candidate_id"), settle_rows=3).collect()} == {i for i in want if i < 14}
+
+
 def test_a_tree_of_70_levels(spark):
     edges = spark.createDataFrame([(i, i - 1 if i else None) for i in range(70)], "child long, parent long")
     got = {(r.ancestor, r.node): r.depth for r in windows.closure(edges).collect()}

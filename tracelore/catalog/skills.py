@@ -116,6 +116,14 @@ def skill_with_sources(t: Tables):
     )
 
 
+@query("skill_source_rows", rows="J15", uses="skill derived_from learning", oracle="""
+SELECT d.skill_id, 'source' AS kind, CAST(d.learning_id AS VARCHAR) AS value, l.status FROM derived_from d JOIN learning l ON l.id = d.learning_id JOIN skill s USING (skill_id) WHERE s.status = 'approved'
+UNION SELECT s.skill_id, 'informed_by', coalesce(l.error_signature, l.text), NULL FROM skill s JOIN learning l ON l.project_id = s.project_id AND l.kind = 'error' WHERE s.status = 'approved'""")
+def skill_source_rows(t: Tables):
+    informed = t.skill.select("skill_id", "project_id").join(t.learning.filter("kind = 'error'").select("project_id", F.col("id").alias("learning_id")), "project_id").select("skill_id", "learning_id")
+    return skills.skill_source_rows(t.skill, t.derived_from, t.learning, informed)
+
+
 @query("review_queue", rows="J16", uses="skill skill_version version_source learning", oracle="""
 WITH q AS (SELECT v.project_id, v.version_id, v.skill_id, s.slug, v.proposal_action, coalesce(v.safety_status, 'unscreened') AS safety_status, CASE WHEN proposal_action = 'update' THEN md5(s.content) END AS current_content,
   row_number() OVER (PARTITION BY v.project_id ORDER BY v.created_at, v.version_id) AS rank FROM skill_version v JOIN skill s USING (skill_id) WHERE v.outcome = 'pending' QUALIFY rank <= 20)

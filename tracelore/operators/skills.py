@@ -134,8 +134,13 @@ def error_context(groups: DataFrame, members: DataFrame, links: DataFrame, learn
     covered = window.filter("tool_key IS NOT NULL").select("group_id", F.col("tool_key").alias("key")).distinct()
     curated = top_per_key(window.join(own, ["group_id", "id"], "left").filter("__own IS NULL"), ["group_id"], order, CURATED_ERRORS)
     failed = events.filter("tool_error AND tool_name IS NOT NULL AND NOT coalesce(is_interrupt, false)")
-    scan = where.join(failed.select("session_id", "tool_name", "tool_response", "ts"), "session_id").drop("session_id").distinct()
-    scan = top_per_key(scan, ["group_id"], [F.col("ts").desc(), F.col("tool_name").asc(), F.col("tool_response").asc()], RAW_SCAN, "__s")
+    # The newest forty of a group are among the newest forty of each of its sessions, so that is all that a session hands up, to
+    # however many groups; both steps keep forty rows per key and task before they shuffle.
+    newest = [F.col("ts").desc(), F.col("tool_name").asc(), F.col("tool_response").asc()]
+    own_newest = failed.select("session_id", "tool_name", "tool_response", "ts").join(where.select("session_id").distinct(), "session_id", "left_semi").distinct()
+    handed = top_per_key(own_newest, ["session_id"], newest, RAW_SCAN, "__s").drop("__s")
+    scan = where.join(handed, "session_id").drop("session_id").distinct()
+    scan = top_per_key(scan, ["group_id"], newest, RAW_SCAN, "__s")
     raw = digest_failures(scan, covered)
     return curated.select("group_id", F.lit("learning").alias("kind"), F.col("id").cast("string").alias("id"), "tool_key", "error_signature", "rank").unionByName(
         raw.select("group_id", F.lit("raw_failure").alias("kind"), F.lit(None).cast("string").alias("id"), "tool_key", "error_signature", "rank")
@@ -206,6 +211,17 @@ def skill_with_sources(skills: DataFrame, derived: DataFrame, learnings: DataFra
     return skills.filter("status = 'approved'").join(src, "skill_id", "left").join(inf, "skill_id", "left").withColumn("warning", warn)
 
 
+def skill_source_rows(skills: DataFrame, derived: DataFrame, learnings: DataFrame, informed: DataFrame) -> DataFrame:
+    """(skill_id, kind, value, status) of the live skills, one row per source and per error that informed them, for skills of any
+    number of either: kind is ``source`` with the fact's id and status, or ``informed_by`` with the error's title."""
+    alive = skills.filter("status = 'approved'").select("skill_id")
+    sources = derived.join(learnings.select(F.col("id").alias("learning_id"), "status"), "learning_id").select(
+        "skill_id", F.lit("source").alias("kind"), F.col("learning_id").cast("string").alias("value"), "status")
+    errors = informed.join(learnings.select(F.col("id").alias("learning_id"), F.coalesce("error_signature", "text").alias("value")), "learning_id").select(
+        "skill_id", F.lit("informed_by").alias("kind"), "value", F.lit(None).cast("string").alias("status"))
+    return sources.unionByName(errors).filter("value IS NOT NULL").join(alive, "skill_id", "left_semi").distinct()
+
+
 def review_queue(skills: DataFrame, versions: DataFrame, sources: DataFrame, learnings: DataFrame, limit: int = 20) -> DataFrame:
     """Pending versions, oldest first, with every source's present status; ``missing`` when the
     source is gone. The live content is shown for updates only. ``sources``: (version_id, learning_id)."""

@@ -6,6 +6,7 @@ the learning id; nothing is looped over row by row.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from tracelore import params
 from tracelore.functions.replies import confidence, flag, ids_in_json, reply_object
 from tracelore.functions.text import collapse, learning_id, learning_namespace, truncate
 from tracelore.functions.tools import tool_key
+from tracelore.operators.graph import connected_components
 from tracelore.operators.segments import top_per_key
 from tracelore.session import cut
 
@@ -187,22 +189,52 @@ def block(resolutions: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def applied_in_order(resolutions: DataFrame, order: Column) -> DataFrame:
+#: Rows connected by supersession that one task settles in order.
+SETTLE_ROWS = 20_000
+
+
+def _settled_groups(links: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(fates of the rows in groups of at most ``most``, links of larger groups). A group is what links connect; its rows are settled in one pass along the
+    order. Finding the groups takes rounds in the logarithm of their size, however many superseders a row has."""
+    groups = connected_components(links.select(F.lit(0).alias("project_id"), F.col("by").alias("source"), F.col("candidate_id").alias("target")))
+    sizes = groups.groupBy("root").agg(F.count("*").alias("__n"))
+    named = groups.join(sizes, "root").select(F.col("node").alias("candidate_id"), "root", "__n")
+    placed = cut(links.join(named, "candidate_id"))
+    kind = dict(links.dtypes)["candidate_id"]
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        applied: dict = {}
+        # Superseders come first along the order, and one without its own superseders takes effect.
+        for row, by in part.sort_values(["__at", "candidate_id"]).groupby(["__at", "candidate_id"], sort=False)["by"]:
+            applied[row[1]] = not any(applied.get(b, True) for b in by)
+        return pd.DataFrame({"candidate_id": list(applied), "applied": list(applied.values())})
+
+    small = placed.filter(F.col("__n") <= most).groupBy("root").applyInPandas(settle, f"candidate_id {kind}, applied boolean")
+    return small, placed.filter(F.col("__n") > most).select(*links.columns)
+
+
+def applied_in_order(resolutions: DataFrame, order: Column, settle_rows: int = SETTLE_ROWS) -> DataFrame:
     """Rows whose verdict takes effect when the batch is applied in order: a row that an applied
     earlier row supersedes is skipped, and so supersedes nothing itself.
 
-    The rule looks back along the order only, so it settles from the front. A row with one
-    open superseder is the opposite of it; such links are followed in doubling steps, so a chain of
-    n rows takes log n rounds. The loop ends when no row is open, which the order guarantees.
+    Rows that supersession connects form groups; a group of at most ``settle_rows`` rows is settled in one task. In larger ones
+    the rule settles from the front: a row with one open superseder is the opposite of it, and such links are followed in
+    doubling steps; rows with several open superseders settle one level a round. The loop ends when no row is open,
+    which the order guarantees.
     """
     rows = cut(resolutions.withColumn("__at", order))
     hits = rows.select(F.col("candidate_id").alias("by"), F.col("__at").alias("__by_at"), F.explode("superseded").alias("candidate_id"))
     links = cut(
-        hits.join(rows.select("candidate_id", "__at"), "candidate_id").filter("__by_at < __at").select("by", "candidate_id").distinct()
+        hits.join(rows.select("candidate_id", "__at"), "candidate_id").filter("__by_at < __at").select("by", "candidate_id", "__at").distinct()
     )
+    if links.isEmpty():
+        return rows.drop("__at")
+    small, links = _settled_groups(links, settle_rows)
+    fates = cut(small)
+    links = cut(links.select("by", "candidate_id"))
     same = rows.select(F.col("candidate_id").alias("to")).schema["to"].dataType
     # applied: settled or not; else, with ``to``, equal to that row's fate (flip false) or its opposite (flip true).
-    state = cut(rows.select("candidate_id", F.lit(None).cast("boolean").alias("applied"), F.lit(None).cast(same).alias("to"), F.lit(False).alias("flip")))
+    state = cut(rows.join(fates, "candidate_id", "left").select("candidate_id", "applied", F.lit(None).cast(same).alias("to"), F.lit(False).alias("flip")))
     while True:
         known = links.join(state.select(F.col("candidate_id").alias("by"), "applied"), "by").groupBy("candidate_id").agg(
             F.bool_or(F.coalesce("applied", F.lit(False))).alias("hit"),
