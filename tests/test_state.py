@@ -68,3 +68,25 @@ def test_earlier_projects_and_users_stay(spark):
     old = spark.createDataFrame([("p", datetime(2026, 1, 1), datetime(2026, 1, 1), "cli", "cli"), ("gone", datetime(2025, 1, 1), datetime(2025, 1, 1), "cli", "cli")], "project_id string, created_at timestamp, last_activity_at timestamp, source string, last_source string")
     out = events.merge_sessions({"project": old}, touches)["project"].collect()
     assert {(r.project_id, r.source, r.last_source, r.created_at.day, r.last_activity_at.day) for r in out} == {("p", "cli", "web", 1, 2), ("gone", "cli", "cli", 1, 1), ("q", None, None, 3, 3)}
+
+
+def test_each_text_is_embedded_once(spark):
+    from tracelore.functions import embedding as emb
+
+    def vectors(texts):
+        assert len(texts) == len(set(texts)) and not {"old", " "} & set(texts)
+        return [None if x == "no vector" else [float(len(x))] for x in texts]
+
+    def rows(schema, *values):
+        return spark.createDataFrame(list(values), schema)
+
+    texts = emb.memory_texts(
+        rows("id long, text string", (1, "same"), (2, "same"), (3, "old"), (4, " "), (5, "no vector"), (6, None)), rows("id long, title string, narrative string", (7, "same", None), (8, "a", "b")),
+        rows("id long, text string", (9, "same")), rows("skill_id string, name string, description string, content string", ("s", "n", "", "c")))
+    store = spark.createDataFrame([(emb_key, [9.0]) for emb_key in [__import__("hashlib").sha256(b"old").hexdigest()]], "text_key string, embedding array<float>")
+    full = emb.fill_store(store, texts.repartition(1), vectors)
+    got = {(r["kind"], r["id"]): r["embedding"] for r in emb.look_up(texts, full).collect()}
+    assert got == {("learning", "1"): [4.0], ("learning", "2"): [4.0], ("learning", "3"): [9.0], ("learning", "4"): None, ("learning", "5"): None, ("learning", "6"): None,
+                   ("observation", "7"): [4.0], ("observation", "8"): [3.0], ("pattern", "9"): [4.0], ("skill", "s"): [3.0]}
+    assert full.count() == 4
+    assert emb.fill_store(full, texts.filter("text <> 'no vector'"), lambda texts: 1 / 0).count() == 4

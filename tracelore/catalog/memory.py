@@ -10,6 +10,7 @@ from tracelore.catalog.recall import n
 from tracelore.functions import embedding as emb
 from tracelore.operators import transitions as tr
 from tracelore.operators import windows
+from tracelore.session import stored
 
 def now():
     return F.lit("2024-03-01").cast("timestamp")
@@ -418,6 +419,35 @@ def embedding_attach(t: Tables):
     return emb.attach(t.learning, fresh).select("id", F.size("embedding").cast("long").alias("width"))
 
 
+_INPUT = {
+    "learning": ("learning", "id", ["text"]), "observation": ("observation", "id", ["title", "narrative"]), "pattern": ("pattern", "id", ["text"]),
+    "skill": ("skill", "skill_id", ["name", "description", "content"]),
+}
+MEMORY_SQL = " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, CAST({key} AS VARCHAR) AS id, concat_ws(chr(10), {', '.join(f"nullif(trim({c}), '')" for c in parts)}) AS text FROM {view}" for kind, (view, key, parts) in _INPUT.items())
+
+
+def _vectors_by_content(t: Tables):
+    """A first run embeds the facts, a second one what is new among all four kinds."""
+    texts = emb.memory_texts(t.learning, t.observation, t.pattern, t.skill)
+    first = stored(emb.fill_store(None, texts.filter("kind = 'learning'"), _toy_vectors), "vectors")
+    return texts, stored(emb.fill_store(first, texts, _toy_vectors), "vectors")
+
+
+@query("memory_vectors", rows="S15 S14 D1", uses="learning observation pattern skill", oracle=f"""WITH m AS ({MEMORY_SQL})
+SELECT kind, id, CASE WHEN length(text) <= 4000 AND trim(text) <> '' THEN CAST(length(text) AS DOUBLE) END AS v0,
+  CASE WHEN length(text) <= 4000 AND trim(text) <> '' THEN CAST(length(regexp_replace(text, '[^0-9]', '', 'g')) AS DOUBLE) END AS v1 FROM m""")
+def memory_vectors(t: Tables):
+    out = emb.look_up(*_vectors_by_content(t))
+    return out.select("kind", "id", F.try_element_at("embedding", F.lit(1)).cast("double").alias("v0"), F.try_element_at("embedding", F.lit(2)).cast("double").alias("v1"))
+
+
+@query("vector_store", rows="S15 S14", uses="learning observation pattern skill", oracle=f"""WITH m AS ({MEMORY_SQL})
+SELECT DISTINCT sha256(text) AS text_key, CAST(length(text) AS DOUBLE) AS v0 FROM m WHERE length(text) <= 4000 AND trim(text) <> ''""")
+def vector_store(t: Tables):
+    return _vectors_by_content(t)[1].select("text_key", F.element_at("embedding", 1).cast("double").alias("v0"))
+
+
 @query("pending_embeddings", rows="S14", uses="learning", oracle="SELECT count(*) AS pending FROM learning WHERE status IN ('approved', 'candidate') AND label < 5")
 def pending_embeddings(t: Tables):
     rows = t.learning.withColumn("embedding", F.when(F.col("label") >= 5, F.col("embedding")))

@@ -51,6 +51,40 @@ def backfill(rows: DataFrame, fn: Embedder, only_missing: bool = True, rationale
     return embed(todo.select("id", embedding_input(*parts).alias("__text")), "__text", fn).select("id", "embedding").filter("embedding IS NOT NULL")
 
 
+def text_key(text: Column) -> Column:
+    """What a vector is kept under: the hash of the text it was made from."""
+    return F.sha2(text.cast("binary"), 256)
+
+
+def memory_texts(learnings: DataFrame, observations: DataFrame, patterns: DataFrame, skills: DataFrame) -> DataFrame:
+    """(kind, id, text): what each row of memory is embedded by. Facts and task labels by their text, episodes by title and narrative, skills by name,
+    description and content."""
+    parts = {
+        "learning": (learnings, "id", ("text",)), "observation": (observations, "id", ("title", "narrative")),
+        "pattern": (patterns, "id", ("text",)), "skill": (skills, "skill_id", ("name", "description", "content")),
+    }
+    found = None
+    for kind, (rows, key, names) in parts.items():
+        part = rows.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), embedding_input(*[F.col(n) for n in names]).alias("text"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def fill_store(store: DataFrame | None, texts: DataFrame, fn: Embedder, batch: int = params.EMBED_BATCH) -> DataFrame:
+    """The store (text_key, embedding) with a vector for every text of ``texts`` (text) that it lacks: each distinct text goes to the provider once,
+    whatever number and kind of rows have it. Blank texts and those without a vector from the provider get no entry, so a later run asks again."""
+    wanted = texts.filter(F.trim("text") != "").select(text_key(F.col("text")).alias("text_key"), "text").dropDuplicates(["text_key"])
+    if store is not None:
+        wanted = wanted.join(store.select("text_key"), "text_key", "left_anti")
+    fresh = embed(wanted, "text", fn, batch=batch).filter("embedding IS NOT NULL").select("text_key", "embedding")
+    return fresh if store is None else store.select("text_key", "embedding").unionByName(fresh)
+
+
+def look_up(texts: DataFrame, store: DataFrame) -> DataFrame:
+    """``texts`` with the vector of their text, null where the store has none."""
+    return texts.withColumn("text_key", text_key(F.col("text"))).join(store.select("text_key", "embedding"), "text_key", "left").drop("text_key")
+
+
 def attach(rows: DataFrame, fresh: DataFrame) -> DataFrame:
     """New vectors where there are any, the stored ones otherwise."""
     new = fresh.select("id", F.col("embedding").alias("__new"))
