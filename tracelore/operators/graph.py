@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracelore import params
 from tracelore.operators.segments import HOUR, running_sums, time_slice, top_per_key
-from tracelore.session import cut
+from tracelore.session import bucketed, cut
 
 
 def seed_weights(
@@ -128,10 +128,11 @@ def personalized_pagerank(
     known = edges.filter("w > 0").select("project_id", "a", "b", "w")
     both = known.unionByName(known.select("project_id", F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     strength = both.groupBy("project_id", "a").agg(F.sum("w").alias("__s"))
-    steps = cut(
+    # The edges lie in buckets of their start and stay there: a round deals out the state and the contributions alone.
+    steps = bucketed(
         both.join(strength, ["project_id", "a"]).select(
             "project_id", F.col("a").alias("node"), F.col("b").alias("__to"), (F.col("w") / F.col("__s")).alias("share")
-        )
+        ), key, "steps",
     )
     for done in range(1, max_iterations + 1):
         moved = (
