@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracelore.catalog.base import Tables, query
 from tracelore.catalog.events import micros, sql_trunc
 from tracelore.catalog.memory import now
-from tracelore.catalog.recall import COS, LIVE, n, r6
+from tracelore.catalog.recall import COS, FLOOR, LIVE, n, r6
 from tracelore.operators import audit, recall, skills
 from tracelore.operators.segments import top_per_key
 
@@ -512,6 +512,41 @@ def context_packs(t: Tables):
     notes = req.select("request_id", "project_id").join(totals, "project_id", "left").join(
         audit.pending_proposals(t.skill_version, t.skill).withColumnRenamed("pending", "pending_skills"), "project_id", "left"
     ).select("request_id", F.lit(0).alias("blocked"), "pending_skills", "episodes")
-    return audit.context_packs(req, people, activity, facts, catalogue, catalogue.limit(0), notes, F.lit("2024-02-01").cast("timestamp"))
+    return audit.context_packs(req, people, activity, facts, catalogue, None, notes, F.lit("2024-02-01").cast("timestamp"))
+
+
+@query("prompt_packs", rows="T20 V8 A8 W12", uses="request learning observation skill skill_version gated", oracle=f"""WITH {CTX_SQL},
+ near AS (SELECT r.request_id, s.slug, s.salience, {COS.format(a='r.vector', b='s.embedding')} AS cos FROM request r JOIN skill s ON s.project_id = r.project_id WHERE s.status = 'approved'),
+ mt AS (SELECT request_id, slug, row_number() OVER (PARTITION BY request_id ORDER BY round(cos * (1 + 0.1::DOUBLE * salience), 6) DESC, slug) AS rank FROM near WHERE round((1 + cos) / 2, 7) >= (1 + {FLOOR}) / 2 QUALIFY rank <= 5),
+ mm AS (SELECT request_id, string_agg(slug, ', ' ORDER BY rank) AS x FROM mt GROUP BY 1),
+ gone AS (SELECT * FROM gated WHERE status = 'blocked' AND blocked_at >= TIMESTAMP '2024-01-13 00:00:00'),
+ gu AS (SELECT user_id, count(*) AS n FROM gone WHERE scope = 'user' GROUP BY 1), gp AS (SELECT project_id, count(*) AS n FROM gone WHERE scope = 'project' GROUP BY 1),
+ gv AS (SELECT project_id, count(*) AS n FROM skill_version WHERE outcome = 'blocked' AND decided_at >= TIMESTAMP '2024-01-13 00:00:00' GROUP BY 1),
+ r AS (SELECT r.request_id, r.project_id, r.user_id, coalesce(gu.n, 0) + coalesce(gp.n, 0) + coalesce(gv.n, 0) AS blocked FROM request r LEFT JOIN gu ON gu.user_id = r.user_id LEFT JOIN gp ON gp.project_id = r.project_id LEFT JOIN gv ON gv.project_id = r.project_id)
+SELECT r.request_id, CASE WHEN uu.x IS NULL AND ff.x IS NULL AND mm.x IS NULL AND pp.pending IS NULL AND r.blocked = 0 THEN '' ELSE
+ 'Project context for P' || r.project_id || ' (' || r.project_id || '):'
+ || coalesce(chr(10) || chr(10) || 'What we know about the user (' || r.user_id || '):' || chr(10) || uu.x, '')
+ || coalesce(chr(10) || chr(10) || '{audit.HEAD_LEARNINGS}' || chr(10) || ff.x, '')
+ || coalesce(chr(10) || chr(10) || '{audit.HEAD_MATCHING}' || mm.x, '')
+ || CASE WHEN r.blocked > 0 THEN chr(10) || chr(10) || 'The autonomous memory gate blocked ' || r.blocked || CASE WHEN r.blocked = 1 THEN ' unsafe item' ELSE ' unsafe items' END
+   || ' in the last 7 days (suspected injected instructions, privilege grabs, or secrets) — recorded, not learned. Inspect the record with project_gate_audit; a wrongly blocked fact can be reinstated with project_resolve_learning.' ELSE '' END
+ || coalesce(chr(10) || chr(10) || pp.pending || ' distilled skill ' || CASE WHEN pp.pending = 1 THEN 'proposal is' ELSE 'proposals are' END || ' waiting for a human to publish: nothing goes live in skill_search until a person approves it. List them with skill_review_queue.', '')
+ || chr(10) || chr(10) || '{audit.CLOSING}' END AS context
+FROM r LEFT JOIN uu ON uu.user_id = r.user_id LEFT JOIN ff ON ff.project_id = r.project_id LEFT JOIN mm ON mm.request_id = r.request_id LEFT JOIN pp ON pp.project_id = r.project_id""")
+def prompt_packs(t: Tables):
+    """What a prompt gets: the skills that match it instead of the catalogue, and what the gate has blocked lately."""
+    req = t.request.select("request_id", "project_id", "user_id", F.concat(F.lit("P"), F.col("project_id").cast("string")).alias("project_name"))
+
+    def give(rows, key):
+        return req.select("request_id", key).join(rows, key)
+
+    facts = give(recall.recency_fallback(t.learning.filter("scope = 'project'"), ["project_id"], 5), "project_id")
+    people = give(recall.recency_fallback(t.learning.filter("scope = 'user'"), ["user_id"], 5), "user_id")
+    matching = recall.suggest_skills(t.request, t.skill, 5, FLOOR, 0.1).select(F.col("q_id").alias("request_id"), "slug", "rank")
+    blocked = audit.blocked_counts(t.gated, t.skill_version, req.select("project_id", "user_id").distinct(), F.lit("2024-01-20").cast("timestamp"))
+    notes = req.select("request_id", "project_id", "user_id").join(blocked, ["project_id", "user_id"], "left").join(
+        audit.pending_proposals(t.skill_version, t.skill).withColumnRenamed("pending", "pending_skills"), "project_id", "left"
+    ).select("request_id", "blocked", "pending_skills", F.lit(0).alias("episodes"))
+    return audit.context_packs(req, people, None, facts, None, matching, notes, F.lit("2024-02-01").cast("timestamp"))
 
 

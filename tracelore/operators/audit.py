@@ -229,22 +229,21 @@ def _lines(rows: DataFrame, key: str, line: Column, out: str) -> DataFrame:
 
 
 def context_packs(
-    requests: DataFrame, user_facts: DataFrame, activity: DataFrame, facts: DataFrame, catalogue: DataFrame, matching: DataFrame,
+    requests: DataFrame, user_facts: DataFrame | None, activity: DataFrame | None, facts: DataFrame | None, catalogue: DataFrame | None, matching: DataFrame | None,
     notes: DataFrame, as_of: Column,
 ) -> DataFrame:
     """(request_id, context): the ordered lines a session or prompt gets, empty when there is
     nothing to say. Rank tables are keyed by request_id: user_facts and facts carry learning
     columns, activity (type, title, ended_at), catalogue and matching (slug); ``notes``:
-    (request_id, blocked, pending_skills, episodes)."""
+    (request_id, blocked, pending_skills, episodes). A part that this kind of pack doesn't have is None: sessions get a catalogue, prompts
+    the skills that match them."""
     empty = F.array().cast("array<string>")
     age = age_label(F.col("ended_at"), as_of)
     headline = F.concat(F.lit("- ["), F.coalesce("type", F.lit("change")), F.when(age != "", F.concat(F.lit(", "), age)).otherwise(""), F.lit("] "), truncate(F.coalesce("title", F.lit("")), 160))
     rows = requests
-    for part in (
-        _lines(user_facts, "request_id", fact_line(user_facts), "u"), _lines(activity, "request_id", headline, "a"),
-        _lines(facts, "request_id", fact_line(facts), "f"), _lines(catalogue, "request_id", F.col("slug"), "c"), _lines(matching, "request_id", F.col("slug"), "m"),
-    ):
-        rows = rows.join(part, "request_id", "left")
+    parts = {"u": (user_facts, fact_line), "a": (activity, lambda _: headline), "f": (facts, fact_line), "c": (catalogue, lambda _: F.col("slug")), "m": (matching, lambda _: F.col("slug"))}
+    for name, (part, line) in parts.items():
+        rows = rows.withColumn(name, empty) if part is None else rows.join(_lines(part, "request_id", line(part), name), "request_id", "left")
     rows = rows.join(notes, "request_id", "left")
     u, a, f, c, m = [F.coalesce(x, empty) for x in ("u", "a", "f", "c", "m")]
     blocked, waiting = F.coalesce("blocked", F.lit(0)), F.coalesce("pending_skills", F.lit(0))
