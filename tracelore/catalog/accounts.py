@@ -129,6 +129,35 @@ def edge_triples(t: Tables):
     })
 
 
+#: Every node table of the model, and every edge table with its ends.
+NODE_TABLES = (
+    "session", "session_event", "learning", "injection", "observation", "pattern", "skill", "skill_version", "proposal", "profile", "ledger", "account", "product", "contact", "usage", "renewal",
+)
+EDGE_TABLES = {
+    ("Learning", "INJECTED_IN", "Session"): ("injected_in", "learning_id, session_id"), ("Skill", "DERIVED_FROM", "Learning"): ("derived_from", "skill_id, learning_id"),
+    ("SkillVersion", "DERIVED_FROM", "Learning"): ("version_source", "version_id, learning_id"), ("Session", "PRODUCED_LEARNING", "Learning"): ("produced", "session_id, learning_id"),
+    ("Learning", "CONTRADICTS", "Learning"): ("conflict", "from_id, to_id"), ("TaskPattern", "HAS_ALIAS", "Label"): ("pattern_alias", "id, label"),
+    ("Project", "HAS_SESSION", "Session"): ("session", "project_id, session_id"), ("User", "HAS_SESSION", "Session"): ("session", "user_id, session_id"),
+    ("Session", "HAS_EVENT", "SessionEvent"): ("session_event", "session_id, event_id"), ("Project", "HAS_LEARNING", "Learning"): ("learning", "project_id, id"),
+    ("Project", "HAS_OBSERVATION", "Observation"): ("observation", "project_id, id"), ("Project", "HAS_SKILL", "Skill"): ("skill", "project_id, skill_id"),
+    ("Account", "USES_PRODUCT", "Product"): ("usage", "account_id, sku"), ("Account", "HAS_CONTACT", "Contact"): ("contact", "account_id, contact_id"),
+    ("Account", "RENEWS", "Renewal"): ("renewal", "account_id, renewal_date"),
+}
+
+
+@query("model_profile", rows="Q11", uses=" ".join(NODE_TABLES), oracle=" UNION ALL ".join(f"""
+SELECT '{name}' AS "table", property, count(*) AS rows, round((count(*) - count(v)) / count(*), 6) AS null_share
+FROM (FROM (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM {name}) UNPIVOT INCLUDE NULLS (v FOR property IN (COLUMNS(*)))) GROUP BY property""" for name in NODE_TABLES))
+def model_profile(t: Tables):
+    return ac.schema_profile({name: getattr(t, name) for name in NODE_TABLES}).drop("type")
+
+
+@query("model_edges", rows="Q11", uses=" ".join(dict.fromkeys(view for view, _ in EDGE_TABLES.values())), oracle=" UNION ALL ".join(f"""
+SELECT '{a}' AS from_label, '{kind}' AS edge, '{b}' AS to_label, count(*) AS n FROM (SELECT DISTINCT {ends} FROM {view}) x""" for (a, kind, b), (view, ends) in EDGE_TABLES.items()))
+def model_edges(t: Tables):
+    return ac.edge_triples({triple: getattr(t, view).select(*ends.split(", ")).distinct() for triple, (view, ends) in EDGE_TABLES.items()})
+
+
 AD_HOC = "SELECT l.project_id, s.status, count(*) AS n FROM {learning} l JOIN {derived_from} d ON d.learning_id = l.id JOIN {skill} s ON s.skill_id = d.skill_id GROUP BY l.project_id, s.status"
 
 
