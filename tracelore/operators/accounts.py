@@ -93,12 +93,20 @@ def renewal_risk(accounts: DataFrame, usage: DataFrame, as_of: Column, days: int
     return rows.withColumn("reasons", why).filter("reasons <> ''")
 
 
+#: Catalogue items in one part.
+PART_SKUS = 512
+
+
 def whitespace(accounts: DataFrame, products: DataFrame, usage: DataFrame) -> DataFrame:
-    """(account_id, sku) of catalogue items an account does not use. The catalogue is one
-    array, subtracted from each account's own set; no pair that is in use is formed."""
-    catalogue = products.agg(F.array_sort(F.collect_set("sku")).alias("__all"))
-    used = usage.groupBy("account_id").agg(F.collect_set("sku").alias("__used"))
-    rows = accounts.select("account_id").join(used, "account_id", "left").crossJoin(F.broadcast(catalogue))
+    """(account_id, sku) of catalogue items an account does not use. The catalogue is cut by hash into parts of about ``PART_SKUS`` items, and
+    an account's own items of a part are subtracted from the part: no pair that is in use is formed, and no row holds more than a part. Whether the
+    parts are broadcast is left to their size."""
+    parts = max(1, -(-products.select("sku").distinct().count() // PART_SKUS))
+    part = F.pmod(F.xxhash64("sku"), F.lit(parts)).alias("part")
+    catalogue = products.select("sku", part).distinct().groupBy("part").agg(F.collect_list("sku").alias("__all"))
+    used = usage.select("account_id", "sku", part).groupBy("account_id", "part").agg(F.collect_set("sku").alias("__used"))
+    rows = accounts.select("account_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    rows = rows.join(used, ["account_id", "part"], "left").join(catalogue, "part")
     gap = F.array_except("__all", F.coalesce("__used", F.array().cast("array<string>")))
     return rows.select("account_id", F.explode(gap).alias("sku"))
 
