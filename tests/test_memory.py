@@ -120,3 +120,12 @@ def test_accounts(spark):
     acc = spark.createDataFrame([(1, "steady", 80, "2024-03-01"), (2, "steady", 80, "2025-03-01")], "account_id long, trajectory string, health_score long, renewal_date string").withColumn("renewal_date", F.col("renewal_date").cast("date"))
     risk = accounts.renewal_risk(acc, usage, F.lit("2024-02-01").cast("date")).collect()
     assert [(r.account_id, r.reasons) for r in risk] == [(1, "falling+dead_line")]
+
+
+def test_memory_texts_are_gathered_once(spark):
+    """Neither the look-up nor the skills join the documents again."""
+    from tracelore.catalog import REGISTRY, Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    out = REGISTRY["memory_vectors"].run(t)
+    assert not [f for f in out.inputFiles() + t.skill.inputFiles() if "documents" in f]

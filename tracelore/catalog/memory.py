@@ -428,8 +428,9 @@ MEMORY_SQL = " UNION ALL ".join(
 
 
 def _vectors_by_content(t: Tables):
-    """A first run embeds the facts, a second one what is new among all four kinds."""
-    texts = emb.memory_texts(t.learning, t.observation, t.pattern, t.skill)
+    """A first run embeds the facts, a second one what is new among all four kinds. The texts are gathered and written once: both runs and a later look-up read them."""
+    t.keep("learning")  # skills are made from facts
+    texts = stored(emb.memory_texts(t.learning, t.observation, t.pattern, t.skill), "memory-texts")
     first = stored(emb.fill_store(None, texts.filter("kind = 'learning'"), _toy_vectors), "vectors")
     return texts, stored(emb.fill_store(first, texts, _toy_vectors), "vectors")
 
