@@ -1,11 +1,14 @@
 """The block index against plain search, and what it leaves out."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tracelore.operators import graph, similarity
-from tracelore.operators.blocks import BlockIndex, best_in_rows
+from tracelore.operators.blocks import SLICE_ROWS, BlockIndex, best_in_rows, multiplier
 
 
 def clustered(spark, n, clusters, dims=16, seed=1, spread=0.05):
@@ -91,3 +94,26 @@ def test_best_in_rows_breaks_ties_by_id():
     score = np.array([[1.0, 1.0, 0.5, 1.0], [0.0, 0.0, 0.0, 0.0]])
     qi, ri = best_in_rows(score, np.array([[True, True, True, True], [True, False, True, True]]), np.array([9, 3, 1, 5]), 2)
     assert list(zip(qi.tolist(), ri.tolist())) == [(0, 1), (0, 3), (1, 2), (1, 3)]
+
+
+def test_a_product_is_held_a_few_rows_at_a_time():
+    """Two blocks of 2500 rows: 50 MB of cosines, and several times that in what is picked from them, are never held at once."""
+    rng = np.random.default_rng(5)
+    q, r = rng.normal(size=(2500, 8)), rng.normal(size=(2500, 8))
+    left, right = pd.DataFrame({"q_id": range(2500), "q_vec": list(q)}), pd.DataFrame({"r_id": range(2500), "r_vec": list(r)})
+    heights = []
+
+    def pick(cos, q_ids, r_ids):
+        heights.append(len(cos))
+        return best_in_rows(np.round(cos, 6), q_ids[:, None] != r_ids[None, :], r_ids, 3)
+
+    tracemalloc.start()
+    got = multiplier(pick)(left, right)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(heights) <= SLICE_ROWS and sum(heights) == 2500 and most < 50e6
+    cos = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (r / np.linalg.norm(r, axis=1, keepdims=True)).T
+    np.fill_diagonal(cos, -np.inf)
+    best = np.argsort(-cos, axis=1)[:, :3]
+    assert got["q_id"].tolist() == np.repeat(range(2500), 3).tolist() and got["r_id"].tolist() == best.ravel().tolist()
+    np.testing.assert_allclose(got["cos"], np.take_along_axis(cos, best, 1).ravel())
