@@ -1,6 +1,11 @@
+from collections import Counter
 from datetime import datetime, timedelta
 
-from tracelore.operators import graph, patterns
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from tracelore.operators import graph, patterns, recall
 
 NOW = datetime(2024, 6, 1)
 
@@ -69,3 +74,23 @@ def test_label_lookup_follows_tombstones(spark):
     a = spark.createDataFrame([(1, "p1", "nick")], "project_id long, id string, label string")
     got = {r.label: r.pattern_id for r in patterns.label_lookup(p, a).collect()}
     assert got == {"live one": "p1", "nick": "p1", "old two": "p1", "old three": "p1"}
+
+
+def test_votes_by_products_equal_votes_over_edges(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(4, 6))
+    rows = [(i, 0 if i % 4 else 1 + i % 3, [float(x) for x in centres[i % 4] + 0.4 * rng.normal(size=6)]) for i in range(90)]
+    rows += [(100 + i, 0, [0.0] * 6 if i == 0 else rows[1][2]) for i in range(12)] + [(200, 0, None), (201, 0, [1.0, 2.0]), (202, 9, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, project_id long, embedding array<float>").withColumn("status", F.lit("active"))
+    key = lambda found: sorted((r.project_id, r.node, r.label) for r in found.collect())
+    want = key(graph.vote_communities(recall.pattern_edges(df, 0.3), 3))
+    assert len(want) > 90 and max(Counter((p, label) for p, _, label in want).values()) > 8
+    for chunk in (8, 4096):
+        assert key(graph.vote_by_products(df, 0.3, 3, chunk=chunk)) == want
+
+
+def test_a_vote_tells_one_line_per_node_whatever_the_pairs():
+    same = pd.DataFrame({"project_id": 1, "__dim": 2, "__qc": 0, "__rc": "many:0", "node": range(300), "vec": [[1.0, 2.0]] * 300})
+    told = pd.DataFrame({"project_id": 1, "__dim": 2, "__qc": 0, "__rc": "many:0", "r_node": range(300), "label": range(300), "r_vec": [[1.0, 2.0]] * 300})
+    lines = graph.voter(0.3)(same, told)
+    assert lines["node"].tolist() == list(range(300)) and lines["label"].tolist() == [1] + [0] * 299
