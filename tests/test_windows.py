@@ -81,3 +81,21 @@ def test_closure_and_roots(spark):
         (1, 1, 0), (2, 2, 0), (3, 3, 0), (9, 9, 0), (1, 2, 1), (2, 3, 1), (1, 3, 2)
     }
     assert {r.node: r.root for r in windows.roots(edges).collect()} == {1: 1, 2: 1, 3: 1, 9: 9}
+
+
+def test_events_are_numbered_once_for_their_windows(spark):
+    rows = [(i, 1 + i % 2, datetime(2024, 1, 1) + timedelta(seconds=i), "Stop" if i % 9 == 8 else "PreToolUse") for i in range(60)]
+    events = spark.createDataFrame(rows, "event_id long, session_id long, ts timestamp, event_name string")
+    placed = windows.stop_windows(events, 10)
+    assert placed.count() == 60
+    # The rows and their segments' sums.
+    assert placed._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") <= 4
+
+
+def test_a_ledger_without_counts_is_one_of_zeros(spark):
+    digests = spark.createDataFrame([("w1", 1, 2, "d1", 3, [1, 2, 3])], "window_id string, session_id long, project_id long, digest string, event_count long, event_ids array<long>")
+    zeros = digests.select("window_id", F.lit(0).alias("learning_count"), F.lit(0).alias("observation_count"))
+    with_zeros, without = (windows.processing_ledger(digests, "turn", c, ["window_id"], {"llm_status": F.lit("called")}) for c in (zeros, None))
+    for one, other in zip(with_zeros, without):
+        assert sorted(map(repr, one.select(*other.columns).collect())) == sorted(map(repr, other.collect()))
+    assert without[0].first()["summary"] == "Processed 3 turn events and produced 0 learning actions and 0 observations."
