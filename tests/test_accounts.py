@@ -1,4 +1,9 @@
+from pyspark.sql import functions as F
+
+from tracelore.catalog import accounts as catalog
+from tracelore.catalog.base import Tables
 from tracelore.operators import accounts as ac
+from tracelore.session import prepare
 
 
 def test_whitespace_whatever_the_parts(spark, monkeypatch):
@@ -11,3 +16,21 @@ def test_whitespace_whatever_the_parts(spark, monkeypatch):
         monkeypatch.setattr(ac, "PART_SKUS", most)
         got = [tuple(r) for r in ac.whitespace(accounts, products, usage).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_null_marks_are_null_where_the_values_are(spark):
+    rows = spark.createDataFrame([("long text", None, 2.5, 1), (None, [1.0, 2.0], None, 2)], "a string, b array<float>, c double, d int")
+    got = ac.null_marks(rows, ["a", "b", "c"])
+    assert got.dtypes == rows.dtypes and [tuple(r) for r in got.orderBy("d").collect()] == [("", None, 0.0, 1), (None, [], None, 2)]
+
+
+def test_the_profile_joins_marks_instead_of_texts(spark, monkeypatch):
+    seen, plain = {}, ac.schema_profile
+    monkeypatch.setattr(ac, "schema_profile", lambda tables: seen.update(tables) or plain(tables))
+    t = Tables(prepare(spark), "/root/testdata/sf0.001")
+    got = catalog.model_profile(t).collect()
+    widest = seen["learning"].agg(F.max(F.length("text")).alias("text"), F.max(F.size("embedding")).alias("embedding")).first()
+    assert tuple(widest) == (0, 0)
+    some = ("learning", "skill", "observation", "usage")
+    want = plain({name: getattr(t, name) for name in some}).drop("type").collect()
+    assert sorted(map(tuple, want)) == sorted(tuple(r) for r in got if r.table in some)

@@ -145,11 +145,19 @@ EDGE_TABLES = {
 }
 
 
+#: Columns whose values no node table looks into: they are passed on, picked by another column's order, or summed.
+PASSED_ON = {"documents": ("text",), "conversations": ("text",), "embeddings": ("embedding",), "lineitem": ("l_quantity", "l_extendedprice", "l_discount")}
+
+
 @query("model_profile", rows="Q11", uses=" ".join(NODE_TABLES), oracle=" UNION ALL ".join(f"""
 SELECT '{name}' AS "table", property, count(*) AS rows, round((count(*) - count(v)) / count(*), 6) AS null_share
 FROM (FROM (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM {name}) UNPIVOT INCLUDE NULLS (v FOR property IN (COLUMNS(*)))) GROUP BY property""" for name in NODE_TABLES))
 def model_profile(t: Tables):
-    return ac.schema_profile({name: getattr(t, name) for name in NODE_TABLES}).drop("type")
+    """A share of nulls asks of these columns only where they are null, so marks travel through the joins and sums of the views instead of texts, vectors and amounts."""
+    marked = Tables(t.spark, t.folder)
+    for name, columns in PASSED_ON.items():
+        marked.put(name, ac.null_marks(getattr(t, name), columns))
+    return ac.schema_profile({name: getattr(marked, name) for name in NODE_TABLES}).drop("type")
 
 
 @query("model_edges", rows="Q11", uses=" ".join(dict.fromkeys(view for view, _ in EDGE_TABLES.values())), oracle=" UNION ALL ".join(f"""

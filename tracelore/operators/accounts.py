@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelore.operators.segments import top_per_key
 
@@ -166,6 +169,13 @@ def reconcile(accounts: DataFrame, entities: DataFrame, fields: list[str]) -> Da
     return both.select("domain", F.explode(rows).alias("d")).select("domain", "d.field", "d.ours", "d.theirs")
 
 
+def null_marks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with the shortest value of its type (empty, zero) wherever one of ``columns`` is not null."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    least = {c: F.array() if isinstance(kinds[c], T.ArrayType) else F.lit("" if isinstance(kinds[c], T.StringType) else 0) for c in columns}
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), least[c].cast(kinds[c])) for c in columns})
+
+
 def schema_profile(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, property, type, rows, null_share): one pass per table."""
     out = None
