@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tracelore.functions import text as tx
 from tracelore.functions import tools as tl
 from tracelore.functions.embedding import embed
-from tracelore.operators import accounts, events, transitions as tr
+from tracelore.operators import accounts, audit, events, transitions as tr
 
 
 def test_resolution_precedence(spark):
@@ -129,3 +129,14 @@ def test_memory_texts_are_gathered_once(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     out = REGISTRY["memory_vectors"].run(t)
     assert not [f for f in out.inputFiles() + t.skill.inputFiles() if "documents" in f]
+
+
+def test_lines_of_a_pack_may_be_told_once_for_a_project(spark):
+    """A project's facts are given once and reach every request of it, as if they were given to each."""
+    asks = spark.createDataFrame([(i, i % 2, 7, f"P{i % 2}") for i in range(6)], "request_id long, project_id long, user_id long, project_name string")
+    facts = spark.createDataFrame([(1, r, "fact", None, "approved", 0.5, f"text  {r}") for r in (1, 2)], "project_id long, rank int, kind string, resolved boolean, status string, confidence double, text string")
+    notes = asks.select("request_id", F.lit(0).alias("blocked"), F.lit(0).alias("pending_skills"), F.lit(0).alias("episodes"))
+    at = F.lit("2024-02-01").cast("timestamp")
+    each = asks.select("request_id", "project_id").join(facts, "project_id")
+    one, many = (audit.context_packs(asks, None, None, part, None, None, notes, at, **by).orderBy("request_id").collect() for part, by in ((facts, {"by": {"f": "project_id"}}), (each, {})))
+    assert one == many and [r.context != "" for r in one] == [False, True] * 3 and "text 1\n- [approved, confidence 0.50] text 2" in one[1].context

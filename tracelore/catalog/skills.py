@@ -501,18 +501,15 @@ LEFT JOIN nn ON nn.project_id = s.project_id LEFT JOIN pp ON pp.project_id = s.p
 def context_packs(t: Tables):
     req = t.session.select(F.col("session_id").alias("request_id"), "project_id", "user_id", F.concat(F.lit("P"), F.col("project_id").cast("string")).alias("project_name"))
 
-    def give(rows, key):
-        return req.select("request_id", key).join(rows, key)
-
-    facts = give(recall.recency_fallback(t.learning.filter("scope = 'project'"), ["project_id"], 5), "project_id")
-    people = give(recall.recency_fallback(t.learning.filter("scope = 'user'"), ["user_id"], 5), "user_id")
-    activity = give(top_per_key(t.observation, ["project_id"], [F.col("ended_at").desc(), F.col("id").desc()], 3), "project_id")
-    catalogue = give(skills.live_catalogue(t.skill), "project_id")
+    facts = recall.recency_fallback(t.learning.filter("scope = 'project'"), ["project_id"], 5)
+    people = recall.recency_fallback(t.learning.filter("scope = 'user'"), ["user_id"], 5)
+    activity = top_per_key(t.observation, ["project_id"], [F.col("ended_at").desc(), F.col("id").desc()], 3)
+    catalogue = skills.live_catalogue(t.skill)
     totals = t.observation.groupBy("project_id").agg(F.count("*").alias("episodes"))
     notes = req.select("request_id", "project_id").join(totals, "project_id", "left").join(
         audit.pending_proposals(t.skill_version, t.skill).withColumnRenamed("pending", "pending_skills"), "project_id", "left"
     ).select("request_id", F.lit(0).alias("blocked"), "pending_skills", "episodes")
-    return audit.context_packs(req, people, activity, facts, catalogue, None, notes, F.lit("2024-02-01").cast("timestamp"))
+    return audit.context_packs(req, people, activity, facts, catalogue, None, notes, F.lit("2024-02-01").cast("timestamp"), by={"u": "user_id", "a": "project_id", "f": "project_id", "c": "project_id"})
 
 
 @query("prompt_packs", rows="T20 V8 A8 W12", uses="request learning observation skill skill_version gated", oracle=f"""WITH {CTX_SQL},
@@ -537,16 +534,13 @@ def prompt_packs(t: Tables):
     """What a prompt gets: the skills that match it instead of the catalogue, and what the gate has blocked lately."""
     req = t.request.select("request_id", "project_id", "user_id", F.concat(F.lit("P"), F.col("project_id").cast("string")).alias("project_name"))
 
-    def give(rows, key):
-        return req.select("request_id", key).join(rows, key)
-
-    facts = give(recall.recency_fallback(t.learning.filter("scope = 'project'"), ["project_id"], 5), "project_id")
-    people = give(recall.recency_fallback(t.learning.filter("scope = 'user'"), ["user_id"], 5), "user_id")
+    facts = recall.recency_fallback(t.learning.filter("scope = 'project'"), ["project_id"], 5)
+    people = recall.recency_fallback(t.learning.filter("scope = 'user'"), ["user_id"], 5)
     matching = recall.suggest_skills(t.request, t.skill, 5, FLOOR, 0.1).select(F.col("q_id").alias("request_id"), "slug", "rank")
     blocked = audit.blocked_counts(t.gated, t.skill_version, req.select("project_id", "user_id").distinct(), F.lit("2024-01-20").cast("timestamp"))
     notes = req.select("request_id", "project_id", "user_id").join(blocked, ["project_id", "user_id"], "left").join(
         audit.pending_proposals(t.skill_version, t.skill).withColumnRenamed("pending", "pending_skills"), "project_id", "left"
     ).select("request_id", "blocked", "pending_skills", F.lit(0).alias("episodes"))
-    return audit.context_packs(req, people, None, facts, None, matching, notes, F.lit("2024-02-01").cast("timestamp"))
+    return audit.context_packs(req, people, None, facts, None, matching, notes, F.lit("2024-02-01").cast("timestamp"), by={"u": "user_id", "f": "project_id"})
 
 

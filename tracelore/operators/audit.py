@@ -222,7 +222,7 @@ def fact_line(rows: DataFrame) -> Column:
 
 
 def _lines(rows: DataFrame, key: str, line: Column, out: str) -> DataFrame:
-    """The lines of one section per request; sections hold a handful of rows."""
+    """The lines of one section per key; sections hold a handful of rows."""
     return rows.select(key, "rank", line.alias("__l")).groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "__l"))), lambda x: x["__l"]).alias(out)
     )
@@ -230,12 +230,13 @@ def _lines(rows: DataFrame, key: str, line: Column, out: str) -> DataFrame:
 
 def context_packs(
     requests: DataFrame, user_facts: DataFrame | None, activity: DataFrame | None, facts: DataFrame | None, catalogue: DataFrame | None, matching: DataFrame | None,
-    notes: DataFrame, as_of: Column,
+    notes: DataFrame, as_of: Column, by: dict[str, str] | None = None,
 ) -> DataFrame:
     """(request_id, context): the ordered lines a session or prompt gets, empty when there is
     nothing to say. Rank tables are keyed by request_id: user_facts and facts carry learning
     columns, activity (type, title, ended_at), catalogue and matching (slug); ``notes``:
-    (request_id, blocked, pending_skills, episodes). A part that this kind of pack doesn't have is None: sessions get a catalogue, prompts
+    (request_id, blocked, pending_skills, episodes). ``by`` names the parts (u, a, f, c, m) that are keyed by another column of the requests: the lines of
+    a project or a user are made once, whatever asks for them. A part that this kind of pack doesn't have is None: sessions get a catalogue, prompts
     the skills that match them."""
     empty = F.array().cast("array<string>")
     age = age_label(F.col("ended_at"), as_of)
@@ -243,7 +244,8 @@ def context_packs(
     rows = requests
     parts = {"u": (user_facts, fact_line), "a": (activity, lambda _: headline), "f": (facts, fact_line), "c": (catalogue, lambda _: F.col("slug")), "m": (matching, lambda _: F.col("slug"))}
     for name, (part, line) in parts.items():
-        rows = rows.withColumn(name, empty) if part is None else rows.join(_lines(part, "request_id", line(part), name), "request_id", "left")
+        key = (by or {}).get(name, "request_id")
+        rows = rows.withColumn(name, empty) if part is None else rows.join(_lines(part, key, line(part), name), key, "left")
     rows = rows.join(notes, "request_id", "left")
     u, a, f, c, m = [F.coalesce(x, empty) for x in ("u", "a", "f", "c", "m")]
     blocked, waiting = F.coalesce("blocked", F.lit(0)), F.coalesce("pending_skills", F.lit(0))
