@@ -34,3 +34,16 @@ def test_the_profile_joins_marks_instead_of_texts(spark, monkeypatch):
     some = ("learning", "skill", "observation", "usage")
     want = plain({name: getattr(t, name) for name in some}).drop("type").collect()
     assert sorted(map(tuple, want)) == sorted(tuple(r) for r in got if r.table in some)
+
+
+def test_flat_use_is_not_falling(spark):
+    """Units that mirror themselves have a slope of zero, which sums of doubles miss by rounding; a line that falls by little still falls, and so does one of
+    units too large for a decimal."""
+    rows = [(a, at, float(1 + a * 37 % 250 * (m + 3) % 241) / (10 if a % 2 else 1)) for a in range(120) for m in range(1 + a % 9) for at in {m, 40 - m}]
+    rows += [(200, at, 1e9 - (at == 39)) for at in range(40)] + [(201, at, 1e30 / (1 + at)) for at in range(3)] + [(202, 1, float("nan")), (202, 2, 1.0), (203, 1, 5.0), (203, 2, None)]
+    usage = spark.createDataFrame(rows, "account_id long, at int, mau double").select("account_id", F.add_months(F.lit("1998-01-01").cast("date"), F.col("at")).alias("month"), "mau")
+    assert {r.account_id for r in ac.falling_use(usage.repartition(7)).filter("falling").collect()} == {200, 201}
+    lines = usage.withColumns({"sku": F.lit("a"), "monthly_revenue": F.lit(1.0), "contracted_seats": F.lit(1.0)})
+    soon = F.lit("2024-02-01").cast("date")
+    known = spark.range(300).select(F.col("id").alias("account_id"), F.lit("steady").alias("trajectory"), F.lit(80).alias("health_score"), soon.alias("renewal_date"))
+    assert {(r.account_id, r.reasons) for r in ac.renewal_risk(known, lines, soon).collect()} == {(200, "falling"), (201, "falling")}

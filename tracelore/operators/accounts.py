@@ -81,14 +81,27 @@ def expansion(usage: DataFrame, accounts: DataFrame) -> DataFrame:
     return usage_edges(usage).filter("utilization >= 1.0").join(accounts.select("account_id", "name", "owner"), "account_id")
 
 
+def falling_use(usage: DataFrame) -> DataFrame:
+    """(account_id, falling): whether the slope of units over months is below zero. Its sign is that of n * sum(xy) - sum(x) * sum(y), told from units as decimals
+    of six places, so a flat line is flat in whatever order its months are read; rounding would decide it otherwise. Units that are no such decimal leave the
+    account to the slope as it is."""
+    month = F.year("month") * 12 + F.month("month")
+    units = F.col("mau").try_cast("decimal(24, 6)")
+    said = F.col("month").isNotNull() & F.col("mau").isNotNull()
+    sums = usage.groupBy("account_id", "month").agg(F.sum("mau").alias("mau")).filter(said).groupBy("account_id").agg(
+        F.count("*").alias("n"), F.sum(month.cast("long")).alias("x"), F.sum(units).alias("y"), F.sum(month.cast("decimal(10, 0)") * units).alias("xy"),
+        F.bool_or(units.isNull()).alias("odd"), F.regr_slope("mau", month.cast("double")).alias("slope"),
+    )
+    falling = F.when(F.col("odd"), F.col("slope") < 0).otherwise(F.col("n") * F.col("xy") < F.col("x") * F.col("y"))
+    return sums.select("account_id", F.coalesce(falling, F.lit(False)).alias("falling"))
+
+
 def renewal_risk(accounts: DataFrame, usage: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
     """Renewal within ``days`` and at risk, unhealthy, falling use, or a line at zero."""
-    month = (F.year("month") * 12 + F.month("month")).cast("double")
-    trend = usage.groupBy("account_id", "month").agg(F.sum("mau").alias("mau")).groupBy("account_id").agg(F.regr_slope("mau", month).alias("slope"))
     zero = latest_usage(usage).groupBy("account_id").agg(F.bool_or(F.col("mau") == 0).alias("dead_line"))
     soon = accounts.filter(F.datediff("renewal_date", as_of).between(0, days))
-    rows = soon.join(trend, "account_id", "left").join(zero, "account_id", "left")
-    falling = F.coalesce(F.col("slope") < 0, F.lit(False))
+    rows = soon.join(falling_use(usage), "account_id", "left").join(zero, "account_id", "left")
+    falling = F.coalesce("falling", F.lit(False))
     dead = F.coalesce("dead_line", F.lit(False))
     why = F.concat_ws(
         "+", F.when(F.col("trajectory") == "at_risk", "at_risk"), F.when(F.col("health_score") < 50, "health"), F.when(falling, "falling"), F.when(dead, "dead_line")
