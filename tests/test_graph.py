@@ -33,6 +33,21 @@ def test_group_edges(spark):
     assert got == {("a", "b"): 0.5, ("a", "c"): 0.5, ("b", "c"): 0.5}
 
 
+def test_groups_of_any_size_are_paired_whole(spark, monkeypatch):
+    """Without a limit the members of every group meet, however many chunks they are dealt over, and each pair once."""
+    sizes = {"g": 2, "h": 1, "big": 60, "large": 131}
+    rows = [(1, g, f"n{i:03d}") for g, n in sizes.items() for i in range(n)] + [(2, "g", "n000"), (1, "big", "unknown")]
+    nodes = spark.createDataFrame([(p, f"n{i:03d}") for p in (1, 2) for i in range(140)], "project_id long, node string")
+    groups = spark.createDataFrame(rows + rows[:9], "project_id long, group_id string, member string")
+    want = Counter()
+    for n in sizes.values():
+        want.update({(1, f"n{i:03d}", f"n{j:03d}"): 1 / (n - 1) for j in range(n) for i in range(j)})
+    for most in (1024, 25):
+        monkeypatch.setattr(graph, "PAIR_ROWS", most)
+        got = graph.group_edges(groups, nodes, max_size=None).collect()
+        assert len(got) == len(want) and all(abs(r.w - want[r.project_id, r.a, r.b]) < 1e-9 for r in got)
+
+
 def test_pagerank(spark):
     nodes = ["seed", "hop1", "hop2", "island"]
     edges = [("seed", "hop1", 2.0), ("hop1", "hop2", 0.5)]
